@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import tokens
+from . import neardup, tokens
 
 QUERIES = {
     "op4_token_ids": tokens.op4_token_ids,
+    "op7_near_duplicates": neardup.op7_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {}
