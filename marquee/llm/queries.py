@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import neardup, tokens
+from . import neardup, quality, tokens
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op4_token_ids": tokens.op4_token_ids,
     "op7_near_duplicates": neardup.op7_near_duplicates,
 }
