@@ -25,8 +25,8 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-SPAN = 128
-SLOTS = 1024
+SPAN = 256
+SLOTS = 512
 STATES = 32
 CLASSES = 17
 NONE = 0xFFFF
@@ -129,8 +129,8 @@ def _encode_lanes(x: np.ndarray, lens: np.ndarray, top: int) -> tuple[list[bytes
             tables.learn(sym, hit2, hit1)
         live = np.arange(s, e)[:, None] < lens
         bits = _BITS[xt[s:e]].astype(np.int64)
-        a, ab = weights.a.take(lane_state + state).astype(np.int64), weights.ab.take(lane_state + state).astype(np.int64)
-        lo, hi = weights.flat.take(lane_cls + bits), weights.flat.take(lane_cls + bits + 1)
+        a, ab = weights.a.take(lane_state + state, mode="clip").astype(np.int64), weights.ab.take(lane_state + state, mode="clip").astype(np.int64)
+        lo, hi = weights.flat.take(lane_cls + bits, mode="clip"), weights.flat.take(lane_cls + bits + 1, mode="clip")
         rest = 65536 - ab
         slo, shi = ab + (lo * rest >> 15), ab + (hi * rest >> 15)
         start = np.where(o == 0, 0, np.where(o == 1, a, slo))
@@ -215,7 +215,7 @@ def _decode_lanes(coded: list[bytes], plain: list[bytes], lens: np.ndarray, top:
             ok = t < lens
             c2, c1, j = tables.look()
             at = lane_state + j
-            a, ab = weights.a.take(at), weights.ab.take(at)
+            a, ab = weights.a.take(at, mode="clip"), weights.ab.take(at, mode="clip")
             r = rng >> 16
             v = np.minimum((code / r).astype(np.int32), 65535)
             rest = 65536 - ab
@@ -224,7 +224,7 @@ def _decode_lanes(coded: list[bytes], plain: list[bytes], lens: np.ndarray, top:
             reach = reach.astype(np.int32).astype(np.uint16)
             cls = np.add.reduce(weights.rows <= reach, 0, dtype=np.uint8).astype(np.int64)
             at = lane_cls + cls
-            slo, shi = ab + (weights.flat.take(at) * rest >> 15), ab + (weights.flat.take(at + 1) * rest >> 15)
+            slo, shi = ab + (weights.flat.take(at, mode="clip") * rest >> 15), ab + (weights.flat.take(at + 1, mode="clip") * rest >> 15)
             h2, h1 = v < a, v < ab
             start = np.where(h1, np.where(h2, 0, a), slo)
             freq = np.where(h1, np.where(h2, a, ab), shi) - start
@@ -241,7 +241,7 @@ def _decode_lanes(coded: list[bytes], plain: list[bytes], lens: np.ndarray, top:
                 pos[small] = at + 1
             n = np.where(h1, 0, np.maximum(cls - 1, 0))
             head = np.where(cls > 0, 1 << np.maximum(cls - 1, 0), 0)
-            got = (p32.take(bit >> 3) >> (bit & 7)) & ((1 << n) - 1)
+            got = (p32.take(bit >> 3, mode="clip") >> (bit & 7)) & ((1 << n) - 1)
             sym = np.where(h1, np.where(h2, c2, c1), head | got).astype(np.int32)
             if not ok.all():
                 n[~ok], sym[~ok] = 0, 0

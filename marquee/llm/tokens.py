@@ -47,7 +47,7 @@ class WordIds:
     was asked is kept for later batches, up to ``most`` chunks.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,16 +61,17 @@ class WordIds:
         self.known, self.ids, self.size, self.at = {}, [], 0, []
 
     def _learn(self, new: list[str]) -> None:
-        # one word a chunk where it is made of ASCII letters: many of them make one text, cut behind each word end
-        plain = [w for w in new if w.isascii() and w.isalpha()]
-        other = [w for w in new if not (w.isascii() and w.isalpha())]
-        for k in range(0, len(plain), 500):
-            part = plain[k : k + 500]
+        # a chunk of letters is one word: many of them make one text, cut behind each word end
+        plain = [w for w in new if w.isalpha()]
+        other = [w for w in new if not w.isalpha()]
+        for k in range(0, len(plain), 1000):
+            part = plain[k : k + 1000]
             ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint16)
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part):
-                raise AssertionError("a word has no end")
-            self._add(part, ids, ends)
+            if len(ends) == len(part):
+                self._add(part, ids, ends)
+            else:  # lower-casing made some letter into two characters
+                other += part
         if other:
             got = [e.ids for e in self.tokenizer.encode_batch(other, add_special_tokens=False)]
             self._add(other, np.fromiter((i for g in got for i in g), np.uint16), np.cumsum([len(g) for g in got]))
@@ -86,12 +87,11 @@ class WordIds:
         """(ids of all texts, number of ids of each)."""
         chunks = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"(\pL)([.,])", r"\1 \2"))
         flat = chunks.flatten().dictionary_encode()
-        names = flat.dictionary.to_pylist()
-        names = [w.lower() if w.isascii() else w for w in names]
+        # for ASCII this is the tokenizer's own lower case; it has its own rules for the rest
+        names = [w.lower() if w.isascii() else w for w in flat.dictionary.to_pylist()]
         if len(self.known) > self.most:
             self._reset()
-        new = list(dict.fromkeys(w for w in names if w not in self.known))
-        self._learn(new)
+        self._learn(list({w: None for w in names if w not in self.known}))
         ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint16)
         ends = np.concatenate([[0], *self.at]).astype(np.int64)
         self.ids, self.at = [ids], [ends[1:]]
