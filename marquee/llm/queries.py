@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import neardup, quality, secrets, tokens
+from . import neardup, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op4_token_ids": tokens.op4_token_ids,
+    "op5_url_filter": urls.op5_url_filter,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op9_secret_scan": secrets.op9_secret_scan,
 }
