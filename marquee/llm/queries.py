@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import neardup, quality, secrets, tokens, urls
+from . import neardup, pii, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_pii_pseudonyms": pii.op2_pii_pseudonyms,
     "op4_token_ids": tokens.op4_token_ids,
     "op5_url_filter": urls.op5_url_filter,
     "op7_near_duplicates": neardup.op7_near_duplicates,
