@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import neardup, pii, quality, secrets, tokens, urls
+from . import decontaminate, mixing, neardup, pii, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_pii_pseudonyms": pii.op2_pii_pseudonyms,
+    "op3_source_mixing": mixing.op3_source_mixing,
     "op4_token_ids": tokens.op4_token_ids,
     "op5_url_filter": urls.op5_url_filter,
     "op7_near_duplicates": neardup.op7_near_duplicates,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_secret_scan": secrets.op9_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.ORACLE_SQL}
