@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, pii, quality, secrets, tokens, urls
+from . import decontaminate, langid, mixing, neardup, pii, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_token_ids": tokens.op4_token_ids,
     "op5_url_filter": urls.op5_url_filter,
+    "op6_language_id": langid.op6_language_id,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_secret_scan": secrets.op9_secret_scan,
