@@ -3,10 +3,11 @@
 1. Per document, in one pass: its set of distinct word shingles (as 64-bit hashes), the set's size and digest, and
    a MinHash signature of BANDS x ROWS values.
 2. Documents with one digest have equal sets: they form a class, represented by its smallest doc_id.
-3. Representatives that share a band of the signature are candidates.  Candidates of one band value are not
-   paired with each other but with pivots, a few at first and eight times as many in each further round; what
-   is linked by then needs no more pairs, so a family of thousands of near copies costs a few pairs a member.
-   Rounds end when in every band value all members are linked to each other or have been tried.
+3. Representatives that share a band of the signature are candidates.  At first each is paired with one pivot of
+   its band value only.  Where that leaves three or more that are not all linked, the members of the band value are
+   laid out in blocks of bounded size and every two blocks are compared within a task: pairs are not rows there,
+   what is linked already is skipped, and a pair is looked at in the first band that it shares.  So a family of
+   thousands of near copies costs a few rows a member, and no pair of a band value is left out.
 4. A candidate pair is read off the two signatures batch by batch.  After each batch the posterior of its
    similarity (uniform prior, so Beta(1 + agreed, 1 + differing)) is compared with the threshold, and the pair
    is given up once the chance that it reaches it is below MISS.  Survivors are verified on their full sets.
@@ -18,7 +19,6 @@ MISS also bounds banding: at similarity 0.85 two sets miss all 44 bands of 8 wit
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,8 @@ from .shingles import distinct_sorted, windows, word_hashes
 
 WORDS, ROWS, BANDS, BATCH = 5, 8, 44, 32
 MISS = 1e-6
-PIVOTS = 8
+#: Members of a block, and shingles of all of them.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 _MULT = np.random.default_rng(20240607).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH = "doc_id bigint, n_shingles bigint, digest bigint, bands array<bigint>"
 _SET = "doc_id bigint, n_shingles bigint, digest bigint, signature binary, x binary"
@@ -54,7 +55,8 @@ def signatures(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of each signature."""
     acc = np.zeros((len(sig), BANDS), np.uint64)
-    rows = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    # of the 16 bits that are kept of each value, so that kept signatures show which bands two sets share
+    rows = sig.astype(np.uint16).reshape(len(sig), BANDS, ROWS).astype(np.uint64)
     for i in range(ROWS):
         acc = (acc ^ rows[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
         acc ^= acc >> np.uint64(29)
@@ -197,7 +199,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> D
         classes = scratch.save(sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
         stands = classes.select("digest", F.col("rep").alias("doc_id"))
         # only band values of two or more classes matter: the smallest and the largest representative differ
-        banded = sketch.join(stands, ["digest", "doc_id"], "left_semi").select("doc_id", F.explode("bands").alias("band"))
+        banded = sketch.join(stands, ["digest", "doc_id"], "left_semi").select("doc_id", F.posexplode("bands").alias("number", "band"))
         shared = banded.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("band")
         members = scratch.save(banded.join(shared, "band").distinct(), "members")
         wanted = members.select("doc_id").distinct()
@@ -215,43 +217,81 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> D
         return scratch.save(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "result", keep=True)
 
 
+def _block_links(percent: int, stops: list[tuple[int, int]]):
+    """Links between the members of two blocks of one band value, as few as join what is linked."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for r in range(batch.num_rows):
+                same, number = batch.column("same")[r].as_py(), batch.column("number")[r].as_py()
+                left = batch.column("left")[r].as_py()
+                right = left if same else batch.column("right")[r].as_py()
+                sig = [np.frombuffer(b"".join(m["signature"] for m in side), np.uint16).reshape(len(side), -1) for side in (left, right)]
+                sets = [[np.frombuffer(m["x"], np.uint64) for m in side] for side in (left, right)]
+                size = np.array([len(x) for x in sets[1]])
+                up = {m["label"]: m["label"] for side in (left, right) for m in side}
+
+                def root(x: int) -> int:
+                    while up[x] != x:
+                        up[x] = up[up[x]]
+                        x = up[x]
+                    return x
+
+                for i, m in enumerate(left):
+                    n = len(sets[0][i])
+                    others = np.arange(i + 1 if same else 0, len(right))
+                    others = others[100 * np.minimum(n, size[others]) >= percent * np.maximum(n, size[others])]
+                    equal = sig[1][others] == sig[0][i]
+                    # a pair that shares an earlier band is looked at there
+                    if len(others):
+                        keep = equal.reshape(len(others), BANDS, ROWS).all(2).argmax(1) == number
+                        others, agreed, done = others[keep], np.zeros(int(keep.sum()), np.int64), 0
+                        equal = equal[keep]
+                        for stop, least in stops:
+                            agreed += equal[:, done:stop].sum(1)
+                            keep = agreed >= least
+                            others, equal, agreed, done = others[keep], equal[keep], agreed[keep], stop
+                    for j in others.tolist():
+                        p, q = root(m["label"]), root(right[j]["label"])
+                        if p != q:
+                            both = len(np.intersect1d(sets[0][i], sets[1][j], assume_unique=True))
+                            if 100 * both >= percent * (n + len(sets[1][j]) - both):
+                                up[max(p, q)] = min(p, q)
+                                a.append(min(m["doc_id"], right[j]["doc_id"]))
+                                b.append(max(m["doc_id"], right[j]["doc_id"]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return link
+
+
 def _linked(scratch: Scratch, members: DataFrame, signed: DataFrame, percent: int, miss: float) -> DataFrame | None:
-    """(node, label) of linked representatives, None if no band value has two."""
+    """(node, label) of linked representatives, None if no two share a band value."""
     stops = stop_counts(percent / 100, miss)
-    links: list[DataFrame] = []
-    label, pivots, k, tried = None, 1, 0, None
-    while True:
-        # members of band values in which not all are linked yet, with their component, in an order that no text decides
-        now = members
-        if label is not None:
-            now = members.join(label, members.doc_id == label.node, "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-        else:
-            now = members.withColumn("label", F.col("doc_id"))
-        if tried is not None:
-            now = now.join(tried, ["band", "doc_id"], "left").withColumn("tried", F.coalesce("tried", F.lit(False)))
-        else:
-            now = now.withColumn("tried", F.lit(False))
-        open_bands = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if(~F.col("tried")).alias("left"), F.min(F.when(~F.col("tried"), F.xxhash64("doc_id"))).alias("next")).filter("lo < hi and left > 0")
-        now = scratch.save(now.join(open_bands.select("band", "next", "left"), "band"), f"open-{k}")
-        # the pivots of a band value: its untried members of smallest hash, about as many as this round allows
-        share = F.greatest(F.lit(1.0), F.col("left") / F.lit(float(pivots)))
-        pick = ~F.col("tried") & ((F.xxhash64("doc_id") == F.col("next")) | ((F.lit(pivots > 1)) & (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << 20)) < F.lit(1 << 20) / share)))
-        pivot = scratch.save(now.filter(pick).select("band", F.col("doc_id").alias("pivot"), F.col("label").alias("plabel")), f"pivot-{k}")
-        if pivot.limit(1).count() == 0:
-            break
-        pairs = now.join(pivot, "band").filter("label <> plabel").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-        sa = signed.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
-        sb = signed.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
-        # sets of such different sizes can't be that similar
-        sized = pairs.join(sa, "a").join(sb, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        alive = scratch.save(sized.select("a", "b", "sa", "sb").mapInArrow(_sequential(stops), "a bigint, b bigint"), f"alive-{k}")
-        xa, xb = signed.select(F.col("doc_id").alias("a"), F.col("x").alias("xa")), signed.select(F.col("doc_id").alias("b"), F.col("x").alias("xb"))
-        links.append(scratch.save(alive.join(xa, "a").join(xb, "b").select("a", "b", "xa", "xb").mapInArrow(_verify(percent), "a bigint, b bigint"), f"links-{k}"))
-        label = components(scratch, reduce(DataFrame.union, links), f"label-{k}")
-        done = pivot.select("band", F.col("pivot").alias("doc_id"), F.lit(True).alias("tried"))
-        tried = scratch.save(done if tried is None else tried.union(done), f"tried-{k}")
-        pivots, k = pivots * PIVOTS, k + 1
-    return label
+    # first every member against one pivot of its band value
+    pivot = members.groupBy("band").agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), "doc_id")).alias("pivot"))
+    pairs = scratch.save(members.join(pivot, "band").filter("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return None
+    small = signed.select("doc_id", "signature", "n_shingles")
+    sa, sb = (small.select(F.col("doc_id").alias(k), F.col("signature").alias(f"s{k}"), F.col("n_shingles").alias(f"n{k}")) for k in "ab")
+    # sets of such different sizes can't be that similar
+    sized = pairs.join(sa, "a").join(sb, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    alive = scratch.save(sized.select("a", "b", "sa", "sb").mapInArrow(_sequential(stops), "a bigint, b bigint"), "alive")
+    xa, xb = (signed.select(F.col("doc_id").alias(k), F.col("x").alias(f"x{k}")) for k in "ab")
+    star = scratch.save(alive.join(xa, "a").join(xb, "b").select("a", "b", "xa", "xb").mapInArrow(_verify(percent), "a bigint, b bigint"), "star")
+    label = components(scratch, star, "first")
+    # then the band values of three or more in which not all are linked yet, block by block
+    now = scratch.save(members.join(label, members.doc_id == label.node, "left").select("band", "number", "doc_id", F.coalesce("label", "doc_id").alias("label")).join(signed.select("doc_id", "n_shingles"), "doc_id"), "now")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    open_ = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).filter("lo < hi and n > 2").select("band", "blocks")
+    rest = now.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).join(signed.select("doc_id", "signature", "x"), "doc_id")
+    held = scratch.save(rest.groupBy("band", "number", "block").agg(F.collect_list(F.struct("doc_id", "label", "signature", "x")).alias("of")), "blocks")
+    one = held.select("number", F.lit(True).alias("same"), F.col("of").alias("left"), F.lit(None).cast(held.schema["of"].dataType).alias("right"))
+    two = held.alias("l").join(held.alias("r"), F.expr("l.band = r.band and l.block < r.block")).select("l.number", F.lit(False).alias("same"), F.col("l.of").alias("left"), F.col("r.of").alias("right"))
+    more = scratch.save(one.union(two).mapInArrow(_block_links(percent, stops), "a bigint, b bigint"), "more")
+    scratch.drop("blocks")
+    return components(scratch, star.union(more), "second")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
