@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, neardup, pii, quality, secrets, tokens, urls
+from . import decontaminate, langid, licenses, mixing, neardup, pii, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op10_license_scan": licenses.op10_license_scan,
     "op2_pii_pseudonyms": pii.op2_pii_pseudonyms,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_token_ids": tokens.op4_token_ids,
