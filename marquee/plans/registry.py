@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import agenda, curate, text
+from . import agenda, curate, state, text
 
-MODULES = (agenda, curate, text)
+MODULES = (agenda, curate, state, text)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
