@@ -1,19 +1,30 @@
-"""Cutting lineage through the folder that driver and executors share."""
+"""The folder that driver and executors share: cut lineage, results of streams, streams' own checkpoints."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where it names none (tests on one machine) a temporary folder is set."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="marquee-")
+    if not held.isDefined():
+        sc.setCheckpointDir(at)
+    return at
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder and read from there.
-
-    The folder is the one of ``spark.checkpoint.dir``; only where the session names none (tests on one machine) a
-    temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marquee-"))
+    """``df`` written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
