@@ -78,3 +78,15 @@ def words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sampled(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id and text of up to ``n`` documents: of each of n buckets of hashed ids the one with the least hash.
+
+    The ids are found by an aggregate of n rows, so neither a task nor the driver holds more than that however large
+    ``docs`` is.  Rows without doc_id are not taken; of rows that repeat one the least text is.
+    """
+    h = F.xxhash64("doc_id")
+    least = docs.filter("doc_id is not null").groupBy(F.pmod(h, F.lit(n)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("x"))
+    ids = [r["x"]["doc_id"] for r in least.collect()]
+    return docs.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text"))
