@@ -24,6 +24,7 @@ BLOCK = 1000
 REPEATS = 2.0
 STEPS = 60
 SEED = "mix-1"
+BROADCAST_SOURCES = 100_000
 
 
 def weights(tokens: dict, t: float) -> dict:
@@ -81,8 +82,10 @@ def mix(docs: DataFrame, budget: int | None = None, repeats: float | None = REPE
     w = weights(tokens, exponent(tokens, repeats, entropy)) if tokens else {}
     total = max((n / w[s] for s, n in tokens.items()), default=0.0) if budget is None else float(budget)
     plan = spark.createDataFrame([(s, w[s] * total / n, max(1, -(-seen[s][1] // block))) for s, n in tokens.items()], "source string, epochs double, blocks int")
-    hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    # plan has one row a source; Spark broadcasts it while it is small
+    # the length is part of what is hashed, so that rows that share an id, or have none, spread over blocks too
+    hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("n_tokens").cast("string")))
+    # one row a source: it goes to every task where it is small; beyond that the join is by source and Spark splits hot ones
+    plan = F.broadcast(plan) if len(tokens) <= BROADCAST_SOURCES else plan
     placed = counted.join(plan, "source").withColumn("order", hashed)
     placed = placed.withColumn("block", F.pmod(F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint"), F.col("blocks")).cast("int"))
     by = W.partitionBy("source", "block")
@@ -112,7 +115,7 @@ power AS (SELECT CASE WHEN count(*) < 2 THEN 1.0 WHEN max(n) / min(n) <= {REPEAT
                  ELSE 1 - ln({REPEATS}) / ln(max(n) / min(n)) END AS t FROM sums),
 plan AS (SELECT source, blocks, pow(n / (SELECT max(n) FROM sums), t - 1) AS epochs FROM sums, power),
 placed AS (
-  SELECT c.*, p.epochs, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h, p.blocks FROM counted c JOIN plan p USING (source)),
+  SELECT c.*, p.epochs, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || n_tokens) AS h, p.blocks FROM counted c JOIN plan p USING (source)),
 blocked AS (SELECT *, (('0x' || h[1:8])::BIGINT % blocks)::INT AS block FROM placed),
 summed AS (
   SELECT *, row_number() OVER (PARTITION BY source, block ORDER BY h, doc_id, n_tokens)::INT AS place,
