@@ -177,7 +177,7 @@ def plan_states(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = told.withColumn("_roep", last_call)
     told = told.filter((F.col("_roep") == "uitnodigen") | (F.col("actie") == "intrekken"))
     # an invitation of someone who is invited already says nothing
-    previous = F.lag("_roep").over(W.partitionBy("plan", "gast").orderBy("seq"))
+    previous = F.lag("_roep", 1, "").over(W.partitionBy("plan", "gast").orderBy("seq"))
     told = told.withColumn("_was", previous).filter("not (actie = 'uitnodigen' and _was = 'uitnodigen')")
     # guests at the time of an invitation
     change = F.when(F.col("actie") == "uitnodigen", 1).when((F.col("actie") == "intrekken") & (F.col("_was") == "uitnodigen"), -1).otherwise(0)
