@@ -117,37 +117,50 @@ def _encode_lanes(x: np.ndarray, lens: np.ndarray, top: int) -> tuple[list[bytes
     first = pos.copy()
     plain_v, plain_n = np.zeros((steps, lanes), np.uint16), np.zeros((steps, lanes), np.int8)
     lane_state, lane_cls = np.arange(lanes) * STATES, np.arange(lanes) * (CLASSES + 1)
+    before = np.zeros((2, lanes), np.int64)  # the two ids before a span
+    v1, v2 = np.empty((SPAN, lanes), np.int32), np.empty((SPAN, lanes), np.int32)
     for s in range(0, steps, SPAN):
         e = min(s + SPAN, steps)
-        state, o = np.empty((e - s, lanes), np.int64), np.empty((e - s, lanes), np.int64)
-        for t in range(s, e):
-            c2, c1, j = tables.look()
-            sym = xt[t]
-            state[t - s] = j
-            hit2, hit1 = c2 == sym, c1 == sym
-            o[t - s] = np.where(hit2, 0, 2 - hit1)
-            tables.learn(sym, hit2, hit1)
+        # what the tables are asked for and told is known beforehand; only their answers come one after the other
+        seen = np.concatenate([before, xt[s:e]])
+        at1 = tables.base + (seen[1:-1] & (SLOTS - 1))
+        at2 = tables.base + ((seen[1:-1] * 40503 + seen[:-2] * 30011 >> 5) & (SLOTS - 1))
+        before = seen[-2:]
+        once, most = xt[s:e] | 0x10000, xt[s:e] | 0x30000
+        for t in range(e - s):
+            sym = xt[s + t]
+            for cell, at, v in ((tables.cell1, at1[t], v1[t]), (tables.cell2, at2[t], v2[t])):
+                cell.take(at, out=v, mode="clip")
+                cell[at] = np.where((v & 0xFFFF) == sym, np.minimum(v + 65536, most[t]), once[t])
+        w1, w2 = v1[: e - s], v2[: e - s]
+        c1, c2 = w1 & 0xFFFF, w2 & 0xFFFF
+        state = (w2 >> 16) * 8 + (w1 >> 16) * 2 + (c1 == c2)
+        hit2, hit1 = c2 == xt[s:e], c1 == xt[s:e]
+        o = np.where(hit2, 0, 2 - hit1).astype(np.int8)
         live = np.arange(s, e)[:, None] < lens
-        bits = _BITS[xt[s:e]].astype(np.int64)
-        a, ab = weights.a.take(lane_state + state, mode="clip").astype(np.int64), weights.ab.take(lane_state + state, mode="clip").astype(np.int64)
-        lo, hi = weights.flat.take(lane_cls + bits, mode="clip"), weights.flat.take(lane_cls + bits + 1, mode="clip")
-        rest = 65536 - ab
+        whole = bool(live.all())
+        bits = _BITS[xt[s:e]]
+        at = lane_state + state
+        a, ab = weights.a.take(at, mode="clip"), weights.ab.take(at, mode="clip")
+        at = lane_cls + bits
+        lo, hi = weights.flat.take(at, mode="clip"), weights.flat.take(at + 1, mode="clip")
+        rest = 65536 - ab  # at most 65534, so products with 32768 stay in 32 bits
         slo, shi = ab + (lo * rest >> 15), ab + (hi * rest >> 15)
-        start = np.where(o == 0, 0, np.where(o == 1, a, slo))
-        freq = np.where(o == 0, a, np.where(o == 1, ab - a, shi - slo))
-        esc = (o == 2) & live
-        n = np.where(esc, np.maximum(bits - 1, 0), 0)
+        hit = hit1 | hit2
+        start = np.where(hit, np.where(hit2, 0, a), slo)
+        freq = np.where(hit, np.where(hit2, a, ab), shi) - start
+        esc = ~hit if whole else ~hit & live
+        n = np.where(esc, np.maximum(bits, 1) - np.int8(1), np.int8(0))
         plain_n[s:e] = n
-        plain_v[s:e] = xt[s:e] & ((1 << n) - 1)
+        plain_v[s:e] = xt[s:e] & ((np.int32(1) << n.astype(np.int32)) - 1)
         for t in range(e - s):
-            ok = live[t]
             r = rng >> 16
-            if ok.all():
+            if whole:
                 low += r * start[t]
                 rng = r * freq[t]
             else:
-                low = np.where(ok, low + r * start[t], low)
-                rng = np.where(ok, r * freq[t], rng)
+                low = np.where(live[t], low + r * start[t], low)
+                rng = np.where(live[t], r * freq[t], rng)
             over = np.flatnonzero(low > _TOP)
             if len(over):
                 low[over] &= _TOP
@@ -155,13 +168,15 @@ def _encode_lanes(x: np.ndarray, lens: np.ndarray, top: int) -> tuple[list[bytes
                 while len(at):
                     out[at] += np.uint16(1)
                     at = at[out[at] == 0] - 1
-            small = np.flatnonzero(rng < _LOW)
-            if len(small):
-                out[pos[small]] = low[small] >> 32
-                low[small] = (low[small] << 16) & _TOP
-                rng[small] <<= 16
-                pos[small] += 1
-        weights.learn(state, np.where(live, o, 2), np.where(esc, bits, -1))
+            # the next word is laid down in every lane, and counts where the range has become small
+            out[pos] = low >> 32
+            small = rng < _LOW
+            pos += small
+            shift = small.astype(np.int64) << 4
+            low <<= shift
+            low &= _TOP
+            rng <<= shift
+        weights.learn(state, o if whole else np.where(live, o, 2), np.where(esc, bits, -1))
     coded = []
     for i in range(lanes):
         tail = np.array([low[i] >> 32, (low[i] >> 16) & 0xFFFF, low[i] & 0xFFFF]).astype(np.uint16)
@@ -175,13 +190,18 @@ def _pack(v: np.ndarray, n: np.ndarray) -> list[bytes]:
     bits = n.sum(1, dtype=np.int64)
     size = bits + 7 >> 3
     first = np.concatenate([[0], np.cumsum((size + 3 >> 2) + 2)])
-    n = np.ascontiguousarray(n).ravel()
-    k = n > 0
-    at = np.cumsum(n, dtype=np.int64) - n
-    at += np.repeat((first[:-1] << 5) - (np.cumsum(bits) - bits), v.shape[1])
-    at, v = at[k], np.ascontiguousarray(v).ravel()[k].astype(np.int64) << (at[k] & 31)
+    used = n > 0
+    each = used.sum(1)
+    n, v = n[used].astype(np.int64), v[used].astype(np.int64)
+    at = np.cumsum(n)
+    at -= n
+    at += np.repeat((first[:-1] << 5) - (np.cumsum(bits) - bits), each)
+    v <<= at & 31
+    at >>= 5
     # bits of one word never overlap, so sums stay below 2^32 and exact
-    words = np.bincount(at >> 5, v & 0xFFFFFFFF, first[-1]) + np.bincount((at >> 5) + 1, v >> 32, first[-1])
+    words = np.bincount(at, v & 0xFFFFFFFF, first[-1])
+    over = np.flatnonzero(v >> 32)
+    words += np.bincount(at[over] + 1, v[over] >> 32, first[-1])
     raw = words.astype("<u4").tobytes()
     return [raw[f * 4 : f * 4 + m] for f, m in zip(first.tolist(), size.tolist())]
 
@@ -211,6 +231,7 @@ def _decode_lanes(coded: list[bytes], plain: list[bytes], lens: np.ndarray, top:
     for s in range(0, steps, SPAN):
         e = min(s + SPAN, steps)
         state, o, kk = (np.empty((e - s, lanes), np.int64) for _ in range(3))
+        whole = int(lens.min()) >= e
         for t in range(s, e):
             ok = t < lens
             c2, c1, j = tables.look()
@@ -230,20 +251,19 @@ def _decode_lanes(coded: list[bytes], plain: list[bytes], lens: np.ndarray, top:
             freq = np.where(h1, np.where(h2, a, ab), shi) - start
             code -= r * start
             rng = r * freq
-            if not ok.all():
+            if not whole:
                 code[~ok] = 0
                 rng[~ok] = _TOP
-            small = np.flatnonzero(rng < _LOW)
-            if len(small):
-                at = pos[small]
-                code[small] = (code[small] << 16) | words[at]
-                rng[small] <<= 16
-                pos[small] = at + 1
+            small = rng < _LOW
+            shift = small.astype(np.int64) << 4
+            code = (code << shift) | (words.take(pos, mode="clip") & -(shift >> 4))
+            rng <<= shift
+            pos += small
             n = np.where(h1, 0, np.maximum(cls - 1, 0))
             head = np.where(cls > 0, 1 << np.maximum(cls - 1, 0), 0)
             got = (p32.take(bit >> 3, mode="clip") >> (bit & 7)) & ((1 << n) - 1)
             sym = np.where(h1, np.where(h2, c2, c1), head | got).astype(np.int32)
-            if not ok.all():
+            if not whole:
                 n[~ok], sym[~ok] = 0, 0
                 h2, h1 = h2 & ok, h1 & ok
                 o[t - s], kk[t - s] = np.where(h1, ~h2, 2), np.where(h1 | ~ok, -1, cls)

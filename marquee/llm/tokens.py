@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .idcoder import decode_blocks, encode_page
 
-PAGE = 1 << 22
+PAGE = 1 << 21
 END = 2
 VOCABULARY = "word_bpe_49k.json"
 _PAGES = "shard int, page int, doc_id array<bigint>, n_tokens array<bigint>, header binary, blocks array<binary>"
@@ -53,54 +53,67 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self):
-        self.known, self.ids, self.size, self.at = {}, [], 0, []
+        self.known = pa.array([], pa.string())
+        self.ids, self.ends = np.zeros(0, np.uint16), np.zeros(1, np.int32)
 
     def _learn(self, new: list[str]) -> None:
         # a chunk of letters is one word: many of them make one text, cut behind each word end
         plain = [w for w in new if w.isalpha()]
         other = [w for w in new if not w.isalpha()]
-        for k in range(0, len(plain), 1000):
-            part = plain[k : k + 1000]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint16)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part):
-                self._add(part, ids, ends)
+        chunks, ids, ends, size = [], [self.ids], [self.ends], int(self.ends[-1])
+
+        def add(part: list[str], got: np.ndarray, cut: np.ndarray) -> None:
+            nonlocal size
+            chunks.extend(part)
+            ids.append(got)
+            ends.append((cut + size).astype(np.int32))
+            size += len(got)
+
+        for k in range(0, len(plain), 200):
+            part = plain[k : k + 200]
+            got = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+            cut = np.flatnonzero(self.last[got]) + 1
+            if len(cut) == len(part):
+                add(part, got, cut)
             else:  # lower-casing made some letter into two characters
                 other += part
-        if other:
-            got = [e.ids for e in self.tokenizer.encode_batch(other, add_special_tokens=False)]
-            self._add(other, np.fromiter((i for g in got for i in g), np.uint16), np.cumsum([len(g) for g in got]))
-
-    def _add(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        first = len(self.known)
-        self.known.update(zip(chunks, range(first, first + len(chunks))))
-        self.ids.append(ids)
-        self.at.append(ends + self.size)
-        self.size += len(ids)
+        for k in range(0, len(other), 1000):
+            part = other[k : k + 1000]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            add(part, np.fromiter((i for g in got for i in g), np.uint16), np.cumsum([len(g) for g in got]))
+        self.known = pa.concat_arrays([self.known, pa.array(chunks, pa.string())])
+        self.ids, self.ends = np.concatenate(ids), np.concatenate(ends)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         chunks = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"(\pL)([.,])", r"\1 \2"))
         flat = chunks.flatten().dictionary_encode()
-        # for ASCII this is the tokenizer's own lower case; it has its own rules for the rest
-        names = [w.lower() if w.isascii() else w for w in flat.dictionary.to_pylist()]
+        # the tokenizer lower-cases too; doing it for ASCII here makes fewer chunks
+        names = pc.ascii_lower(flat.dictionary).dictionary_encode()
         if len(self.known) > self.most:
             self._reset()
-        self._learn(list({w: None for w in names if w not in self.known}))
-        ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint16)
-        ends = np.concatenate([[0], *self.at]).astype(np.int64)
-        self.ids, self.at = [ids], [ends[1:]]
-        which = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[flat.indices.to_numpy(zero_copy_only=False)]
-        start, n = ends[which], ends[which + 1] - ends[which]
-        total = np.concatenate([[0], np.cumsum(n)])
-        take = np.arange(total[-1]) + np.repeat(start - total[:-1], n)
+        place = pc.index_in(names.dictionary, value_set=self.known)
+        if place.null_count:
+            new, first = names.dictionary.filter(pc.is_null(place)), len(self.known)
+            self._learn(new.to_pylist())
+            place = place.to_numpy(zero_copy_only=False)
+            place[np.isnan(place)] = pc.index_in(new, value_set=self.known.slice(first)).to_numpy() + first
+        else:
+            place = place.to_numpy()
+        index = names.indices.to_numpy()[flat.indices.to_numpy(zero_copy_only=False)]
+        which = place.astype(np.int32)[index]
+        start = self.ends[which]
+        n = self.ends[which + 1] - start
+        total = np.concatenate([[0], np.cumsum(n, dtype=np.int32)])
+        take = np.arange(total[-1], dtype=np.int32)
+        take += np.repeat(start - total[:-1], n)
         bounds = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
-        return ids[take], np.diff(total[bounds])
+        return self.ids[take], np.diff(total[bounds])
 
 
 def tokenizer_from(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
@@ -110,6 +123,16 @@ def tokenizer_from(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarr
     return _held[path].encode
 
 
+def _slices(batch: pa.RecordBatch, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, cut where texts add up to ``most`` bytes (a longer text is a slice of its own)."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _pages(path: str, end: int, page_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -126,8 +149,7 @@ def _pages(path: str, end: int, page_ids: int):
             return pa.RecordBatch.from_pylist([row], schema=_arrow_pages())
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
+            for part in _slices(batch):
                 got, n = encode(pc.fill_null(part.column("text"), "").cast(pa.string()))
                 at = 0
                 for doc, m in zip(part.column("doc_id").to_pylist(), n.tolist()):
