@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import WORD_END, WORD_START, S, strip
+from .text import WORD_END, WORD_START, S, fold, squeeze, strip
 
 CANCELLED = ("afgelast", "verplaatst")
 FULL = ("uitverkocht", "wachtlijst")
@@ -116,6 +116,18 @@ def not_a_show(title: Column, tags: Column) -> Column:
     )
 
 
+def first_name_in(names: list[str], *texts: Column) -> Column:
+    """The first of ``names`` that stands in any of the texts, whatever their case and accents."""
+    hay = fold(F.lower(F.concat_ws(" ", *texts)))
+    return F.get(F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(hay, fold(F.lower(n)))), F.lit(0))
+
+
+def text_drift(body: Column, expected: str, start: str) -> Column:
+    """gelijk, gewijzigd or weg: does a page still hold an expected text, or a text that starts as it does?"""
+    seen = squeeze(F.coalesce(body, F.lit("")))
+    return F.when(F.contains(seen, F.lit(" ".join(expected.split()))), "gelijk").when(F.contains(seen, F.lit(start)), "gewijzigd").otherwise("weg")
+
+
 def valid_rating(rating: Column) -> Column:
     """1 to 5 in steps of a half."""
     return F.coalesce(rating.between(1, 5) & (rating * 2 == F.floor(rating * 2)), F.lit(False))

@@ -49,22 +49,43 @@ def difference(a: Column, b: Column) -> Column:
     )
 
 
+def _pieces(text: str, probe: bool) -> Column:
+    """Blocks for texts within two edits of each other: one of three pieces of the shorter stands in the longer, moved by two at most.
+
+    The text of the column ``text`` is cut for its own length or, to ``probe``, looked at in all places where a piece of
+    a text of its own length or up to two less could stand.
+    """
+    lengths = f"sequence(greatest(3, length({text}) - 2), greatest(3, length({text})))" if probe else f"array(length({text}))"
+    moves = "sequence(-2, 2)" if probe else "array(0)"
+    # pieces are a third long, the last ones longer by one where the length does not divide
+    piece = "named_struct('n', l, 'i', i, 'at', i * (l div 3) + greatest(0, i - (3 - l % 3)) + m, 'len', l div 3 + if(i >= 3 - l % 3, 1, 0))"
+    every = f"flatten(flatten(transform({lengths}, l -> transform(sequence(0, 2), i -> transform({moves}, m -> {piece})))))"
+    inside = f"filter({every}, p -> p.at >= 0 and p.at + p.len <= length({text}) and p.len > 0)"
+    return F.expr(f"transform({inside}, p -> concat_ws('|', 's', p.n, p.i, substring({text}, p.at + 1, p.len)))")
+
+
 def similar_keys(shows: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     """a, b, deelA, deelB, soort: pairs of keys (two parts or more) that differ in one part, and how.
 
     Pairs that both play only at one and the same venue are left out, and those in ``judged`` (a, b).  Keys meet on the
-    parts that they share, so no pair is compared that shares none; a leave-one-out value that very many keys share is
-    split by the length of the part left out, as alike parts differ by a bounded number of characters or are one the
-    beginning of the other.
+    parts that they share and on what each kind of difference leaves alike in the other part: the text without year,
+    without article, without addition, or a third of it.  So keys that share a part, however many, are not compared all
+    with all.
     """
+    none = F.array().cast("array<string>")
     venues = unbound(shows).groupBy("sleutel").agg(F.min("theaterId").alias("v1"), F.max("theaterId").alias("v2"))
     keys = venues.withColumn("delen", F.split("sleutel", " \\| ", -1)).filter("size(delen) >= 2")
-    left_out = keys.select("sleutel", "v1", "v2", F.posexplode("delen").alias("i", "deel"), "delen").withColumn("rest", F.array_join(F.filter("delen", lambda d: d != F.col("deel")), " | ")).withColumn("n", F.size("delen"))
-    a, b = (left_out.select("rest", "n", *[F.col(c).alias(f"{c}_{s}") for c in ("sleutel", "deel", "v1", "v2")]) for s in "ab")
-    pairs = a.join(b, ["rest", "n"]).filter("sleutel_a < sleutel_b")
-    pairs = pairs.withColumn("soort", difference(F.col("deel_a"), F.col("deel_b"))).filter("soort is not null")
-    pairs = pairs.filter("not (v1_a = v2_a and v1_b = v2_b and v1_a = v1_b)")
-    out = pairs.select(F.col("sleutel_a").alias("a"), F.col("sleutel_b").alias("b"), F.col("deel_a").alias("deelA"), F.col("deel_b").alias("deelB"), "soort").distinct()
+    parts = keys.select("sleutel", "v1", "v2", F.explode("delen").alias("deel"), "delen", F.size("delen").alias("n"))
+    parts = parts.withColumns({"rest": F.array_join(F.filter("delen", lambda d: d != F.col("deel")), " | "), "dicht": F.regexp_replace("deel", "\\s+", "")})
+    same = F.array(F.concat(F.lit("j|"), X.squeeze(F.regexp_replace("deel", YEAR_OR_EDITION, " "))), F.concat(F.lit("l|"), F.regexp_replace("deel", ARTICLE, "")))
+    spelled = lambda probe: F.when((F.length("deel") >= 5) & (F.length("dicht") >= 3), _pieces("dicht", probe)).otherwise(none)
+    shorter = F.when(F.col("deel").rlike(ADDITION), F.array(F.concat(F.lit("t|"), F.regexp_replace("deel", ADDITION, "")))).otherwise(none)
+    laid = parts.select("rest", "n", F.struct("sleutel", "deel", "v1", "v2").alias("x"), F.explode(F.array_distinct(F.concat(same, F.array(F.concat(F.lit("t|"), "deel")), spelled(False)))).alias("blok"))
+    sought = parts.select("rest", "n", F.struct("sleutel", "deel", "v1", "v2").alias("y"), F.explode(F.array_distinct(F.concat(same, shorter, spelled(True)))).alias("blok"))
+    met = laid.join(sought, ["rest", "n", "blok"]).filter("x.sleutel <> y.sleutel").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = met.withColumn("soort", difference(F.col("x.deel"), F.col("y.deel"))).filter("soort is not null")
+    pairs = pairs.filter("not (x.v1 = x.v2 and y.v1 = y.v2 and x.v1 = y.v1)")
+    out = pairs.select(F.col("x.sleutel").alias("a"), F.col("y.sleutel").alias("b"), F.col("x.deel").alias("deelA"), F.col("y.deel").alias("deelB"), "soort").distinct()
     if judged is not None:
         both = judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         out = out.join(both, ["a", "b"], "left_anti")
@@ -211,6 +232,15 @@ def apply_aliases(shows: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
+def alias_errors(aliases: DataFrame, never: DataFrame) -> DataFrame:
+    """sleutel, soort: aliases whose target is itself a source with another title (keten), and ones of a rule on a key that is never to be merged (verboden)."""
+    targets = aliases.select("sleutel", "titel", X.production_key(F.col("titel"), F.lit(None).cast("string")).alias("doel"))
+    sources = aliases.select(F.col("sleutel").alias("doel"), F.col("titel").alias("_verder"))
+    chains = targets.join(sources, "doel").filter("doel <> sleutel and _verder <> titel").select("sleutel", F.lit("keten").alias("soort"))
+    barred = aliases.filter("regel <> 'keuze'").join(never.select("sleutel").distinct(), "sleutel", "left_semi").select("sleutel", F.lit("verboden").alias("soort"))
+    return chains.unionByName(barred)
+
+
 def loose_sources(shows: DataFrame, aliases: DataFrame) -> DataFrame:
     """sleutel, titel, theaters: keys that an alias should have replaced and that are still in use."""
     open_ = aliases.select("sleutel", X.production_key(F.col("titel"), F.lit(None).cast("string")).alias("doel")).filter("doel <> sleutel")
@@ -271,13 +301,13 @@ def slogan_choice(shows: DataFrame, makers: DataFrame, titles: DataFrame) -> Dat
 
 
 def candidate_groups(shows: DataFrame) -> DataFrame:
-    """anker, sleutels, resten: keys that share a part ("anchor") that is not generic, two keys or more.
+    """anker, sleutel, rest: keys that share a part ("anchor") that is not generic, with two keys or more, a row a key.
 
-    Each production stays only in the group of its longest anchor, and groups with the same keys are one.
+    Each key stays in the group of its longest anchor only, so groups never overlap; rest are the key's other parts.
     """
     keys = unbound(shows).select("sleutel").distinct().withColumn("delen", F.split("sleutel", " \\| ", -1))
     by_part = keys.select("sleutel", F.explode("delen").alias("anker"), "delen").filter(~F.col("anker").rlike(GENERIC) & (F.length("anker") >= 4))
-    several = by_part.groupBy("anker").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("anker")
-    kept = by_part.join(several, "anker").groupBy("sleutel").agg(F.max_by(F.struct("anker", F.array_except("delen", F.array("anker")).alias("rest")), F.struct(F.length("anker").alias("l"), F.col("anker"))).alias("x"))
-    groups = kept.groupBy(F.col("x.anker").alias("anker")).agg(F.array_sort(F.collect_set("sleutel")).alias("sleutels"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("x.rest")))).alias("resten")).filter("size(sleutels) >= 2")
-    return groups.groupBy("sleutels", "resten").agg(F.min("anker").alias("anker"))
+    several = lambda d: d.groupBy("anker").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select("anker")
+    best = by_part.join(several(by_part), "anker").groupBy("sleutel").agg(F.max_by(F.struct("anker", F.array_except("delen", F.array("anker")).alias("rest")), F.struct(F.length("anker").alias("l"), F.col("anker"))).alias("x"))
+    kept = best.select("x.anker", "sleutel", "x.rest")
+    return kept.join(several(kept), "anker")

@@ -149,7 +149,7 @@ def source_index_makers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.candidate_groups(_spelled(spark, sf_dir)).select("anker", "sleutels")
+    return L.candidate_groups(_spelled(spark, sf_dir))
 
 
 QUERIES = {
@@ -252,6 +252,7 @@ SELECT seq, CASE WHEN nieuw IS NOT NULL AND m < 2 THEN nieuw ELSE titel END AS t
     "source_index_makers": SHOW_SQL + f"SELECT {_bare('maker')} AS k, min(theaterId) AS v1, max(theaterId) AS v2 FROM perf WHERE maker IS NOT NULL GROUP BY 1",
     "candidate_groups": _SPELLED + f""", k AS (SELECT DISTINCT sleutel, string_split(sleutel, ' | ') AS delen FROM spelled), e AS (SELECT sleutel, unnest(delen) AS anker FROM k),
 f AS (SELECT * FROM e WHERE length(anker) >= 4 AND NOT regexp_matches(anker, '^(?:oudejaars\\S*(?: \\d{{4}})?|best of|live|concert|try ?out|premiere|reprise|\\d{{4}}|\\d{{4}} \\d{{4}})$')),
-m AS (SELECT anker FROM f GROUP BY 1 HAVING count(*) >= 2), b AS (SELECT sleutel, arg_max(anker, (length(anker), anker)) AS anker FROM f JOIN m USING (anker) GROUP BY 1)
-SELECT anker, list(sleutel ORDER BY sleutel) AS sleutels FROM b GROUP BY 1 HAVING count(*) >= 2""",
+m AS (SELECT anker FROM f GROUP BY 1 HAVING count(*) >= 2), b AS (SELECT sleutel, arg_max(anker, (length(anker), anker)) AS anker FROM f JOIN m USING (anker) GROUP BY 1),
+g AS (SELECT anker FROM b GROUP BY 1 HAVING count(*) >= 2)
+SELECT anker, sleutel, list_filter(delen, lambda d: d <> anker) AS rest FROM b JOIN g USING (anker) JOIN k USING (sleutel)""",
 }

@@ -276,3 +276,30 @@ def test_no_pairs_by_product(spark):
     for df in (linkage.similar_keys(rows), linkage.merge_prefixes(rows), agenda.also_playing_at(rows, rows)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_alias_errors(spark):
+    aliases = spark.createDataFrame([("a", "B", "keuze"), ("b", "C", "R2"), ("c", "C", "keuze")], "sleutel string, titel string, regel string")
+    never = spark.createDataFrame([("b",), ("c",)], "sleutel string")
+    assert sorted(map(tuple, linkage.alias_errors(aliases, never).collect())) == [("a", "keten"), ("b", "verboden")]
+
+
+def test_similar_keys_against_all_pairs(spark):
+    """Random edits of one part: the blocks miss no pair that a comparison of all finds."""
+    rnd = random.Random(11)
+    names = set()
+    for _ in range(60):
+        word = "".join(rnd.choice("abcde ") for _ in range(rnd.randint(5, 14))).strip()
+        for _ in range(4):
+            x = list(word)
+            for _ in range(rnd.randint(0, 3)):
+                k = rnd.randrange(len(x) + 1)
+                x[k : k + rnd.randint(0, 1)] = rnd.choice(["", "f", " ", "g"])
+            names.add(" ".join("".join(x).split()))
+            names.add(" ".join(("de " * rnd.randint(0, 1) + word + rnd.choice(["", " live", " 2026", " en friends"])).split()))
+    rows = spark.createDataFrame([(f"{n} | zz maker", f"v{i}") for i, n in enumerate(sorted(names)) if n], "sleutel string, theaterId string").repartition(4)
+    found = {(r["a"], r["b"], r["soort"]) for r in linkage.similar_keys(rows).collect()}
+    p = rows.select("sleutel", F.split("sleutel", " \\| ")[0].alias("d"))
+    q = p.select(F.col("sleutel").alias("s2"), F.col("d").alias("d2"))
+    every = p.join(q, F.col("sleutel") < F.col("s2")).select("sleutel", "s2", linkage.difference(F.col("d"), F.col("d2")).alias("k")).filter("k is not null")
+    assert found == {tuple(r) for r in every.collect()} and len(found) > 100

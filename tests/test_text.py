@@ -93,3 +93,8 @@ def test_dates(spark):
     assert [str(d) for d in each(spark, ["vr 13 November 2026", "30 februari 2026", "13 nov 2026"], D.with_year)] == ["2026-11-13", "None", "None"]
     rows = spark.createDataFrame([("2026-03-28T22:59:59", "2026-03-29T22:00:00")], "a string, b string").selectExpr("to_timestamp(a) a", "to_timestamp(b) b")
     assert rows.select(D.nights(F.col("a"), F.col("b"))).first()[0] == 3
+
+
+def test_names_and_drift(spark):
+    assert each(spark, ["Met ADÉ en Bo", "niemand", None], lambda t: V.first_name_in(["Bo K", "ade", "bo"], t, F.lit(None))) == ["ade", None, None]
+    assert each(spark, ["x  De lijst:\n a, b  y", "De lijst: a, c", "anders"], lambda t: V.text_drift(t, "De lijst: a, b", "De lijst")) == ["gelijk", "gewijzigd", "weg"]
