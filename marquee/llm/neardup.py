@@ -296,3 +296,19 @@ def _linked(scratch: Scratch, members: DataFrame, signed: DataFrame, percent: in
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Every pair that shares a shingle, and everything that can be reached over links.
+ORACLE_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS sh FROM d),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * c >= 85 * (u.n + v.n - c)),
+links AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT a AS x, b AS y FROM links UNION SELECT reach.x, links.b FROM reach JOIN links ON links.a = reach.y),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY 1)
+SELECT doc_id, n AS n_shingles, coalesce(least(doc_id, y), doc_id) AS component_id, coalesce(least(doc_id, y), doc_id) = doc_id AS kept FROM n LEFT JOIN low ON x = doc_id
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_secret_scan": secrets.op9_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.ORACLE_SQL, "op7_near_duplicates": neardup.ORACLE_SQL}
