@@ -55,6 +55,11 @@ def _folding() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _folding()
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` worked out once however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def fold(text: Column) -> Column:
     """Text without accents: combining marks (U+0300 to U+036F) dropped, composed or not; ø, ß, ł stay."""
     return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), "[\\x{300}-\\x{36F}]", "")
@@ -107,9 +112,8 @@ def wide_title(title: Column) -> Column:
 
 def production_key(title: Column, venue: Column) -> Column:
     """Key that the same production has at every venue; titles known to be ambiguous are bound to their venue."""
-    wide = wide_title(title)
-    bound = wide.isin(*VENUE_BOUND_TITLES) & (F.coalesce(venue, F.lit("")) != "")
-    return F.when(bound, F.concat(venue, F.lit("::"), wide)).otherwise(wide)
+    known = F.coalesce(venue, F.lit("")) != ""
+    return let(wide_title(title), lambda wide: F.when(known & wide.isin(*VENUE_BOUND_TITLES), F.concat(venue, F.lit("::"), wide)).otherwise(wide))
 
 
 def form_key(title: Column) -> Column:
@@ -157,39 +161,62 @@ def one_dash(title: Column) -> Column:
     return F.regexp_replace(title, f"{S}+[-|]{S}+", " – ")
 
 
+def label_parts(title: Column) -> Column:
+    """Struct of tekst, the title without labels like "(try-out)", and labels, the distinct ones in lower case; the title as it was if nothing is left."""
+    none = F.array().cast("array<string>")
+
+    def bare_of(once: Column) -> Column:
+        bare = strip(F.regexp_replace(F.regexp_replace(once, LABEL_PART, ""), f"{S}{{2,}}", " "))
+        found = F.concat(F.regexp_extract_all(title, F.lit(LABEL_BRACKETS), F.lit(1)), F.regexp_extract_all(once, F.lit(LABEL_PART), F.lit(1)))
+        return F.struct(bare.alias("bare"), F.array_distinct(F.transform(found, F.lower)).alias("labels"))
+
+    made = let(F.regexp_replace(title, LABEL_BRACKETS, ""), bare_of)
+    return let(made, lambda x: F.struct(F.when(x["bare"] != "", x["bare"]).otherwise(title).alias("tekst"), F.when(x["bare"] != "", x["labels"]).otherwise(none).alias("labels")))
+
+
 def labels_from_title(title: Column) -> tuple[Column, Column]:
-    """(title without labels like "(try-out)", distinct labels in lower case); the title as it was if nothing is left."""
-    once = F.regexp_replace(title, LABEL_BRACKETS, "")
-    bare = strip(F.regexp_replace(F.regexp_replace(once, LABEL_PART, ""), f"{S}{{2,}}", " "))
-    found = F.concat(F.regexp_extract_all(title, F.lit(LABEL_BRACKETS), F.lit(1)), F.regexp_extract_all(once, F.lit(LABEL_PART), F.lit(1)))
-    labels = F.array_distinct(F.transform(found, F.lower))
-    kept = bare != ""
-    return F.when(kept, bare).otherwise(title), F.when(kept, labels).otherwise(F.array().cast("array<string>"))
+    """The fields of ``label_parts``."""
+    x = label_parts(title)
+    return x["tekst"], x["labels"]
 
 
 def sales_status(part: Column) -> Column:
-    clean = strip(F.regexp_replace(part, "[.!…]+$", ""))
-    out = F.lit(None).cast("string")
-    for pattern, status in reversed(SALES_STATUS):
-        out = F.when(clean.rlike(f"(?i){pattern}"), status).otherwise(out)
-    return out
+    def of(clean: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for pattern, status in reversed(SALES_STATUS):
+            out = F.when(clean.rlike(f"(?i){pattern}"), status).otherwise(out)
+        return out
 
+    return let(strip(F.regexp_replace(part, "[.!…]+$", "")), of)
 
-def status_from_title(title: Column) -> tuple[Column, Column]:
-    """(title, status): a sales status as last part, first part or in brackets at the end is taken off the title."""
+
+def status_parts(title: Column) -> Column:
+    """Struct of tekst and status: a sales status as last part, first part or in brackets at the end is taken off the title."""
     t = F.coalesce(title, F.lit(""))
     bracket = f"^(.*\\S){S}*\\(([^()]+)\\)$"
-    inner = sales_status(F.regexp_extract(t, bracket, 2))
-    parts = F.split(t, f"{S}+[-–|]{S}+", -1)
-    several = F.size(parts) >= 2
-    last, first = sales_status(F.element_at(parts, -1)), sales_status(F.element_at(parts, 1))
-    text = (
-        F.when(inner.isNotNull(), strip(F.regexp_extract(t, bracket, 1)))
-        .when(several & last.isNotNull(), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " – "))
-        .when(several & first.isNotNull(), F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " – "))
-        .otherwise(t)
-    )
-    return text, F.when(inner.isNotNull(), inner).when(several, F.coalesce(last, first))
+
+    def told(parts: Column) -> Column:
+        several = F.size(parts) >= 2
+        known = F.struct(sales_status(F.regexp_extract(t, bracket, 2)).alias("inner"), F.when(several, sales_status(F.element_at(parts, -1))).alias("last"), F.when(several, sales_status(F.element_at(parts, 1))).alias("first"))
+        return let(
+            known,
+            lambda k: F.struct(
+                F.when(k["inner"].isNotNull(), strip(F.regexp_extract(t, bracket, 1)))
+                .when(k["last"].isNotNull(), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " – "))
+                .when(k["first"].isNotNull(), F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " – "))
+                .otherwise(t)
+                .alias("tekst"),
+                F.coalesce(k["inner"], k["last"], k["first"]).alias("status"),
+            ),
+        )
+
+    return let(F.split(t, f"{S}+[-–|]{S}+", -1), told)
+
+
+def status_from_title(title: Column) -> tuple[Column, Column]:
+    """The fields of ``status_parts``."""
+    x = status_parts(title)
+    return x["tekst"], x["status"]
 
 
 def without_status_word(title: Column) -> Column:
@@ -246,17 +273,22 @@ def like_company(text: Column) -> Column:
 
 
 def never_maker(text: Column) -> Column:
-    t = strip(F.coalesce(text, F.lit("")))
-    out = F.lit(False)
-    for pattern in NEVER_MAKER:
-        out = out | t.rlike(pattern)
-    return (t != "") & out
+    def of(t: Column) -> Column:
+        out = F.lit(False)
+        for pattern in NEVER_MAKER:
+            out = out | t.rlike(pattern)
+        return (t != "") & out
+
+    return let(strip(F.coalesce(text, F.lit(""))), of)
 
 
 def slogan_kind(text: Column) -> Column:
     """officieel, musical, cast, uitroep, zin, or null for what may be a maker's name."""
     t = strip(F.coalesce(text, F.lit("")))
-    outside = squeeze(F.regexp_replace(t, "\\([^)]*\\)", " "))
+    return let(F.struct(t.alias("t"), squeeze(F.regexp_replace(t, "\\([^)]*\\)", " ")).alias("outside")), lambda x: _slogan(x["t"], x["outside"]))
+
+
+def _slogan(t: Column, outside: Column) -> Column:
     company_name = outside.rlike(f"{WORD_START}(?:{COMPANY_NAMES}){WORD_END}")
     commas = F.split(outside, ",", -1)
     companies = F.filter(commas, lambda d: d.rlike(f"(?i){WORD_START}(?:{COMPANY_WORDS}){WORD_END}") | strip(d).rlike("^[A-Z]{3,}$"))

@@ -26,9 +26,9 @@ def genres_of(rows: DataFrame) -> Column:
     return F.when(F.size("genres") > 0, F.col("genres")).otherwise(bucket) if "genres" in rows.columns else bucket
 
 
-def search_texts(rows: DataFrame, aliases: str | None = None) -> Column:
-    """What a search looks at: the title as shown, the source's title, maker, venue, city, and aliases of the venue."""
-    texts = [X.display_title(F.col("titel"), F.col("maker")), *(F.col(c) for c in ("titelBron", "maker", "theaterNaam", "stad") if c in rows.columns)]
+def search_texts(rows: DataFrame, aliases: str | None = None, shown: bool = True) -> Column:
+    """What a search looks at: the title (as ``shown``, with its maker), the source's title, maker, venue, city, and aliases of the venue."""
+    texts = [X.display_title(F.col("titel"), F.col("maker")) if shown else F.col("titel"), *(F.col(c) for c in ("titelBron", "maker", "theaterNaam", "stad") if c in rows.columns)]
     out = F.array(*texts)
     return F.concat(out, F.coalesce(F.col(aliases), F.array().cast("array<string>"))) if aliases else out
 
@@ -45,10 +45,13 @@ def matches_search(rows: DataFrame, term: str, aliases: str | None = None) -> Co
     q = _term(term)
     if not q:
         return F.lit(True)
-    texts = F.filter(search_texts(rows, aliases), lambda t: t.isNotNull())
+    # a term without a dash that stands in the title as shown stands in the title or in the maker, which are looked at anyway
+    texts = search_texts(rows, aliases, shown="–" in q)
+    # the texts behind each other, with a mark between them that is in no term, are folded once
+    text = X.search_form(F.array_join(texts, "\x01"))
     if len(q) <= SHORT_TERM:
-        return F.exists(texts, lambda t: X.search_form(t).rlike(f"(^|[^\\p{{L}}\\p{{N}}])\\Q{q}\\E"))
-    return F.exists(texts, lambda t: F.contains(X.search_form(t), F.lit(q)))
+        return text.rlike(f"(^|[^\\p{{L}}\\p{{N}}])\\Q{q}\\E")
+    return F.contains(text, F.lit(q))
 
 
 def agenda(

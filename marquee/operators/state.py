@@ -151,8 +151,10 @@ def link_plans(plans: DataFrame, shows: DataFrame) -> DataFrame:
     """
     p = plans.select("plan", "theaterId", "datum", F.coalesce("tijd", F.lit("")).alias("pt"), X.wide_title(F.col("titel")).alias("pw"), X.title_parts(F.col("titel")).alias("pd"))
     sources = [c for c in ("titelBron", "titelVoorAlias") if c in shows.columns]
+    # the parts are those of the key, which the table may carry already
+    parts = F.split(F.regexp_replace("sleutel", "^.*::", ""), " \\| ", -1) if "sleutel" in shows.columns else X.title_parts(F.col("titel"))
     s = shows.select(
-        "theaterId", "datum", F.coalesce("tijd", F.lit("")).alias("st"), "seq", X.title_parts(F.col("titel")).alias("sd"), is_cancelled(F.col("beschikbaarheid")).alias("gone"),
+        "theaterId", "datum", F.coalesce("tijd", F.lit("")).alias("st"), "seq", parts.alias("sd"), is_cancelled(F.col("beschikbaarheid")).alias("gone"),
         F.array(*[X.wide_title(F.nullif(F.col(c), F.lit(""))) for c in sources]).cast("array<string>").alias("sb"),
     ).withColumn("sw", F.array_join("sd", " | "))
     same_time, same_title = F.col("st") == F.col("pt"), F.col("sw") == F.col("pw")

@@ -138,7 +138,7 @@ def card_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nightly_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole refresh on half of the lines as the run and the other half as what was there before."""
-    rows = read_shows(spark, sf_dir).drop("norm", "sleutel").withColumn("beschrijving", F.lit(None).cast("string"))
+    rows = read_shows(spark, sf_dir).drop("norm", "sleutel", "vorm").withColumn("beschrijving", F.lit(None).cast("string"))
     odd = F.substring("seq", 10, 1).cast("int") % 2
     venues = rows.select("theaterId").distinct().withColumn("error", F.when(F.col("theaterId") == "v3", "stuk")).filter("theaterId <> 'v4'")
     out, _ = N.refresh(rows.filter(odd == 0), rows.filter(odd == 1), venues, N.Lists(), DAY)

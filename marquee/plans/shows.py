@@ -3,7 +3,7 @@
 Roles: venue = supplier, city = nation, province = region; title, maker and genre come from the part; date, time,
 price, availability and pass eligibility from the line.  Titles come in the spellings that sources use: maker first
 or last, with a label, with other separators and capitals.  ``seq`` is the input order: unique, and the tie-break
-wherever the first row wins.  Keys are computed here, once a row, and carried as columns.
+wherever the first row wins.  Keys are computed once a row, when the table is written, and carried as columns.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..storage import new_folder
 
 TODAY = "1998-02-10"
 ARTISTS = (("ECONOMY", "Ada Lint"), ("LARGE", "De Grote Kast"), ("MEDIUM", "Mia en Co"), ("PROMO", "Trio Vers"), ("SMALL", "Bo Café"), ("STANDARD", "Théâtre Nul"))
@@ -48,14 +49,32 @@ JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionke
 """
 
 
-def shows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table with ``norm`` (normal title) and ``sleutel`` (production key)."""
+def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table with ``norm`` (normal title), ``sleutel`` (production key) and ``vorm`` (form key)."""
     tables = {name: table(spark, sf_dir, name) for name in ("lineitem", "part", "supplier", "nation", "region")}
     source = _BASE.format(s="string")
     for name in tables:
         source = source.replace(f"FROM {name} ", f"FROM {{{name}}} ").replace(f"JOIN {name} ", f"JOIN {{{name}}} ")
-    rows = spark.sql(source, **tables)
-    return rows.select("*", X.normal_title(F.col("titel")).alias("norm"), X.production_key(F.col("titel"), F.col("theaterId")).alias("sleutel"))
+    rows = spark.sql(source, **tables).withColumn("_ruim", X.wide_title(F.col("titel")))
+    bound = F.col("_ruim").isin(*X.VENUE_BOUND_TITLES)
+    key = F.when(bound, F.concat("theaterId", F.lit("::"), "_ruim")).otherwise(F.col("_ruim"))
+    return rows.select("*", X.normal_title(F.col("titel")).alias("norm"), key.alias("sleutel"), X.form_key(F.col("titel")).alias("vorm")).drop("_ruim")
+
+
+_written: dict[tuple[str, str], str] = {}
+
+
+def shows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table, written below the shared folder at its first use in an application and read from there.
+
+    All queries read it: keys are not worked out again, and filters on date, venue or city reach the scan.
+    """
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _written:
+        folder = new_folder(spark, "shows")
+        derive(spark, sf_dir).write.parquet(folder)
+        _written[at] = folder
+    return spark.read.parquet(_written[at])
 
 
 def sql_norm(x: str) -> str:

@@ -72,9 +72,10 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     friends, blocks, _ = _edges(spark, sf_dir)
     e = table(spark, sf_dir, "events")
-    token = F.concat(F.lit("token-token-token-token-"), _u(F.col("event_id") % 2000))
-    links = e.filter("event_id < 1500").select(token.alias("token"), _u(F.col("user_id") % 120).alias("uid"), F.when(F.col("event_id") % 9 != 0, F.col("ts").cast("timestamp")).alias("created"))
-    opened = e.filter("event_id >= 4000").select("event_id", F.when(F.col("event_id") % 10 == 0, "kort").otherwise(token).alias("token"), _u(F.col("event_id") % 120).alias("uid"))
+    k = F.col("event_id")
+    token = F.concat(F.lit("token-token-token-token-"), _u(k - k % 3 + F.when(k % 7 == 0, 1).otherwise(0)))
+    links = e.filter(k % 3 == 0).select(F.concat(F.lit("token-token-token-token-"), _u(k)).alias("token"), _u(F.col("user_id") % 120).alias("uid"), F.when(k % 9 != 0, F.col("ts").cast("timestamp")).alias("created"))
+    opened = e.filter(k % 3 != 0).select("event_id", F.when(k % 10 == 0, "kort").otherwise(token).alias("token"), _u(k % 120).alias("uid"))
     return G.link_state(opened, links, friends, blocks, F.lit("2024-01-09 12:00:00").cast("timestamp")).select("event_id", "status")
 
 
@@ -168,7 +169,7 @@ SELECT k, van, naar, CASE WHEN van = naar THEN 'zelf' WHEN (van, naar) IN (SELEC
 SELECT coalesce(a, naar) AS uid, coalesce(m.n, 0) AS vrienden, coalesce(o.n, 0) AS verzoeken FROM m FULL JOIN o ON a = naar""",
     "name_search": EDGES_SQL + """, j AS (SELECT s.c_custkey AS zoek, p.c_custkey AS b FROM customer s JOIN customer p ON s.c_custkey % 12 = p.c_custkey % 10 AND p.c_custkey % 3 <> 0 AND p.c_custkey <> s.c_custkey WHERE s.c_custkey < 120 AND (s.c_custkey::VARCHAR, p.c_custkey::VARCHAR) NOT IN (SELECT (a, b) FROM blocks UNION SELECT (b, a) FROM blocks)),
 r AS (SELECT *, row_number() OVER (PARTITION BY zoek ORDER BY b) AS k FROM j) SELECT zoek, 'u' || lpad(b::VARCHAR, 6, '0') AS gebruikersnaam, 'Ánna  de Vries-' || (b % 10) AS naam, k::INT AS plaats FROM r WHERE k <= 10""",
-    "link_state": EDGES_SQL + """, l AS (SELECT event_id % 2000 AS t, (user_id % 120)::VARCHAR AS van, CASE WHEN event_id % 9 <> 0 THEN ts END AS c FROM events WHERE event_id < 1500), o AS (SELECT event_id, event_id % 10 = 0 AS kort, event_id % 2000 AS t, (event_id % 120)::VARCHAR AS uid FROM events WHERE event_id >= 4000)
+    "link_state": EDGES_SQL + """, l AS (SELECT event_id AS t, (user_id % 120)::VARCHAR AS van, CASE WHEN event_id % 9 <> 0 THEN ts END AS c FROM events WHERE event_id % 3 = 0), o AS (SELECT event_id, event_id % 10 = 0 AS kort, event_id - event_id % 3 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS t, (event_id % 120)::VARCHAR AS uid FROM events WHERE event_id % 3 <> 0)
 SELECT event_id, CASE WHEN kort OR van IS NULL THEN 'ongeldig' WHEN van = uid THEN 'eigen' WHEN c IS NOT NULL AND TIMESTAMP '2024-01-09 12:00:00' >= c + INTERVAL 7 DAY THEN 'verlopen' WHEN (uid, van) IN (SELECT (a, b) FROM friends) THEN 'vrienden' WHEN (uid, van) IN (SELECT (a, b) FROM blocks) THEN 'jij-blokkeert' ELSE 'ok' END AS status FROM o LEFT JOIN l USING (t)""",
     "invitation_reason": PLANS_SQL + f"""SELECT inv.plan, uid, CASE WHEN eigenaar IS NULL THEN 'geen-plan' WHEN opgeheven THEN 'opgeheven' WHEN status IS DISTINCT FROM 'uitgenodigd' THEN 'geen-open-uitnodiging' WHEN datum < DATE '{DAY}' THEN 'voorbij'
  WHEN (eigenaar, uid) NOT IN (SELECT (a, b) FROM friends) OR (uid, eigenaar) NOT IN (SELECT (a, b) FROM friends) THEN 'geen-vrienden' WHEN (eigenaar, uid) IN (SELECT (a, b) FROM blocks UNION SELECT (b, a) FROM blocks) THEN 'blokkade' WHEN uid::INT % 4 = 0 THEN 'mail-uit' WHEN eigenaar::INT % 9 = 0 THEN 'geen-profiel' END AS reden FROM inv LEFT JOIN p ON p.plan = inv.plan""",
