@@ -70,10 +70,6 @@ def pass_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.agenda(read_shows(spark, sf_dir), DAY, passes_only=True).groupBy("theaterId", "podiumpas").agg(F.count(F.lit(1)).alias("n"))
 
 
-def facet_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.facet_cascade(read_shows(spark, sf_dir), True, ("FRANCE", "BRAZIL", "NATION_3", "NATION#3", "nation_3"))
-
-
 def facet_cascade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.facet_cascade(read_shows(spark, sf_dir), True)
 

@@ -109,12 +109,6 @@ def difference_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("p_partkey", "vorm", L.difference(F.col("a"), F.col("b")).alias("soort"))
 
 
-def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shows that were renamed: the source's title carries the part's type."""
-    rows = read_shows(spark, sf_dir)
-    return rows.withColumn("titelBron", F.when(F.substring("seq", 10, 1).isin("1", "2", "3"), F.regexp_replace("titel", "^(\\S+) .*$", "$1")))
-
-
 def unambiguous_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.unambiguous_mapping(_renamed(spark, sf_dir))
 

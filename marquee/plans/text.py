@@ -10,12 +10,6 @@ from ..functions import values as V
 from .shows import sql_key, sql_noise, sql_norm, sql_parts, table
 from .shows import shows as read_shows
 
-_TITLES = "SELECT DISTINCT titel, theaterId FROM perf0"
-
-
-def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_shows(spark, sf_dir).select("titel", "theaterId", "maker").distinct()
-
 
 def title_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("titel")
@@ -142,7 +136,6 @@ def _sales(x: str) -> str:
 
 
 _LABEL = "((?:voor)?premi[eè]re|try[- ]?out|reprise)"
-_DASHED = "list_filter(list_transform(regexp_split_to_array({0}, '\\s+[–—|-]\\s+'), lambda d: trim(d)), lambda d: true)"
 
 ORACLE_SQL = {
     "title_forms": SHOW_SQL
