@@ -7,7 +7,6 @@ documents twice, and the last stage returns the digest of what it stored.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marquee.llm import decontaminate, mixing, neardup, quality, tokens
 from marquee.llm.common import Scratch, table
