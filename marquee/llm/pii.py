@@ -36,8 +36,8 @@ PATTERNS = {
     "card": "(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "ip", "date", "ssn", "phone", "card")).replace("\\1", "[./]").replace("([./])", "[./]")
-#: No text without one of these has any of the patterns.
-HINT = "@[A-Za-z0-9]|[0-9][0-9.() -]{5}"
+#: No text without one of these has a valid value.
+HINT = "@[A-Za-z0-9-]|[0-9][0-9.() -]{5}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"
 _DAYS = 146097  # of 400 years
 _FIRST = "1800-01-01"
 

@@ -91,3 +91,26 @@ def test_values_next_to_each_other(documents):
         r = one(documents, text)
         assert all(a != b for a, b in zip(text.split(), r["text"].split()) if a != "+1"), r["text"]
         assert len(r["text"]) >= len(text) - 9 and len(r["text"].split()) == len(text.split())
+
+
+#: Each format of each kind.
+FORMATS = {
+    "email": ("ann@mail.example.com", "a@b.co", "x.y-z+1@-odd.example.org"),
+    "ip": ("10.0.255.7", "1.2.3.4"),
+    "card": (card(3), card(4, 13), "-".join(re.findall("....", card(6))), " ".join(re.findall("....", card(7)))),
+    "phone": ("+1 (826) 555-4081", "+31 6 1234 5678", "+31612345678", "+44 (20) 7946 0958", "(555) 123-4567", "(555)123-4567", "555-123-4567", "555.123.4567"),
+    "ssn": ("123-45-6789",),
+    "date": ("1985-03-14", "14/03/1985", "14.03.1985"),
+}
+
+
+def test_each_format_alone_in_a_text(documents):
+    values = [(k, v) for k, of in FORMATS.items() for v in of]
+    # next to words, as the whole text, and among the other values of its document
+    rows = [(3 * i + j, text.format(v)) for i, (_, v) in enumerate(values) for j, text in enumerate(("born on {} in Leiden", "{}", "{} with ann@mail.example.net"))]
+    out = {r["doc_id"]: r for r in pii.pseudonymised(documents(rows)).collect()}
+    for i, (kind, v) in enumerate(values):
+        near, alone, among = (out[3 * i + j] for j in range(3))
+        assert [alone[f"n_{k}"] for k in pii.KINDS] == [near[f"n_{k}"] for k in pii.KINDS] == [int(k == kind) for k in pii.KINDS], v
+        assert alone["text"] != v and near["text"] == f"born on {alone['text']} in Leiden"
+        assert among["text"].startswith(alone["text"] + " with ")
