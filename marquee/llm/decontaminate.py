@@ -9,6 +9,7 @@ a substitution costs as much as a match gains, must have LEAST equal words and S
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,22 @@ _ITEM = "item_id bigint, item binary"
 _REGION = "region bigint, doc_id bigint, first bigint, words binary, hash array<bigint>, place array<int>"
 
 
+def masks_of(n: int) -> list[str]:
+    """The masks for an item of n words.
+
+    No mask ignores its own first or last word: in an item of one window, a substitution there leaves a window of one
+    word less.
+    """
+    if n < SPAN:
+        return ["1" * n] if n >= SHORTEST else []
+    return [*MASKS, "1" * (SPAN - 1)] if n == SPAN else [*MASKS]
+
+
+def needed(n: int) -> int:
+    """How many words of an item of n words must be equal."""
+    return n if n < SPAN else min(LEAST, math.ceil(SHARE * n))
+
+
 def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     """Hash under a mask of the window at each position of h; none where less than a window is left."""
     n = len(h) - len(mask) + 1
@@ -57,7 +74,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for item, raw in zip(batch.column("item_id").to_pylist(), batch.column("item").to_pylist()):
             h = np.frombuffer(raw, "<u8")
-            for mask in MASKS if len(h) >= SPAN else ["1" * len(h)] if len(h) >= SHORTEST else []:
+            for mask in masks_of(len(h)):
                 got = seeds(h, mask).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(got), pa.int64()), pa.array(got), pa.array(np.arange(len(got), dtype=np.int32))], names=["item_id", "hash", "place"])
 
@@ -115,6 +132,21 @@ def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
+def longest_overlap(same: np.ndarray) -> tuple[int, int, int]:
+    """(start, end, equal) of the stretch with most equal places among those that have SHARE of their places equal.
+
+    Equal places at its ends; (0, 0, 0) where nothing is equal.
+    """
+    share = round(SHARE * 10)
+    equal = np.concatenate([[0], np.cumsum(same)])
+    sums = np.concatenate([[0], np.cumsum(np.where(same, 10 - share, -share))])
+    # the first start from which the sum up to an end is not negative gives the most equal places
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    end = int(np.argmax(equal - equal[starts]))
+    inside = np.flatnonzero(same[starts[end] : end]) + int(starts[end])
+    return (int(inside[0]), int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -123,8 +155,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = None
             for d in batch.column("shifts")[r].as_py():
                 a, b = max(0, d), min(len(words), d + len(item))
-                start, end, equal = best_stretch(words[a:b] == item[a - d : b - d])
-                if equal >= min(LEAST, len(item)) and equal >= SHARE * (end - start) and (best is None or equal > best[2]):
+                start, end, equal = longest_overlap(words[a:b] == item[a - d : b - d])
+                if equal >= needed(len(item)) and (best is None or equal > best[2]):
                     best = (a + start, a + end, equal)
             if best:
                 first = batch.column("first")[r].as_py()
@@ -143,13 +175,13 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     with Scratch(spark) as scratch:
         laid = scratch.save(items.select("item_id", "text").mapInArrow(_item_parts, _ITEM), "items")
         tested = scratch.save(laid.mapInArrow(_item_seeds, _SEED), "seeds")
-        lengths = [r["n"] for r in laid.select((F.length("item") / 8).cast("int").alias("n")).filter(F.col("n").between(SHORTEST, SPAN - 1)).distinct().collect()]
+        lengths = [r["n"] for r in laid.select((F.length("item") / 8).cast("int").alias("n")).filter(F.col("n").between(SHORTEST, SPAN)).distinct().collect()]
         # the filter has a fixed size; the more hashes there are, the more it lets through to the join
         h = F.col("hash")
         places = tested.select(F.explode(F.array(h.bitwiseAND((1 << FILTER_BITS) - 1), F.shiftrightunsigned(h, 64 - FILTER_BITS))).alias("p")).distinct()
         bits = np.zeros(1 << FILTER_BITS, bool)
         bits[[r["p"] for r in places.toLocalIterator()]] = True
-        masks = [*MASKS, *("1" * n for n in sorted(lengths))]
+        masks = sorted({*MASKS, *(m for n in lengths for m in masks_of(n))})
         find = _regions(np.packbits(bits).tobytes(), masks)
         regions = scratch.save(docs.select("doc_id", "text").mapInArrow(find, _REGION), "regions")
         hits = regions.select("region", F.explode(F.arrays_zip("hash", "place")).alias("h")).select("region", F.col("h.hash").alias("hash"), F.col("h.place").alias("at"))

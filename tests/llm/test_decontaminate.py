@@ -97,3 +97,44 @@ def test_documents(spark):
             assert kept[i], i
         elif max(exact_overlap(text, t) for (t,) in items) >= 13:
             assert not kept[i], i
+
+
+def test_more_copied_text_never_makes_a_document_clean(documents, spark):
+    """Dense parts on both sides of a gap count alone, whatever the gap."""
+    rnd = random.Random(6)
+    sides = [(15, 15, gap) for gap in range(0, 30)] + [(20, 21, 19), (12, 40, 30), (40, 12, 25)]
+    items, rows = [], []
+    for k, (a, b, gap) in enumerate(sides):
+        item = prose(rnd, a + gap + b)
+        items.append((k, " ".join(item)))
+        rows.append((k, " ".join([*prose(rnd, 100), *item[:a], *(f"other{j}" for j in range(gap)), *item[a + gap :], *prose(rnd, 100)])))
+    found = {r["doc_id"]: r for r in D.contaminated(documents(rows), items_of(spark, items)).collect()}
+    assert {i: r["item_ids"] for i, r in found.items()} == {i: [i] for i, _ in rows}
+    assert all(found[k]["n_equal"] >= max(a, b) for k, (a, b, _) in enumerate(sides))
+
+
+def test_short_items_with_any_one_substitution(documents, spark):
+    rnd = random.Random(8)
+    items, rows, few = [], [], []
+    for n in range(9, 18):
+        item = prose(rnd, n)
+        items.append((n, " ".join(item)))
+        for j in range(n):
+            rows.append((100 * n + j, " ".join([*prose(rnd, 50), *item[:j], "other", *item[j + 1 :], *prose(rnd, 50)])))
+        # under the share: the item's middle alone
+        few.append((100 * n + 99, " ".join([*prose(rnd, 50), *item[1 : min(12, -(-7 * n // 10))], *prose(rnd, 50)])))
+    found = {r["doc_id"]: r["item_ids"] for r in D.contaminated(documents(rows + few), items_of(spark, items)).collect()}
+    assert found == {i: [i // 100] for i, _ in rows} | {i: [] for i, _ in few}
+
+
+def test_longest_overlap():
+    import numpy as np
+
+    for seed in range(300):
+        rnd = np.random.default_rng(seed)
+        same = rnd.random(rnd.integers(1, 40)) < (0.6 if seed % 2 else 0.75)
+        start, end, equal = D.longest_overlap(same)
+        n = len(same)
+        best = max(int(same[a:b].sum()) for a in range(n + 1) for b in range(a, n + 1) if 10 * same[a:b].sum() >= 7 * (b - a))
+        assert equal == best == same[start:end].sum() and 10 * equal >= 7 * (end - start)
+        assert not equal or (same[start] and same[end - 1])
