@@ -78,9 +78,20 @@ def key_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of two venues as visits."""
     rows = read_shows(spark, sf_dir)
+    return _visits(rows.filter("theaterId in ('v1', 'v2')"), rows)
+
+
+def plan_visits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``plan_visits`` with every performance as a plan."""
+    rows = read_shows(spark, sf_dir)
+    return _visits(rows, rows)
+
+
+def _visits(planned: DataFrame, rows: DataFrame) -> DataFrame:
     odd = F.substring("seq", 10, 1).cast("int") % 2 == 0
-    plans = rows.filter("theaterId in ('v1', 'v2')").select(F.col("seq").alias("plan"), F.when(odd, F.col("seq")).alias("seq"), "theaterId", "datum", "tijd", F.lit("Oud").alias("titel"), F.lit("Wie").alias("maker"), F.lit("Dans").alias("genre"), F.lit("Stad").alias("stad"), F.lit(None).cast("boolean").alias("podiumpas"))
+    plans = planned.select(F.col("seq").alias("plan"), F.when(odd, F.col("seq")).alias("seq"), "theaterId", "datum", "tijd", F.lit("Oud").alias("titel"), F.lit("Wie").alias("maker"), F.lit("Dans").alias("genre"), F.lit("Stad").alias("stad"), F.lit(None).cast("boolean").alias("podiumpas"))
     return LI.visit_of(plans, rows)
 
 
@@ -148,7 +159,7 @@ def nightly_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        title_convention, title_from_two_lines, titles_swapped, order_by_slug, favourites_migrated, favourites_moved, key_upgrade, plan_visits, last_actions, venue_view, venue_report, report_counts, paged_listing,
+        title_convention, title_from_two_lines, titles_swapped, order_by_slug, favourites_migrated, favourites_moved, key_upgrade, plan_visits, plan_visits_whole, last_actions, venue_view, venue_report, report_counts, paged_listing,
         place_routing, card_dates, nightly_refresh,
     )
 }
@@ -191,3 +202,6 @@ SELECT p_partkey, CASE k WHEN 5 THEN NULL WHEN 1 THEN 'ainsi' ELSE 'huis' END AS
     "card_dates": """SELECT p_partkey, p_partkey || 'a' AS entry, p_name AS titel, p_brand AS maker, NULL::VARCHAR AS genre, 12.5::DOUBLE AS prijs, unnest(['wo 9 sep', 'do 10 sep']) AS dag, '20:15' AS tijd, unnest(['beschikbaar', 'uitverkocht']) AS beschikbaarheid FROM part
 UNION ALL SELECT p_partkey, p_partkey || 'b', 'Los', NULL, NULL, NULL, 'ma 1 okt', '09:00', 'wachtlijst' FROM part""",
 }
+
+#: The same without the bound on rows.
+ORACLE_SQL["plan_visits_whole"] = ORACLE_SQL["plan_visits"].replace(" WHERE theaterId IN ('v1', 'v2')", "")

@@ -61,11 +61,21 @@ def friend_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches of some customers."""
+    return _name_search(spark, sf_dir, "c_custkey < 120")
+
+
+def name_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``name_search`` with every customer as searcher."""
+    return _name_search(spark, sf_dir, "true")
+
+
+def _name_search(spark: SparkSession, sf_dir: str, who: str) -> DataFrame:
     friends, blocks, _ = _edges(spark, sf_dir)
     c = table(spark, sf_dir, "customer")
     name = F.concat(F.lit("Ánna  de Vries-"), _u(F.col("c_custkey") % 10))
     profiles = c.select(_u(F.col("c_custkey")).alias("uid"), F.concat(F.lit("u"), F.lpad(_u(F.col("c_custkey")), 6, "0")).alias("gebruikersnaam"), name.alias("naam"), (F.col("c_custkey") % 3 != 0).alias("vindbaar"))
-    searches = c.filter("c_custkey < 120").select(F.col("c_custkey").alias("zoek"), _u(F.col("c_custkey")).alias("uid"), F.concat(F.lit("anna de vries "), _u(F.col("c_custkey") % 12)).alias("naam"))
+    searches = c.filter(who).select(F.col("c_custkey").alias("zoek"), _u(F.col("c_custkey")).alias("uid"), F.concat(F.lit("anna de vries "), _u(F.col("c_custkey") % 12)).alias("naam"))
     return G.search_names(searches, profiles, blocks)
 
 
@@ -94,7 +104,7 @@ inv AS (SELECT plan, gast AS uid FROM p UNION ALL SELECT -plan, '1' FROM p WHERE
 def invitation_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     friends, blocks, _ = _edges(spark, sf_dir)
     plans, members, invitations = _plans(spark, sf_dir)
-    c = table(spark, sf_dir, "customer").filter("c_custkey < 120")
+    c = table(spark, sf_dir, "customer")
     preferences = c.select(_u(F.col("c_custkey")).alias("uid"), (F.col("c_custkey") % 4 != 0).alias("uitnodigingen"))
     profiles = c.filter("c_custkey % 9 <> 0").select(_u(F.col("c_custkey")).alias("uid"))
     return G.invitation_reason(invitations, plans, members, friends, blocks, preferences, profiles, DAY)
@@ -153,7 +163,7 @@ def budget_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        request_outcome, accepted_friends, requests_after_block, friend_counts, name_search, link_state, invitation_reason, invitation_state, username_claims, with_whom, shared_items, account_removed,
+        request_outcome, accepted_friends, requests_after_block, friend_counts, name_search, name_search_whole, link_state, invitation_reason, invitation_state, username_claims, with_whom, shared_items, account_removed,
         rule_violations, budget_action,
     )
 }
@@ -185,3 +195,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY sleutel) AS k FR
 UNION ALL SELECT 'lid', plan || '/niemand' FROM p WHERE status IS NULL UNION ALL SELECT 'speeldag', plan::VARCHAR FROM p WHERE datum < DATE '{DAY}' UNION ALL SELECT 'tijd', plan::VARCHAR FROM p WHERE plan % 13 = 0 UNION ALL SELECT 'kopie', '3'""",
     "budget_action": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 2 THEN 'kapot-bericht' WHEN o_totalprice > 250000 THEN 'stoppen' ELSE 'onder-budget' END AS actie FROM orders",
 }
+
+#: The same without the bound on rows.
+ORACLE_SQL["name_search_whole"] = ORACLE_SQL["name_search"].replace("s.c_custkey < 120 AND ", "")

@@ -60,9 +60,17 @@ def data_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' orders as paged listings: ten a page, keys repeat."""
-    o = table(spark, sf_dir, "orders").filter("o_custkey < 200")
-    rows = o.select((F.col("o_custkey") % 20).alias("site"), F.floor((F.col("o_orderkey") % 300) / 10).alias("page"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 7 % 60).alias("key"))
+    """Some customers' orders as paged listings: ten a page, keys repeat."""
+    return _new_items(table(spark, sf_dir, "orders").filter("o_custkey < 200"))
+
+
+def listing_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``listing_pages`` of all orders."""
+    return _new_items(table(spark, sf_dir, "orders"))
+
+
+def _new_items(orders: DataFrame) -> DataFrame:
+    rows = orders.select((F.col("o_custkey") % 20).alias("site"), F.floor((F.col("o_orderkey") % 300) / 10).alias("page"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 7 % 60).alias("key"))
     return C.new_items(rows)[0]
 
 
@@ -144,7 +152,7 @@ def amsterdam_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        robots_allowed, robots_group, sitemap_urls, page_links, event_starts, data_layer, listing_pages, conflict_marker, source_statuses, crawl_delay, challenge_pages, carry_forward, year_rollover, month_rollover,
+        robots_allowed, robots_group, sitemap_urls, page_links, event_starts, data_layer, listing_pages, listing_pages_whole, conflict_marker, source_statuses, crawl_delay, challenge_pages, carry_forward, year_rollover, month_rollover,
         short_dates, numeric_dates, date_lists, amsterdam_time,
     )
 }
@@ -189,3 +197,6 @@ SELECT lijst, pos, TRY_CAST(jaar::INT || '-' || lpad(month(d)::VARCHAR, 2, '0')
  WHEN 3 THEN ['1998-11-25', '1998-11-26', '1998-11-27', '1998-11-28', '1998-11-29'] WHEN 4 THEN []::VARCHAR[] ELSE ['1998-03-01', '1998-03-02', '1998-03-03', '1998-12-31', '1999-01-01', '1999-01-02'] END AS data FROM part""",
     "amsterdam_time": "SELECT event_id, timezone('Europe/Amsterdam', to_timestamp(floor(epoch_ms(ts) / 1000) + event_id * 3600))::DATE AS datum, strftime(timezone('Europe/Amsterdam', to_timestamp(floor(epoch_ms(ts) / 1000) + event_id * 3600)), '%H:%M') AS tijd FROM events",
 }
+
+#: The same without the bound on rows.
+ORACLE_SQL["listing_pages_whole"] = ORACLE_SQL["listing_pages"].replace(" WHERE o_custkey < 200", "")
