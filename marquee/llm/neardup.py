@@ -1,7 +1,7 @@
 """Op 7, MinHash near-duplicates with sequential Bayesian verification.
 
 1. Per document, in one pass: its set of distinct word shingles (as 64-bit hashes), the set's size and digest, and
-   a MinHash signature of BANDS x ROWS values.
+   a MinHash signature of bands of ROWS values each, as many bands as the threshold asks for.
 2. Documents with one digest have equal sets: they form a class, represented by its smallest doc_id.
 3. Representatives that share a band of the signature are candidates.  At first each is paired with one pivot of
    its band value only.  Where that leaves three or more that are not all linked, the members of the band value are
@@ -13,12 +13,14 @@
    is given up once the chance that it reaches it is below MISS.  Survivors are verified on their full sets.
 5. Linked representatives are joined to components by repeated minimum labels over links.
 
-MISS also bounds banding: at similarity 0.85 two sets miss all 44 bands of 8 with a chance of about 1e-6.
+MISS also bounds banding: two sets at the threshold share no band with at most that chance (0.85: 44 bands, 0.8: 76).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import ceil, exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -28,24 +30,38 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .shingles import distinct_sorted, windows, word_hashes
 
-WORDS, ROWS, BANDS, BATCH = 5, 8, 44, 32
+WORDS, ROWS, BATCH = 5, 8, 32
 MISS = 1e-6
 #: Members of a block, and shingles of all of them.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
-_MULT = np.random.default_rng(20240607).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH = "doc_id bigint, n_shingles bigint, digest bigint, bands array<bigint>"
 _SET = "doc_id bigint, n_shingles bigint, digest bigint, signature binary, x binary"
 
 
-def signatures(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """MinHash values (documents, BANDS * ROWS), 32 bits each, of non-empty sets."""
-    out = np.empty((len(bounds) - 1, len(_MULT)), np.uint32)
+def bands_for(threshold: float, miss: float = MISS) -> int:
+    """The fewest bands that two sets at the threshold all miss with at most the chance ``miss``."""
+    return ceil(log(miss) / log1p(-(threshold**ROWS))) if threshold < 1 else 1
+
+
+#: Of op 7.
+BANDS = bands_for(0.85)
+
+
+@cache
+def _multipliers(bands: int) -> np.ndarray:
+    return np.random.default_rng(20240607).integers(1, 1 << 63, ROWS * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signatures(x: np.ndarray, bounds: np.ndarray, bands: int) -> np.ndarray:
+    """MinHash values (documents, bands * ROWS), 32 bits each, of non-empty sets."""
+    mult = _multipliers(bands)
+    out = np.empty((len(bounds) - 1, len(mult)), np.uint32)
     step = 0
     while step < len(bounds) - 1:  # pieces that stay in the processor's cache
         stop = max(step + 1, int(np.searchsorted(bounds, bounds[step] + 30_000, "right")) - 1)
         part, at = x[bounds[step] : bounds[stop]], bounds[step:stop] - bounds[step]
         buf = np.empty_like(part)
-        for k, m in enumerate(_MULT):
+        for k, m in enumerate(mult):
             np.multiply(part, m, out=buf)
             out[step:stop, k] = np.minimum.reduceat(buf, at) >> np.uint64(32)
         step = stop
@@ -54,13 +70,14 @@ def signatures(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of each signature."""
-    acc = np.zeros((len(sig), BANDS), np.uint64)
+    bands = sig.shape[1] // ROWS
+    acc = np.zeros((len(sig), bands), np.uint64)
     # of the 16 bits that are kept of each value, so that kept signatures show which bands two sets share
-    rows = sig.astype(np.uint16).reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    rows = sig.astype(np.uint16).reshape(len(sig), bands, ROWS).astype(np.uint64)
     for i in range(ROWS):
         acc = (acc ^ rows[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
         acc ^= acc >> np.uint64(29)
-    return acc + np.arange(BANDS, dtype=np.uint64)
+    return acc + np.arange(bands, dtype=np.uint64)
 
 
 def _sets(batch: pa.RecordBatch, step: int = 500) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -88,42 +105,47 @@ def _filled(full: np.ndarray, values: list, size: int) -> list:
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, x, bounds in _sets(batch):
-            n = np.diff(bounds)
-            full = np.flatnonzero(n)
-            keys = band_keys(signatures(x, np.append(bounds[:-1][full], bounds[-1]))).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(_digests(x, bounds)), pa.array(_filled(full, list(keys), len(n)), pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "bands"],
-            )
+def _sketch(bands: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, x, bounds in _sets(batch):
+                n = np.diff(bounds)
+                full = np.flatnonzero(n)
+                keys = band_keys(signatures(x, np.append(bounds[:-1][full], bounds[-1]), bands)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(_digests(x, bounds)), pa.array(_filled(full, list(keys), len(n)), pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "digest", "bands"],
+                )
+
+    return make
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, x, bounds in _sets(batch):
-            n = np.diff(bounds)
-            full = np.flatnonzero(n)
-            low = signatures(x, np.append(bounds[:-1][full], bounds[-1])).astype(np.uint16)
-            sets = [x[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(_digests(x, bounds)), pa.array(_filled(full, [v.tobytes() for v in low], len(n)), pa.binary()), pa.array(sets, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "signature", "x"],
-            )
+def _full_sets(bands: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, x, bounds in _sets(batch):
+                n = np.diff(bounds)
+                full = np.flatnonzero(n)
+                low = signatures(x, np.append(bounds[:-1][full], bounds[-1]), bands).astype(np.uint16)
+                sets = [x[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(_digests(x, bounds)), pa.array(_filled(full, [v.tobytes() for v in low], len(n)), pa.binary()), pa.array(sets, pa.binary())],
+                    names=["doc_id", "n_shingles", "digest", "signature", "x"],
+                )
 
+    return make
 
-def sketches(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_sketch, _SKETCH)
 
+def sketches(docs: DataFrame, bands: int) -> DataFrame:
+    return docs.select("doc_id", "text").mapInArrow(_sketch(bands), _SKETCH)
 
-def stop_counts(threshold: float, miss: float, total: int = ROWS * BANDS, batch: int = BATCH) -> list[tuple[int, int]]:
+
+def stop_counts(threshold: float, miss: float, total: int | None = None, batch: int = BATCH) -> list[tuple[int, int]]:
     """For each number of values compared, the least number of equal ones with which a pair goes on.
 
     P(similarity >= threshold | agreed) = P(Binomial(n + 1, threshold) <= agreed), as the prior is uniform.
     """
-    from math import exp, lgamma, log
-
+    total = total or ROWS * bands_for(threshold, miss)
     found = []
     for n in [*range(batch, total, batch), total]:
         tail, least = 0.0, 0
@@ -193,8 +215,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> D
     stands for each of them.  A null doc_id has a null component_id and kept null.  An empty table gives no row.
     """
     spark = docs.sparkSession
+    bands = bands_for(percent / 100, miss)
     with Scratch(spark) as scratch:
-        sketch = scratch.save(sketches(docs), "sketch")
+        sketch = scratch.save(sketches(docs, bands), "sketch")
         # class of equal sets: represented by its smallest doc_id
         classes = scratch.save(sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
         stands = classes.select("digest", F.col("rep").alias("doc_id"))
@@ -203,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> D
         shared = banded.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("band")
         members = scratch.save(banded.join(shared, "band").distinct(), "members")
         wanted = members.select("doc_id").distinct()
-        sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, _SET)
+        sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(bands), _SET)
         signed = scratch.save(sets.join(stands, ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"]), "signed")
         label = _linked(scratch, members, signed, percent, miss)
         found = classes.select("digest", "n_shingles", "rep")
@@ -245,7 +268,7 @@ def _block_links(percent: int, stops: list[tuple[int, int]]):
                     equal = sig[1][others] == sig[0][i]
                     # a pair that shares an earlier band is looked at there
                     if len(others):
-                        keep = equal.reshape(len(others), BANDS, ROWS).all(2).argmax(1) == number
+                        keep = equal.reshape(len(others), -1, ROWS).all(2).argmax(1) == number
                         others, agreed, done = others[keep], np.zeros(int(keep.sum()), np.int64), 0
                         equal = equal[keep]
                         for stop, least in stops:

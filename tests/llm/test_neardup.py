@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from brute import near_duplicates
 
@@ -85,3 +86,18 @@ def test_stop_counts_are_bounds():
 def test_documents(spark):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet'").fetchall()
     check(rows, neardup.op7_near_duplicates(spark, SMALL).collect())
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_pairs_at_the_threshold_share_a_band(percent):
+    """20,000 pairs of sets of just that similarity: with 44 bands some pairs of 80 % share none."""
+    bands = neardup.bands_for(percent / 100)
+    assert (1 - (percent / 100) ** neardup.ROWS) ** bands <= neardup.MISS
+    rnd = np.random.default_rng(5)
+    missed, both, own = 0, percent, (100 - percent) // 2
+    for _ in range(20):
+        common, mine = rnd.integers(0, 1 << 64, (1000, both), np.uint64), rnd.integers(0, 1 << 64, (2, 1000, own), np.uint64)
+        keys = [neardup.band_keys(neardup.signatures(np.hstack([common, x]).ravel(), np.arange(1001) * (both + own), bands)) for x in mine]
+        missed += int((~(keys[0] == keys[1]).any(1)).sum())
+    # odd percentages leave a set of 99 values in all, so a little above the threshold
+    assert missed == 0
