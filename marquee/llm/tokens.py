@@ -29,6 +29,8 @@ from .idcoder import decode_blocks, encode_page
 PAGE = 1 << 21
 END = 2
 VOCABULARY = "word_bpe_49k.json"
+#: Letters behind which a text may be cut before a full stop or comma (inside of a character class), and what special tokens begin with.
+LETTERS, SPECIAL = "A-Za-zÀ-ÖØ-öø-ÿ", "<|"
 _PAGES = "shard int, page int, doc_id array<bigint>, n_tokens array<bigint>, header binary, blocks array<binary>"
 _held: dict = {}
 
@@ -42,9 +44,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class WordIds:
     """Ids of white-space separated chunks; the tokenizer is asked once for each distinct chunk.
 
-    White space never takes part in a token of this vocabulary, and neither does the border between a letter
-    and a following full stop or comma, so a text's ids are those of its chunks in order.  What the tokenizer
-    was asked is kept for later batches, up to ``most`` chunks.
+    White space never takes part in a token of this vocabulary, and neither does the border between a letter of
+    ``LETTERS`` and a following full stop or comma, so a text's ids are those of its chunks in order.  (Behind other
+    letters that need not hold: the tokenizer's lower-casing makes a letter and a mark of some, and a mark goes with
+    the full stop.)  What the tokenizer was asked is kept for later batches, up to ``most`` chunks.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -91,22 +94,22 @@ class WordIds:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        chunks = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"(\pL)([.,])", r"\1 \2"))
+        # the tokenizer lower-cases too, but for the names of special tokens; doing it for ASCII here makes fewer chunks
+        lowered = pc.if_else(pc.match_substring(texts, SPECIAL), texts, pc.ascii_lower(texts))
+        chunks = pc.ascii_split_whitespace(pc.replace_substring_regex(lowered, f"([{LETTERS}])([.,])", r"\1 \2"))
         flat = chunks.flatten().dictionary_encode()
-        # the tokenizer lower-cases too; doing it for ASCII here makes fewer chunks
-        names = pc.ascii_lower(flat.dictionary).dictionary_encode()
+        names = flat.dictionary
         if len(self.known) > self.most:
             self._reset()
-        place = pc.index_in(names.dictionary, value_set=self.known)
+        place = pc.index_in(names, value_set=self.known)
         if place.null_count:
-            new, first = names.dictionary.filter(pc.is_null(place)), len(self.known)
+            new, first = names.filter(pc.is_null(place)), len(self.known)
             self._learn(new.to_pylist())
             place = place.to_numpy(zero_copy_only=False)
             place[np.isnan(place)] = pc.index_in(new, value_set=self.known.slice(first)).to_numpy() + first
         else:
             place = place.to_numpy()
-        index = names.indices.to_numpy()[flat.indices.to_numpy(zero_copy_only=False)]
-        which = place.astype(np.int32)[index]
+        which = place.astype(np.int32)[flat.indices.to_numpy(zero_copy_only=False)]
         start = self.ends[which]
         n = self.ends[which + 1] - start
         total = np.concatenate([[0], np.cumsum(n, dtype=np.int32)])

@@ -1,7 +1,10 @@
+import random
+import unicodedata
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -33,6 +36,32 @@ def test_ids_are_the_tokenizers(documents, tokenizer, spark):
     assert found == brute(rows, tokenizer)
 
 
+def unlike(texts, tokenizer):
+    """Texts whose ids are not the tokenizer's."""
+    ids, n = tokens.WordIds(tokens.vocabulary_path()).encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(n)
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    return [t for t, a, b, w in zip(texts, ends - n, ends, want) if ids[a:b].tolist() != w.ids]
+
+
+@pytest.mark.parametrize("category", "LMN")
+def test_every_letter_mark_and_number(category, tokenizer):
+    chars = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == category]
+    assert unlike([f"a{c}.b{c},{c}. x{c}{c}.{c}'s" for c in chars], tokenizer) == []
+
+
+PIECES = [*"abcXYZ  ..,,'\"<>||\n\t-:!?019éÉßİıΣ\u0301\u0307\u0338 \x1c\x85\u2003😀中한ᄀ가ﬁǅ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "'s", "'LL", "<|", "|>", "I've", "U.S.A."]
+
+
+def test_mixed_up_texts(tokenizer):
+    rng = random.Random(5)
+    assert unlike(["".join(rng.choices(PIECES, k=rng.randint(0, 60))) for _ in range(5000)], tokenizer) == []
+
+
+def test_long_run_and_upper_case_special(tokenizer):
+    assert unlike(["<|ENDOFTEXT|>", "<|EndOfText|>.", "İ.", "İ,", "x" * 50_000 + ".", "ab." * 20_000, "<|endoftext|>" * 500], tokenizer) == []
+
+
 def test_small_pages_and_ids_back(documents, tokenizer, spark, tmp_path):
     rows = [(i * 3, "alpha beta gamma delta " * (i % 7) + f"Number{i}.") for i in range(200)]
     at = f"file://{tmp_path}/pages"
@@ -76,6 +105,18 @@ def test_coder_round_trip(kind):
         assert sum(map(len, blocks)) < len(ids) / 2
 
 
+def test_fewer_bits_than_order_0():
+    """Ids with repeated phrases take fewer bits than their frequencies alone would."""
+    rng = np.random.default_rng(3)
+    phrases = [rng.integers(0, 3000, 12) for _ in range(300)]
+    ids = np.concatenate([phrases[k] for k in rng.integers(0, 40, 5000)]).astype(np.uint16)
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    header, blocks = idcoder.encode_page(ids)
+    assert 8 * sum(map(len, blocks)) / len(ids) < 0.8 * entropy
+    assert (idcoder.decode_blocks(header, blocks) == ids).all()
+
+
 def test_blocks_stand_alone_and_are_checked():
     rng = np.random.default_rng(9)
     ids = (rng.zipf(1.3, 9000) % 30_000).astype(np.uint16)
