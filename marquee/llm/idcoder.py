@@ -1,20 +1,22 @@
 """Adaptive context-mixing range coder for token ids (numpy, many blocks in step).
 
 A page of ids is cut into blocks of ``BLOCK`` ids.  Every block is coded on its
-own: model and coder start from the same fixed state in each, so any block can
-be decoded alone, and each carries a CRC-32 of its ids.  All blocks of a page
-are advanced together, one id per step, so the work is numpy on whole columns.
+own: model and coder start from the same state in each, so any block can be
+decoded alone with the page's header, and each carries a CRC-32 of its ids.  All
+blocks of a page are advanced together, one id per step, so the work is numpy on
+whole columns.
 
 Three predictors are mixed for every id:
 
 * order 2 and order 1: the id that last followed the two (one) ids before,
   with a confidence of 0 to 3 that counts how often in a row it was right;
-* order 0: a distribution over frequency-rank classes (bit length of the id's
-  rank in the page), the position inside the class being coded as plain bits.
+* order 0: how often each id occurs in the page, in parts of ``WHOLE``; the
+  page's header holds this table.
 
 The pair of confidences, and whether both predict the same id, select a vector
-of mixing weights (w2, w1, w0); weights and class distribution are re-estimated
-from the counts of the block so far after every ``SPAN`` ids.
+of mixing weights (w2, w1, w0), which is re-estimated from the counts of the
+block so far after every ``SPAN`` ids.  The range is cut by w2 and w1; what is
+left of it is cut by the table of order 0.
 """
 
 from __future__ import annotations
@@ -25,13 +27,16 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-SPAN = 256
+SPAN = 128
 SLOTS = 512
 STATES = 32
-CLASSES = 17
 NONE = 0xFFFF
-MAGIC = b"IDX1"
-_LOW, _TOP = 1 << 32, (1 << 48) - 1
+MAGIC = b"IDX2"
+WHOLE_BITS = 17
+WHOLE = 1 << WHOLE_BITS
+#: Code words of 24 bits: a range stays above _LOW before an id is coded and never needs more than one word after it.
+_LOW, _TOP = 1 << 24, (1 << 48) - 1
+_ADD = 1 << 16  # one step of confidence in a cell, confidence << 16 | id
 #: Mixing weights before any evidence, by confidence of order 2 and order 1, in pseudo counts.
 _PRIOR = np.zeros((STATES, 3), np.int64)
 for _s2 in range(4):
@@ -41,267 +46,194 @@ for _s2 in range(4):
             _PRIOR[_s2 * 8 + _s1 * 2 + _same] = (_hit2 + _hit1 * _same, _hit1 * (1 - _same), 8)
 
 
-class _Tables:
-    """Order-1 and order-2 follower tables of all lanes; a cell is confidence << 16 | id."""
-
-    def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64) * SLOTS
-        self.cell1 = np.full(lanes * SLOTS, NONE, np.int32)
-        self.cell2 = np.full(lanes * SLOTS, NONE, np.int32)
-        self.p1 = np.zeros(lanes, np.int64)
-        self.mix = np.zeros(lanes, np.int64)
-
-    def look(self):
-        self.at1 = self.base + (self.p1 & (SLOTS - 1))
-        self.at2 = self.base + ((self.p1 * 40503 + self.mix >> 5) & (SLOTS - 1))
-        self.v1, self.v2 = self.cell1.take(self.at1, mode="clip"), self.cell2.take(self.at2, mode="clip")
-        c1, c2 = self.v1 & 0xFFFF, self.v2 & 0xFFFF
-        return c2, c1, (self.v2 >> 16) * 8 + (self.v1 >> 16) * 2 + (c1 == c2)
-
-    def learn(self, x, hit2, hit1):
-        """x: the ids; hit2, hit1: where order 2 (order 1) had predicted them."""
-        self.cell1[self.at1] = np.where(hit1, np.minimum(self.v1 + 65536, 0x30000 | x), 0x10000 | x)
-        self.cell2[self.at2] = np.where(hit2, np.minimum(self.v2 + 65536, 0x30000 | x), 0x10000 | x)
-        self.mix = self.p1 * 30011
-        self.p1 = x.astype(np.int64)
-
-
 class _Weights:
-    """Mixing weights and rank-class distribution of all lanes, as 16-bit frequencies."""
+    """Mixing weights of all lanes: a (order 2) and ab (order 2 and 1), in parts of 65536."""
 
-    def __init__(self, lanes: int, top: int):
-        self.lanes = lanes
-        self.n = np.tile(_PRIOR * 4, (lanes, 1, 1))
-        self.k = np.zeros((lanes, CLASSES), np.int64)
-        self.k[:, :top] = 2
-        self.lane3 = np.arange(lanes, dtype=np.int64) * (STATES * 3)
-        self.lanek = np.arange(lanes, dtype=np.int64) * CLASSES
+    def __init__(self, lanes: int):
+        self.n = np.tile(_PRIOR.astype(np.int32) * 4, (lanes, 1, 1))
+        self.lane = np.arange(lanes, dtype=np.int32) * (STATES * 3)
         self._set()
 
     def _set(self):
-        total = self.n.sum(2)
-        # order 0 keeps at least 4500 parts of 65536, so that 16 parts of 32768 of them are never empty
-        a = self.n[:, :, 0] * 61000 // total + 1
-        b = self.n[:, :, 1] * 61000 // total + 1
-        self.a, self.ab = a.astype(np.int32).ravel(), (a + b).astype(np.int32).ravel()
-        up = np.cumsum(self.k, 1)
-        live = self.k > 0
-        cum = up * 32000 // up[:, -1:] + np.cumsum(live, 1) * 16
-        cum[:, -1] = 32768
-        cum[~live] = 32768
-        self.cum = np.concatenate([np.zeros((self.lanes, 1), np.int64), cum], 1).astype(np.int32)
-        self.rows = np.ascontiguousarray(self.cum[:, 1:].T.astype(np.uint16))
-        self.flat = self.cum.ravel()
+        # order 0 keeps at least 4500 parts of 65536, so that its range never gets empty
+        scale = 61000.0 / self.n.sum(2)
+        a = (self.n[:, :, 0] * scale).astype(np.int64) + 1
+        self.a, self.ab = a.ravel(), (a + (self.n[:, :, 1] * scale).astype(np.int64) + 1).ravel()
 
-    def learn(self, state, outcome, cls):
-        """Counts of one span: each argument is (steps, lanes); cls is -1 where order 0 was not used."""
-        self.n += np.bincount((self.lane3 + state * 3 + outcome).ravel(), minlength=self.n.size).reshape(self.n.shape) * 8
-        used = cls >= 0
-        at = (self.lanek + cls)[used]
-        self.k += np.bincount(at, minlength=self.k.size).reshape(self.k.shape) * 8
+    def learn(self, state, outcome):
+        """Counts of one span: both arguments are (steps, lanes)."""
+        at = (state * 3 + outcome + self.lane).ravel()
+        self.n += np.bincount(at, minlength=self.n.size).reshape(self.n.shape).astype(np.int32) * 8
         self._set()
 
 
-_BITS = np.array([int(x).bit_length() for x in range(65536)], np.int8)
-
-
-def _encode_lanes(x: np.ndarray, lens: np.ndarray, top: int) -> tuple[list[bytes], list[bytes]]:
-    """x: ranks (lanes, steps); returns each lane's coded words and plain bits."""
+def _encode_lanes(x: np.ndarray, lens: np.ndarray, cum: np.ndarray) -> list[bytes]:
+    """Code words of each lane; x: symbols (lanes, steps); cum: order 0, running sums from 0 to WHOLE."""
     lanes, steps = x.shape
     xt = np.ascontiguousarray(x.T).astype(np.int32)
-    tables, weights = _Tables(lanes), _Weights(lanes, top)
+    weights = _Weights(lanes)
+    base = np.arange(lanes, dtype=np.int32) * SLOTS
+    cell1, cell2 = np.full(lanes * SLOTS, NONE, np.int32), np.full(lanes * SLOTS, NONE, np.int32)
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, _TOP, np.int64)
-    room = steps * 2 + 8
-    out = np.zeros(lanes * room, np.uint16)
-    pos = np.arange(lanes, dtype=np.int64) * room + 1  # word 0 takes a carry
+    room = steps + 3
+    out = np.zeros(lanes * room, np.uint32)
+    pos = np.arange(lanes, dtype=np.int64) * room
     first = pos.copy()
-    plain_v, plain_n = np.zeros((steps, lanes), np.uint16), np.zeros((steps, lanes), np.int8)
-    lane_state, lane_cls = np.arange(lanes) * STATES, np.arange(lanes) * (CLASSES + 1)
-    before = np.zeros((2, lanes), np.int64)  # the two ids before a span
+    lane_state = np.arange(lanes, dtype=np.int32) * STATES
+    freq = np.diff(cum)
+    before = np.zeros((2, lanes), np.int32)  # the two ids before a span
     v1, v2 = np.empty((SPAN, lanes), np.int32), np.empty((SPAN, lanes), np.int32)
     for s in range(0, steps, SPAN):
         e = min(s + SPAN, steps)
         # what the tables are asked for and told is known beforehand; only their answers come one after the other
-        seen = np.concatenate([before, xt[s:e]])
-        at1 = tables.base + (seen[1:-1] & (SLOTS - 1))
-        at2 = tables.base + ((seen[1:-1] * 40503 + seen[:-2] * 30011 >> 5) & (SLOTS - 1))
+        sym = xt[s:e]
+        seen = np.concatenate([before, sym])
+        at1, at2 = _slots(seen[1:-1], seen[:-2], base)
         before = seen[-2:]
-        once, most = xt[s:e] | 0x10000, xt[s:e] | 0x30000
+        once, most = sym | _ADD, sym | 3 * _ADD
         for t in range(e - s):
-            sym = xt[s + t]
-            for cell, at, v in ((tables.cell1, at1[t], v1[t]), (tables.cell2, at2[t], v2[t])):
+            x_t, once_t, most_t = sym[t], once[t], most[t]
+            for cell, at, v in ((cell1, at1[t], v1[t]), (cell2, at2[t], v2[t])):
                 cell.take(at, out=v, mode="clip")
-                cell[at] = np.where((v & 0xFFFF) == sym, np.minimum(v + 65536, most[t]), once[t])
+                cell[at] = np.where((v & NONE) == x_t, np.minimum(v + _ADD, most_t), once_t)
         w1, w2 = v1[: e - s], v2[: e - s]
-        c1, c2 = w1 & 0xFFFF, w2 & 0xFFFF
+        c1, c2 = w1 & NONE, w2 & NONE
         state = (w2 >> 16) * 8 + (w1 >> 16) * 2 + (c1 == c2)
-        hit2, hit1 = c2 == xt[s:e], c1 == xt[s:e]
-        o = np.where(hit2, 0, 2 - hit1).astype(np.int8)
-        live = np.arange(s, e)[:, None] < lens
-        whole = bool(live.all())
-        bits = _BITS[xt[s:e]]
+        hit2, hit1 = c2 == sym, c1 == sym
+        hit = hit1 | hit2
         at = lane_state + state
         a, ab = weights.a.take(at, mode="clip"), weights.ab.take(at, mode="clip")
-        at = lane_cls + bits
-        lo, hi = weights.flat.take(at, mode="clip"), weights.flat.take(at + 1, mode="clip")
-        rest = 65536 - ab  # at most 65534, so products with 32768 stay in 32 bits
-        slo, shi = ab + (lo * rest >> 15), ab + (hi * rest >> 15)
-        hit = hit1 | hit2
-        start = np.where(hit, np.where(hit2, 0, a), slo)
-        freq = np.where(hit, np.where(hit2, a, ab), shi) - start
-        esc = ~hit if whole else ~hit & live
-        n = np.where(esc, np.maximum(bits, 1) - np.int8(1), np.int8(0))
-        plain_n[s:e] = n
-        plain_v[s:e] = xt[s:e] & ((np.int32(1) << n.astype(np.int32)) - 1)
+        # an id's part begins at start parts of the mixture; where order 0 codes it, at inner parts of what is left behind that
+        start = np.where(hit2, 0, np.where(hit1, a, ab))
+        part = np.where(hit2, a, np.where(hit1, ab - a, freq.take(sym, mode="clip")))
+        inner = np.where(hit, 0, cum.take(sym, mode="clip"))
+        live = np.arange(s, e)[:, None] < lens
+        whole = bool(live.all())
         for t in range(e - s):
             r = rng >> 16
+            skip = r * start[t]
+            unit = np.where(hit[t], r, rng - skip >> WHOLE_BITS)
             if whole:
-                low += r * start[t]
-                rng = r * freq[t]
+                low += skip
+                low += unit * inner[t]
+                rng = unit * part[t]
             else:
-                low = np.where(live[t], low + r * start[t], low)
-                rng = np.where(live[t], r * freq[t], rng)
+                low = np.where(live[t], low + skip + unit * inner[t], low)
+                rng = np.where(live[t], unit * part[t], rng)
             over = np.flatnonzero(low > _TOP)
             if len(over):
                 low[over] &= _TOP
                 at = pos[over] - 1
                 while len(at):
-                    out[at] += np.uint16(1)
-                    at = at[out[at] == 0] - 1
+                    out[at] += np.uint32(1)
+                    at = at[out[at] == _LOW]
+                    out[at] = 0
+                    at -= 1
             # the next word is laid down in every lane, and counts where the range has become small
-            out[pos] = low >> 32
+            out[pos] = low >> 24
             small = rng < _LOW
             pos += small
-            shift = small.astype(np.int64) << 4
+            shift = small * np.int64(24)
             low <<= shift
             low &= _TOP
             rng <<= shift
-        weights.learn(state, o if whole else np.where(live, o, 2), np.where(esc, bits, -1))
-    coded = []
-    for i in range(lanes):
-        tail = np.array([low[i] >> 32, (low[i] >> 16) & 0xFFFF, low[i] & 0xFFFF]).astype(np.uint16)
-        words = np.concatenate([out[first[i] - 1 : pos[i]], tail])
-        coded.append(words.astype("<u2").tobytes())
-    return coded, _pack(plain_v.T, plain_n.T)
+        outcome = np.where(hit2, 0, 2 - hit1)
+        weights.learn(state, outcome if whole else np.where(live, outcome, 2))
+    out[pos], out[pos + 1] = low >> 24, low & 0xFFFFFF
+    raw = out.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return [raw[a : b + 2, :3].tobytes() for a, b in zip(first.tolist(), pos.tolist())]
 
 
-def _pack(v: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """For each row, the low n bits of each v, one after the other, lowest bit first."""
-    bits = n.sum(1, dtype=np.int64)
-    size = bits + 7 >> 3
-    first = np.concatenate([[0], np.cumsum((size + 3 >> 2) + 2)])
-    used = n > 0
-    each = used.sum(1)
-    n, v = n[used].astype(np.int64), v[used].astype(np.int64)
-    at = np.cumsum(n)
-    at -= n
-    at += np.repeat((first[:-1] << 5) - (np.cumsum(bits) - bits), each)
-    v <<= at & 31
-    at >>= 5
-    # bits of one word never overlap, so sums stay below 2^32 and exact
-    words = np.bincount(at, v & 0xFFFFFFFF, first[-1])
-    over = np.flatnonzero(v >> 32)
-    words += np.bincount(at[over] + 1, v[over] >> 32, first[-1])
-    raw = words.astype("<u4").tobytes()
-    return [raw[f * 4 : f * 4 + m] for f, m in zip(first.tolist(), size.tolist())]
+def _slots(one, two, base):
+    """Places of the order-1 and order-2 cells, by the id before and the one before that."""
+    return base + (one & (SLOTS - 1)), base + ((one * 40503 ^ two * 30011) >> 5 & (SLOTS - 1))
 
 
-def _decode_lanes(coded: list[bytes], plain: list[bytes], lens: np.ndarray, top: int) -> np.ndarray:
+def _decode_lanes(coded: list[bytes], lens: np.ndarray, cum: np.ndarray) -> np.ndarray:
     lanes, steps = len(coded), int(lens.max(initial=0))
-    tables, weights = _Tables(lanes), _Weights(lanes, top)
-    sizes = np.array([len(c) // 2 for c in coded])
-    offs = np.concatenate([[0], np.cumsum(sizes + 4)])
-    words = np.zeros(offs[-1] + 8, np.int64)
-    for i, c in enumerate(coded):
-        words[offs[i] : offs[i] + sizes[i]] = np.frombuffer(c, "<u2")
-    pos = offs[:-1] + 4
-    # word 0 is the carry word of the encoder; it is 0 in a whole stream
-    code = (words[offs[:-1] + 1] << 32) | (words[offs[:-1] + 2] << 16) | words[offs[:-1] + 3]
+    weights = _Weights(lanes)
+    base = np.arange(lanes, dtype=np.int32) * SLOTS
+    cell1, cell2 = np.full(lanes * SLOTS, NONE, np.int32), np.full(lanes * SLOTS, NONE, np.int32)
+    sizes = np.array([len(c) // 3 for c in coded])
+    raw = np.frombuffer(b"".join([*coded, bytes(6)]), np.uint8).reshape(-1, 3).astype(np.int64)
+    words = raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
+    pos = np.cumsum(sizes) - sizes
+    code = words.take(pos, mode="clip") << 24 | words.take(pos + 1, mode="clip")
+    pos += 2
     rng = np.full(lanes, _TOP, np.int64)
-    plens = np.array([len(p) for p in plain])
-    poffs = np.concatenate([[0], np.cumsum(plens + 8)])
-    pbuf = np.zeros(poffs[-1] + 8, np.uint8)
-    for i, p in enumerate(plain):
-        pbuf[poffs[i] : poffs[i] + plens[i]] = np.frombuffer(p, np.uint8)
-    p32 = pbuf.astype(np.int64)
-    p32 = p32[:-3] | p32[1:-2] << 8 | p32[2:-1] << 16 | p32[3:] << 24
-    bit = poffs[:-1] * 8
-    res = np.zeros((steps, lanes), np.uint16)
-    lane_state, lane_cls = np.arange(lanes) * STATES, np.arange(lanes) * (CLASSES + 1)
+    freq = np.diff(cum)
+    which = np.repeat(np.arange(len(freq), dtype=np.uint16), freq)
+    res = np.zeros((steps, lanes), np.int32)
+    lane_state = np.arange(lanes, dtype=np.int32) * STATES
+    one, two = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     for s in range(0, steps, SPAN):
         e = min(s + SPAN, steps)
-        state, o, kk = (np.empty((e - s, lanes), np.int64) for _ in range(3))
+        state, outcome = np.empty((e - s, lanes), np.int32), np.empty((e - s, lanes), np.int32)
         whole = int(lens.min()) >= e
-        for t in range(s, e):
-            ok = t < lens
-            c2, c1, j = tables.look()
+        for t in range(e - s):
+            at1, at2 = _slots(one, two, base)
+            v1, v2 = cell1.take(at1, mode="clip"), cell2.take(at2, mode="clip")
+            c1, c2 = v1 & NONE, v2 & NONE
+            j = (v2 >> 16) * 8 + (v1 >> 16) * 2 + (c1 == c2)
             at = lane_state + j
-            a, ab = weights.a.take(at, mode="clip"), weights.ab.take(at, mode="clip")
             r = rng >> 16
-            v = np.minimum((code / r).astype(np.int32), 65535)
-            rest = 65536 - ab
-            # class k is reached when cum[k] * rest >> 15 <= v - ab, that is cum[k] <= ((v - ab + 1 << 15) - 1) // rest
-            reach = ((np.maximum(v - ab, 0) + 1) * 32768.0 - 1) / rest
-            reach = reach.astype(np.int32).astype(np.uint16)
-            cls = np.add.reduce(weights.rows <= reach, 0, dtype=np.uint8).astype(np.int64)
-            at = lane_cls + cls
-            slo, shi = ab + (weights.flat.take(at, mode="clip") * rest >> 15), ab + (weights.flat.take(at + 1, mode="clip") * rest >> 15)
-            h2, h1 = v < a, v < ab
-            start = np.where(h1, np.where(h2, 0, a), slo)
-            freq = np.where(h1, np.where(h2, a, ab), shi) - start
-            code -= r * start
-            rng = r * freq
+            ra, rab = r * weights.a.take(at, mode="clip"), r * weights.ab.take(at, mode="clip")
+            h2, h1 = code < ra, code < rab
+            unit = rng - rab >> WHOLE_BITS
+            sym = which.take(((code - rab) / unit).astype(np.int64), mode="clip")
+            inner, part = cum.take(sym, mode="clip"), freq.take(sym, mode="clip")
+            code -= np.where(h1, np.where(h2, 0, ra), rab + unit * inner)
+            rng = np.where(h1, np.where(h2, ra, rab - ra), unit * part)
+            x = np.where(h1, np.where(h2, c2, c1), sym)
             if not whole:
-                code[~ok] = 0
+                ok = s + t < lens
+                x[~ok] = code[~ok] = 0
                 rng[~ok] = _TOP
+                outcome[t] = np.where(h2 & ok, 0, 2 - (h1 & ok))
+            else:
+                outcome[t] = np.where(h2, 0, 2 - h1)
             small = rng < _LOW
-            shift = small.astype(np.int64) << 4
-            code = (code << shift) | (words.take(pos, mode="clip") & -(shift >> 4))
+            shift = small * np.int64(24)
+            code = code << shift | words.take(pos, mode="clip") & -small.astype(np.int64)
             rng <<= shift
             pos += small
-            n = np.where(h1, 0, np.maximum(cls - 1, 0))
-            head = np.where(cls > 0, 1 << np.maximum(cls - 1, 0), 0)
-            got = (p32.take(bit >> 3, mode="clip") >> (bit & 7)) & ((1 << n) - 1)
-            sym = np.where(h1, np.where(h2, c2, c1), head | got).astype(np.int32)
-            if not whole:
-                n[~ok], sym[~ok] = 0, 0
-                h2, h1 = h2 & ok, h1 & ok
-                o[t - s], kk[t - s] = np.where(h1, ~h2, 2), np.where(h1 | ~ok, -1, cls)
-            else:
-                o[t - s], kk[t - s] = np.where(h1, ~h2, 2), np.where(h1, -1, cls)
-            bit += n
-            res[t] = sym
-            state[t - s] = j
-            tables.learn(sym, c2 == sym, c1 == sym)
-        weights.learn(state, o, kk)
+            res[s + t], state[t] = x, j
+            once, most = x | _ADD, x | 3 * _ADD
+            cell1[at1] = np.where(c1 == x, np.minimum(v1 + _ADD, most), once)
+            cell2[at2] = np.where(c2 == x, np.minimum(v2 + _ADD, most), once)
+            one, two = x, one
+        weights.learn(state, outcome)
     return np.ascontiguousarray(res.T)
 
 
+def _parts(count: np.ndarray) -> np.ndarray:
+    """Counts to parts of WHOLE, 1 at least; the first takes what rounding leaves."""
+    parts = 1 + count.astype(np.int64) * (WHOLE - len(count)) // int(count.sum())
+    parts[0] += WHOLE - parts.sum()
+    return parts
+
+
 def encode_page(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
-    """Ids below 65536 to (page header, blocks).  An empty page has no block."""
+    """Ids below 65535 to (page header, blocks).  An empty page has no block."""
     ids = np.asarray(ids)
     if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFE):
         raise ValueError("ids must lie in 0..65534")
     n = len(ids)
     count = np.bincount(ids, minlength=1)
     order = np.lexsort((np.arange(len(count)), -count))[: int((count > 0).sum())]
-    rank = np.zeros(len(count), np.uint16)
-    rank[order] = np.arange(len(order))
-    header = struct.pack("<4sIII", MAGIC, BLOCK, n, len(order)) + zlib.compress(order.astype("<u2").tobytes())
+    parts = _parts(count[order]) if n else np.zeros(0, np.int64)
+    header = struct.pack("<4sIII", MAGIC, BLOCK, n, len(order)) + zlib.compress(order.astype("<u2").tobytes() + parts.astype("<u4").tobytes())
     if not n:
         return header, []
+    rank = np.zeros(len(count), np.uint16)
+    rank[order] = np.arange(len(order))
     lanes = -(-n // BLOCK)
     padded = np.zeros(lanes * BLOCK, np.uint16)
     padded[:n] = rank[ids]
     lens = np.minimum(n - np.arange(lanes) * BLOCK, BLOCK)
-    top = int(len(order) - 1).bit_length() + 1
-    coded, plain = _encode_lanes(padded.reshape(lanes, BLOCK)[:, : int(lens.max())], lens, top)
+    coded = _encode_lanes(padded.reshape(lanes, BLOCK)[:, : int(lens.max())], lens, np.concatenate([[0], np.cumsum(parts)]))
     raw = ids.astype("<u4")
-    blocks = []
-    for i in range(lanes):
-        crc = zlib.crc32(raw[i * BLOCK : i * BLOCK + lens[i]])
-        blocks.append(struct.pack("<III", int(lens[i]), crc, len(coded[i])) + coded[i] + plain[i])
-    return header, blocks
+    return header, [struct.pack("<II", int(lens[i]), zlib.crc32(raw[i * BLOCK : i * BLOCK + lens[i]])) + c for i, c in enumerate(coded)]
 
 
 def decode_blocks(header: bytes, blocks: list[bytes]) -> np.ndarray:
@@ -312,17 +244,18 @@ def decode_blocks(header: bytes, blocks: list[bytes]) -> np.ndarray:
     magic, _, _, distinct = struct.unpack_from("<4sIII", header)
     if magic != MAGIC:
         raise ValueError("not a page of coded ids")
-    order = np.frombuffer(zlib.decompress(header[16:]), "<u2") if distinct else np.zeros(0, np.uint16)
     if not blocks:
         return np.zeros(0, np.uint32)
-    heads = [struct.unpack_from("<III", b) for b in blocks]
+    table = zlib.decompress(header[16:])
+    order = np.frombuffer(table, "<u2", distinct)
+    cum = np.concatenate([[0], np.cumsum(np.frombuffer(table, "<u4", distinct, 2 * distinct), dtype=np.int64)])
+    heads = [struct.unpack_from("<II", b) for b in blocks]
     lens = np.array([h[0] for h in heads])
-    top = int(distinct - 1).bit_length() + 1
-    ranks = _decode_lanes([b[12 : 12 + h[2]] for b, h in zip(blocks, heads)], [b[12 + h[2] :] for b, h in zip(blocks, heads)], lens, top)
+    ranks = _decode_lanes([b[8:] for b in blocks], lens, cum)
     parts = []
-    for i, h in enumerate(heads):
-        got = order[np.minimum(ranks[i, : lens[i]], distinct - 1)].astype("<u4")
-        if zlib.crc32(got) != h[1]:
+    for i, (m, crc) in enumerate(heads):
+        got = order[np.minimum(ranks[i, :m], distinct - 1)].astype("<u4")
+        if zlib.crc32(got) != crc:
             raise ValueError(f"block {i}: checksum does not fit")
         parts.append(got)
     return np.concatenate(parts)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .idcoder import decode_blocks, encode_page
 
-PAGE = 1 << 21
+PAGE = 1 << 22
 END = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Letters behind which a text may be cut before a full stop or comma (inside of a character class), and what special tokens begin with.
@@ -126,7 +126,7 @@ def tokenizer_from(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarr
     return _held[path].encode
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 3 << 22) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in order, cut where texts add up to ``most`` bytes (a longer text is a slice of its own)."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
