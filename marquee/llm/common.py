@@ -4,36 +4,45 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words, as the inside of a character class.
 SPACE = "\\x20\\x09-\\x0D"
-WORD_BYTES = " \t\n\x0b\x0c\r"
+#: A character of a word.
+WORD = f"[^{SPACE}]"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Only on a local master (tests on one machine) may that be unset: a temporary folder is made and set then.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get() if held.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="marquee-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+_holders: list[list[str]] = []
+
+
 class Scratch:
     """Tables written below the shared folder, so that later steps do not depend on executors' memory or disks.
 
     ``save`` writes a DataFrame as Parquet and returns it as read back.  On leaving the ``with`` block all
-    tables but those saved with ``keep=True`` are deleted.
+    tables but those saved with ``keep=True`` are deleted.  These are what a returned DataFrame still reads:
+    who has used it up can have them deleted by ``held``.
     """
 
     def __init__(self, spark: SparkSession):
@@ -46,6 +55,8 @@ class Scratch:
         at = f"{self.root}/{name}"
         if not keep:
             self.paths.append(at)
+        elif _holders:
+            _holders[-1].append(at)
         return at
 
     def save(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -61,11 +72,32 @@ class Scratch:
             delete(self.spark, at)
 
 
+@contextmanager
+def held(spark: SparkSession) -> Iterator[None]:
+    """Deletes, on leaving, what the operators called within have kept below the shared folder."""
+    _holders.append([])
+    try:
+        yield
+    finally:
+        for at in _holders.pop():
+            delete(spark, at)
+
+
 def delete(spark: SparkSession, at: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_key() -> Column:
+    """Tells rows of ``doc_id`` and ``text`` apart, also where they share or lack an id; equal rows have equal keys."""
+    return F.xxhash64("doc_id", "text")
+
+
+def same_row(left: str, right: str) -> Column:
+    """Whether rows of two aliased tables with doc_id and row (see ``row_key``) are the same."""
+    return F.expr(f"{left}.row = {right}.row AND ({left}.doc_id = {right}.doc_id OR ({left}.doc_id IS NULL AND {right}.doc_id IS NULL))")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,16 +2,17 @@
 
 1. Per document, in one pass: its set of distinct word shingles (as 64-bit hashes), the set's size and digest, and
    a MinHash signature of bands of ROWS values each, as many bands as the threshold asks for.
-2. Documents with one digest have equal sets: they form a class, represented by its smallest doc_id.
-3. Representatives that share a band of the signature are candidates.  At first each is paired with one pivot of
-   its band value only.  Where that leaves three or more that are not all linked, the members of the band value are
-   laid out in blocks of bounded size and every two blocks are compared within a task: pairs are not rows there,
-   what is linked already is skipped, and a pair is looked at in the first band that it shares.  So a family of
-   thousands of near copies costs a few rows a member, and no pair of a band value is left out.
+2. Documents with one digest have equal sets: they form a class, named by the digest.
+3. Classes that share a band of the signature are candidates.  At first each is paired with one pivot of its band
+   value only.  Where that leaves three or more that are not all linked, the members of the band value are laid out
+   in blocks of bounded size and every two blocks are compared, each two in a row of its own, dealt out by the blocks
+   and not by the band: pairs of classes are not rows there, what is linked already is skipped, and a pair is looked
+   at in the first band that it shares.  So a family of thousands of near copies costs a few rows a member, no pair
+   of a band value is left out, and a band value that very many share is as many tasks as it has blocks.
 4. A candidate pair is read off the two signatures batch by batch.  After each batch the posterior of its
    similarity (uniform prior, so Beta(1 + agreed, 1 + differing)) is compared with the threshold, and the pair
    is given up once the chance that it reaches it is below MISS.  Survivors are verified on their full sets.
-5. Linked representatives are joined to components by repeated minimum labels over links.
+5. Linked classes are joined to components by repeated minimum labels over links.
 
 MISS also bounds banding: two sets at the threshold share no band with at most that chance (0.85: 44 bands, 0.8: 76).
 """
@@ -27,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
-from .shingles import distinct_sorted, windows, word_hashes
+from .common import Scratch, row_key, same_row, table
+from .shingles import distinct_sorted, mix, windows, word_hashes
 
 WORDS, ROWS, BATCH = 5, 8, 32
 MISS = 1e-6
 #: Members of a block, and shingles of all of them.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
-_SKETCH = "doc_id bigint, n_shingles bigint, digest bigint, bands array<bigint>"
-_SET = "doc_id bigint, n_shingles bigint, digest bigint, signature binary, x binary"
+_SKETCH = "doc_id bigint, row bigint, n_shingles bigint, digest bigint, bands array<bigint>"
+_SET = "digest bigint, n_shingles bigint, signature binary, x binary"
 
 
 def bands_for(threshold: float, miss: float = MISS) -> int:
@@ -88,13 +89,14 @@ def _sets(batch: pa.RecordBatch, step: int = 500) -> Iterator[tuple[pa.RecordBat
 
 
 def _digests(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """64 bits of each set, 0 for empty ones."""
+    """64 bits of each set and its size, 0 for empty ones."""
     full = np.flatnonzero(np.diff(bounds))
     out = np.zeros(len(bounds) - 1, np.int64)
     if len(full):
         starts, mixed = bounds[:-1][full], x * np.uint64(0xD6E8FEB86659FD93)
         sums = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), starts)
-        out[full] = (sums ^ (np.bitwise_xor.reduceat(x, starts) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+        size = np.diff(bounds)[full].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        out[full] = mix(sums ^ (np.bitwise_xor.reduceat(x, starts) * np.uint64(0x9E3779B97F4A7C15)) ^ size).view(np.int64)
     return out
 
 
@@ -113,8 +115,8 @@ def _sketch(bands: int):
                 full = np.flatnonzero(n)
                 keys = band_keys(signatures(x, np.append(bounds[:-1][full], bounds[-1]), bands)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(_digests(x, bounds)), pa.array(_filled(full, list(keys), len(n)), pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "bands"],
+                    [part.column("doc_id").cast(pa.int64()), part.column("row"), pa.array(n.astype(np.int64)), pa.array(_digests(x, bounds)), pa.array(_filled(full, list(keys), len(n)), pa.list_(pa.int64()))],
+                    names=["doc_id", "row", "n_shingles", "digest", "bands"],
                 )
 
     return make
@@ -129,15 +131,15 @@ def _full_sets(bands: int):
                 low = signatures(x, np.append(bounds[:-1][full], bounds[-1]), bands).astype(np.uint16)
                 sets = [x[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(_digests(x, bounds)), pa.array(_filled(full, [v.tobytes() for v in low], len(n)), pa.binary()), pa.array(sets, pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "signature", "x"],
+                    [pa.array(_digests(x, bounds)), pa.array(n.astype(np.int64)), pa.array(_filled(full, [v.tobytes() for v in low], len(n)), pa.binary()), pa.array(sets, pa.binary())],
+                    names=["digest", "n_shingles", "signature", "x"],
                 )
 
     return make
 
 
 def sketches(docs: DataFrame, bands: int) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_sketch(bands), _SKETCH)
+    return docs.select("doc_id", "text", row_key().alias("row")).mapInArrow(_sketch(bands), _SKETCH)
 
 
 def stop_counts(threshold: float, miss: float, total: int | None = None, batch: int = BATCH) -> list[tuple[int, int]]:
@@ -208,36 +210,41 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = MISS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are not read).
+    """doc_id, row, n_shingles, component, component_id, kept for each row of ``docs`` (doc_id, text; other columns are not read).
 
+    row is a hash of doc_id and text (``row_key``); component is the same number for all rows of a component, null for rows without words.
     Null, empty and blank texts have n_shingles 0 and are linked with nothing: component_id is their own doc_id.
-    Texts below five words are one shingle.  Rows that repeat a doc_id are kept as they are; their shared doc_id
-    stands for each of them.  A null doc_id has a null component_id and kept null.  An empty table gives no row.
+    Texts below five words are one shingle.  component_id is the smallest doc_id of the component, null where all its
+    rows lack one.  Rows that repeat a doc_id are judged each by their own text; rows without doc_id are linked like
+    any other and have kept null.  An empty table gives no row.
     """
     spark = docs.sparkSession
     bands = bands_for(percent / 100, miss)
     with Scratch(spark) as scratch:
         sketch = scratch.save(sketches(docs, bands), "sketch")
-        # class of equal sets: represented by its smallest doc_id
-        classes = scratch.save(sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-        stands = classes.select("digest", F.col("rep").alias("doc_id"))
-        # only band values of two or more classes matter: the smallest and the largest representative differ
-        banded = sketch.join(stands, ["digest", "doc_id"], "left_semi").select("doc_id", F.posexplode("bands").alias("number", "band"))
-        shared = banded.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("band")
+        # a class of equal sets; one of its rows stands for all
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("of")
+        classes = scratch.save(sketch.filter("n_shingles > 0").groupBy("digest").agg(least).select("digest", "of.doc_id", "of.row"), "classes")
+        one = lambda df: df.alias("d").join(classes.alias("c"), (F.col("d.digest") == F.col("c.digest")) & same_row("d", "c"), "left_semi")
+        # only band values of two or more classes matter: the smallest and the largest differ
+        banded = one(sketch).select("digest", F.posexplode("bands").alias("number", "band"))
+        shared = banded.groupBy("band").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("band")
         members = scratch.save(banded.join(shared, "band").distinct(), "members")
-        wanted = members.select("doc_id").distinct()
-        sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(bands), _SET)
-        signed = scratch.save(sets.join(stands, ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"]), "signed")
+        wanted = classes.join(members.select("digest").distinct(), "digest", "left_semi").select("doc_id", "row")
+        rows = docs.select("doc_id", "text", row_key().alias("row")).alias("d")
+        texts = rows.join(wanted.alias("c"), same_row("d", "c"), "left_semi").select("text")
+        signed = scratch.save(texts.mapInArrow(_full_sets(bands), _SET).dropDuplicates(["digest"]), "signed")
         label = _linked(scratch, members, signed, percent, miss)
-        found = classes.select("digest", "n_shingles", "rep")
+        found = classes.select("digest", F.col("doc_id").alias("first"))
         if label is not None:
-            found = found.join(label, found.rep == label.node, "left").select("digest", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+            found = found.join(label, found.digest == label.node, "left").select("digest", "first", F.coalesce("label", "digest").alias("component"))
+            ids = found.groupBy("component").agg(F.min("first").alias("component_id"))
+            found = found.join(ids, "component").select("digest", "component", "component_id")
         else:
-            found = found.withColumnRenamed("rep", "component_id")
-        own = sketch.select("doc_id", "n_shingles", "digest")
-        out = own.join(found, ["digest", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-        out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-        return scratch.save(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "result", keep=True)
+            found = found.select("digest", F.col("digest").alias("component"), F.col("first").alias("component_id"))
+        own = sketch.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
+        out = own.join(found, "digest", "left").select("doc_id", "row", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        return scratch.save(out.withColumn("kept", F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == F.col("component_id"))), "result", keep=True)
 
 
 def _block_links(percent: int, stops: list[tuple[int, int]]):
@@ -281,44 +288,47 @@ def _block_links(percent: int, stops: list[tuple[int, int]]):
                             both = len(np.intersect1d(sets[0][i], sets[1][j], assume_unique=True))
                             if 100 * both >= percent * (n + len(sets[1][j]) - both):
                                 up[max(p, q)] = min(p, q)
-                                a.append(min(m["doc_id"], right[j]["doc_id"]))
-                                b.append(max(m["doc_id"], right[j]["doc_id"]))
+                                a.append(min(m["digest"], right[j]["digest"]))
+                                b.append(max(m["digest"], right[j]["digest"]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return link
 
 
 def _linked(scratch: Scratch, members: DataFrame, signed: DataFrame, percent: int, miss: float) -> DataFrame | None:
-    """(node, label) of linked representatives, None if no two share a band value."""
+    """(node, label) of linked classes, None if no two share a band value."""
     stops = stop_counts(percent / 100, miss)
     # first every member against one pivot of its band value
-    pivot = members.groupBy("band").agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), "doc_id")).alias("pivot"))
-    pairs = scratch.save(members.join(pivot, "band").filter("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), "pairs")
+    pivot = members.groupBy("band").agg(F.min_by("digest", F.struct(F.xxhash64("digest"), "digest")).alias("pivot"))
+    pairs = scratch.save(members.join(pivot, "band").filter("digest <> pivot").select(F.least("digest", "pivot").alias("a"), F.greatest("digest", "pivot").alias("b")).distinct(), "pairs")
     if pairs.isEmpty():
         return None
-    small = signed.select("doc_id", "signature", "n_shingles")
-    sa, sb = (small.select(F.col("doc_id").alias(k), F.col("signature").alias(f"s{k}"), F.col("n_shingles").alias(f"n{k}")) for k in "ab")
+    small = signed.select("digest", "signature", "n_shingles")
+    sa, sb = (small.select(F.col("digest").alias(k), F.col("signature").alias(f"s{k}"), F.col("n_shingles").alias(f"n{k}")) for k in "ab")
     # sets of such different sizes can't be that similar
     sized = pairs.join(sa, "a").join(sb, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     alive = scratch.save(sized.select("a", "b", "sa", "sb").mapInArrow(_sequential(stops), "a bigint, b bigint"), "alive")
-    xa, xb = (signed.select(F.col("doc_id").alias(k), F.col("x").alias(f"x{k}")) for k in "ab")
+    xa, xb = (signed.select(F.col("digest").alias(k), F.col("x").alias(f"x{k}")) for k in "ab")
     star = scratch.save(alive.join(xa, "a").join(xb, "b").select("a", "b", "xa", "xb").mapInArrow(_verify(percent), "a bigint, b bigint"), "star")
     label = components(scratch, star, "first")
     # then the band values of three or more in which not all are linked yet, block by block
-    now = scratch.save(members.join(label, members.doc_id == label.node, "left").select("band", "number", "doc_id", F.coalesce("label", "doc_id").alias("label")).join(signed.select("doc_id", "n_shingles"), "doc_id"), "now")
+    now = scratch.save(members.join(label, members.digest == label.node, "left").select("band", "number", "digest", F.coalesce("label", "digest").alias("label")).join(signed.select("digest", "n_shingles"), "digest"), "now")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     open_ = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).filter("lo < hi and n > 2").select("band", "blocks")
-    rest = now.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).join(signed.select("doc_id", "signature", "x"), "doc_id")
-    held = scratch.save(rest.groupBy("band", "number", "block").agg(F.collect_list(F.struct("doc_id", "label", "signature", "x")).alias("of")), "blocks")
+    rest = now.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).join(signed.select("digest", "signature", "x"), "digest")
+    held = scratch.save(rest.groupBy("band", "number", "block").agg(F.collect_list(F.struct("digest", "label", "signature", "x")).alias("of")), "blocks")
     one = held.select("number", F.lit(True).alias("same"), F.col("of").alias("left"), F.lit(None).cast(held.schema["of"].dataType).alias("right"))
-    two = held.alias("l").join(held.alias("r"), F.expr("l.band = r.band and l.block < r.block")).select("l.number", F.lit(False).alias("same"), F.col("l.of").alias("left"), F.col("r.of").alias("right"))
+    # every two blocks of a band value are a row of three numbers first; what they hold is fetched by block, so no band value is one task
+    both = held.filter("block > 0").select("band", F.col("block").alias("second"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"))
+    two = both.join(held, ["band", "block"]).select("band", "number", F.col("second").alias("block"), F.col("of").alias("left"))
+    two = two.join(held.select("band", "block", F.col("of").alias("right")), ["band", "block"]).select("number", F.lit(False).alias("same"), "left", "right")
     more = scratch.save(one.union(two).mapInArrow(_block_links(percent, stops), "a bigint, b bigint"), "more")
     scratch.drop("blocks")
     return components(scratch, star.union(more), "second")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 #: Every pair that shares a shingle, and everything that can be reached over links.
