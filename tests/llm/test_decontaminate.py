@@ -63,24 +63,79 @@ def test_positions(documents, spark):
     assert (r["doc_id"], r["item_id"], r["start"], r["end"], r["equal"]) == (1, 7, 1500, 1530, 30)
 
 
-def test_best_stretch():
-    import numpy as np
-
-    for seed in range(200):
-        rnd = np.random.default_rng(seed)
-        same = rnd.random(rnd.integers(1, 40)) < 0.6
-        start, end, equal = D.best_stretch(same)
-        score = lambda a, b: int(2 * same[a:b].sum() - (b - a))
-        best = max(score(a, b) for a in range(len(same) + 1) for b in range(a, len(same) + 1))
-        assert score(start, end) == best and equal == same[start:end].sum()
+def brute(rows, items, shortest=5):
+    """{row number: {item_id: equal}}: every place at which some mask of an item fits is laid out word by word, all in plain Python."""
+    tokens = lambda t: words((t or "").translate(LOWER))
+    out = {}
+    for n, (_, text) in enumerate(rows):
+        w = tokens(text)
+        for item_id, item in items:
+            v, best = tokens(item), 0
+            masks = D.MASKS + (("1" * 8,) if len(v) == 9 else ()) if len(v) >= 9 else ("1" * len(v),) * (len(v) >= shortest)
+            shifts = set()
+            for mask in masks:
+                kept = [i for i, c in enumerate(mask) if c == "1"]
+                seen = {}
+                for j in range(len(v) - len(mask) + 1):
+                    seen.setdefault(tuple(v[j + i] for i in kept), []).append(j)
+                for k in range(len(w) - len(mask) + 1):
+                    shifts.update(k - j for j in seen.get(tuple(w[k + i] for i in kept), ()))
+            for d in shifts:
+                same = [w[k] == v[k - d] for k in range(max(0, d), min(len(w), d + len(v)))]
+                sums = [0]
+                for x in same:
+                    sums.append(sums[-1] + x)
+                best = max([best, *(sums[b] - sums[a] for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 10 * (sums[b] - sums[a]) >= 7 * (b - a))])
+            least = len(v) if len(v) < 9 else min(12, -(-7 * len(v) // 10))
+            if v and best >= least and len(v) >= shortest:
+                out.setdefault(n, {})[item_id] = best
+    return out
+
+
+def test_brute_force(documents, spark):
+    """Copies with substitutions, insertions, repeats and cuts, chance hits, items of all lengths, rows that share or lack an id."""
+    rnd = random.Random(12)
+    few = [f"w{i}" for i in range(60)]  # few words, so that seeds hit by chance
+    items = [(i, " ".join(rnd.choices(few, k=n))) for i, n in enumerate([3, 5, 6, 8, 9, 9, 10, 12, 15, 20, 30, 45, 60])]
+    items += [(90, " ".join(few[k % 4] for k in range(20))), (91, None), (92, "")]
+    rows = []
+    for k in range(150):
+        text = rnd.choices(few, k=rnd.randint(0, 60))
+        for _ in range(rnd.randint(0, 3)):
+            item = (items[rnd.randrange(14)][1] or "").split()
+            for j in range(len(item)):
+                if rnd.random() < rnd.choice((0, 0.1, 0.25)):
+                    item[j] = rnd.choice(few)
+            if rnd.random() < 0.3:
+                item.insert(rnd.randrange(len(item)), "more")
+            at = rnd.randint(0, len(text))
+            text[at:at] = item[rnd.randint(0, 3) :]
+        rows.append((rnd.choice((k, k, 5, None)), " ".join(text).replace("w1 ", "W1\t")))
+    rows += [(500, " ".join(few[k % 4] for k in range(300))), (501, None), (502, "")]
+    want = brute(rows, items)
+    found = D.overlaps(documents(rows), items_of(spark, items))
+    got = {(r["doc_id"], r["row"], r["item_id"], r["equal"]) for r in found.collect()}
+    keys = spark.createDataFrame(rows, "doc_id bigint, text string").select(D.row_key()).collect()
+    assert got == {(rows[n][0], keys[n][0], i, equal) for n, of in want.items() for i, equal in of.items()} and len(got) > 50
+
+
+def test_long_overlap_is_whole(documents, spark):
+    """An item of 3,000 words with a gap of 200 substituted ones counts as one overlap; shorter items on request."""
+    rnd = random.Random(3)
+    item = prose(rnd, 3000)
+    text = [*prose(rnd, 40), *item[:1500], *(f"other{j}" for j in range(200)), *item[1700:], *prose(rnd, 40)]
+    (r,) = D.contaminated(documents([(1, " ".join(text))]), items_of(spark, [(7, " ".join(item))])).collect()
+    assert (r["item_ids"], r["n_equal"]) == ([7], 2800)
+    found = lambda n: [r["kept"] for r in D.contaminated(documents([(1, "one two three")]), items_of(spark, [(7, "two three")]), shortest=n).collect()]
+    assert found(5) == [True] and found(2) == [False]
 
 
 def test_odd_rows(documents, odd_rows, spark):
     items = items_of(spark, [(1, "one two three four five six"), (2, "b c d e f g"), (None, None), (3, "")])
     found = D.contaminated(documents(odd_rows), items).collect()
     assert len(found) == len(odd_rows)
-    assert all(r["kept"] for r in found if r["doc_id"] is None)
-    assert {r["doc_id"] for r in found if not r["kept"]} == {7}
+    # each row is judged by its own text, whether it shares an id or has none
+    assert sorted((r["doc_id"] or 0, r["item_ids"]) for r in found if not r["kept"]) == [(0, [1]), (7, [2]), (7, [2])]
     assert D.contaminated(documents([]), items).collect() == []
     assert all(r["kept"] for r in D.contaminated(documents(odd_rows), items_of(spark, [])).collect())
 
