@@ -4,15 +4,16 @@ Temperature mixing: a source's weight is its share of all tokens to the power t,
 that the weights meet a target: an entropy, or a limit on how often the most repeated source may be seen when the
 largest source is seen once.  The weights are then realised within a token budget: each source is cut into blocks of
 about BLOCK documents by a hash, and each block's documents, in keyed order, are taken over and over until the block's
-part of the budget is used up.  No sort or running sum ever spans more than a block, so a source with a third of all
-rows is as many tasks as its size asks for.
+part of the budget is used up; the document that the end of it falls into is taken with the chance that the budget left
+is of its length, so weights are met on average however long documents are.  No sort or running sum ever spans more than
+a block, so a source with a third of all rows is as many tasks as its size asks for.
 
 A budget of None is the least one in which every document is seen at least once.
 """
 
 from __future__ import annotations
 
-from math import exp, log
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,40 +24,41 @@ from .common import SPACE, Scratch, table
 BLOCK = 1000
 REPEATS = 2.0
 STEPS = 60
+#: Exponents looked at in one pass over the sources, and passes, for an entropy.
+GRID, PASSES = 32, 6
 SEED = "mix-1"
-BROADCAST_SOURCES = 100_000
 
 
-def weights(tokens: dict, t: float) -> dict:
-    """Normalised weight of each source for the exponent t."""
-    total = sum(tokens.values())
-    raw = {s: exp(t * log(n / total)) for s, n in tokens.items() if n > 0}
-    scale = sum(raw.values())
-    return {s: w / scale for s, w in raw.items()}
+def repeats_exponent(least: float, most: float, repeats: float) -> float:
+    """The least t in 0..1 with which a source of ``least`` tokens is seen at most ``repeats`` times as often as one of ``most``."""
+    lo, hi = 0.0, 1.0
+    if (most / least) ** (1 - lo) <= repeats:
+        return lo
+    for _ in range(STEPS):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (most / least) ** (1 - mid) > repeats else (lo, mid)
+    return hi
 
 
-def exponent(tokens: dict, repeats: float | None = REPEATS, entropy: float | None = None) -> float:
-    """The least t in 0..1 that keeps to the limit on repeats, or the one whose weights have the entropy (nats).
+def entropy_exponent(sums: DataFrame, total: float, entropy: float) -> float:
+    """The t in 0..1 whose weights have the entropy (nats); a target out of reach gives the nearer end.
 
-    Both fall as t grows, so either is bisected; a target out of reach gives the nearer end.
+    Entropy falls as t grows.  Each pass cuts the interval into GRID + 1 parts by sums over the sources, so that no list
+    of sources is brought to the driver.
     """
-    filled = {s: n for s, n in tokens.items() if n > 0}
-    if len(filled) < 2:
-        return 1.0
-
-    def above(t: float) -> bool:
-        w = weights(filled, t)
-        if entropy is not None:
-            return -sum(x * log(x) for x in w.values()) > entropy
-        most = [w[s] / n for s, n in filled.items()]
-        return max(most) / min(most) > repeats
-
     lo, hi = 0.0, 1.0
-    if not above(lo):
-        return lo
-    for _ in range(STEPS):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if above(mid) else (lo, mid)
+    share = F.col("n") / F.lit(total)
+    for k in range(PASSES):
+        step = (hi - lo) / (GRID + 1)
+        at = [lo + step * i for i in range(0 if k == 0 else 1, GRID + (2 if k == 0 else 1))]
+        row = sums.agg(*[x for i, t in enumerate(at) for x in (F.sum(F.pow(share, F.lit(t))).alias(f"z{i}"), F.sum(F.pow(share, F.lit(t)) * F.log(share) * t).alias(f"e{i}"))]).first()
+        of = [float(log(row[f"z{i}"]) - row[f"e{i}"] / row[f"z{i}"]) for i in range(len(at))]
+        above = [t for t, h in zip(at, of) if h > entropy]
+        if k == 0 and not above:
+            return 0.0
+        if k == 0 and len(above) == len(at):
+            return 1.0
+        lo, hi = max([lo, *above]), min([hi, *(t for t, h in zip(at, of) if h <= entropy)])
     return hi
 
 
@@ -65,38 +67,53 @@ def token_count(text: Column) -> Column:
     return F.greatest(F.size(F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")), F.lit(1)).cast("bigint")
 
 
-def mix(docs: DataFrame, budget: int | None = None, repeats: float | None = REPEATS, entropy: float | None = None, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """doc_id, source, n_tokens, block, place and epoch of every document drawn: a row for each time it is drawn.
-
-    ``docs`` are doc_id, text and source; other columns are not read.  A null source is the source ''.  Null and
-    blank texts count one token.  Rows that repeat a doc_id are drawn each; null doc_ids are drawn like any other.
-    The sums of tokens by source are brought to the driver: one row a source, not a row a document.  An empty table
-    gives no row.
+def plan(sums: DataFrame, budget: int | None, repeats: float | None, entropy: float | None, block: int) -> DataFrame:
+    """source, epochs (how often its documents are drawn on average) and blocks, from source, n (tokens, above 0) and rows."""
+    seen = sums.agg(F.count(F.lit(1)).alias("sources"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("total")).first()
+    total = float(seen["total"] or 1)
+    if seen["sources"] < 2:
+        t = 1.0
+    elif entropy is not None:
+        t = entropy_exponent(sums, total, entropy)
+    else:
+        t = repeats_exponent(seen["least"], seen["most"], repeats)
+    # a source is seen in proportion to its tokens to the power t - 1; without a budget the largest, seen least, is seen once
+    rate = F.pow(F.col("n") / F.lit(float(seen["most"] or 1)), F.lit(t - 1))
+    if budget is not None:
+        rate = rate * budget / F.lit(sums.agg(F.sum(F.col("n") * rate).alias("x")).first()["x"])
+    return sums.select("source", rate.alias("epochs"), F.greatest(F.ceil(F.col("rows") / block), F.lit(1)).cast("int").alias("blocks"))
+
+
+def mix(docs: DataFrame, budget: int | None = None, repeats: float | None = REPEATS, entropy: float | None = None, block: int = BLOCK, seed: str = SEED, carry: bool = False) -> DataFrame:
+    """doc_id, source, n_tokens, block, place and epoch of every document drawn: a row for each time it is drawn; with ``carry`` also row, the whole row of ``docs``.
+
+    ``docs`` are doc_id, text and source; other columns are not read but for ``carry``.  A null source is the source ''.
+    Null and blank texts count one token.  Rows that repeat a doc_id are drawn each; null doc_ids are drawn like any
+    other.  An empty table gives no row.
     """
-    spark = docs.sparkSession
-    source = F.coalesce("source", F.lit(""))
-    with Scratch(spark) as scratch:
-        counted = scratch.save(docs.select("doc_id", source.alias("source"), token_count(F.col("text")).alias("n_tokens")), "counted", keep=True)
-    seen = {r["source"]: (r["n"], r["rows"]) for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
-    tokens = {s: n for s, (n, _) in seen.items()}
-    w = weights(tokens, exponent(tokens, repeats, entropy)) if tokens else {}
-    total = max((n / w[s] for s, n in tokens.items()), default=0.0) if budget is None else float(budget)
-    plan = spark.createDataFrame([(s, w[s] * total / n, max(1, -(-seen[s][1] // block))) for s, n in tokens.items()], "source string, epochs double, blocks int")
+    counted = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), token_count(F.col("text")).alias("n_tokens"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    with Scratch(docs.sparkSession) as scratch:
+        if not carry:
+            counted = scratch.save(counted, "counted", keep=True)
+        sums = scratch.save(counted.groupBy("source").agg(F.sum("n_tokens").cast("double").alias("n"), F.count(F.lit(1)).alias("rows")), "sums")
+        # written, so that Spark knows its size: small plans are broadcast, others joined by source, where Spark splits hot ones
+        planned = scratch.save(plan(sums, budget, repeats, entropy, block), "plan", keep=True)
     # the length is part of what is hashed, so that rows that share an id, or have none, spread over blocks too
     hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("n_tokens").cast("string")))
-    # one row a source: it goes to every task where it is small; beyond that the join is by source and Spark splits hot ones
-    plan = F.broadcast(plan) if len(tokens) <= BROADCAST_SOURCES else plan
-    placed = counted.join(plan, "source").withColumn("order", hashed)
-    placed = placed.withColumn("block", F.pmod(F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint"), F.col("blocks")).cast("int"))
+    number = lambda start: F.conv(F.substring("order", start, 8), 16, 10).cast("bigint")
+    placed = counted.join(planned, "source").withColumn("order", hashed)
+    placed = placed.withColumn("block", F.pmod(number(1), F.col("blocks")).cast("int"))
     by = W.partitionBy("source", "block")
     running = by.orderBy("order", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
     summed = placed.select("*", F.row_number().over(by.orderBy("order", "doc_id", "n_tokens")).alias("place"), F.sum("n_tokens").over(running).alias("upto"), F.sum("n_tokens").over(by).alias("of_block"))
     # whole epochs, and one more for the documents that the rest of the block's budget reaches
     whole = F.floor(F.col("epochs") + 1e-9)
     rest = (F.col("epochs") - whole) * F.col("of_block")
-    times = (whole + F.when(F.col("upto") <= rest + 1e-6, 1).otherwise(0)).cast("int")
+    left = rest - (F.col("upto") - F.col("n_tokens"))
+    crossing = (left > 1e-6) & (number(9) * F.col("n_tokens") < left * float(1 << 32))
+    times = (whole + F.when((F.col("upto") <= rest + 1e-6) | crossing, 1).otherwise(0)).cast("int")
     drawn = summed.withColumn("times", times).filter("times > 0")
-    return drawn.select("doc_id", "source", "n_tokens", "block", "place", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("epoch"))
+    return drawn.select("doc_id", "source", "n_tokens", "block", "place", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("epoch"), *(["row"] if carry else []))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +140,7 @@ summed AS (
          sum(n_tokens) OVER (PARTITION BY source, block)::BIGINT AS of_block
   FROM blocked)
 SELECT doc_id, source, n_tokens, block, place,
-       unnest(range(1, 1 + (floor(epochs + 1e-9) + CASE WHEN upto <= (epochs - floor(epochs + 1e-9)) * of_block + 1e-6 THEN 1 ELSE 0 END)::INT))::INT AS epoch
-FROM summed
+       unnest(range(1, 1 + (floor(epochs + 1e-9) + CASE WHEN upto <= rest + 1e-6 THEN 1 WHEN rest - (upto - n_tokens) > 1e-6
+         AND ('0x' || h[9:16])::BIGINT * n_tokens < (rest - (upto - n_tokens)) * 4294967296.0 THEN 1 ELSE 0 END)::INT))::INT AS epoch
+FROM (SELECT *, (epochs - floor(epochs + 1e-9)) * of_block AS rest FROM summed)
 """
