@@ -21,15 +21,18 @@ ROUNDS = 200
 FALSE_ALARM, SEEN = 0.003, (0.1, 0.6)
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and counts of each row's text; all 0 for null, empty and blank texts."""
+def base_counts(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id and counts of each row's text; all 0 for null, empty and blank texts.  With ``carry``, row is the whole row of ``docs``."""
     spaces = f"[{SPACE}]+"
     text = F.coalesce("text", F.lit(""))
-    step = docs.select("doc_id", text.alias("text"), F.split(text, spaces).alias("w"), F.split(text, "\n").alias("l"))
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    also = ["row"] if carry else []
+    step = docs.select("doc_id", text.alias("text"), F.split(text, spaces).alias("w"), F.split(text, "\n").alias("l"), *row)
     # split leaves an empty first (last) word where the text starts (ends) with white space
-    step = step.select("doc_id", "text", F.filter("w", lambda x: x != "").alias("w"), F.filter("l", lambda x: x.rlike(f"[^{SPACE}]")).alias("l"))
+    step = step.select("doc_id", "text", *also, F.filter("w", lambda x: x != "").alias("w"), F.filter("l", lambda x: x.rlike(f"[^{SPACE}]")).alias("l"))
     step = step.select(
         "doc_id",
+        *also,
         "w",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -116,14 +119,14 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[flo
     return good, chance, post
 
 
-def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, counts, votes, base_failed, posterior and kept for each row of ``docs`` (doc_id, text).
+def quality(docs: DataFrame, threshold: float = 0.5, carry: bool = False) -> DataFrame:
+    """doc_id, counts, votes, base_failed, posterior and kept for each row of ``docs`` (doc_id, text); with ``carry`` also row, the whole row.
 
     Null, empty and blank texts have no words and so fail the base rules.  Repeated rows and null doc_ids are
     judged like any other; other columns are not read.  An empty table gives no row.
     """
     with Scratch(docs.sparkSession) as scratch:
-        counts = scratch.save(base_counts(docs.select("doc_id", "text")), "counts", keep=True)
+        counts = scratch.save(base_counts(docs if carry else docs.select("doc_id", "text"), carry), "counts", keep=True)
     vote = votes()
     voted = counts.select("*", F.array(*[vote[r].cast("int") for r in RULES]).alias("votes"))
     seen = voted.groupBy("votes").count().collect()  # 3 ** len(RULES) rows at most
