@@ -38,5 +38,46 @@ def test_stages_follow_each_other(spark):
     assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
 
 
+def prose(k, n=80):
+    rng = np.random.default_rng(k)
+    return " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(n)) + "."
+
+
+def test_rows_that_share_or_lack_an_id(spark):
+    """Nothing is lost that a stage did not reject, and no row is multiplied."""
+    texts = [prose(k) for k in range(8)]
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, component int, n int"
+    of = lambda i, t, s="web": (i, t, "en", s, len(t or ""), "x", 7, 3)
+    rows = [of(1, texts[0]), of(1, texts[0]), of(1, texts[1]), of(None, texts[2]), of(None, texts[3]), of(None, texts[3]), of(2, texts[4]), of(3, texts[4]), of(None, texts[4])]
+    rows += [of(4, texts[5], None), of(5, None), of(5, ""), of(None, None), of(6, "short"), of(7, texts[6] + " " + "same line\n" * 300)]
+    docs = spark.createDataFrame(rows, columns).repartition(4)
+    (_, rules), (_, near), (_, clean), (_, mix), _ = corpus_pipeline.STAGES
+    key = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    kept = rules(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    want = Counter((r[0], r[1]) for r in rows[:10])
+    assert key(kept) == want
+    # without the rules: equal rows and equal texts leave one row, of the smallest id; rows without words are in no group
+    out = near(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    one = Counter({(1, texts[0]): 1, (1, texts[1]): 1, (None, texts[2]): 1, (None, texts[3]): 1, (2, texts[4]): 1, (4, texts[5]): 1})
+    rest = Counter((r[0], r[1]) for r in rows[10:])
+    assert key(out) == one + rest
+    assert key(clean(spark, docs, SMALL)) == Counter((r[0], r[1]) for r in rows)
+    # one source is seen twice at most, the others' rows once each
+    drawn = key(mix(spark, docs, SMALL))
+    assert all(n <= drawn[k] <= 2 * n for k, n in Counter((r[0], r[1]) for r in rows).items()) and set(drawn) == {(r[0], r[1]) for r in rows}
+    assert all(drawn[k] == n for k, n in Counter((r[0], r[1]) for r in rows if r[3] == "web").items())
+
+
+def test_contaminated_rows_go_alone(spark):
+    """Of rows that share an id, or lack one, only those with a benchmark passage go."""
+    (item,) = spark.read.parquet(f"{SMALL}/benchmark.parquet").filter("text IS NOT NULL").orderBy("item_id").select("text").head(1)
+    rows = [(1, prose(1) + " " + item["text"], "en", "web", 9), (1, prose(2), "en", "web", 9), (None, prose(3) + " " + item["text"], "en", "web", 9), (None, prose(4), "en", "web", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.decontamination_stage(spark, docs, SMALL).collect()
+    assert sorted(r["text"] for r in out) == sorted([rows[1][1], rows[3][1]])
+
+
 def test_stage_list():
     assert len(corpus_pipeline.STAGES) == 5
