@@ -2,18 +2,22 @@
 
 Found values are validated (check digit, ranges, calendar), then permuted under a key within the set of values of
 their format: a card number becomes another valid card number, a date another date, each written like the
-original.  Equal values get equal pseudonyms in all documents, and different values different ones.
+original.  Equal values get equal pseudonyms in all documents, however they are written, and different values
+different ones.
 
-=====  =====================================  ==================================================
+=====  =====================================  ======================================================
 kind   validated                              permuted
-=====  =====================================  ==================================================
-email  shape                                  letters and digits of the name; the domain's labels
+=====  =====================================  ======================================================
+email  shape, name of up to 64 characters     letters and digits of the domain but its last label,
+                                              and those of the name; letters without their case
 ip     four numbers up to 255                 the 32 bits
 card   13 to 19 digits, Luhn                  all but the check digit, which is set anew
-phone  + and 8 to 15 digits, or (3) 3-4       all digits after the country code
-ssn    3-2-4 digits, no void group            all nine digits
+phone  + and 8 to 15 digits, or (3) 3-4       all digits after the country code, which the digits tell
+ssn    3-2-4 digits, no void group            the place among all valid numbers
 date   calendar day, year 1800 to 2199        the day within these 400 years
-=====  =====================================  ==================================================
+=====  =====================================  ======================================================
+
+Patterns take each text in time that grows with its length: what may be repeated without bound is never given back.
 """
 
 from __future__ import annotations
@@ -23,12 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-KEY = "corpus-key-1"
+#: Where the session names the key, and the key of tests and checks, where it names none.
+KEY_SETTING, TEST_KEY = "spark.marquee.pii.key", "corpus-key-1"
 ROUNDS = 8
 KINDS = ("email", "ip", "card", "phone", "ssn", "date")
 _B, _E = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
 PATTERNS = {
-    "email": "[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
+    "email": "(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++){0,126}\\.[A-Za-z]{2,}+",
     "ip": "(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\\.[0-9])",
     "date": _B + "(?:(?:1[89]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\\1(?:1[89]|2[01])[0-9]{2})" + _E,
     "ssn": _B + "[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E + "(?!-[0-9])",
@@ -40,6 +45,8 @@ ANY = "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "ip", "date", "ssn", "pho
 HINT = "@[A-Za-z0-9-]|[0-9][0-9.() -]{5}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"
 _DAYS = 146097  # of 400 years
 _FIRST = "1800-01-01"
+#: Fixed: country codes of one and of two digits; all others have three.
+ONE_DIGIT, TWO_DIGITS = "^[17]", "^(?:20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 
 
 def keyed(parts: list[Column], key: str) -> Column:
@@ -47,7 +54,7 @@ def keyed(parts: list[Column], key: str) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256), 1, 13), 16, 10).cast("bigint")
 
 
-def feistel(value: Column, left: Column, right: Column, tweak: Column, key: str = KEY) -> Column:
+def feistel(value: Column, left: Column, right: Column, tweak: Column, key: str) -> Column:
     """A keyed permutation of 0 .. left * right - 1: each round adds to one half a number made from the other."""
     return F.aggregate(
         F.sequence(F.lit(0), F.lit(ROUNDS - 1)),
@@ -59,7 +66,7 @@ def feistel(value: Column, left: Column, right: Column, tweak: Column, key: str
     )
 
 
-def permute_digits(digits: Column, tweak: str, key: str = KEY) -> Column:
+def permute_digits(digits: Column, tweak: str, key: str) -> Column:
     """Another string of as many digits, 1 to 18."""
     n = F.length(digits)
     power = lambda k: F.concat(F.lit("1"), F.repeat(F.lit("0"), k)).cast("bigint")
@@ -109,13 +116,12 @@ def day_of(value: Column) -> Column:
     return F.try_to_date(iso, "yyyy-MM-dd")
 
 
-def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a valid value of a kind, in the value's own writing."""
     digits = _digits(value)
     body = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), "card", key)
     check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    lead = F.when(value.startswith("+"), F.regexp_extract(value, "^\\+([0-9]{1,3})", 1)).otherwise("")
-    lead = F.when(F.length(lead) > 2, F.substring(lead, 1, 2)).otherwise(lead)
+    lead = F.when(value.startswith("+"), F.substr(digits, F.lit(1), F.when(digits.rlike(ONE_DIGIT), 1).when(digits.rlike(TWO_DIGITS), 2).otherwise(3))).otherwise("")
     phone = F.concat(lead, permute_digits(F.substr(digits, F.length(lead) + 1), "phone", key))
     octet = F.split(value, "\\.")
     number = F.aggregate(octet, F.lit(0).cast("bigint"), lambda a, o: a * 256 + o.cast("bigint"))
@@ -132,34 +138,53 @@ def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
         .when(kind == "date", date)
         .when(kind == "card", _written(value, F.concat(body, check)))
         .when(kind == "phone", _written(value, phone))
-        .when(kind == "ssn", _written(value, permute_digits(digits, "ssn", key)))
+        .when(kind == "ssn", _written(value, permute_ssn(digits, key)))
     )
 
 
-_LOW, _UP, _NUM = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+def permute_ssn(digits: Column, key: str) -> Column:
+    """Another valid number of nine digits: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
+    number = lambda start, n: F.substr(digits, F.lit(start), F.lit(n)).cast("bigint")
+    area = number(1, 3)
+    place = F.when(area > 666, area - 2).otherwise(area - 1) * 99 + number(4, 2) - 1
+    moved = feistel(place * 9999 + number(6, 4) - 1, F.lit(898 * 99).cast("bigint"), F.lit(9999).cast("bigint"), F.lit("ssn"), key)
+    left, serial = F.call_function("div", moved, F.lit(9999)), F.pmod(moved, F.lit(9999)) + 1
+    area, group = F.call_function("div", left, F.lit(99)), F.pmod(left, F.lit(99)) + 1
+    area = F.when(area >= 665, area + 2).otherwise(area + 1)
+    return F.concat(*[F.lpad(x.cast("string"), n, "0") for x, n in ((area, 3), (group, 2), (serial, 4))])
+
+
+_LOW, _NUM = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
-def permute_letters(value: Column, key: str = KEY) -> Column:
-    """Letters and digits of the name and of the domain, except its last label, shifted within their class.
+def permute_letters(value: Column, key: str) -> Column:
+    """Letters and digits of the name, and of the domain except its last label, shifted within their class.
 
-    Two passes, forwards and backwards, each shift a character by a number made from the ones the pass has already
-    written, so every character depends on the whole and the map can be undone with the key.
+    The domain is worked out by itself, so addresses of one domain share theirs; the name's shifts depend on it.  Case
+    takes no part and is put back in the end.  Two passes, forwards and backwards, each shift a character by a number
+    made from the ones the pass has already written, so every character depends on the whole and the map can be undone
+    with the key.
     """
-    end = F.regexp_extract(value, "\\.[A-Za-z]+$", 0)
-    head = F.substr(value, F.lit(1), F.length(value) - F.length(end))
+    low = F.lower(value)
+    name, rest = F.substring_index(low, "@", 1), F.substring_index(low, "@", -1)
+    end = F.regexp_extract(rest, "\\.[a-z]+$", 0)
+    domain = F.substr(rest, F.lit(1), F.length(rest) - F.length(end))
 
-    def one(text: Column, tweak: str) -> Column:
+    def one(text: Column, tweak: Column) -> Column:
         def turn(out: Column, c: Column) -> Column:
-            k = keyed([F.lit(tweak), out], key)
+            k = keyed([tweak, out], key)
             shift = lambda letters: F.substr(F.lit(letters), F.pmod(F.call_function("instr", F.lit(letters), c) - 1 + k, F.lit(len(letters))).cast("int") + 1, F.lit(1))
-            return F.concat(out, F.when(c.rlike("[a-z]"), shift(_LOW)).when(c.rlike("[A-Z]"), shift(_UP)).when(c.rlike("[0-9]"), shift(_NUM)).otherwise(c))
+            return F.concat(out, F.when(c.rlike("[a-z]"), shift(_LOW)).when(c.rlike("[0-9]"), shift(_NUM)).otherwise(c))
 
         return F.aggregate(F.split(text, ""), F.lit(""), turn)
 
-    return F.concat(F.reverse(one(F.reverse(one(head, "forth")), "back")), end)
+    both = lambda text, tweak: F.reverse(one(F.reverse(one(text, F.concat(F.lit("forth/"), tweak))), F.concat(F.lit("back/"), tweak)))
+    written = F.concat(both(name, F.concat(domain, end)), F.lit("@"), both(domain, end), end)
+    cased = F.zip_with(F.split(value, ""), F.split(written, ""), lambda v, w: F.when(v.rlike("[A-Z]"), F.upper(w)).otherwise(w))
+    return F.array_join(cased, "")
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with pseudonyms, and n_<kind> (long) for each row of ``docs`` (doc_id, text; other columns are not read).
 
     A null text stays null, an empty one empty; both have no values.  Values that fail validation are left as they
@@ -167,18 +192,16 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     step = docs.select("doc_id", "text", found.alias("m"))
-    # few texts have values: only these are cut up, and each different value is worked out once
-    kinds = F.transform(F.array_distinct("m"), lambda v: F.struct(v.alias("v"), kind_of(v).alias("k")))
-    step = step.select("doc_id", "text", "m", F.filter(kinds, lambda x: x["k"].isNotNull()).alias("k"))
-    step = step.select("doc_id", "text", "m", "k", F.transform("k", lambda x: F.struct(x["v"].alias("v"), pseudonym(x["v"], x["k"], key).alias("p"))).alias("p"))
-    names = F.map_from_entries("p")
-    named = F.transform("m", lambda v: F.coalesce(F.try_element_at(names, v), v))
+    # few texts have values: only these are cut up
+    step = step.select("doc_id", "text", F.transform("m", lambda v: F.struct(v.alias("v"), kind_of(v).alias("k"))).alias("m"))
+    named = F.transform("m", lambda x: F.when(x["k"].isNull(), x["v"]).otherwise(pseudonym(x["v"], x["k"], key)))
     between = F.split("text", ANY, -1)
-    text = F.when(F.size("p") == 0, F.col("text")).otherwise(F.array_join(F.flatten(F.zip_with(between, named, lambda b, v: F.array(b, F.coalesce(v, F.lit(""))))), ""))
-    kind_of_each = F.transform("m", lambda v: F.try_element_at(F.map_from_entries("k"), v))
-    count = lambda k: F.size(F.filter(kind_of_each, lambda x: x == k)).cast("long").alias(f"n_{k}")
+    text = F.array_join(F.flatten(F.zip_with(between, named, lambda b, v: F.array(b, F.coalesce(v, F.lit(""))))), "")
+    text = F.when(F.exists("m", lambda x: x["k"].isNotNull()), text).otherwise(F.col("text"))
+    count = lambda k: F.size(F.filter("m", lambda x: x["k"] == k)).cast("long").alias(f"n_{k}")
     return step.select("doc_id", text.alias("text"), *map(count, KINDS))
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """With the session's key; a corpus that is to be passed on needs a secret one."""
+    return pseudonymised(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, TEST_KEY))
