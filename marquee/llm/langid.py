@@ -2,7 +2,7 @@
 
 Independent pieces of evidence are added up as log odds over the known languages:
 
-* the text: a naive Bayes model of character trigrams and whole short words, trained on a bounded sample of labelled documents,
+* the text: a naive Bayes model of character trigrams, trained on a bounded sample of labelled documents,
 * the declared language of the markup (the lang attribute of its html element),
 * the address suffix, the last label of the host,
 * the host: how often each language occurs on it, smoothed towards its registered domain and that towards all,
@@ -25,16 +25,39 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .urls import levels, url_parts
 
-#: Documents of each language, and characters of each, that the text model is trained on.
-SAMPLE, SAMPLE_CHARS = 150, 3000
+#: Documents of each language that the text model is trained on, with their whole texts.
+SAMPLE = 150
+#: Code points of a text that are looked up at a time.
+PIECE = 100_000
 BUCKETS = 1 << 15
 #: Weight of one piece of text evidence: neighbouring trigrams tell much the same.
 DAMP = 0.3
-_TAG = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->|<[^>]*>|&[a-zA-Z#0-9]{1,8};", re.S)
+_ENTITY = re.compile(r"&[a-zA-Z#0-9]{1,8};")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def plain_text(html: str) -> str:
-    return _TAG.sub(" ", html)
+    """Text without comments, scripts, styles, tags and entities, each of which leaves a space.
+
+    One pass: a closing mark that is missing once is not looked for again; a tag without end is text.
+    """
+    low, out, at, missing = html.translate(_LOWER), [], 0, set()
+    while (i := low.find("<", at)) >= 0:
+        closer = "-->" if low.startswith("<!--", i) else next((f"</{t}>" for t in ("script", "style") if low.startswith(t, i + 1) and not low[i + 1 + len(t) : i + 2 + len(t)].isalnum()), ">")
+        end = -1
+        for mark in dict.fromkeys((closer, ">")):
+            if end < 0 and mark not in missing:
+                end = low.find(mark, i + 1)
+                if end < 0:
+                    missing.add(mark)
+                else:
+                    end += len(mark)
+        if end < 0:
+            break
+        out.append(html[at:i])
+        at = end
+    out.append(html[at:])
+    return _ENTITY.sub(" ", " ".join(out))
 
 
 def gram_buckets(text: str) -> np.ndarray:
@@ -47,33 +70,45 @@ def gram_buckets(text: str) -> np.ndarray:
     return (h >> np.uint64(64 - 15)).astype(np.int64)
 
 
-def train(samples: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """(languages, log-likelihood of each bucket by language) from (language, text) pairs."""
-    names = sorted({lang for lang, _ in samples})
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for piece in pieces(text or ""):
+                n = np.bincount(gram_buckets(piece), minlength=BUCKETS)
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
+
+
+def pieces(text: str) -> list[str]:
+    """A long text in pieces that share two code points, so that no trigram is lost or counted twice."""
+    return [text[k : k + PIECE + 2] for k in range(0, max(1, len(text) - 2), PIECE)]
+
+
+def train(samples: DataFrame) -> tuple[list[str], np.ndarray]:
+    """(languages, log-likelihood of each bucket by language) from lang and text.
+
+    The driver gets one row a language and bucket.
+    """
+    seen = samples.select("lang", "text").mapInArrow(_counted, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    names = sorted(set(seen["lang"]))
     counts = np.full((max(1, len(names)), BUCKETS), 0.05)
-    for lang, text in samples:
-        np.add.at(counts[names.index(lang)], gram_buckets(text), 1)
+    counts[[names.index(x) for x in seen["lang"]], seen["bucket"].to_numpy(int)] += seen["n"].to_numpy(float)
     logs = np.log(counts / counts.sum(1, keepdims=True))
     # only differences between languages matter
     return names or ["und"], (logs - logs.mean(0)).astype(np.float32)
 
 
-def sample(docs: DataFrame, each: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """Up to ``each`` labelled documents of each language, those of least hash, for training."""
+def sample(docs: DataFrame, each: int = SAMPLE) -> DataFrame:
+    """lang and text of up to ``each`` labelled documents of each language, those of least hash; rows that repeat an id are all taken."""
     from pyspark.sql import Window as W
 
     order = F.xxhash64("doc_id")
     ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", order.alias("o"))
     # a share of the hash space that holds enough of each language is looked at, before anything is sorted
-    rare = ids.groupBy("lang").count().collect()
-    share = {r["lang"]: min(1.0, 4.0 * each / r["count"]) for r in rare}
-    limit = F.lit(0.0)
-    for lang, s in share.items():
-        limit = F.when(F.col("lang") == lang, F.lit(s)).otherwise(limit)
-    some = ids.filter(F.pmod("o", F.lit(1 << 20)) <= limit * (1 << 20))
+    share = ids.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * each / F.count(F.lit(1))).alias("share"))
+    some = ids.join(F.broadcast(share), "lang").filter(F.pmod("o", F.lit(1 << 20)) <= F.col("share") * (1 << 20))
     best = some.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("o", "doc_id"))).filter(F.col("n") <= each)
-    texts = docs.join(F.broadcast(best.select("doc_id").distinct()), "doc_id", "left_semi")
-    return [(r["lang"], r["t"] or "") for r in texts.select("lang", F.substring("text", 1, chars).alias("t")).limit(each * max(1, len(rare)) * 2).collect() if r["lang"]]
+    return docs.join(F.broadcast(best.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
 
 def _scored(names: list[str], logs: np.ndarray, html: bool):
@@ -85,8 +120,8 @@ def _scored(names: list[str], logs: np.ndarray, html: bool):
                 text = batch.column("text")[i].as_py() or ""
                 text = plain_text(text) if html else text
                 total = np.zeros(len(names))
-                for k in range(0, len(text), 100_000):  # long texts in pieces
-                    total += table_[gram_buckets(text[k : k + 100_000])].sum(0)
+                for piece in pieces(text):
+                    total += table_[gram_buckets(piece)].sum(0)
                 out.append(total * DAMP if text.strip() else np.zeros(len(names)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("declared"), batch.column("host"), pa.array(out, pa.list_(pa.float64()))], names=["id", "declared", "host", "score"])
 
