@@ -15,5 +15,14 @@ QUERIES = {
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_secret_scan": secrets.op9_secret_scan,
+    # what SQL can express of operators 1 and 9
+    "quality_base_counts": quality.quality_base_counts,
+    "secret_base_spans": secrets.secret_base_spans,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": mixing.ORACLE_SQL,
+    "op5_url_filter": urls.ORACLE_SQL,
+    "op7_near_duplicates": neardup.ORACLE_SQL,
+    "quality_base_counts": quality.BASE_SQL,
+    "secret_base_spans": secrets.BASE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.ORACLE_SQL, "op7_near_duplicates": neardup.ORACLE_SQL}

@@ -53,3 +53,10 @@ def test_clean_texts_stay_and_junk_goes(documents):
     junk = [(100 + i, "### $$$ *** " * 60 + " ".join(f"x{j}" for j in range(40))) for i in range(6)]
     kept = {r["doc_id"] for r in quality.quality(documents(clean + junk)).filter("kept").collect()}
     assert kept == {i for i, _ in clean}
+
+
+def test_base_columns_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    found, want = quality.quality_base_counts(spark, SMALL), con.sql(quality.BASE_SQL)
+    assert found.columns == want.columns and sorted(map(tuple, found.collect())) == sorted(want.fetchall())
