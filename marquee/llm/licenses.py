@@ -1,44 +1,123 @@
 """Op 10, licence scan (DataFrame functions on all data): trained paragraph classifier with template comparison.
 
 Paragraphs (lines with a word) are classified into licence families, or none, by multinomial logistic regression over
-word unigrams and bigrams.  The model is trained on the templates below, on variants of them with words left out,
-and on paragraphs of a bounded sample of documents as the class without licence; its weights are a small table.
-A temperature is fitted so that held-out variants have calibrated probabilities; below SURE a paragraph is
-'unknown'.  A prediction counts only if it also shares enough of its words with a template of that family.
+word unigrams and bigrams.  The model is trained on the templates below, whole, in pieces as long as a wrapped line and
+with words left out; on ordinary sentences that use words of licences; and on paragraphs of a bounded sample of
+documents, chosen by a hash alone.  Those are unlabelled, so a second fit leaves out the ones that the first takes for
+a licence.  A temperature is fitted on statements worded otherwise than any template, so that probabilities are
+calibrated; below SURE a paragraph is 'unknown'.  A prediction counts only if the paragraph also shares enough of its
+words with a template of that family.
+
+Most paragraphs are never scored: the weights tell which words alone, however many of them and in whatever order, can
+not lift any family above none.  A paragraph without one of the other, telling, words is of class none.
 """
 
 from __future__ import annotations
 
-from math import exp, log
+import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, sampled, table
 
-#: Fixed wording: how texts state each family.
+#: Fixed wording: how licence texts and notices state each family.
 TEMPLATES = {
-    "apache": ("licensed under the apache license version 2.0", "apache license version 2.0 january 2004", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd license", "licensed under the 3 clause bsd license"),
-    "cc-by": ("licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "licensed under cc by sa 4.0", "creative commons attribution sharealike license"),
-    "cc-by-nc": ("licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under cc by nc sa 4.0"),
-    "gpl": ("this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "licensed under the gnu lesser general public license version 2.1"),
-    "mit": ("released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    "mpl": ("this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"),
-    "proprietary": ("all rights reserved", "copyright all rights reserved", "all rights reserved no part of this publication may be reproduced without permission", "confidential and proprietary do not distribute"),
+    "apache": (
+        "Licensed under the Apache License, Version 2.0",
+        "Apache License Version 2.0, January 2004",
+        "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work.",
+    ),
+    "bsd": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed.",
+        "Released under the BSD license",
+        "Licensed under the 3-clause BSD license",
+    ),
+    "cc-by": (
+        "Licensed under CC BY 4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "Licensed under CC BY-SA 4.0",
+        "Creative Commons Attribution-ShareAlike License",
+        "You must give appropriate credit, provide a link to the license, and indicate if changes were made.",
+        "You are free to share, copy and redistribute the material in any medium or format, and to adapt, remix, transform, and build upon the material for any purpose, even commercially.",
+    ),
+    "cc-by-nc": (
+        "Licensed under CC BY-NC 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "Licensed under CC BY-NC-SA 4.0",
+        "NonCommercial: you may not use the material for commercial purposes.",
+    ),
+    "gpl": (
+        "This work is licensed under the GNU General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+        "Licensed under the GNU Lesser General Public License version 2.1",
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    ),
+    "mit": (
+        "Released under the MIT License",
+        "Licensed under the MIT license",
+        "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software.",
+    ),
+    "mpl": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Licensed under the Mozilla Public License version 2.0",
+    ),
+    "proprietary": (
+        "All rights reserved",
+        "Copyright, all rights reserved",
+        "All rights reserved. No part of this publication may be reproduced without permission",
+        "No part of this publication may be stored in a retrieval system or transmitted in any form or by any means without the prior written permission of the publisher.",
+        "Confidential and proprietary, do not distribute",
+        "Unauthorized copying of this file, via any medium, is strictly prohibited.",
+    ),
 }
 FAMILIES = tuple(TEMPLATES)
 NONE = "none"
+#: Ordinary sentences with words of licences: class none.
+ORDINARY = (
+    "You need a license to drive a car in this country", "Admission is free of charge for children under five", "The general public is invited to the meeting", "Version 2.0 of the application was released in May",
+    "Permission to build was granted by the city", "The software is used by many people", "The rights of workers are protected by law", "A copy of the report is available at the office",
+    "Copyright law protects the authors of a work", "The terms of the contract were agreed in writing", "The code is compiled to binary form", "The conditions were difficult and the notice came late",
+    "She has the right to appeal without restriction", "The foundation published the program of the festival", "No warranty was given with the machine", "The document was signed by the following persons",
+    "He studied at MIT and works as a contributor to a newspaper", "The material may be used for many purposes", "The house is reserved for guests", "This list of names is public", "The license of the house was lost in a fire",
+    "Free software was the subject of the talk", "A link to the source is at the end of the page", "In any event the work is done", "The source of the river lies in the mountains",
+)
+#: Statements and sentences in other words, from which nothing is trained but the temperature.
+HELD = {
+    "apache": ("This project is available under version 2.0 of the Apache License", "Distributed under the Apache License 2.0, see the file LICENSE", "The library is Apache License 2.0 licensed"),
+    "bsd": ("This package is distributed under the terms of the BSD license", "Available under a BSD license with three clauses", "BSD licensed: source and binary forms may be redistributed under the conditions below"),
+    "cc-by": ("Text is available under the Creative Commons Attribution 4.0 licence", "Photographs are published under CC BY 4.0", "Creative Commons Attribution 4.0 applies to all pages"),
+    "cc-by-nc": ("Shared under Creative Commons Attribution NonCommercial 4.0", "Lessons are CC BY-NC 4.0", "Available under a CC BY-NC-SA licence"),
+    "gpl": ("This package may be redistributed under the terms of the GNU General Public License", "Covered by the GNU General Public License version 2", "Free software under the GNU GPL: see the GNU General Public License"),
+    "mit": ("This project is licensed under the terms of the MIT license", "Distributed under the MIT License, see the file LICENSE", "Open source under the MIT license"),
+    "mpl": ("The files are covered by the Mozilla Public License 2.0", "Available under the terms of the Mozilla Public License"),
+    "proprietary": ("Copyright 2019 Example Corporation. All rights are reserved.", "All rights reserved by the publisher", "Confidential: copying is strictly prohibited"),
+    NONE: ("The city council granted a fishing license to the club", "He obtained a copy of the film free of charge", "Version 3 of the program will be published next year", "The author gave up all his rights to the work", "Use of the hall is subject to conditions", "The public library is free", "She was given permission to copy the letters", "Their source was a file in the archive", "The material of the coat is reserved for winter", "This notice was distributed to the general public"),
+}
 SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS = 60, 600
 SURE, LIKE = 0.6, 0.6
-STEPS, RATE, DECAY = 300, 1.0, 1e-4
+STEPS, RATE, DECAY = 250, 0.5, 1e-4
+#: Words of a piece of a template, about a line.
+LINE = 12
 #: What separates words here: all but letters, digits and the full stop of a number.
 SPLIT = "[^a-z0-9.]+|\\.(?![0-9])|(?<![0-9])\\."
 
 
 def _words(paragraph: str) -> list[str]:
-    import re
-
     return [w for w in re.split(SPLIT, paragraph.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
 
 
@@ -46,76 +125,108 @@ def grams(words: list[str]) -> list[str]:
     return sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))})
 
 
-Model = tuple[dict[str, list[float]], list[float], float, list[str]]
+def _variants(text: str) -> list[list[str]]:
+    """A template's words whole, in pieces of LINE words, and with each run of a fifth of them left out."""
+    w = _words(text)
+    cut = max(1, len(w) // 5)
+    out = [w, w, w] + [w[i : i + LINE] for i in range(0, len(w) - 5, LINE // 2) if len(w) > LINE]
+    return out + [w[:i] + w[i + cut :] for i in range(0, len(w), cut) if len(w) - cut >= 4]
 
 
-def train(others: list[str]) -> Model:
-    """(weights of each n-gram by class, bias of each class, temperature, telling words); class 0 is NONE.
+def _training() -> list[tuple[int, list[str]]]:
+    rows = [(k, v) for k, family in enumerate(FAMILIES, 1) for text in TEMPLATES[family] for v in _variants(text)]
+    return rows + [(0, _words(x)) for x in ORDINARY for _ in range(4)]
 
-    Telling words are those of templates that the paragraphs without licence never have (of a template without such
-    words, all).
 
-    ``others`` are paragraphs without licence.  Every template is used whole and with each run of a fifth of its
-    words left out; of these variants every third is held out for the temperature.
-    """
-    rows = [(0, _words(p)[:60]) for p in others] + [(0, w) for w in (["the"], ["license"], ["version", "2.0"], ["free", "of", "charge"], ["public"], ["this", "work", "is"])]
-    for k, family in enumerate(FAMILIES, 1):
-        for text in TEMPLATES[family]:
-            words = _words(text)
-            cut = max(1, len(words) // 5)
-            rows += [(k, words)] * 3 + [(k, words[:i] + words[i + cut :]) for i in range(0, len(words), cut) if len(words) - cut >= 4]
-    held, used = rows[::3], [r for i, r in enumerate(rows) if i % 3]
-    known = {g for k, w in rows if k for g in grams(w)}
-    data = [(k, [g for g in grams(w) if g in known]) for k, w in used]
-    # rows without a known n-gram differ by nothing but their class
-    joint: dict[tuple[int, tuple[str, ...]], int] = {}
-    for k, g in data:
-        joint[k, tuple(g)] = joint.get((k, tuple(g)), 0) + 1
-    size, total = len(FAMILIES) + 1, len(data)
-    weight, bias = {g: [0.0] * size for g in known}, [0.0] * size
-    speed = {g: 1e-8 for g in known}
+#: N-grams that the model can have a weight for.
+KNOWN = sorted({g for _, w in _training() for g in grams(w)})
+
+#: Weights of each n-gram by class, bias of each class, temperature, telling words.
+Model = tuple[dict[str, list[float]], list[float], float, list[str]]
+
+
+def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, bias) of a multinomial logistic regression, by gradient descent with a step for each weight."""
+    size = len(FAMILIES) + 1
+    # equal rows are one row that counts as often
+    both, n = np.unique(np.hstack([x, y[:, None]]).astype(np.float32), axis=0, return_counts=True)
+    x, share = np.ascontiguousarray(both[:, :-1]), (n / n.sum()).astype(np.float32)[:, None]
+    truth = np.eye(size, dtype=np.float32)[both[:, -1].astype(int)]
+    w, b = np.zeros((x.shape[1], size), np.float32), np.zeros(size, np.float32)
+    speed = np.full_like(w, 1e-8)
     for _ in range(STEPS):
-        step, lean = {}, [0.0] * size
-        for (k, g), n in joint.items():
-            p = _softmax(_score(weight, bias, g))
-            for c in range(size):
-                d = n / total * (p[c] - (c == k))
-                lean[c] += d
-                for x in g:
-                    step.setdefault(x, [0.0] * size)[c] += d
-        for g, d in step.items():
-            speed[g] += sum(x * x for x in d)
-            weight[g] = [w - RATE * (x / speed[g] ** 0.5 * 0.1 + DECAY * w) for w, x in zip(weight[g], d)]
-        bias = [b - RATE * x for b, x in zip(bias, lean)]
-    best = min((sum(-log(max(1e-12, _softmax([s / t for s in _score(weight, bias, [x for x in grams(w) if x in known])])[k])) for k, w in held), t) for t in (0.5, 0.7, 1.0, 1.5, 2.0, 3.0))
-    common = {w for p in others for w in _words(p)}
-    telling = set()
-    for text in (t for texts in TEMPLATES.values() for t in texts):
-        telling |= {w for w in _words(text) if w not in common and len(w) > 2} or set(_words(text))
-    return weight, bias, best[1], sorted(telling)
-
-
-def _score(weight: dict[str, list[float]], bias: list[float], g) -> list[float]:
-    out = list(bias)
-    for x in g:
-        if x in weight:
-            out = [a + b for a, b in zip(out, weight[x])]
-    return out
-
-
-def _softmax(s: list[float]) -> list[float]:
-    top = max(s)
-    e = [exp(x - top) for x in s]
-    return [x / sum(e) for x in e]
-
-
-def sample_paragraphs(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, most: int = SAMPLE_PARAGRAPHS) -> list[str]:
-    """Up to ``most`` paragraphs of up to ``documents`` documents, 200 of each and 1000 characters of each, that share no pair of words with a template."""
-    some = sampled(docs, documents).select(F.transform(F.slice(F.split("text", "\n", 201), 1, 200), lambda x: F.substring(x, 1, 1000)).alias("lines"))
-    pairs = {g for texts in TEMPLATES.values() for t in texts for g in grams(_words(t)) if " " in g}
-    lines = sorted(line for r in some.collect() for line in r["lines"] or () if line.strip())
-    fit = [x for x in lines if not pairs.intersection(grams(_words(x)))]
-    return fit[:: max(1, len(fit) // most)][:most]
+        d = (_softmax(x @ w + b) - truth) * share
+        step = x.T @ d
+        speed += step * step
+        w -= RATE * (0.1 * step / np.sqrt(speed) + DECAY * w)
+        b -= RATE * d.sum(0)
+    return w.astype(float), b.astype(float)
+
+
+def _softmax(s: np.ndarray) -> np.ndarray:
+    e = np.exp(s - s.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _matrix(rows: list[list[str]]) -> np.ndarray:
+    place = {g: i for i, g in enumerate(KNOWN)}
+    x = np.zeros((len(rows), len(KNOWN)))
+    for i, r in enumerate(rows):
+        x[i, [place[g] for g in r if g in place]] = 1
+    return x
+
+
+def train(others: list[list[str]]) -> Model:
+    """The model; class 0 is NONE.  ``others`` are the n-grams, KNOWN ones at least, of unlabelled paragraphs."""
+    rows = [(k, grams(w)) for k, w in _training()]
+    x, y = _matrix([g for _, g in rows] + others), np.array([k for k, _ in rows] + [0] * len(others))
+    w, b = _fit(x, y)
+    # unlabelled paragraphs that the first fit takes for a licence are left out of the second
+    keep = (np.arange(len(y)) < len(rows)) | (_softmax(x @ w + b)[:, 0] >= 0.5)
+    w, b = _fit(x[keep], y[keep])
+    names = (NONE, *FAMILIES)
+    held = [(names.index(k), t) for k, texts in HELD.items() for t in texts]
+    scores, truth = _matrix([grams(_words(t)) for _, t in held]) @ w + b, [k for k, _ in held]
+    loss = lambda t: -np.log(np.maximum(1e-12, _softmax(scores / t)[np.arange(len(truth)), truth])).sum()
+    temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
+    seen = x[np.arange(len(y)) >= len(rows)].sum(0)
+    return {g: v.tolist() for g, v in zip(KNOWN, w)}, b.tolist(), temperature, telling(w, b, seen)
+
+
+def telling(w: np.ndarray, b: np.ndarray, seen: np.ndarray) -> list[str]:
+    """All words of KNOWN but a set of words from which alone no paragraph can get a family above none.
+
+    The set takes in words from the most common one (``seen``, by n-gram) on, as long as all n-grams made of its words,
+    those that speak for a family counted in full, stay below what separates the family's bias from that of none.
+    """
+    gain = np.maximum(0.0, w[:, 1:] - w[:, :1])
+    room = b[0] - b[1:]
+    of: dict[str, list[int]] = {}
+    for i, g in enumerate(KNOWN):
+        for x in set(g.split(" ")):
+            of.setdefault(x, []).append(i)
+    how_often = {g: seen[i] for i, g in enumerate(KNOWN) if " " not in g}
+    common: set[str] = set()
+    total = np.zeros(len(room))
+    for x in sorted(of, key=lambda x: (-how_often.get(x, 0), x)):
+        more = total + sum(gain[i] for i in of[x] if common.issuperset(set(KNOWN[i].split(" ")) - {x}))
+        if (more < room - 1e-6).all():
+            total = more
+            common.add(x)
+    return sorted(set(of) - common)
+
+
+def sample_paragraphs(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, most: int = SAMPLE_PARAGRAPHS) -> list[list[str]]:
+    """The KNOWN n-grams of up to ``most`` paragraphs, those of least hash, of up to ``documents`` whole documents."""
+    lines = sampled(docs, documents).select(F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    some = lines.withColumn("o", F.xxhash64("line")).orderBy("o", "line").limit(most)
+    known = F.array_intersect(_column_grams(_column_words(F.col("line"))), F.split(F.lit("|".join(KNOWN)), "\\|"))
+    return [r["known"] for r in some.select(known.alias("known")).collect()]
+
+
+def _column_grams(w: Column) -> Column:
+    two = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(w, two))
 
 
 def _column_words(paragraph: Column) -> Column:
@@ -136,9 +247,8 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     hinted = docs.select("doc_id", "row", text.alias("text")).filter(F.arrays_overlap(_column_words(F.col("text")), first))
     lines = hinted.dropDuplicates(["row"]).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     worded = lines.select("doc_id", "row", "paragraph", _column_words(F.col("line")).alias("w")).filter(F.arrays_overlap("w", first))
-    two = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).otherwise(F.array().cast("array<string>"))
     known = docs.sparkSession.createDataFrame([(g, w) for g, w in weight.items()], "gram string, weight array<double>")
-    grams_ = worded.select("row", "paragraph", F.explode(F.array_distinct(F.concat("w", two))).alias("gram"))
+    grams_ = worded.select("row", "paragraph", F.explode(_column_grams(F.col("w"))).alias("gram"))
     # one row a paragraph and n-gram that the model knows; their sums are taken before the shuffle
     scores = grams_.join(known, "gram").groupBy("row", "paragraph").agg(*[F.sum(F.get("weight", F.lit(c))).alias(f"s{c}") for c in range(size)])
     score = F.array(*[(F.col(f"s{c}") + bias[c]) / temperature for c in range(size)])
