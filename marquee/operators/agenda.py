@@ -33,6 +33,11 @@ def search_texts(rows: DataFrame, aliases: str | None = None, shown: bool = True
     return F.concat(out, F.coalesce(F.col(aliases), F.array().cast("array<string>"))) if aliases else out
 
 
+def search_forms(rows: DataFrame, aliases: str | None = None, shown: bool = True) -> Column:
+    """The texts of a search behind each other, with a mark between them that is in no term, folded once; a table may carry it as ``zoek``."""
+    return X.search_form(F.array_join(search_texts(rows, aliases, shown), "\x01"))
+
+
 def _term(term: str) -> str:
     import unicodedata
 
@@ -45,10 +50,11 @@ def matches_search(rows: DataFrame, term: str, aliases: str | None = None) -> Co
     q = _term(term)
     if not q:
         return F.lit(True)
-    # a term without a dash that stands in the title as shown stands in the title or in the maker, which are looked at anyway
-    texts = search_texts(rows, aliases, shown="–" in q)
-    # the texts behind each other, with a mark between them that is in no term, are folded once
-    text = X.search_form(F.array_join(texts, "\x01"))
+    if "zoek" in rows.columns:
+        text = F.concat_ws("\x01", "zoek", X.search_form(F.array_join(aliases, "\x01"))) if aliases else F.col("zoek")
+    else:
+        # a term without a dash that stands in the title as shown stands in the title or in the maker, which are looked at anyway
+        text = search_forms(rows, aliases, shown="–" in q)
     if len(q) <= SHORT_TERM:
         return text.rlike(f"(^|[^\\p{{L}}\\p{{N}}])\\Q{q}\\E")
     return F.contains(text, F.lit(q))
@@ -105,6 +111,21 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy("datum", sort_time(F.col("tijd")), "seq")
 
 
+def places(rows: DataFrame) -> DataFrame:
+    """Adds plaats: the number of a row within its date, in the order of ``in_order``.  No group is larger than a date."""
+    return rows.withColumn("plaats", F.row_number().over(W.partitionBy("datum").orderBy(sort_time(F.col("tijd")), "seq")))
+
+
+def active_filters(choices: DataFrame) -> Column:
+    """How many groups of filters are set: lists (steden, theaters, genres) with something in them, switches that are on, and a date choice (wanneer)."""
+    lists = [F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, 1).otherwise(0) for c in ("steden", "theaters", "genres") if c in choices.columns]
+    flags = [F.coalesce(c, F.lit(False)).cast("int") for c in ("podiumpas", "watchlist", "volVerbergen", "gezienVerbergen", "wanneer") if c in choices.columns]
+    out = F.lit(0)
+    for x in [*lists, *flags]:
+        out = out + x
+    return out
+
+
 def by_date(rows: DataFrame) -> DataFrame:
     """datum, n and the sorted titles of each date.  A date is a heading on a screen: its titles are one value."""
     return rows.groupBy("datum").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct(sort_time(F.col("tijd")).alias("t"), "seq", "titel"))), lambda x: x["titel"]).alias("titels"))
@@ -206,6 +227,37 @@ def watchlist_state(shows: DataFrame, items: DataFrame, today: date) -> DataFram
     return rows.select("sleutel", kind.alias("soort"), label.alias("label"), F.coalesce("door.datum", "niet.datum").alias("eerste"), F.coalesce("vervallen", F.lit(0)).alias("vervallen"), F.coalesce("totaal", F.lit(0)).alias("totaal"))
 
 
+def watchlist_lines(items: DataFrame, groups: DataFrame, shows: DataFrame, today: date) -> DataFrame:
+    """user, groep, soort, eerste, tijd, titel, theaters, plaatsnaam, podiumpas and volgorde of each line of a watchlist.
+
+    items: user, sleutel, titel, maker; groups: user, groep, sleutels (``state.group_watchlist``).  A line takes in the
+    performances of all its keys from today on.  Venues are those where it still takes place, or where it would have,
+    if all is cancelled.  Lines that come first have a date that takes place, then cancelled ones, each by first date;
+    last those that are gone, by title.  Performances are summed up by key before they meet the users' lists.
+    """
+    gone = is_cancelled(F.col("beschikbaarheid"))
+    shown = F.struct("datum", sort_time(F.col("tijd")).alias("t"), "seq", "titel", "maker", "theaterNaam", "podiumpas")
+    of = shows.filter(F.col("datum") >= F.lit(today)).groupBy("sleutel").agg(
+        F.min(F.when(~gone, shown)).alias("door"), F.min(F.when(gone, shown)).alias("niet"), F.collect_set(F.when(~gone, F.col("theaterId"))).alias("v_door"), F.collect_set("theaterId").alias("v_alle")
+    )
+    keys = groups.select("user", "groep", F.explode("sleutels").alias("sleutel"))
+    own = items.groupBy("user", "sleutel").agg(F.min(F.struct("titel", "maker")).alias("eigen"))
+    lines = keys.join(own, ["user", "sleutel"], "left").join(of, "sleutel", "left").groupBy("user", "groep").agg(
+        F.min("door").alias("door"), F.min("niet").alias("niet"), F.flatten(F.collect_list("v_door")).alias("v_door"), F.flatten(F.collect_list("v_alle")).alias("v_alle"), F.min_by("eigen", "sleutel").alias("eigen")
+    )
+    first = F.coalesce("door", "niet")
+    n = F.size(F.array_distinct(F.when(F.col("door").isNotNull(), F.col("v_door")).otherwise(F.col("v_alle"))))
+    more = F.concat(F.lit(" en "), (n - 1).cast("string"), F.when(n == 2, " ander theater").otherwise(" andere theaters"))
+    kind = F.when(F.col("door").isNotNull(), "komend").when(F.col("niet").isNotNull(), "vervallen").otherwise("weg")
+    titled = F.when(first.isNotNull(), X.display_title(first["titel"], first["maker"])).otherwise(X.display_title(F.col("eigen.titel"), F.col("eigen.maker")))
+    out = lines.select(
+        "user", "groep", kind.alias("soort"), first["datum"].alias("eerste"), F.nullif(first["t"], F.lit("99:99")).alias("tijd"), titled.alias("titel"), F.when(first.isNotNull(), n).otherwise(0).alias("theaters"),
+        F.when(first.isNotNull(), F.concat(first["theaterNaam"], F.when(n > 1, more).otherwise(""))).alias("plaatsnaam"), F.col("door.podiumpas").alias("podiumpas"), first["seq"].alias("_seq"),
+    )
+    order = W.partitionBy("user").orderBy(F.when(F.col("soort") == "komend", 0).when(F.col("soort") == "vervallen", 1).otherwise(2), "eerste", sort_time(F.col("tijd")), "_seq", "titel", "groep")
+    return out.withColumn("volgorde", F.row_number().over(order)).drop("_seq")
+
+
 def calendar_text(rows: DataFrame, stamp: Column, product: str = "-//Marquee//NL") -> DataFrame:
     """seq and the calendar file of each performance: two hours long, at 20:00 where the time is unknown."""
     start = F.to_timestamp(F.concat_ws(" ", F.col("datum").cast("string"), F.coalesce("tijd", F.lit("20:00"))), "yyyy-MM-dd HH:mm")

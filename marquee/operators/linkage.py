@@ -64,12 +64,17 @@ def _pieces(text: str, probe: bool) -> Column:
     return F.expr(f"transform({inside}, p -> concat_ws('|', 's', p.n, p.i, substring({text}, p.at + 1, p.len)))")
 
 
+def _shortened(text: str) -> Column:
+    """Blocks for texts within one edit of each other: the text itself, and it without one of its characters."""
+    return F.expr(f"concat(array(concat('e|', {text})), transform(sequence(1, greatest(1, length({text}))), i -> concat('e|', substring({text}, 1, i - 1), substring({text}, i + 1))))")
+
+
 def similar_keys(shows: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     """a, b, deelA, deelB, soort: pairs of keys (two parts or more) that differ in one part, and how.
 
     Pairs that both play only at one and the same venue are left out, and those in ``judged`` (a, b).  Keys meet on the
     parts that they share and on what each kind of difference leaves alike in the other part: the text without year,
-    without article, without addition, or a third of it.  So keys that share a part, however many, are not compared all
+    without article, without addition, without one character, or a third of it.  So keys that share a part, however many, are not compared all
     with all.
     """
     none = F.array().cast("array<string>")
@@ -78,7 +83,9 @@ def similar_keys(shows: DataFrame, judged: DataFrame | None = None) -> DataFrame
     parts = keys.select("sleutel", "v1", "v2", F.explode("delen").alias("deel"), "delen", F.size("delen").alias("n"))
     parts = parts.withColumns({"rest": F.array_join(F.filter("delen", lambda d: d != F.col("deel")), " | "), "dicht": F.regexp_replace("deel", "\\s+", "")})
     same = F.array(F.concat(F.lit("j|"), X.squeeze(F.regexp_replace("deel", YEAR_OR_EDITION, " "))), F.concat(F.lit("l|"), F.regexp_replace("deel", ARTICLE, "")))
-    spelled = lambda probe: F.when((F.length("deel") >= 5) & (F.length("dicht") >= 3), _pieces("dicht", probe)).otherwise(none)
+    # one edit apart (the shorter part below ten characters): what is left without one character; two edits apart: a third
+    near = F.when((F.length("deel") >= 5) & (F.length("dicht") <= 10), _shortened("dicht")).otherwise(none)
+    spelled = lambda probe: F.concat(near, F.when((F.length("deel") >= 10) & (F.length("dicht") >= 3), _pieces("dicht", probe)).otherwise(none))
     shorter = F.when(F.col("deel").rlike(ADDITION), F.array(F.concat(F.lit("t|"), F.regexp_replace("deel", ADDITION, "")))).otherwise(none)
     laid = parts.select("rest", "n", F.struct("sleutel", "deel", "v1", "v2").alias("x"), F.explode(F.array_distinct(F.concat(same, F.array(F.concat(F.lit("t|"), "deel")), spelled(False)))).alias("blok"))
     sought = parts.select("rest", "n", F.struct("sleutel", "deel", "v1", "v2").alias("y"), F.explode(F.array_distinct(F.concat(same, shorter, spelled(True)))).alias("blok"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -99,6 +100,13 @@ def shared_seen(items: DataFrame, live: DataFrame) -> DataFrame:
     )
 
 
+def in_seen_order(items: DataFrame, by_rating: bool = False) -> DataFrame:
+    """Adds plaats: seen items of a user by last visit, newest first (without one by the instant they were added, ``op``), or by rating before that."""
+    at = F.coalesce(F.col("laatsteBezoek").cast("timestamp"), F.timestamp_millis(F.coalesce("op", F.lit(0).cast("bigint"))))
+    rating = [F.coalesce("beoordeling", F.lit(0.0)).desc()] if by_rating else []
+    return items.withColumn("plaats", F.row_number().over(W.partitionBy("user").orderBy(*rating, at.desc(), "sleutel")))
+
+
 def last_action(items: DataFrame, deletes: DataFrame, columns: tuple[str, ...] = ("op", "gewijzigd", "beoordeeldOp")) -> DataFrame:
     """user and stand: the last instant of any action on a list."""
     zero = F.lit(0).cast("bigint")

@@ -39,13 +39,13 @@ def counts(venues: DataFrame, shows: DataFrame) -> DataFrame:
 
 
 def replace_blocks(text: Column, blocks: dict[str, Column]) -> Column:
-    """Text between ``<!-- name -->`` and ``<!-- /name -->`` replaced; a marker that is missing or there twice is an error."""
+    """Text between ``<!-- AUTO:name:start -->`` and ``<!-- AUTO:name:end -->`` replaced; a marker that is missing, there twice or behind its end is an error."""
     out = text
     for name, body in blocks.items():
-        start, end = f"<!-- {name} -->", f"<!-- /{name} -->"
+        start, end = f"<!-- AUTO:{name}:start -->", f"<!-- AUTO:{name}:end -->"
         once = lambda m, t: (F.length(t) - F.length(F.replace(t, F.lit(m)))) == len(m)
         fine = once(start, out) & once(end, out) & (F.instr(out, start) < F.instr(out, end))
-        made = F.concat(F.substring_index(out, start, 1), F.lit(start + "\n"), body, F.lit("\n" + end), F.substring_index(out, end, -1))
+        made = F.concat(F.substring_index(out, start, 1), F.lit(start + "\n"), X.strip(body), F.lit("\n" + end), F.substring_index(out, end, -1))
         out = F.when(fine, made).otherwise(F.raise_error(F.lit(f"marker {name}")).cast("string"))
     return out
 

@@ -44,12 +44,15 @@ def search_names(searches: DataFrame, profiles: DataFrame, blocks: DataFrame, mo
     """zoek, gebruikersnaam, naam, plaats: up to ``most`` findable people of exactly the searched name for each search.
 
     searches: zoek, uid, naam; profiles: uid, gebruikersnaam, naam, vindbaar.  Not oneself, and nobody with a block
-    in either direction.
+    in either direction.  A searcher passes over no more people than there are blocks with them, and themselves: so of
+    each name only so many of its first people meet the searches, however common the name.
     """
+    both = _both(blocks).distinct()
+    over = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
     asked = searches.select("zoek", F.col("uid").alias("a"), name_key(F.col("naam")).alias("k")).filter("k is not null")
-    there = profiles.filter("vindbaar").select(F.col("uid").alias("b"), "gebruikersnaam", "naam", name_key(F.col("naam")).alias("k"))
-    rows = asked.join(there, "k").filter("a <> b")
-    rows = rows.join(blocks.select("a", "b").distinct(), ["a", "b"], "left_anti").join(blocks.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct(), ["a", "b"], "left_anti")
+    there = profiles.filter("vindbaar").select(F.col("uid").alias("b"), "gebruikersnaam", "naam", name_key(F.col("naam")).alias("k")).filter("k is not null")
+    there = there.withColumn("_n", F.row_number().over(W.partitionBy("k").orderBy("gebruikersnaam", "b"))).filter(F.col("_n") <= most + 1 + over).drop("_n")
+    rows = asked.join(there, "k").filter("a <> b").join(both, ["a", "b"], "left_anti")
     place = F.row_number().over(W.partitionBy("zoek").orderBy("gebruikersnaam", "b"))
     return rows.withColumn("plaats", place).filter(F.col("plaats") <= most).select("zoek", "gebruikersnaam", "naam", "plaats")
 

@@ -78,20 +78,10 @@ def key_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans of two venues as visits."""
+    """Every performance as a plan, and the plans as visits."""
     rows = read_shows(spark, sf_dir)
-    return _visits(rows.filter("theaterId in ('v1', 'v2')"), rows)
-
-
-def plan_visits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``plan_visits`` with every performance as a plan."""
-    rows = read_shows(spark, sf_dir)
-    return _visits(rows, rows)
-
-
-def _visits(planned: DataFrame, rows: DataFrame) -> DataFrame:
     odd = F.substring("seq", 10, 1).cast("int") % 2 == 0
-    plans = planned.select(F.col("seq").alias("plan"), F.when(odd, F.col("seq")).alias("seq"), "theaterId", "datum", "tijd", F.lit("Oud").alias("titel"), F.lit("Wie").alias("maker"), F.lit("Dans").alias("genre"), F.lit("Stad").alias("stad"), F.lit(None).cast("boolean").alias("podiumpas"))
+    plans = rows.select(F.col("seq").alias("plan"), F.when(odd, F.col("seq")).alias("seq"), "theaterId", "datum", "tijd", F.lit("Oud").alias("titel"), F.lit("Wie").alias("maker"), F.lit("Dans").alias("genre"), F.lit("Stad").alias("stad"), F.lit(None).cast("boolean").alias("podiumpas"))
     return LI.visit_of(plans, rows)
 
 
@@ -149,7 +139,7 @@ def card_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nightly_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole refresh on half of the lines as the run and the other half as what was there before."""
-    rows = read_shows(spark, sf_dir).drop("norm", "sleutel", "vorm").withColumn("beschrijving", F.lit(None).cast("string"))
+    rows = read_shows(spark, sf_dir).drop("norm", "sleutel", "vorm", "zoek").withColumn("beschrijving", F.lit(None).cast("string"))
     odd = F.substring("seq", 10, 1).cast("int") % 2
     venues = rows.select("theaterId").distinct().withColumn("error", F.when(F.col("theaterId") == "v3", "stuk")).filter("theaterId <> 'v4'")
     out, _ = N.refresh(rows.filter(odd == 0), rows.filter(odd == 1), venues, N.Lists(), DAY)
@@ -159,7 +149,7 @@ def nightly_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        title_convention, title_from_two_lines, titles_swapped, order_by_slug, favourites_migrated, favourites_moved, key_upgrade, plan_visits, plan_visits_whole, last_actions, venue_view, venue_report, report_counts, paged_listing,
+        title_convention, title_from_two_lines, titles_swapped, order_by_slug, favourites_migrated, favourites_moved, key_upgrade, plan_visits, last_actions, venue_view, venue_report, report_counts, paged_listing,
         place_routing, card_dates, nightly_refresh,
     )
 }
@@ -189,7 +179,7 @@ SELECT DISTINCT length(titel)::INT AS "user", CASE WHEN titel NOT IN (FROM a) AN
 SELECT id, CASE WHEN v >= 4 OR (m AND th IS NULL) THEN 'oud' WHEN m THEN th || '::medusa' ELSE array_to_string({sql_parts("p_name || ' 8+'")}, ' | ') END AS sleutel, 4::INT AS v FROM i WHERE NOT (v < 4 AND m AND th IS NULL AND op = 0)""",
     "plan_visits": SHOW_SQL
     + """SELECT seq AS plan, theaterId, datum, tijd, CASE WHEN substr(seq, 10, 1)::INT % 2 = 1 THEN 'Oud – Wie' WHEN maker IS NULL OR contains(' ' || norm || ' ', ' ' || trim(regexp_replace(strip_accents(lower(maker)), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ') THEN titel ELSE titel || ' – ' || maker END AS titel,
- CASE WHEN substr(seq, 10, 1)::INT % 2 = 1 THEN 'Wie' ELSE coalesce(maker, 'Wie') END AS maker, CASE WHEN substr(seq, 10, 1)::INT % 2 = 1 THEN 'Dans' ELSE coalesce(genre, 'Dans') END AS genre, CASE WHEN substr(seq, 10, 1)::INT % 2 = 1 THEN 'Stad' ELSE stad END AS stad, CASE WHEN substr(seq, 10, 1)::INT % 2 = 0 THEN coalesce(podiumpas, false) END AS podiumpas FROM perf WHERE theaterId IN ('v1', 'v2')""",
+ CASE WHEN substr(seq, 10, 1)::INT % 2 = 1 THEN 'Wie' ELSE coalesce(maker, 'Wie') END AS maker, CASE WHEN substr(seq, 10, 1)::INT % 2 = 1 THEN 'Dans' ELSE coalesce(genre, 'Dans') END AS genre, CASE WHEN substr(seq, 10, 1)::INT % 2 = 1 THEN 'Stad' ELSE stad END AS stad, CASE WHEN substr(seq, 10, 1)::INT % 2 = 0 THEN coalesce(podiumpas, false) END AS podiumpas FROM perf""",
     "last_actions": """SELECT user_id AS "user", max(CASE WHEN event_type = 'view' AND event_id % 3 = 0 THEN event_id * 2 ELSE event_id END) AS stand FROM events WHERE event_type IN ('view', 'error') GROUP BY 1""",
     "venue_report": SHOW_SQL
     + f""", {_VENUES}, c AS (SELECT theaterId, count(*) FILTER (podiumpas) AS ja, count(*) FILTER (NOT podiumpas) AS nee, count(*) FILTER (podiumpas IS NULL) AS onb FROM perf WHERE theaterId <> 'v6' GROUP BY 1),
@@ -202,6 +192,3 @@ SELECT p_partkey, CASE k WHEN 5 THEN NULL WHEN 1 THEN 'ainsi' ELSE 'huis' END AS
     "card_dates": """SELECT p_partkey, p_partkey || 'a' AS entry, p_name AS titel, p_brand AS maker, NULL::VARCHAR AS genre, 12.5::DOUBLE AS prijs, unnest(['wo 9 sep', 'do 10 sep']) AS dag, '20:15' AS tijd, unnest(['beschikbaar', 'uitverkocht']) AS beschikbaarheid FROM part
 UNION ALL SELECT p_partkey, p_partkey || 'b', 'Los', NULL, NULL, NULL, 'ma 1 okt', '09:00', 'wachtlijst' FROM part""",
 }
-
-#: The same without the bound on rows.
-ORACLE_SQL["plan_visits_whole"] = ORACLE_SQL["plan_visits"].replace(" WHERE theaterId IN ('v1', 'v2')", "")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.agenda import search_forms
 from ..storage import new_folder
 
 TODAY = "1998-02-10"
@@ -50,7 +51,7 @@ JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionke
 
 
 def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table with ``norm`` (normal title), ``sleutel`` (production key) and ``vorm`` (form key)."""
+    """The fact table with ``norm`` (normal title), ``sleutel`` (production key), ``vorm`` (form key) and ``zoek`` (what a search looks at)."""
     tables = {name: table(spark, sf_dir, name) for name in ("lineitem", "part", "supplier", "nation", "region")}
     source = _BASE.format(s="string")
     for name in tables:
@@ -58,7 +59,7 @@ def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(source, **tables).withColumn("_ruim", X.wide_title(F.col("titel")))
     bound = F.col("_ruim").isin(*X.VENUE_BOUND_TITLES)
     key = F.when(bound, F.concat("theaterId", F.lit("::"), "_ruim")).otherwise(F.col("_ruim"))
-    return rows.select("*", X.normal_title(F.col("titel")).alias("norm"), key.alias("sleutel"), X.form_key(F.col("titel")).alias("vorm")).drop("_ruim")
+    return rows.select("*", X.normal_title(F.col("titel")).alias("norm"), key.alias("sleutel"), X.form_key(F.col("titel")).alias("vorm"), search_forms(rows).alias("zoek")).drop("_ruim")
 
 
 _written: dict[tuple[str, str], str] = {}

@@ -61,21 +61,12 @@ def friend_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searches of some customers."""
-    return _name_search(spark, sf_dir, "c_custkey < 120")
-
-
-def name_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``name_search`` with every customer as searcher."""
-    return _name_search(spark, sf_dir, "true")
-
-
-def _name_search(spark: SparkSession, sf_dir: str, who: str) -> DataFrame:
+    """Every customer as a searcher; they share ten names."""
     friends, blocks, _ = _edges(spark, sf_dir)
     c = table(spark, sf_dir, "customer")
     name = F.concat(F.lit("Ánna  de Vries-"), _u(F.col("c_custkey") % 10))
     profiles = c.select(_u(F.col("c_custkey")).alias("uid"), F.concat(F.lit("u"), F.lpad(_u(F.col("c_custkey")), 6, "0")).alias("gebruikersnaam"), name.alias("naam"), (F.col("c_custkey") % 3 != 0).alias("vindbaar"))
-    searches = c.filter(who).select(F.col("c_custkey").alias("zoek"), _u(F.col("c_custkey")).alias("uid"), F.concat(F.lit("anna de vries "), _u(F.col("c_custkey") % 12)).alias("naam"))
+    searches = c.select(F.col("c_custkey").alias("zoek"), _u(F.col("c_custkey")).alias("uid"), F.concat(F.lit("anna de vries "), _u(F.col("c_custkey") % 12)).alias("naam"))
     return G.search_names(searches, profiles, blocks)
 
 
@@ -163,7 +154,7 @@ def budget_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        request_outcome, accepted_friends, requests_after_block, friend_counts, name_search, name_search_whole, link_state, invitation_reason, invitation_state, username_claims, with_whom, shared_items, account_removed,
+        request_outcome, accepted_friends, requests_after_block, friend_counts, name_search, link_state, invitation_reason, invitation_state, username_claims, with_whom, shared_items, account_removed,
         rule_violations, budget_action,
     )
 }
@@ -177,7 +168,7 @@ SELECT k, van, naar, CASE WHEN van = naar THEN 'zelf' WHEN (van, naar) IN (SELEC
     "requests_after_block": EDGES_SQL + "SELECT van, naar FROM requests WHERE (van, naar) NOT IN (SELECT (a, b) FROM blocks UNION SELECT (b, a) FROM blocks)",
     "friend_counts": EDGES_SQL + """, m AS (SELECT a, count(*) AS n FROM friends WHERE (b, a) IN (SELECT (a, b) FROM friends) GROUP BY 1), o AS (SELECT naar, count(*) AS n FROM requests GROUP BY 1)
 SELECT coalesce(a, naar) AS uid, coalesce(m.n, 0) AS vrienden, coalesce(o.n, 0) AS verzoeken FROM m FULL JOIN o ON a = naar""",
-    "name_search": EDGES_SQL + """, j AS (SELECT s.c_custkey AS zoek, p.c_custkey AS b FROM customer s JOIN customer p ON s.c_custkey % 12 = p.c_custkey % 10 AND p.c_custkey % 3 <> 0 AND p.c_custkey <> s.c_custkey WHERE s.c_custkey < 120 AND (s.c_custkey::VARCHAR, p.c_custkey::VARCHAR) NOT IN (SELECT (a, b) FROM blocks UNION SELECT (b, a) FROM blocks)),
+    "name_search": EDGES_SQL + """, j AS (SELECT s.c_custkey AS zoek, p.c_custkey AS b FROM customer s JOIN customer p ON s.c_custkey % 12 = p.c_custkey % 10 AND p.c_custkey % 3 <> 0 AND p.c_custkey <> s.c_custkey WHERE (s.c_custkey::VARCHAR, p.c_custkey::VARCHAR) NOT IN (SELECT (a, b) FROM blocks UNION SELECT (b, a) FROM blocks)),
 r AS (SELECT *, row_number() OVER (PARTITION BY zoek ORDER BY b) AS k FROM j) SELECT zoek, 'u' || lpad(b::VARCHAR, 6, '0') AS gebruikersnaam, 'Ánna  de Vries-' || (b % 10) AS naam, k::INT AS plaats FROM r WHERE k <= 10""",
     "link_state": EDGES_SQL + """, l AS (SELECT event_id AS t, (user_id % 120)::VARCHAR AS van, CASE WHEN event_id % 9 <> 0 THEN ts END AS c FROM events WHERE event_id % 3 = 0), o AS (SELECT event_id, event_id % 10 = 0 AS kort, event_id - event_id % 3 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS t, (event_id % 120)::VARCHAR AS uid FROM events WHERE event_id % 3 <> 0)
 SELECT event_id, CASE WHEN kort OR van IS NULL THEN 'ongeldig' WHEN van = uid THEN 'eigen' WHEN c IS NOT NULL AND TIMESTAMP '2024-01-09 12:00:00' >= c + INTERVAL 7 DAY THEN 'verlopen' WHEN (uid, van) IN (SELECT (a, b) FROM friends) THEN 'vrienden' WHEN (uid, van) IN (SELECT (a, b) FROM blocks) THEN 'jij-blokkeert' ELSE 'ok' END AS status FROM o LEFT JOIN l USING (t)""",
@@ -195,6 +186,3 @@ r AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY sleutel) AS k FR
 UNION ALL SELECT 'lid', plan || '/niemand' FROM p WHERE status IS NULL UNION ALL SELECT 'speeldag', plan::VARCHAR FROM p WHERE datum < DATE '{DAY}' UNION ALL SELECT 'tijd', plan::VARCHAR FROM p WHERE plan % 13 = 0 UNION ALL SELECT 'kopie', '3'""",
     "budget_action": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 2 THEN 'kapot-bericht' WHEN o_totalprice > 250000 THEN 'stoppen' ELSE 'onder-budget' END AS actie FROM orders",
 }
-
-#: The same without the bound on rows.
-ORACLE_SQL["name_search_whole"] = ORACLE_SQL["name_search"].replace("s.c_custkey < 120 AND ", "")

@@ -60,17 +60,8 @@ def data_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some customers' orders as paged listings: ten a page, keys repeat."""
-    return _new_items(table(spark, sf_dir, "orders").filter("o_custkey < 200"))
-
-
-def listing_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``listing_pages`` of all orders."""
-    return _new_items(table(spark, sf_dir, "orders"))
-
-
-def _new_items(orders: DataFrame) -> DataFrame:
-    rows = orders.select((F.col("o_custkey") % 20).alias("site"), F.floor((F.col("o_orderkey") % 300) / 10).alias("page"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 7 % 60).alias("key"))
+    """Orders as paged listings: ten a page, keys repeat."""
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("site"), F.floor((F.col("o_orderkey") % 300) / 10).alias("page"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 7 % 60).alias("key"))
     return C.new_items(rows)[0]
 
 
@@ -152,7 +143,7 @@ def amsterdam_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        robots_allowed, robots_group, sitemap_urls, page_links, event_starts, data_layer, listing_pages, listing_pages_whole, conflict_marker, source_statuses, crawl_delay, challenge_pages, carry_forward, year_rollover, month_rollover,
+        robots_allowed, robots_group, sitemap_urls, page_links, event_starts, data_layer, listing_pages, conflict_marker, source_statuses, crawl_delay, challenge_pages, carry_forward, year_rollover, month_rollover,
         short_dates, numeric_dates, date_lists, amsterdam_time,
     )
 }
@@ -169,7 +160,7 @@ b AS (SELECT page_id, arg_max(kind, (length(pattern), kind = 'allow')) AS k FROM
     "page_links": "WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT page_id, href, count(*) AS n FROM h GROUP BY 1, 2",
     "event_starts": "SELECT page_id, list_sort([(DATE '2026-01-01' + (page_id * 7 % 365)::INT)::VARCHAR, (DATE '2026-01-01' + (page_id * 3 % 365)::INT)::VARCHAR]) AS starts FROM pages",
     "data_layer": "SELECT p_partkey, p_size::VARCHAR AS item, p_name AS naam, 12.5::DOUBLE AS prijs, p_type AS genre FROM part",
-    "listing_pages": """WITH r AS (SELECT o_custkey % 20 AS site, (o_orderkey % 300) // 10 AS page, o_orderkey AS pos, o_orderkey * 7 % 60 AS key FROM orders WHERE o_custkey < 200),
+    "listing_pages": """WITH r AS (SELECT o_custkey % 20 AS site, (o_orderkey % 300) // 10 AS page, o_orderkey AS pos, o_orderkey * 7 % 60 AS key FROM orders),
 f AS (SELECT site, key, min((page, pos)) AS x FROM r GROUP BY 1, 2), p AS (SELECT DISTINCT site, page FROM r), s AS (SELECT site, min(page) AS stop FROM p WHERE NOT EXISTS (FROM f WHERE f.site = p.site AND f.x[1] = p.page) GROUP BY 1)
 SELECT f.site, key, x[1] AS page, x[2] AS pos FROM f LEFT JOIN s USING (site) WHERE stop IS NULL OR x[1] < stop""",
     "conflict_marker": """WITH d AS (SELECT doc_id, doc_id % 8 = 1 AS md, string_split(coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN chr(10) || '<<<<<<< HEAD' || chr(13) || chr(10) || 'x' WHEN 1 THEN chr(10) || '=======' || chr(10) ELSE '' END, chr(10)) AS l FROM documents),
@@ -197,6 +188,3 @@ SELECT lijst, pos, TRY_CAST(jaar::INT || '-' || lpad(month(d)::VARCHAR, 2, '0')
  WHEN 3 THEN ['1998-11-25', '1998-11-26', '1998-11-27', '1998-11-28', '1998-11-29'] WHEN 4 THEN []::VARCHAR[] ELSE ['1998-03-01', '1998-03-02', '1998-03-03', '1998-12-31', '1999-01-01', '1999-01-02'] END AS data FROM part""",
     "amsterdam_time": "SELECT event_id, timezone('Europe/Amsterdam', to_timestamp(floor(epoch_ms(ts) / 1000) + event_id * 3600))::DATE AS datum, strftime(timezone('Europe/Amsterdam', to_timestamp(floor(epoch_ms(ts) / 1000) + event_id * 3600)), '%H:%M') AS tijd FROM events",
 }
-
-#: The same without the bound on rows.
-ORACLE_SQL["listing_pages_whole"] = ORACLE_SQL["listing_pages"].replace(" WHERE o_custkey < 200", "")

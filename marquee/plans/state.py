@@ -126,10 +126,9 @@ def combined_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.combined_quota(rows)
 
 
-def _plans(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Plans made when the agenda was older: times and titles have changed since.  Of a fourth of the rows, or of all."""
+def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every performance as a plan made when the agenda was older: times and titles have changed since."""
     rows = read_shows(spark, sf_dir)
-    rows = rows if whole else rows.filter("substring(seq, 9, 2) % 4 = 0")
     k = F.substring("seq", 14, 9).cast("int") % 6
     title = F.when(k == 1, F.element_at(F.split("titel", " "), -1)).when(k == 2, F.lit("Andere titel")).when(k == 5, F.lit("")).otherwise(F.col("titel"))
     return rows.select(F.col("seq").alias("plan"), "theaterId", "datum", F.when(k == 3, "23:59").when(k == 4, None).otherwise(F.col("tijd")).alias("tijd"), title.alias("titel"), F.when(k == 0, "afgelast").alias("vervallen"))
@@ -139,22 +138,11 @@ def plan_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.link_plans(_plans(spark, sf_dir), read_shows(spark, sf_dir))
 
 
-def plan_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``plan_links`` with every performance as a plan."""
-    return S.link_plans(_plans(spark, sf_dir, whole=True), read_shows(spark, sf_dir))
-
-
 def past_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans, rows = _plans(spark, sf_dir), read_shows(spark, sf_dir)
     return S.past_plans(plans, S.link_plans(plans, rows), rows, DAY, NOW)
 
 
-def past_plans_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``past_plans`` with every performance as a plan."""
-    plans, rows = _plans(spark, sf_dir, whole=True), read_shows(spark, sf_dir)
-    return S.past_plans(plans, S.link_plans(plans, rows), rows, DAY, NOW)
-
-
 def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A run, the one before it, and the venues that took part, some with an error."""
     rows = read_shows(spark, sf_dir).filter("theaterId <> 'v4'")
@@ -228,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lww_watchlist, lww_tombstones, plan_merge, seen_merge, seen_tombstones, seen_cleanup, temporal_map, group_watchlist, monotone_copy, accepted_copies, ttl_links, retention, daily_quota, combined_quota,
-        plan_links, plan_links_whole, past_plans, past_plans_whole, outcome, resolved_rows, missing_time_rise, purge_far, fail_streak, fail_islands, run_verdict, refresh_due, crawl_plan,
+        plan_links, past_plans, outcome, resolved_rows, missing_time_rise, purge_far, fail_streak, fail_islands, run_verdict, refresh_due, crawl_plan,
     )
 }
 
@@ -246,7 +234,7 @@ j AS (SELECT theaterId, error, coalesce(rijen, 0) AS rijen, coalesce(nieuw, 0) A
 uit AS (SELECT theaterId, CASE WHEN error IS NOT NULL THEN CASE WHEN vorig > 0 THEN 'terugval' ELSE 'fout' END WHEN rijen = 0 THEN CASE WHEN vorig > 0 THEN 'terugval' ELSE 'leeg' END ELSE 'ok' END AS status, vorig, nieuw,
  CASE WHEN error IS NULL AND rijen > 0 AND vorig >= 20 AND nieuw < vorig * 0.3 THEN 'scherpe daling: ' || nieuw || ' unieke komende voorstellingen, vorige keer ' || vorig END AS waarschuwing,
  CASE WHEN error IS NOT NULL THEN 'exception: ' || error WHEN rijen = 0 AND vorig > 0 THEN '0 resultaten (vorige keer ' || vorig || ' komende voorstellingen)' END AS fout FROM j)"""
-_PLANS = f""", p0 AS (SELECT *, substr(seq, 14, 9)::INT % 6 AS k FROM perf WHERE substr(seq, 9, 2)::INT % 4 = 0),
+_PLANS = f""", p0 AS (SELECT *, substr(seq, 14, 9)::INT % 6 AS k FROM perf),
 p1 AS (SELECT seq AS plan, theaterId, datum, CASE k WHEN 3 THEN '23:59' WHEN 4 THEN NULL ELSE tijd END AS tijd, CASE k WHEN 1 THEN string_split(titel, ' ')[-1] WHEN 2 THEN 'Andere titel' WHEN 5 THEN '' ELSE titel END AS titel, CASE k WHEN 0 THEN 'afgelast' END AS vervallen FROM p0),
 p2 AS (SELECT *, coalesce(tijd, '') AS pt, {sql_parts('titel')} AS pd FROM p1), s2 AS (SELECT theaterId, datum, seq, coalesce(tijd, '') AS st, string_split(sleutel, ' | ') AS sd, {_CANC} AS gone FROM perf),
 j AS (SELECT p.plan, s.seq, st = pt AS zt, sd = pd AS zw, st = pt AND len(list_filter(pd, lambda d: NOT list_contains(sd, d))) = 0 AS wijd, st = pt AND pt <> '' AS tt, gone FROM p2 p JOIN s2 s USING (theaterId, datum)),
@@ -300,6 +288,3 @@ SELECT page_id, emmer, uren IS NULL OR uren >= 168 OR (emmer = {NOW // 86_400_00
 r AS (SELECT url, seq, CASE WHEN uren IS NULL THEN 'nieuw' WHEN weglaten THEN CASE WHEN uren > 720 THEN 'weg, verversen' END WHEN laatste < 0 THEN NULL WHEN eerste BETWEEN 0 AND 7 AND uren >= 20 THEN 'binnenkort' WHEN uren >= 168 OR (emmer = {NOW // 86_400_000 % 7} AND uren >= 20) THEN 'wekelijks' END AS reden FROM p)
 SELECT url, seq, reden, CASE reden WHEN 'binnenkort' THEN 1 WHEN 'nieuw' THEN 2 ELSE 3 END AS voorrang FROM r WHERE reden IS NOT NULL ORDER BY voorrang, seq LIMIT 80""",
 }
-
-#: The same without the bound on rows.
-ORACLE_SQL |= {f"{n}_whole": ORACLE_SQL[n].replace(" WHERE substr(seq, 9, 2)::INT % 4 = 0", "") for n in ("plan_links", "past_plans")}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as X
 from ..functions.values import first_time, lowest_price
-from .crawl import button_status
+from .crawl import button_status, ticket_status
 
 PAGED = "struct<pages:int,currentPage:int,raw:array<struct<id:bigint,title:string,subtitle:string,itix_from_raw:bigint,itix_show_status:string,show_web_status:string,url:string,location_title:string>>>"
 HITS = "struct<hits:array<struct<objectID:string,title:string,eventDateTimeStart:bigint,eventGenre:array<string>,eventLocations:string,eventLocationAddition:string,is_cancelled:int>>,nbHits:int,nbPages:int,page:int>"
@@ -85,3 +85,76 @@ def card_dates(cards_: DataFrame, id: str) -> DataFrame:
     """One row for each date of each card that is not to be left out (sold elsewhere, over)."""
     rows = cards_.select(id, "entry", "titel", "maker", "genre", "prijs", F.explode("rijen").alias("r"))
     return rows.filter(F.col("r.status").isNotNull()).select(id, "entry", "titel", "maker", "genre", "prijs", "r.dag", "r.tijd", F.col("r.status").alias("beschikbaarheid"))
+
+
+def search_config(html: Column) -> Column:
+    """app, sleutel and index of a search interface, from a page's settings; null unless all three are there."""
+    of = lambda name, value: F.nullif(F.regexp_extract(html, f'"{name}":"({value})"', 1), F.lit(""))
+    app, key, index = of("applicationId", "[A-Z0-9]+"), of("searchApiKey", "[a-f0-9]+"), of("eventIndexName", "[A-Za-z0-9_-]+")
+    return F.when(app.isNotNull() & key.isNotNull() & index.isNotNull(), F.struct(app.alias("app"), key.alias("sleutel"), index.alias("index")))
+
+
+def _attribute(html: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(html, f"(?s)\\b{name}=\"([^\"]*)\"", 1), F.lit(""))
+
+
+def _opening(html: Column, mark: str) -> Column:
+    """The opening tag of the first element that has ``mark`` (a pattern) in it."""
+    return F.regexp_extract(html, f"(?s)<\\w+[^>]*{mark}[^>]*>", 0)
+
+
+def articles(pages: DataFrame, id: str, column: str = "html") -> DataFrame:
+    """id, showid, start, titel, ondertitel, prijs, status, webstatus, href of the articles in a page's HTML."""
+    block = F.regexp_extract_all(column, F.lit('(?s)<article[^>]*class="(?:[^"]*\\s)?program-block(?:\\s[^"]*)?"[^>]*>.*?</article>'), F.lit(0))
+    rows = pages.select(id, F.explode(block).alias("a"))
+    head, button, info = _opening(F.col("a"), "program-block"), _opening(F.col("a"), 'data-hook="order-link-placeholder"'), _opening(F.col("a"), 'class="(?:[^"]*\\s)?icon-info(?:\\s[^"]*)?"')
+    click = F.nullif(F.regexp_extract(_attribute(head, "onclick"), "location='([^']+)'", 1), F.lit(""))
+    return rows.select(
+        id, _attribute(head, "data-showid").alias("showid"), _attribute(_opening(F.col("a"), 'itemprop="startDate"'), "content").alias("start"), _inner(F.col("a"), "program-block__title").alias("titel"), _inner(F.col("a"), "program-block__subtitle").alias("ondertitel"),
+        _inner(F.col("a"), "program-block__price").alias("prijs"), _attribute(button, "data-status").alias("status"), _attribute(button, "data-webstatus").alias("webstatus"), F.coalesce(_attribute(info, "href"), click).alias("href"),
+    )
+
+
+def plugin_events(pages: DataFrame, id: str, column: str = "html") -> DataFrame:
+    """id, titel, ondertitel, href, categorieen, datum, tijd, beschikbaarheid, ticketUrl and prijs of the events of an agenda plugin's standard layout."""
+    block = F.regexp_extract_all(column, F.lit('(?s)<div[^>]*class="(?:[^"]*\\s)?wp_theatre_event(?:\\s[^"]*)?"[^>]*>.*?(?=<div[^>]*class="(?:[^"]*\\s)?wp_theatre_event(?:\\s[^"]*)?"|\\z)'), F.lit(0))
+    e = F.col("e")
+    button = _opening(e, 'class="(?:[^"]*\\s)?wp_theatre_event_tickets_url(?:\\s[^"]*)?"')
+    text = F.when(button != "", _inner(e, "wp_theatre_event_tickets_url")).otherwise(_inner(e, "wp_theatre_event_tickets"))
+    named = F.regexp_extract_all(e, F.lit('(?s)class="(?:[^"]*\\s)?wpt_production_category(?:\\s[^"]*)?"[^>]*>([^<]*)<'), F.lit(1))
+    title = F.regexp_extract(e, '(?s)class="(?:[^"]*\\s)?wp_theatre_event_title(?:\\s[^"]*)?"[^>]*>.*?</', 0)
+    price = F.regexp_extract(_inner(e, "wp_theatre_event_prices"), "([0-9]+)(?:[,.]([0-9]{2}))?", 1)
+    cents = F.regexp_extract(_inner(e, "wp_theatre_event_prices"), "([0-9]+)(?:[,.]([0-9]{2}))?", 2)
+    return pages.select(id, F.explode(block).alias("e")).select(
+        id, _inner(e, "wp_theatre_event_title").alias("titel"), _inner(e, "wp_theatre_event_subtitle").alias("ondertitel"), _attribute(title, "href").alias("href"), F.transform(named, X.strip).alias("categorieen"),
+        _inner(e, "startdate_date").alias("datum"), F.coalesce(_inner(e, "wp_theatre_event_starttime"), _inner(e, "startdate_time")).alias("tijd"), ticket_status(text, _attribute(button, "class")).alias("beschikbaarheid"),
+        _attribute(button, "href").alias("ticketUrl"), F.when(price != "", F.concat(price, F.lit("."), F.when(cents == "", "00").otherwise(cents)).cast("double")).alias("prijs"),
+    )
+
+
+def detail_dates(pages: DataFrame, id: str, column: str = "html") -> DataFrame:
+    """id, datum, tijd (null at midnight) and knop of the dates on a production's page, each instant once; what is over is left out."""
+    items = F.regexp_extract_all(column, F.lit('(?s)<li[^>]*class="(?:[^"]*\\s)?subshow(?:\\s[^"]*)?"[^>]*>.*?</li>'), F.lit(0))
+    start = F.regexp_extract("li", 'data-event-start="([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}[^"]*)"', 1)
+    rows = pages.select(id, F.posexplode(items).alias("pos", "li")).select(id, "pos", start.alias("start"), _inner(F.col("li"), "buttonBox").alias("knop")).filter("start <> ''")
+    first = rows.groupBy(id, "start").agg(F.min_by("knop", "pos").alias("knop")).filter(~F.coalesce(F.lower("knop"), F.lit("")).contains("geweest"))
+    time = F.substring("start", 12, 5)
+    return first.select(id, F.substring("start", 1, 10).cast("date").alias("datum"), F.when(time != "00:00", time).alias("tijd"), "knop")
+
+
+def unknown_buttons(rows: DataFrame, button: str = "knop") -> DataFrame:
+    """tekst and n of the button texts whose availability stayed unknown; "(geen knop)" where there was none."""
+    return rows.filter("beschikbaarheid = 'onbekend'").groupBy(F.coalesce(button, F.lit("(geen knop)")).alias("tekst")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def row_date(start: Column, text: Column, time: Column, rolled: Column) -> tuple[Column, Column]:
+    """(date, time) of a listing's row: of its instant, else of a text with a year ("27 sep 2026", "27 sep '26"), else ``rolled``, the date that the list gives."""
+    stamped = start.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+    own = F.substring(start, 12, 5)
+    dated = "([0-9]{1,2})\\s+([a-z]{3})[a-z.]*\\s*(?:[’']([0-9]{2})|([0-9]{4}))"
+    low = F.lower(text)
+    month = D.place_in(D.SHORT_MONTHS, F.regexp_extract(low, dated, 2))
+    year = F.when(F.regexp_extract(low, dated, 4) != "", F.regexp_extract(low, dated, 4)).otherwise(F.concat(F.lit("20"), F.regexp_extract(low, dated, 3)))
+    written = F.when(month.isNotNull(), F.try_to_date(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(low, dated, 1), 2, "0")), "yyyy-MM-dd"))
+    day = F.when(stamped, F.try_to_date(F.substring(start, 1, 10), "yyyy-MM-dd")).when(text.isNotNull(), F.coalesce(written, rolled))
+    return day, F.when(F.coalesce(stamped, F.lit(False)) & own.rlike("^[0-9]{2}:[0-9]{2}$") & (own != "00:00"), own).otherwise(first_time(time))

@@ -64,9 +64,9 @@ def test_slug_order_and_pass(spark):
 
 
 def test_blocks_and_messages(spark):
-    text = "a <!-- n -->old<!-- /n --> b"
+    text = "a <!-- AUTO:n:start -->old<!-- AUTO:n:end --> b"
     df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(reports.replace_blocks(F.col("t"), {"n": F.lit("new")})).first()[0] == "a <!-- n -->\nnew\n<!-- /n --> b"
+    assert df.select(reports.replace_blocks(F.col("t"), {"n": F.lit("new")})).first()[0] == "a <!-- AUTO:n:start -->\nnew\n<!-- AUTO:n:end --> b"
     row = spark.createDataFrame([("ada", "Ada <Lint>", "Bos & Zee", "Huis", None, date(2026, 11, 13), "20:00")], "gebruikersnaam string, naam string, titel string, theaterNaam string, stad string, datum date, tijd string")
     r = reports.invitation(row, "https://x.example/app/").first()
     assert r["onderwerp"] == "@ada nodigt je uit voor Bos & Zee" and "vr 13 nov · 20:00\nHuis" in r["tekst"] and "Bos &amp; Zee" in r["html"] and "&lt;Lint&gt;" in r["html"]
