@@ -85,9 +85,10 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[flo
     """(share of good, vote probabilities of each rule, posterior of each pattern) from the counts of vote patterns.
 
     For each rule and each kind of text the chances of its three votes are estimated, abstention being one of them.
-    The first guess takes a text as good unless some rule votes bad.  Two bounds keep the kinds apart where bad
-    texts come in several sorts, each known to one rule: a rule votes bad on at most FALSE_ALARM of good texts, and
-    on SEEN[0] to SEEN[1] of bad ones.
+    The first guess takes a text as good unless some rule votes bad.  Two bounds, which are what is known of the rules
+    beforehand, keep the kinds apart where bad texts come in several sorts, each known to one rule: a rule votes bad on
+    at most FALSE_ALARM of good texts, and on SEEN[0] to SEEN[1] of bad ones.  Within them everything is estimated.
+    (Without them a rule that finds a sort of its own is taken for one that is wrong on good texts.)
     """
     if not patterns:
         return 0.5, [], {}

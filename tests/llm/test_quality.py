@@ -60,3 +60,14 @@ def test_base_columns_against_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
     found, want = quality.quality_base_counts(spark, SMALL), con.sql(quality.BASE_SQL)
     assert found.columns == want.columns and sorted(map(tuple, found.collect())) == sorted(want.fetchall())
+
+
+def test_posterior_agrees_with_labels(spark):
+    """Labels that the method never sees: good texts have a high posterior, bad ones a low one."""
+    from tests.conftest import MIDDLE
+
+    found = quality.op1_quality_rules(spark, MIDDLE).join(spark.read.parquet(f"{MIDDLE}/labels.parquet"), "doc_id").select("quality", "posterior", "kept").collect()
+    good, bad = ([r for r in found if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 100 and len(bad) > 20
+    assert sum(r["posterior"] >= 0.5 for r in good) >= 0.97 * len(good) and sum(r["kept"] for r in good) >= 0.9 * len(good)
+    assert sum(r["posterior"] >= 0.5 for r in bad) <= 0.05 * len(bad)
