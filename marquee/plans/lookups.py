@@ -60,6 +60,26 @@ def alias_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.apply_aliases(rows, _aliases(spark, sf_dir)).select("seq", "titel", "maker", "titelBron", "titelVoorAlias")
 
 
+def slogan_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artists and shows that venues put the wrong way round, casts, and shows with a subtitle."""
+    p = table(spark, sf_dir, "part")
+    artist, show = F.concat(F.lit("Artiest "), F.char(F.lit(65) + _k() % 20)), F.concat(F.lit("Hoera "), "p_name", F.lit("!"))
+    way = _k() % 5
+    title = F.when(way.isin(0, 3), artist).when(way == 1, show).otherwise(_name())
+    maker = F.when(way == 0, show).when(way == 1, artist).when(way == 2, "Jan, Piet en Klaas, Mia").when(way == 3, F.concat(show, F.lit(" – Vervolg"))).otherwise(F.concat(F.lit("Groep "), artist))
+    rows = p.select(_k().alias("seq"), F.concat(F.lit("v"), _s(_k() % 13)).alias("theaterId"), title.alias("titel"), maker.alias("maker"))
+    return L.slogan_choice(rows, *L.source_index(rows))
+
+
+def described_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that are only the artist, with the show's name in the description, among shows of the same artists."""
+    p = table(spark, sf_dir, "part")
+    artist, way = F.concat(F.lit("Artiest "), F.reverse("p_name")), F.when(_k() % 40 == 0, 0).when(_k() % 12 == 3, 3).when(_k() % 4 == 2, 2).otherwise(1)
+    title = F.when(way.isin(0, 3), artist).when(way == 2, F.concat("p_name", F.lit(" – "), artist)).otherwise(_name())
+    rows = p.select(_k().alias("seq"), F.concat(F.lit("v"), _s(_k() % 13)).alias("theaterId"), title.alias("titel"), F.when(way == 1, artist).when(way == 3, "Groep Noord").alias("maker"), F.when(way.isin(0, 3), F.concat("p_name", F.lit(" | deel "), _s(_k()))).alias("beschrijving"), (_k() % 8 == 2).alias("volgordeZeker"))
+    return L.title_from_description(rows.withColumn("sleutel", F.lit("x"))).drop("sleutel")
+
+
 def _list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that point to other names, so that some targets are sources, too."""
     a, b = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
@@ -358,7 +378,7 @@ def row_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        alias_titles, alias_errors, loose_aliases, variants_fit, rekeyed_watchlist, filled_watchlist, shared_watchlist, shared_seen, seen_by_rating, upcoming_plans, gone_plans, watchlist_lines, plan_guests, plan_messages, shared_view,
+        alias_titles, slogan_choices, described_titles, alias_errors, loose_aliases, variants_fit, rekeyed_watchlist, filled_watchlist, shared_watchlist, shared_seen, seen_by_rating, upcoming_plans, gone_plans, watchlist_lines, plan_guests, plan_messages, shared_view,
         status_messages, agenda_order, filter_counts, when_choices, rating_texts, count_texts, names_in_texts, text_drift, network_errors, refreshed_today, details_kept, first_tags, invitation_texts, marked_blocks, search_hits,
         production_events, search_configs, article_rows, plugin_events, detail_dates, unknown_buttons, row_dates,
     )
@@ -403,6 +423,16 @@ k AS (SELECT *, t IS NOT NULL AND len(td) > 1 AND coalesce({_sql_bare('td[-1]')}
 f AS (SELECT *, coalesce(CASE WHEN NOT binnen THEN maker END, CASE WHEN NOT laatst THEN m END) AS eerst, list_filter(string_split(titel, ' – '), lambda d: NOT regexp_matches(trim(d), '^\\(?\\d') AND NOT {_HAS.format('nt', _sql_bare('d'))}) AS rest FROM k)
 SELECT seq, coalesce(t, titel) AS titel, CASE WHEN t IS NULL THEN maker WHEN vast THEN CASE WHEN NOT laatst THEN m END ELSE coalesce(eerst, CASE WHEN binnen AND NOT laatst AND len(rest) > 0 THEN array_to_string(rest, ' – ') END) END AS maker,
  CASE WHEN t <> titel THEN titel END AS titelBron, NULL::VARCHAR AS titelVoorAlias FROM f""",
+    "slogan_choices": f"""WITH p AS (SELECT p_partkey AS seq, 'v' || (p_partkey % 13) AS theaterId, p_partkey % 5 AS k, 'Artiest ' || chr((65 + p_partkey % 20)::INT) AS a, 'Hoera ' || p_name || '!' AS s, p_name FROM part),
+r AS (SELECT seq, theaterId, k, s, CASE WHEN k IN (0, 3) THEN a WHEN k = 1 THEN s ELSE p_name END AS titel, CASE k WHEN 1 THEN a WHEN 4 THEN 'Groep ' || a END AS goed, CASE WHEN k = 0 THEN {sql_norm('s')} WHEN k = 3 THEN {sql_norm('s')} || ' vervolg' END AS km, CASE WHEN k = 3 THEN {sql_norm('s')} END AS kd FROM p),
+m AS (SELECT {sql_norm('goed')} AS x, min(theaterId) AS lo, max(theaterId) AS hi FROM r WHERE goed IS NOT NULL GROUP BY 1), t AS (SELECT {sql_norm('titel')} AS x, min(theaterId) AS lo, max(theaterId) AS hi FROM r GROUP BY 1),
+j AS (SELECT r.*, {sql_norm('titel')} AS kt, coalesce(tm.lo <> theaterId OR tm.hi <> theaterId, false) AS om, coalesce(td.lo <> theaterId OR td.hi <> theaterId, false) AS od FROM r LEFT JOIN t tm ON tm.x = km LEFT JOIN t td ON td.x = kd WHERE k IN (0, 2, 3)),
+c AS (SELECT j.*, k <> 2 AND (om OR od) AND coalesce(m.lo <> theaterId OR m.hi <> theaterId, false) AS om_en_om FROM j LEFT JOIN m ON m.x = kt)
+SELECT seq, CASE WHEN k = 2 THEN 'beschrijving' WHEN om_en_om THEN 'omdraaien' ELSE 'laten' END AS keuze, CASE WHEN om_en_om THEN s || CASE WHEN om AND k = 3 THEN ' – Vervolg' ELSE '' END || ' – ' || titel END AS titel, CASE WHEN om_en_om AND NOT om THEN 'Vervolg' END AS rest FROM c""",
+    "described_titles": f"""WITH p AS (SELECT p_partkey AS seq, 'v' || (p_partkey % 13) AS theaterId, p_name, 'Artiest ' || reverse(p_name) AS a, CASE WHEN p_partkey % 40 = 0 THEN 0 WHEN p_partkey % 12 = 3 THEN 3 WHEN p_partkey % 4 = 2 THEN 2 ELSE 1 END AS k, p_partkey % 8 = 2 AS z FROM part),
+r AS (SELECT *, CASE WHEN k IN (0, 3) THEN a WHEN k = 2 THEN p_name || ' – ' || a ELSE p_name END AS titel, CASE WHEN k IN (0, 3) THEN {sql_norm('a')} ELSE p_name END AS begin, CASE WHEN k = 1 OR (k = 2 AND z) THEN {sql_norm('a')} WHEN k = 3 THEN 'groep noord' END AS wie FROM p),
+d AS (SELECT r.seq, EXISTS (SELECT 1 FROM r m WHERE m.wie = r.begin AND m.begin = r.p_name) AND EXISTS (SELECT 1 FROM r m WHERE m.wie = r.begin AND m.theaterId <> r.theaterId) AND NOT EXISTS (SELECT 1 FROM r m WHERE m.begin = r.begin AND m.theaterId <> r.theaterId) AS doet FROM r WHERE k = 0)
+SELECT r.seq, theaterId, CASE WHEN doet THEN p_name || ' – deel ' || r.seq || ' – ' || a ELSE titel END AS titel, CASE k WHEN 1 THEN a WHEN 3 THEN 'Groep Noord' END AS maker, CASE WHEN doet THEN titel END AS titelBron, CASE WHEN k = 3 OR NOT doet THEN p_name || ' | deel ' || r.seq END AS beschrijving, coalesce(doet, false) OR z AS volgordeZeker FROM r LEFT JOIN d USING (seq)""",
     "alias_errors": f"""WITH {_LIST} SELECT a.sleutel, 'keten' AS soort FROM lijst a JOIN lijst b ON b.sleutel = a.titel WHERE a.titel <> a.sleutel AND b.titel <> a.titel
 UNION ALL SELECT sleutel, 'verboden' FROM lijst WHERE regel <> 'keuze' AND length(sleutel) % 4 = 1""",
     "loose_aliases": f"""WITH {_LIST} SELECT sleutel, p_name AS titel, list_sort(list(DISTINCT 'v' || (p_partkey % 13))) AS theaters FROM part JOIN lijst ON sleutel = p_name WHERE titel <> sleutel GROUP BY sleutel, p_name""",

@@ -181,6 +181,9 @@ SELECT id, CASE WHEN v >= 4 OR (m AND th IS NULL) THEN 'oud' WHEN m THEN th || '
     + """SELECT seq AS plan, theaterId, datum, tijd, CASE WHEN substr(seq, 10, 1)::INT % 2 = 1 THEN 'Oud – Wie' WHEN maker IS NULL OR contains(' ' || norm || ' ', ' ' || trim(regexp_replace(strip_accents(lower(maker)), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ') THEN titel ELSE titel || ' – ' || maker END AS titel,
  CASE WHEN substr(seq, 10, 1)::INT % 2 = 1 THEN 'Wie' ELSE coalesce(maker, 'Wie') END AS maker, CASE WHEN substr(seq, 10, 1)::INT % 2 = 1 THEN 'Dans' ELSE coalesce(genre, 'Dans') END AS genre, CASE WHEN substr(seq, 10, 1)::INT % 2 = 1 THEN 'Stad' ELSE stad END AS stad, CASE WHEN substr(seq, 10, 1)::INT % 2 = 0 THEN coalesce(podiumpas, false) END AS podiumpas FROM perf""",
     "last_actions": """SELECT user_id AS "user", max(CASE WHEN event_type = 'view' AND event_id % 3 = 0 THEN event_id * 2 ELSE event_id END) AS stand FROM events WHERE event_type IN ('view', 'error') GROUP BY 1""",
+    "venue_view": f"""WITH {_VENUES} SELECT theaterId, '{{' || array_to_string(['"naam":"' || naam || '"', '"stad":"' || stad || '"', '"podiumpas":' || (s_suppkey % 3 = 0),
+ CASE WHEN s_suppkey % 16 = 0 THEN '"melding":"Dicht | verbouwing"' WHEN dicht THEN '"melding":"Agenda tijdelijk niet beschikbaar. Bekijk de voorstellingen op de website van het theater."' END, CASE WHEN dicht AND s_suppkey % 16 <> 0 THEN '"meldingLink":"https://x.example/agenda"' END,
+ CASE WHEN s_suppkey % 5 <> 0 THEN '"lat":52.5' END, CASE WHEN s_suppkey % 5 <> 0 THEN '"lng":4.5' END, CASE WHEN dicht THEN '"gepauzeerd":true' END], ',') || '}}' AS json FROM v""",
     "venue_report": SHOW_SQL
     + f""", {_VENUES}, c AS (SELECT theaterId, count(*) FILTER (podiumpas) AS ja, count(*) FILTER (NOT podiumpas) AS nee, count(*) FILTER (podiumpas IS NULL) AS onb FROM perf WHERE theaterId <> 'v6' GROUP BY 1),
 r AS (SELECT provincie, stad, naam, '| ' || naam || ' | ' || stad || ' | ' || coalesce(CASE WHEN ja > 0 AND nee = 0 AND onb = 0 THEN 'ja' WHEN ja > 0 THEN 'deels' WHEN onb > 0 THEN 'onbekend' WHEN nee > 0 THEN 'nee' END, '–') || ' | ' || CASE WHEN theaterId = 'v5' THEN 'onbekend' WHEN dicht THEN 'gepauzeerd' ELSE 'ok' END || ' |' AS l FROM v LEFT JOIN c USING (theaterId))

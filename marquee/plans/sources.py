@@ -152,6 +152,12 @@ _SITE = "pages0 AS (SELECT page_id, url, html, string_split(regexp_extract(url,
 _CANC = "CASE WHEN regexp_matches({0}, 'verplaatst|postponed|rescheduled') THEN 'verplaatst' WHEN regexp_matches({0}, 'geannuleerd|afgelast|gecancel?d|cancel?led|gaat niet door') THEN 'afgelast' END".format("lower(t)")
 _MONTHS = "[" + ", ".join(f"'{m}'" for m in D.MONTHS) + "]"
 
+_LISTED = """e AS (SELECT o_custkey % 300 AS lijst, o_orderkey AS pos, month(d) AS m, day(d) AS dd, CASE WHEN o_orderkey % 3 <> 0 THEN isodow(d) END AS wd, row_number() OVER (PARTITION BY o_custkey % 300 ORDER BY o_orderkey) AS i FROM (SELECT *, o_orderdate::DATE AS d FROM orders)),
+q AS (SELECT 0::BIGINT AS i, lijst, NULL::BIGINT AS pos, 1998::BIGINT AS jaar, 2::BIGINT AS maand, NULL::BIGINT AS eigen, NULL::BIGINT AS m, NULL::BIGINT AS dd FROM (SELECT DISTINCT lijst FROM e)
+ UNION ALL SELECT i, lijst, pos, {jaar}, {maand}, eigen, m, dd FROM (SELECT *, CASE WHEN wd IS NOT NULL AND isodow(make_date(y, m, 1) + (dd - 1)::INT) <> wd AND isodow(make_date(ander, m, 1) + (dd - 1)::INT) = wd THEN ander ELSE y END AS eigen FROM (SELECT *, {ander} AS ander
+ FROM (SELECT e.*, jaar, maand, CASE WHEN e.m < maand THEN jaar + 1 ELSE jaar END AS y FROM q JOIN e ON e.lijst = q.lijst AND e.i = q.i + 1))))
+SELECT lijst, pos, TRY_CAST(eigen || '-' || lpad(m::VARCHAR, 2, '0') || '-' || lpad(dd::VARCHAR, 2, '0') AS DATE) AS datum FROM q WHERE i > 0"""
+
 ORACLE_SQL = {
     "robots_allowed": f"""WITH {_SITE}, r(site, kind, pattern) AS (VALUES {', '.join(repr(r) for r in RULES)}), q AS (SELECT *, '^' || replace(regexp_replace(CASE WHEN ends_with(pattern, '$') THEN pattern[:-2] ELSE pattern END, '([.+?])', '\\\\\\1', 'g'), '*', '.*') || CASE WHEN ends_with(pattern, '$') THEN '$' ELSE '' END AS re FROM r WHERE NOT (kind = 'disallow' AND pattern = '')),
 b AS (SELECT page_id, arg_max(kind, (length(pattern), kind = 'allow')) AS k FROM pages0 JOIN q USING (site) WHERE regexp_matches(path, re) GROUP BY 1) SELECT page_id, coalesce(k = 'allow', true) AS allowed FROM pages0 LEFT JOIN b USING (page_id)""",
@@ -184,6 +190,8 @@ SELECT lijst, pos, CASE s WHEN 'vandaag' THEN DATE '1998-02-10' WHEN 'morgen' TH
     "month_rollover": """WITH o AS (SELECT o_custkey % 300 AS lijst, o_orderkey AS pos, o_orderdate::DATE AS d FROM orders WHERE o_orderkey % 9 <> 0),
 u AS (SELECT *, CASE WHEN month(d) < coalesce(lag(month(d)) OVER (PARTITION BY lijst ORDER BY pos), 2) THEN 1 ELSE 0 END AS terug FROM o), j AS (SELECT *, 1998 + sum(terug) OVER (PARTITION BY lijst ORDER BY pos) AS jaar FROM u)
 SELECT lijst, pos, TRY_CAST(jaar::INT || '-' || lpad(month(d)::VARCHAR, 2, '0') || '-' || lpad(day(d)::VARCHAR, 2, '0') AS DATE) AS datum, '09:30' AS tijd FROM j""",
+    "short_dates": "WITH RECURSIVE " + _LISTED.format(jaar="greatest(eigen, jaar)", maand="CASE WHEN eigen > jaar OR m >= maand THEN m ELSE maand END", ander="CASE WHEN y = jaar THEN jaar + 1 ELSE jaar END"),
+    "numeric_dates": "WITH RECURSIVE " + _LISTED.format(jaar="eigen", maand="m", ander="y + 1"),
     "date_lists": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ['1998-11-04', '1998-11-05', '1998-11-06', '1998-11-07', '1998-11-11', '1998-11-12', '1999-01-03'] WHEN 1 THEN ['1998-10-30', '1998-10-31', '1998-11-01', '1998-11-02'] WHEN 2 THEN ['1998-10-07', '1998-10-08', '1998-10-09', '1998-10-10']
  WHEN 3 THEN ['1998-11-25', '1998-11-26', '1998-11-27', '1998-11-28', '1998-11-29'] WHEN 4 THEN []::VARCHAR[] ELSE ['1998-03-01', '1998-03-02', '1998-03-03', '1998-12-31', '1999-01-01', '1999-01-02'] END AS data FROM part""",
     "amsterdam_time": "SELECT event_id, timezone('Europe/Amsterdam', to_timestamp(floor(epoch_ms(ts) / 1000) + event_id * 3600))::DATE AS datum, strftime(timezone('Europe/Amsterdam', to_timestamp(floor(epoch_ms(ts) / 1000) + event_id * 3600)), '%H:%M') AS tijd FROM events",

@@ -244,6 +244,11 @@ _ERRORS = "fouten AS (SELECT user_id % 40 AS theaterId, ts::DATE AS dag, bool_or
 _BUCKET = "(list_reduce(list_prepend(5381::HUGEINT, list_transform(string_split(url, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: xor((h * 33) % 4294967296, c)) % 7)::INT"
 
 ORACLE_SQL = {
+    "combined_quota": """WITH RECURSIVE e AS (SELECT event_id AS seq, ts::DATE AS dag, user_id % 20 AS a, floor(value)::BIGINT % 30 AS o, row_number() OVER (PARTITION BY ts::DATE ORDER BY event_id) AS i FROM events),
+q AS (SELECT dag, i, seq, NULL::VARCHAR AS reden, [a] AS sa, [o] AS so FROM e WHERE i = 1
+ UNION ALL SELECT dag, i, seq, r, CASE WHEN r IS NULL THEN list_append(sa, a) ELSE sa END, CASE WHEN r IS NULL THEN list_append(so, o) ELSE so END FROM (SELECT e.*, sa, so,
+ CASE WHEN len(sa) >= 100 THEN 'totaal' WHEN len(list_filter(sa, lambda x: x = a)) >= 10 THEN 'afzender' WHEN len(list_filter(so, lambda x: x = o)) >= 5 THEN 'ontvanger' END AS r FROM q JOIN e ON e.dag = q.dag AND e.i = q.i + 1))
+SELECT seq, reden FROM q""",
     "lww_watchlist": ACTIONS_SQL + _WATCH + "SELECT * FROM items",
     "lww_tombstones": ACTIONS_SQL + _WATCH + 'SELECT "user", sleutel, weg AS op FROM weg LEFT JOIN b USING ("user", sleutel) WHERE x IS NULL OR x.op <= weg',
     "plan_merge": ACTIONS_SQL + """, p AS (SELECT *, CASE WHEN event_type = 'click' THEN 'kaarten' ELSE 'gepland' END AS status, CASE WHEN seq % 11 = 0 THEN 'afgelast' WHEN seq % 13 = 0 THEN 'verplaatst' END AS v FROM acties WHERE event_type IN ('click', 'view')),
