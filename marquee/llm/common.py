@@ -98,6 +98,19 @@ def same_row(left: str, right: str) -> Column:
     return F.expr(f"{left}.row = {right}.row AND ({left}.doc_id = {right}.doc_id OR ({left}.doc_id IS NULL AND {right}.doc_id IS NULL))")
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system, so that idle workers leave memory to others."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has its own ways
+        pass
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

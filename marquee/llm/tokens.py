@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, give_back, table
 from .idcoder import decode_blocks, encode_page
 
 PAGE = 1 << 22
@@ -164,6 +164,7 @@ def _pages(path: str, end: int, page_ids: int):
                     at, held = at + m, held + m + 1
         if docs:
             yield emit()
+        give_back()
 
     return write
 
@@ -214,6 +215,7 @@ def _read(digest: bool):
                 else:
                     cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+        give_back()
 
     return read
 
