@@ -5,10 +5,10 @@
 2. Documents with one digest have equal sets: they form a class, named by the digest.
 3. Classes that share a band of the signature are candidates.  At first each is paired with one pivot of its band
    value only.  Where that leaves three or more that are not all linked, the members of the band value are laid out
-   in blocks of bounded size and every two blocks are compared, each two in a row of its own, dealt out by the blocks
-   and not by the band: pairs of classes are not rows there, what is linked already is skipped, and a pair is looked
-   at in the first band that it shares.  So a family of thousands of near copies costs a few rows a member, no pair
-   of a band value is left out, and a band value that very many share is as many tasks as it has blocks.
+   in blocks of bounded size and every two blocks are compared: pairs of classes are not rows there, what is linked
+   already is skipped, and a pair is looked at in the first band that it shares.  Blocks are dealt out by TOGETHER
+   times TOGETHER of them, not by the band, so a band value that very many share is many tasks.  A family of thousands
+   of near copies costs a few rows a member, and no pair of a band value is left out.
 4. A candidate pair is read off the two signatures batch by batch.  After each batch the posterior of its
    similarity (uniform prior, so Beta(1 + agreed, 1 + differing)) is compared with the threshold, and the pair
    is given up once the chance that it reaches it is below MISS.  Survivors are verified on their full sets.
@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key, same_row, table
+from .common import Scratch, give_back, row_key, same_row, table
 from .shingles import distinct_sorted, mix, windows, word_hashes
 
 WORDS, ROWS, BATCH = 5, 8, 32
 MISS = 1e-6
-#: Members of a block, and shingles of all of them.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Members of a block, shingles of all of them, and blocks whose pairs are laid out in one place.
+BLOCK, BLOCK_SHINGLES, TOGETHER = 128, 1 << 18, 16
 _SKETCH = "doc_id bigint, row bigint, n_shingles bigint, digest bigint, bands array<bigint>"
 _SET = "digest bigint, n_shingles bigint, signature binary, x binary"
 
@@ -291,6 +291,7 @@ def _block_links(percent: int, stops: list[tuple[int, int]]):
                                 a.append(min(m["digest"], right[j]["digest"]))
                                 b.append(max(m["digest"], right[j]["digest"]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        give_back()
 
     return link
 
@@ -316,12 +317,15 @@ def _linked(scratch: Scratch, members: DataFrame, signed: DataFrame, percent: in
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     open_ = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).filter("lo < hi and n > 2").select("band", "blocks")
     rest = now.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).join(signed.select("digest", "signature", "x"), "digest")
-    held = scratch.save(rest.groupBy("band", "number", "block").agg(F.collect_list(F.struct("digest", "label", "signature", "x")).alias("of")), "blocks")
+    held = scratch.save(rest.groupBy("band", "number", "block", "blocks").agg(F.collect_list(F.struct("digest", "label", "signature", "x")).alias("of")), "blocks")
     one = held.select("number", F.lit(True).alias("same"), F.col("of").alias("left"), F.lit(None).cast(held.schema["of"].dataType).alias("right"))
-    # every two blocks of a band value are a row of three numbers first; what they hold is fetched by block, so no band value is one task
-    both = held.filter("block > 0").select("band", F.col("block").alias("second"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"))
-    two = both.join(held, ["band", "block"]).select("band", "number", F.col("second").alias("block"), F.col("of").alias("left"))
-    two = two.join(held.select("band", "block", F.col("of").alias("right")), ["band", "block"]).select("number", F.lit(False).alias("same"), "left", "right")
+    # every two blocks meet under the groups that they are of; a block is sent once for each group of its band value
+    many = held.filter("blocks > 1")
+    groups = F.ceil(F.col("blocks") / TOGETHER).cast("int") - 1
+    of = F.floor(F.col("block") / TOGETHER).cast("int")
+    l = many.select("band", "number", F.col("block").alias("l"), F.col("of").alias("left"), of.alias("i"), F.explode(F.sequence(of, groups)).alias("j"))
+    r = many.select("band", F.col("block").alias("r"), F.col("of").alias("right"), F.explode(F.sequence(F.lit(0), of)).alias("i"), of.alias("j"))
+    two = l.join(r, ["band", "i", "j"]).filter("l < r").select("number", F.lit(False).alias("same"), "left", "right")
     more = scratch.save(one.union(two).mapInArrow(_block_links(percent, stops), "a bigint, b bigint"), "more")
     scratch.drop("blocks")
     return components(scratch, star.union(more), "second")
