@@ -26,7 +26,7 @@ SPAN = 9
 SHORTEST = 5
 LEAST, SHARE = 12, 0.7
 #: Bits of the filter a test hash, and the most of all of them (as powers of 2); with more hashes it lets more through, to the same result.
-BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 28
+BITS_EACH, LEAST_BITS, MOST_BITS = 1024, 20, 28
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SEED = "item_id bigint, hash bigint, place int"
 _ITEM = "item_id bigint, item binary"
