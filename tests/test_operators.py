@@ -303,3 +303,32 @@ def test_similar_keys_against_all_pairs(spark):
     q = p.select(F.col("sleutel").alias("s2"), F.col("d").alias("d2"))
     every = p.join(q, F.col("sleutel") < F.col("s2")).select("sleutel", "s2", linkage.difference(F.col("d"), F.col("d2")).alias("k")).filter("k is not null")
     assert found == {tuple(r) for r in every.collect()} and len(found) > 100
+
+
+def test_agenda_order(spark):
+    """By date and time, a missing time last, then in input order; places say the same within a date."""
+    from marquee.operators import agenda
+
+    rows = [("s3", "1998-02-11", None), ("s1", "1998-02-11", "20:00"), ("s2", "1998-02-11", "20:00"), ("s0", "1998-02-12", "09:00"), ("s4", "1998-02-10", None), ("s5", "1998-02-11", "08:30")]
+    df = spark.createDataFrame(rows, "seq string, d string, tijd string").selectExpr("seq", "cast(d AS date) AS datum", "tijd").repartition(3)
+    assert [r["seq"] for r in agenda.in_order(df).collect()] == ["s4", "s5", "s1", "s2", "s3", "s0"]
+    assert {r["seq"]: r["plaats"] for r in agenda.places(df).collect()} == {"s4": 1, "s5": 1, "s1": 2, "s2": 3, "s3": 4, "s0": 1}
+
+
+def test_common_names_meet_no_more_people_than_can_matter(spark):
+    """A searcher who is blocked by the first people of a name still gets ten of it."""
+    from marquee.operators import social
+
+    profiles = spark.createDataFrame([(f"p{i}", f"u{i:03}", "Anna de Vries", True) for i in range(60)], "uid string, gebruikersnaam string, naam string, vindbaar boolean")
+    blocks = spark.createDataFrame([(f"p{i}", "p7") for i in range(5)] + [("p7", f"p{i}") for i in range(3, 9)], "a string, b string")
+    searches = spark.createDataFrame([("z", "p7", "anna de vries"), ("y", "p50", "Anna De Vries")], "zoek string, uid string, naam string")
+    found = social.search_names(searches, profiles, blocks).collect()
+    hits = {z: [r["gebruikersnaam"] for r in sorted(found, key=lambda r: r["plaats"]) if r["zoek"] == z] for z in "zy"}
+    assert hits == {"z": [f"u{i:03}" for i in range(9, 19)], "y": [f"u{i:03}" for i in range(10)]}
+
+
+def test_tables_between_steps_are_read_back_and_cleared(spark):
+    from marquee import storage
+
+    df = storage.checkpointed(spark.range(10).withColumnRenamed("id", "x"))
+    assert df.count() == 10 and df.inputFiles() and "RDD" not in df._jdf.queryExecution().executedPlan().toString()
