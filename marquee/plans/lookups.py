@@ -502,7 +502,7 @@ UNION ALL SELECT p_partkey, '9', NULL, NULL, NULL, NULL, NULL, NULL, '/klik/' ||
     "plugin_events": """SELECT p_partkey, p_name AS titel, p_brand AS ondertitel, '/v/' || p_partkey AS href, ['Dans', p_type] AS categorieen, 'zo 1 mrt' AS datum, '20:15' AS tijd, ['beschikbaar', 'uitverkocht', 'wachtlijst', 'afgelast', 'verplaatst', 'beschikbaar'][p_partkey % 6 + 1] AS beschikbaarheid, '/t/' || p_partkey AS ticketUrl, p_size + CASE WHEN p_partkey % 2 = 0 THEN 0.5::DOUBLE ELSE 0 END AS prijs FROM part
 UNION ALL SELECT p_partkey, 'Los', NULL, NULL, [], NULL, '19.30', 'beschikbaar', NULL, NULL FROM part""",
     "detail_dates": """WITH l AS (SELECT l_orderkey, l_linenumber, l_shipdate AS d, CASE WHEN l_linenumber % 3 <> 0 THEN '2' || (l_linenumber % 4) || ':15' END AS t, CASE l_returnflag WHEN 'R' THEN 'Geweest' WHEN 'A' THEN 'Bestel nu' ELSE 'Wachtlijst' END AS k FROM lineitem)
-SELECT * FROM (SELECT l_orderkey, d::DATE AS datum, t AS tijd, arg_min(k, l_linenumber) AS knop FROM l GROUP BY 1, 2, 3) WHERE knop <> 'Geweest'""",
+SELECT * FROM (SELECT l_orderkey, d::DATE AS datum, t AS tijd, arg_min(k, (l_linenumber, k)) AS knop FROM l GROUP BY 1, 2, 3) WHERE knop <> 'Geweest'""",
     "unknown_buttons": SHOW_SQL + "SELECT * FROM (SELECT CASE substr(seq, 10, 1)::INT % 5 WHEN 1 THEN 'Meer info' WHEN 2 THEN '(geen knop)' WHEN 3 THEN 'Inloop' END AS tekst, count(*) AS n FROM perf GROUP BY 1) WHERE tekst IS NOT NULL",
     "row_dates": f"""WITH r AS (SELECT p_partkey, {_DAY_OF_YEAR} AS d, p_partkey % 5 AS k FROM part)
 SELECT p_partkey, CASE WHEN k = 3 THEN make_date(2026, month(d), day(d)) WHEN k < 3 OR p_partkey % 2 = 0 THEN d END AS datum, CASE WHEN k = 0 THEN '20:15' WHEN p_partkey % 3 = 0 THEN '09:30' END AS tijd FROM r""",
