@@ -65,6 +65,12 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.new_items(rows)[0]
 
 
+def listing_from_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings of sites that have a page 1, read from there on, twenty pages of each at most."""
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("site"), F.floor((F.col("o_orderkey") % 300) / 10).alias("page"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 7 % 60).alias("key"))
+    return C.listing_from_one(rows, rows.filter("page = 1").select("site"), 20)[0]
+
+
 def conflict_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 4
@@ -143,7 +149,7 @@ def amsterdam_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        robots_allowed, robots_group, sitemap_urls, page_links, event_starts, data_layer, listing_pages, conflict_marker, source_statuses, crawl_delay, challenge_pages, carry_forward, year_rollover, month_rollover,
+        robots_allowed, robots_group, sitemap_urls, page_links, event_starts, data_layer, listing_pages, listing_from_one, conflict_marker, source_statuses, crawl_delay, challenge_pages, carry_forward, year_rollover, month_rollover,
         short_dates, numeric_dates, date_lists, amsterdam_time,
     )
 }
@@ -168,6 +174,9 @@ b AS (SELECT page_id, arg_max(kind, (length(pattern), kind = 'allow')) AS k FROM
     "data_layer": "SELECT p_partkey, p_size::VARCHAR AS item, p_name AS naam, 12.5::DOUBLE AS prijs, p_type AS genre FROM part",
     "listing_pages": """WITH r AS (SELECT o_custkey % 20 AS site, (o_orderkey % 300) // 10 AS page, o_orderkey AS pos, o_orderkey * 7 % 60 AS key FROM orders),
 f AS (SELECT site, key, min((page, pos)) AS x FROM r GROUP BY 1, 2), p AS (SELECT DISTINCT site, page FROM r), s AS (SELECT site, min(page) AS stop FROM p WHERE NOT EXISTS (FROM f WHERE f.site = p.site AND f.x[1] = p.page) GROUP BY 1)
+SELECT f.site, key, x[1] AS page, x[2] AS pos FROM f LEFT JOIN s USING (site) WHERE stop IS NULL OR x[1] < stop""",
+    "listing_from_one": """WITH r AS (SELECT o_custkey % 20 AS site, (o_orderkey % 300) // 10 AS page, o_orderkey AS pos, o_orderkey * 7 % 60 AS key FROM orders WHERE (o_orderkey % 300) // 10 BETWEEN 1 AND 20 AND o_custkey % 20 IN (SELECT o_custkey % 20 FROM orders WHERE (o_orderkey % 300) // 10 = 1)),
+f AS (SELECT site, key, min((page, pos)) AS x FROM r GROUP BY 1, 2), p AS (SELECT DISTINCT site, page FROM r), s AS (SELECT site, min(page) AS stop FROM p WHERE NOT EXISTS (FROM f WHERE f.site = p.site AND f.x[1] = p.page) GROUP BY 1)
 SELECT f.site, key, x[1] AS page, x[2] AS pos FROM f LEFT JOIN s USING (site) WHERE stop IS NULL OR x[1] < stop""",
     "conflict_marker": """WITH d AS (SELECT doc_id, doc_id % 8 = 1 AS md, string_split(coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN chr(10) || '<<<<<<< HEAD' || chr(13) || chr(10) || 'x' WHEN 1 THEN chr(10) || '=======' || chr(10) ELSE '' END, chr(10)) AS l FROM documents),
 e AS (SELECT doc_id, md, unnest(range(1, len(l) + 1)) AS n, regexp_replace(unnest(l), '\\r$', '') AS t FROM d), a AS (SELECT *, bool_or(regexp_matches(t, '^(<{7}|>{7})(\\s|$)')) OVER (PARTITION BY doc_id) AS o FROM e),

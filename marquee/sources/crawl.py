@@ -29,6 +29,14 @@ def new_items(listing: DataFrame, max_pages: int | None = None) -> tuple[DataFra
     return items, stop.select("site", F.coalesce("stop", "laatste").alias("paginas"), ended.alias("klaar"))
 
 
+def listing_from_one(listing: DataFrame, sites: DataFrame, max_pages: int = 40) -> tuple[DataFrame, DataFrame]:
+    """``new_items`` of listings whose pages count from 1; page 0 is only a disabled button, and a site (of ``sites``) with nothing on page 1 is an error."""
+    begun = listing.filter("page = 1").select("site").distinct().withColumn("_er", F.lit(True))
+    checked = sites.select("site").distinct().join(begun, "site", "left")
+    read = checked.filter(F.coalesce("_er", F.raise_error(F.concat(F.lit("nothing on page 1 of "), F.col("site").cast("string"))).cast("boolean"))).select("site")
+    return new_items(listing.filter("page >= 1").join(read, "site"), max_pages)
+
+
 def sitemap_urls(pages: DataFrame, xml: str, keep: str = "/agenda/[^/?#]+$", drop: str = "/agenda/koop-ticket$") -> DataFrame:
     """Distinct urls of sitemaps that match ``keep`` and not ``drop``."""
     urls = pages.select(F.explode(F.regexp_extract_all(xml, F.lit(LOC), F.lit(1))).alias("url"))

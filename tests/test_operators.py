@@ -3,6 +3,7 @@
 import random
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions import text as X
@@ -332,3 +333,13 @@ def test_tables_between_steps_are_read_back_and_cleared(spark):
 
     df = storage.checkpointed(spark.range(10).withColumnRenamed("id", "x"))
     assert df.count() == 10 and df.inputFiles() and "RDD" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_listing_with_an_empty_first_page_is_an_error(spark):
+    from marquee.sources import crawl
+
+    rows = spark.createDataFrame([("a", 0, 1, "x"), ("a", 1, 2, "y"), ("a", 2, 3, "y"), ("b", 2, 4, "z")], "site string, page int, pos int, key string")
+    sites = lambda *names: spark.createDataFrame([(n,) for n in names], "site string")
+    assert [(r["key"], r["page"]) for r in crawl.listing_from_one(rows, sites("a"))[0].collect()] == [("y", 1)]
+    with pytest.raises(Exception, match="nothing on page 1 of b"):
+        crawl.listing_from_one(rows, sites("a", "b"))[0].collect()
