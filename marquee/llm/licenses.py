@@ -8,8 +8,8 @@ a licence.  A temperature is fitted on statements worded otherwise than any temp
 calibrated; below SURE a paragraph is 'unknown'.  A prediction counts only if the paragraph also shares enough of its
 words with a template of that family.
 
-Most paragraphs are never scored: the weights tell which words alone, however many of them and in whatever order, can
-not lift any family above none.  A paragraph without one of the other, telling, words is of class none.
+Most paragraphs are never scored: the weights give sets of words from which alone, however many of them and in whatever
+order, no family is lifted above none.  A paragraph is scored only if it has a telling word, one outside, for each set.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ HELD = {
 }
 SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS = 60, 600
 SURE, LIKE = 0.6, 0.6
-STEPS, RATE, DECAY = 250, 0.5, 1e-4
+STEPS, RATE, DECAY = 250, 0.5, 3e-4
 #: Words of a piece of a template, about a line.
 LINE = 12
 #: What separates words here: all but letters, digits and the full stop of a number.
@@ -141,12 +141,15 @@ def _training() -> list[tuple[int, list[str]]]:
 #: N-grams that the model can have a weight for.
 KNOWN = sorted({g for _, w in _training() for g in grams(w)})
 
-#: Weights of each n-gram by class, bias of each class, temperature, telling words.
-Model = tuple[dict[str, list[float]], list[float], float, list[str]]
+#: Common words that do not fit into the first set and get one of their own.
+MORE_SETS = 6
+
+#: Weights of each n-gram by class, bias of each class, temperature, telling words for each set.
+Model = tuple[dict[str, list[float]], list[float], float, list[list[str]]]
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, bias) of a multinomial logistic regression, by gradient descent with a step for each weight."""
+    """(weights, bias) of a multinomial logistic regression with an absolute penalty, by gradient descent with a step for each weight."""
     size = len(FAMILIES) + 1
     # equal rows are one row that counts as often
     both, n = np.unique(np.hstack([x, y[:, None]]).astype(np.float32), axis=0, return_counts=True)
@@ -158,7 +161,9 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = (_softmax(x @ w + b) - truth) * share
         step = x.T @ d
         speed += step * step
-        w -= RATE * (0.1 * step / np.sqrt(speed) + DECAY * w)
+        w -= RATE * 0.1 * step / np.sqrt(speed)
+        # sparse: weights that say little become 0
+        w = np.sign(w) * np.maximum(np.abs(w) - RATE * 0.1 * DECAY / np.sqrt(speed), 0)
         b -= RATE * d.sum(0)
     return w.astype(float), b.astype(float)
 
@@ -193,11 +198,12 @@ def train(others: list[list[str]]) -> Model:
     return {g: v.tolist() for g, v in zip(KNOWN, w)}, b.tolist(), temperature, telling(w, b, seen)
 
 
-def telling(w: np.ndarray, b: np.ndarray, seen: np.ndarray) -> list[str]:
-    """All words of KNOWN but a set of words from which alone no paragraph can get a family above none.
+def telling(w: np.ndarray, b: np.ndarray, seen: np.ndarray) -> list[list[str]]:
+    """For each of some sets, all words of KNOWN outside it; from the words of a set alone no paragraph can get a family above none.
 
-    The set takes in words from the most common one (``seen``, by n-gram) on, as long as all n-grams made of its words,
-    those that speak for a family counted in full, stay below what separates the family's bias from that of none.
+    A set takes in words as long as all n-grams made of its words, those that speak for a family counted in full, stay
+    below what separates the family's bias from that of none: first those that are most common (``seen``, by n-gram) for
+    what they add.  The most common words that are left out of the first set begin a set each.
     """
     gain = np.maximum(0.0, w[:, 1:] - w[:, :1])
     room = b[0] - b[1:]
@@ -206,14 +212,24 @@ def telling(w: np.ndarray, b: np.ndarray, seen: np.ndarray) -> list[str]:
         for x in set(g.split(" ")):
             of.setdefault(x, []).append(i)
     how_often = {g: seen[i] for i, g in enumerate(KNOWN) if " " not in g}
-    common: set[str] = set()
-    total = np.zeros(len(room))
-    for x in sorted(of, key=lambda x: (-how_often.get(x, 0), x)):
-        more = total + sum(gain[i] for i in of[x] if common.issuperset(set(KNOWN[i].split(" ")) - {x}))
-        if (more < room - 1e-6).all():
-            total = more
+    words = {i: set(KNOWN[i].split(" ")) for x in of for i in of[x]}
+
+    def outside(first: str | None) -> list[str]:
+        common, left, total = set(), set(of), np.zeros(len(room))
+        while left:
+            adds = {x: sum((gain[i] for i in of[x] if common.issuperset(words[i] - {x})), np.zeros(len(room))) for x in left}
+            fit = [x for x in left if (total + adds[x] < room - 1e-6).all()]
+            if not fit:
+                break
+            x = first if first in fit else max(fit, key=lambda x: ((how_often.get(x, 0) + 0.01) / (adds[x].max() + 0.01), x))
+            total, first = total + adds[x], None
             common.add(x)
-    return sorted(set(of) - common)
+            left.remove(x)
+        return sorted(set(of) - common)
+
+    sets = [outside(None)]
+    often = sorted((x for x in sets[0] if how_often.get(x, 0) > 0), key=lambda x: (-how_often[x], x))
+    return sets + [outside(x) for x in often[:MORE_SETS]]
 
 
 def sample_paragraphs(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, most: int = SAMPLE_PARAGRAPHS) -> list[list[str]]:
@@ -241,12 +257,18 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     """
     weight, bias, temperature, telling = model
     size = len(bias)
-    # a paragraph without any telling word stays in class none
-    first = F.array(*map(F.lit, telling))
+
+    def told(w: Column) -> Column:
+        """A paragraph without a telling word of some set stays in class none, and so does a text of such paragraphs."""
+        out = F.lit(True)
+        for words in telling:
+            out = out & F.arrays_overlap(w, F.array(*map(F.lit, words)))
+        return out
+
     text = F.coalesce("text", F.lit(""))
-    hinted = docs.select("doc_id", "row", text.alias("text")).filter(F.arrays_overlap(_column_words(F.col("text")), first))
+    hinted = docs.select("doc_id", "row", text.alias("text"), _column_words(text).alias("w")).filter(told(F.col("w"))).drop("w")
     lines = hinted.dropDuplicates(["row"]).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    worded = lines.select("doc_id", "row", "paragraph", _column_words(F.col("line")).alias("w")).filter(F.arrays_overlap("w", first))
+    worded = lines.select("doc_id", "row", "paragraph", _column_words(F.col("line")).alias("w")).filter(told(F.col("w")))
     known = docs.sparkSession.createDataFrame([(g, w) for g, w in weight.items()], "gram string, weight array<double>")
     grams_ = worded.select("row", "paragraph", F.explode(_column_grams(F.col("w"))).alias("gram"))
     # one row a paragraph and n-gram that the model knows; their sums are taken before the shuffle
