@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, mixing, neardup, pii, quality, secrets, tokens, urls
+from . import conversations, decontaminate, langid, licenses, mixing, neardup, pii, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_secret_scan": secrets.op9_secret_scan,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
     # what SQL can express of operators 1 and 9
     "quality_base_counts": quality.quality_base_counts,
     "secret_base_spans": secrets.secret_base_spans,
@@ -23,6 +24,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_source_mixing": mixing.ORACLE_SQL,
     "op5_url_filter": urls.ORACLE_SQL,
     "op7_near_duplicates": neardup.ORACLE_SQL,
+    "op11_conversation_repair": conversations.ORACLE_SQL,
     "quality_base_counts": quality.BASE_SQL,
     "secret_base_spans": secrets.BASE_SQL,
 }
