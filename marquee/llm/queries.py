@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, langid, licenses, mixing, neardup, pii, quality, secrets, tokens, urls
+from . import conversations, decontaminate, langid, licenses, merkle, mixing, neardup, pii, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
     # what SQL can express of operators 1 and 9
     "quality_base_counts": quality.quality_base_counts,
     "secret_base_spans": secrets.secret_base_spans,
@@ -25,6 +26,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": urls.ORACLE_SQL,
     "op7_near_duplicates": neardup.ORACLE_SQL,
     "op11_conversation_repair": conversations.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
     "quality_base_counts": quality.BASE_SQL,
     "secret_base_spans": secrets.BASE_SQL,
 }
