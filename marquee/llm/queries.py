@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, langid, licenses, merkle, mixing, neardup, pii, quality, secrets, tokens, urls
+from . import conversations, decontaminate, fingerprints, langid, licenses, merkle, mixing, neardup, pii, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -17,9 +17,11 @@ QUERIES = {
     "op9_secret_scan": secrets.op9_secret_scan,
     "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
-    # what SQL can express of operators 1 and 9
+    "op13_document_fingerprints": fingerprints.op13_document_fingerprints,
+    # what SQL can express of operators 1, 9 and 13
     "quality_base_counts": quality.quality_base_counts,
     "secret_base_spans": secrets.secret_base_spans,
+    "fingerprint_edits": fingerprints.fingerprint_edits,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mixing": mixing.ORACLE_SQL,
@@ -29,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op12_merkle_manifest": merkle.ORACLE_SQL,
     "quality_base_counts": quality.BASE_SQL,
     "secret_base_spans": secrets.BASE_SQL,
+    "fingerprint_edits": fingerprints.EDITS_SQL,
 }
