@@ -57,7 +57,8 @@ def _dense(bins: Column, full: Column) -> Column:
     """
     tried = lambda i, k: F.get(bins, F.pmod(F.xxhash64(i, F.lit(k)), F.lit(BINS)).cast("int"))
     first = lambda i: F.array_min(F.transform(full, lambda x: F.struct(F.xxhash64(i, x["j"], F.lit("order")).alias("rank"), x["v"].alias("v"))))["v"]
-    return F.transform(bins, lambda v, i: F.coalesce(v, *[tried(i, k) for k in range(TRIES)], first(i)))
+    # the look at the size also keeps the optimizer from working out ``full`` anew for each bin
+    return F.when(F.size(full) > 0, F.transform(bins, lambda v, i: F.coalesce(v, *[tried(i, k) for k in range(TRIES)], first(i)))).otherwise(bins)
 
 
 def _packed(dense: Column) -> Column:
@@ -93,13 +94,17 @@ def likeness(a: str, b: str) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """key (one for equal rows of doc_id and text) and text of each row."""
-    return docs.select(F.struct("doc_id", row_key().alias("row")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    """key (one for equal rows of doc_id and text), doc_id, row (see ``row_key``) and text of each row.
+
+    The key is a string, not a struct: structs read back differ in what may be null, and would be shuffled anew for each join.
+    """
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), row_key().cast("string"))
+    return docs.select(key.alias("key"), "doc_id", row_key().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _after(scratch: Scratch, own: DataFrame) -> DataFrame:
     """key and next: the key that follows by descending doc_id; after the last comes the first."""
-    rows = own.select("key", "key.doc_id", "key.row", F.lit("").alias("all"))
+    rows = own.select("key", "doc_id", "row", F.lit("").alias("all"))
     placed = scratch.save(places(scratch, rows, "all", [F.col("all").asc(), F.col("doc_id").desc_nulls_last(), F.col("row").desc()], "sorted"), "placed")
     return placed.select("key", "at").join(placed.select(F.pmod(F.col("at") - 1, F.col("n")).alias("at"), F.col("key").alias("next")), "at").select("key", "next")
 
@@ -114,19 +119,19 @@ def edits(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     rows = keyed(docs)
     prints = with_fingerprint(rows.withColumn("n_chars", F.length("text").cast("long")), "text", "fingerprint")
-    own = scratch.save(prints.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("n_chars").alias("n_chars"), F.first("fingerprint").alias("fingerprint")), "own")
+    own = scratch.save(prints.groupBy("key", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies"), F.first("n_chars").alias("n_chars"), F.first("fingerprint").alias("fingerprint")), "own")
     after = scratch.save(_after(scratch, own), "after")
     third = F.expr("n_chars div 3").cast("int")
     # both joins with the texts read the same shuffle of them
-    texts = rows.repartition("key").withColumn("copy", F.row_number().over(W.partitionBy("key").orderBy("key"))).filter("copy = 1").drop("copy")
+    texts = rows.select("key", "text").withColumn("copy", F.row_number().over(W.partitionBy("key").orderBy("key"))).filter("copy = 1").drop("copy")
     asked = after.join(own.select("key", third.alias("take")), "key").select(F.col("next").alias("key"), F.col("key").alias("by"), "take")
     given = texts.join(asked, "key").join(own.select("key", F.col("fingerprint").alias("next_fingerprint")), "key")
     heads = given.select(F.col("by").alias("key"), F.left("text", "take").alias("head"), "next_fingerprint")
-    found = texts.join(own, "key").join(heads, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    found = texts.join(own.drop("row"), "key").join(heads, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     last = F.col("copy") == F.col("copies")
     head = F.when(last, F.col("head")).otherwise(F.left("text", third))
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - third), head)
-    return found.select("key.doc_id", "n_chars", edited.alias("edited"), "fingerprint", F.when(last, F.col("next_fingerprint")).otherwise(F.col("fingerprint")).alias("next_fingerprint"))
+    return found.select("doc_id", "n_chars", edited.alias("edited"), "fingerprint", F.when(last, F.col("next_fingerprint")).otherwise(F.col("fingerprint")).alias("next_fingerprint"))
 
 
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
