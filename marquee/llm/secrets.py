@@ -96,18 +96,24 @@ def log_ratio(token: Column, weights: list[float]) -> Column:
     return end
 
 
-def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the matches for which keep(match, group 2 or None) holds, leftmost first."""
+def _with_spans(df: DataFrame, name: str, pattern: str, kind: int, keep) -> DataFrame:
+    """``df`` with a column of the spans of the matches in text for which keep(match, group 2 or None) holds, leftmost first.
+
+    What is used in a lambda is a column of its own, and used twice, so that it isn't worked out again for each
+    element: the time taken grows with the matches.
+    """
+    text, sizes, sums = F.col("text"), f"_{name}_sizes", f"_{name}_sums"
     match, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if kind == 0 else 0))
     rows = F.arrays_zip(match.alias("m"), F.slice(between, F.lit(1), F.size(match)).alias("b"), inner.alias("g"))
-    # where each match begins: a running sum over matches, in chunks so that no array grows one by one
     size = F.transform(rows, lambda r: F.struct((F.length(r["b"]) + F.length(r["m"])).alias("step"), F.length(r["m"]).alias("n"), keep(r["m"], r["g"]).alias("keep")))
-    chunk = lambda i: F.slice(size, i * CHUNK + 1, F.lit(CHUNK))
-    starts = F.sequence(F.lit(0), F.ceil(F.size(size) / CHUNK).cast("int") - 1)
-    sums = F.transform(starts, lambda i: F.aggregate(chunk(i), F.lit(0), lambda a, r: a + r["step"]))
-    out = F.flatten(F.transform(starts, lambda i: _chunk_spans(chunk(i), F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), lambda a, x: a + x), kind)))
-    return F.when(text.rlike(pattern), out).otherwise(F.array().cast(_SPAN))
+    df = df.withColumn(sizes, F.when(text.rlike(pattern), size))
+    # where each match begins: a running sum over matches, in chunks so that no array grows one by one
+    chunk = lambda i: F.slice(sizes, i * CHUNK + 1, F.lit(CHUNK))
+    chunks = F.sequence(F.lit(0), F.ceil(F.size(sizes) / CHUNK).cast("int") - 1)
+    df = df.withColumn(sums, F.when(F.size(sizes) > 0, F.transform(chunks, lambda i: F.aggregate(chunk(i), F.lit(0), lambda a, r: a + r["step"]))))
+    spans = F.flatten(F.transform(sums, lambda _, i: _chunk_spans(chunk(i), F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), lambda a, x: a + x), kind)))
+    return df.withColumn(name, F.when(F.col(sums).isNull(), F.array().cast(_SPAN)).otherwise(spans)).drop(sizes, sums)
 
 
 def _chunk_spans(rows: Column, first: Column, kind: int) -> Column:
@@ -126,12 +132,19 @@ def _chunk_spans(rows: Column, first: Column, kind: int) -> Column:
 def base_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text and base: sorted spans of the fixed patterns, {start, kind (place in KINDS), end}."""
     step = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = F.concat(
-        _spans(F.col("text"), ASSIGN, 0, lambda m, g: F.length(g) >= 12),
-        _spans(F.col("text"), ACCESS, 1, lambda m, g: F.lit(True)),
-        _spans(F.col("text"), HEX, 2, lambda m, g: F.lit(True)),
-    )
-    return step.select("doc_id", "text", F.array_sort(found).alias("base"))
+    step = _with_spans(step, "assign", ASSIGN, 0, lambda m, g: F.length(g) >= 12)
+    step = _with_spans(step, "access", ACCESS, 1, lambda m, g: F.lit(True))
+    step = _with_spans(step, "hex", HEX, 2, lambda m, g: F.lit(True))
+    return step.select("doc_id", "text", F.sort_array(F.concat("assign", "access", "hex")).alias("base"))
+
+
+def _apart(spans: str, base: str) -> Column:
+    """Those of ``spans`` that overlap none of ``base``; both are sorted.  A chunk of spans meets the base spans between its ends only."""
+    bound = lambda value, body: F.get(F.transform(F.array(value), body), 0)
+    within = lambda part: F.filter(base, lambda b: (b["start"] < F.element_at(part, -1)["end"]) & (F.element_at(part, 1)["start"] < b["end"]))
+    alone = lambda part, near: F.filter(part, lambda s: ~F.exists(near, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    chunks = F.sequence(F.lit(0), F.ceil(F.size(spans) / CHUNK).cast("int") - 1)
+    return F.flatten(F.transform(chunks, lambda i: bound(F.slice(spans, i * CHUNK + 1, F.lit(CHUNK)), lambda part: bound(within(part), lambda near: alone(part, near)))))
 
 
 def find_secrets(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD) -> DataFrame:
@@ -140,11 +153,9 @@ def find_secrets(docs: DataFrame, weights: list[float], threshold: float = THRES
     Null and empty texts have no span; repeated rows and null doc_ids are scanned like any other; other columns are
     not read; an empty table gives no row.  Added spans never overlap base ones.
     """
-    step = base_spans(docs).withColumn("maybe", _spans(F.col("text"), CANDIDATE, 3, lambda m, g: log_ratio(m, weights) > threshold))
-    kept = F.when(F.size("base") == 0, F.col("maybe")).otherwise(
-        F.filter("maybe", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    )
-    return step.select("doc_id", "text", "base", F.when(F.size("maybe") == 0, F.col("maybe")).otherwise(kept).alias("added"))
+    step = _with_spans(base_spans(docs), "maybe", CANDIDATE, 3, lambda m, g: log_ratio(m, weights) > threshold)
+    added = F.when((F.size("base") == 0) | (F.size("maybe") == 0), F.col("maybe")).otherwise(_apart("maybe", "base"))
+    return step.select("doc_id", "text", "base", added.alias("added"))
 
 
 def joined(spans: Column) -> Column:
@@ -162,7 +173,7 @@ def base_columns(found: DataFrame) -> list[Column]:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = find_secrets(docs, *calibrated(random_strings(spark).unionByName(ordinary_strings(docs))))
-    return found.select(*base_columns(found), joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return found.select(*base_columns(found), joined(F.sort_array(F.concat("base", "added"))).alias("spans"))
 
 
 def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

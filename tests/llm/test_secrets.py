@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import time
 
 import duckdb
 from brute import base_secrets
@@ -94,3 +96,50 @@ def test_threshold_is_calibrated(documents, spark):
     held = samples.filter(f"label = 0 AND token RLIKE '^{secrets.CANDIDATE}$'").select(secrets.log_ratio(samples["token"], w).alias("x")).collect()
     assert len(held) > 1000 and sum(r["x"] > least for r in held) <= 0.003 * len(held)
     assert secrets.calibrated(samples.filter("label = 1"))[1] == secrets.THRESHOLD
+
+
+def test_time_grows_with_the_matches(documents, spark):
+    """0.9 MB with 20,000 hexadecimal runs and as many candidates, and the same number of candidates that overlap with base spans."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(4)
+    w = weights(spark, documents(prose()))
+    hot = lambda: "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789") for _ in range(24))
+    one = " ".join(f"{i:020x} {hot()}" for i in range(20_000))
+    two = " ".join(f"{hot()}token={'a' * 12}" if i % 2 else hot() for i in range(5_000))
+    docs = documents([(1, one), (2, two)]).coalesce(1)
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.find_secrets(docs, w, -1e9).select("doc_id", "base", F.col("added")).collect()}
+    assert time.time() - began < 90
+    for doc_id, text in ((1, one), (2, two)):
+        base = base_secrets(text)
+        assert [tuple(s) for s in got[doc_id]["base"]] == base
+        taken = sorted((a, b) for a, _, b in base)
+        want, at = [], 0
+        for m in re.finditer(secrets.CANDIDATE, text):
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if not any(a < m.end() and m.start() < b for a, b in taken[at : at + 4]):
+                want.append((m.start(), 3, m.end()))
+        assert [tuple(s) for s in got[doc_id]["added"]] == want
+
+
+def test_added_spans_of_the_table_against_brute_force(spark):
+    """Every added span of the smallest table, worked out from the weights in plain Python."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    w, least = secrets.calibrated(secrets.random_strings(spark).unionByName(secrets.ordinary_strings(docs)))
+    assert least >= secrets.THRESHOLD
+    threshold = -100.0  # the table has no string above the threshold that the fixed patterns miss
+    size = len(secrets.ALPHABET) + 1
+
+    def ratio(token):
+        places = [0, *(secrets.ALPHABET.index(c) + 1 for c in token)]
+        return sum(w[a * size + b] for a, b in zip(places, places[1:]))
+
+    seen = 0
+    for r in secrets.find_secrets(docs, w, threshold).collect():
+        base = base_secrets(r["text"])
+        want = [(m.start(), 3, m.end()) for m in re.finditer(secrets.CANDIDATE, r["text"]) if ratio(m[0]) > threshold and not any(a < m.end() and m.start() < b for a, _, b in base)]
+        assert [tuple(s) for s in r["added"]] == want
+        seen += len(want)
+    assert seen
