@@ -8,7 +8,7 @@ different ones.
 =====  =====================================  ======================================================
 kind   validated                              permuted
 =====  =====================================  ======================================================
-email  shape, name of up to 64 characters     letters and digits of the domain but its last label,
+email  shape                                  letters and digits of the domain but its last label,
                                               and those of the name; letters without their case
 ip     four numbers up to 255                 the 32 bits
 card   13 to 19 digits, Luhn                  all but the check digit, which is set anew
@@ -33,7 +33,8 @@ ROUNDS = 8
 KINDS = ("email", "ip", "card", "phone", "ssn", "date")
 _B, _E = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
 PATTERNS = {
-    "email": "(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++){0,126}\\.[A-Za-z]{2,}+",
+    # signs before a name are matched along, so that a run of characters of names is looked at once
+    "email": "(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++){0,126}\\.[A-Za-z]{2,}+",
     "ip": "(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\\.[0-9])",
     "date": _B + "(?:(?:1[89]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\\1(?:1[89]|2[01])[0-9]{2})" + _E,
     "ssn": _B + "[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E + "(?!-[0-9])",
@@ -154,6 +155,8 @@ def permute_ssn(digits: Column, key: str) -> Column:
     return F.concat(*[F.lpad(x.cast("string"), n, "0") for x, n in ((area, 3), (group, 2), (serial, 4))])
 
 
+#: Characters of a name or domain that are turned together; that of valid names.
+LONGEST = 64
 _LOW, _NUM = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
@@ -161,14 +164,22 @@ def permute_letters(value: Column, key: str) -> Column:
     """Letters and digits of the name, and of the domain except its last label, shifted within their class.
 
     The domain is worked out by itself, so addresses of one domain share theirs; the name's shifts depend on it.  Case
-    takes no part and is put back in the end.  Two passes, forwards and backwards, each shift a character by a number
+    takes no part and is put back in the end.  Signs before the name stay, and don't count as part of it.  Two passes, forwards and backwards, each shift a character by a number
     made from the ones the pass has already written, so every character depends on the whole and the map can be undone
-    with the key.
+    with the key.  Names and domains of more than ``LONGEST`` characters are turned part by part, each with the part
+    before it as written in the original.
     """
     low = F.lower(value)
-    name, rest = F.substring_index(low, "@", 1), F.substring_index(low, "@", -1)
-    end = F.regexp_extract(rest, "\\.[a-z]+$", 0)
-    domain = F.substr(rest, F.lit(1), F.length(rest) - F.length(end))
+    rest, end = F.substring_index(low, "@", -1), F.regexp_extract(low, "\\.[a-z]+$", 0)
+    lead = F.regexp_extract(low, "^[._%+-]*", 0)
+    parts = F.struct(
+        lead.alias("lead"),
+        F.substr(F.substring_index(low, "@", 1), F.length(lead) + 1).alias("name"),
+        F.substr(rest, F.lit(1), F.length(rest) - F.length(end)).alias("domain"),
+        end.alias("end"),
+    )
+    # what is used for every character is worked out once
+    bound = lambda x, body: F.get(F.transform(F.array(x), body), 0)
 
     def one(text: Column, tweak: Column) -> Column:
         def turn(out: Column, c: Column) -> Column:
@@ -178,8 +189,15 @@ def permute_letters(value: Column, key: str) -> Column:
 
         return F.aggregate(F.split(text, ""), F.lit(""), turn)
 
-    both = lambda text, tweak: F.reverse(one(F.reverse(one(text, F.concat(F.lit("forth/"), tweak))), F.concat(F.lit("back/"), tweak)))
-    written = F.concat(both(name, F.concat(domain, end)), F.lit("@"), both(domain, end), end)
+    turned = lambda text, tweak: F.reverse(one(F.reverse(one(text, F.concat(F.lit("forth/"), tweak))), F.concat(F.lit("back/"), tweak)))
+
+    def both(text: Column, tweak: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(f".{{1,{LONGEST}}}"), F.lit(0))
+        before = lambda of: F.slice(F.concat(F.array(F.lit("")), of), F.lit(1), F.size(of))
+        long = bound(F.sha2(tweak, 256), lambda t: F.array_join(bound(pieces, lambda of: F.zip_with(of, before(of), lambda x, was: turned(x, F.concat_ws("/", t, was)))), ""))
+        return F.when(F.length(text) <= LONGEST, turned(text, tweak)).otherwise(long)
+
+    written = bound(parts, lambda p: F.concat(p["lead"], both(p["name"], F.concat(p["domain"], p["end"])), F.lit("@"), both(p["domain"], p["end"]), p["end"]))
     cased = F.zip_with(F.split(value, ""), F.split(written, ""), lambda v, w: F.when(v.rlike("[A-Z]"), F.upper(w)).otherwise(w))
     return F.array_join(cased, "")
 
@@ -202,6 +220,15 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     return step.select("doc_id", text.alias("text"), *map(count, KINDS))
 
 
+def session_key(spark: SparkSession) -> str:
+    """The session's key.  Only a session on one machine (tests and checks) may name none, as TEST_KEY is known to all."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{KEY_SETTING} must name a secret key")
+        key = TEST_KEY
+    return key
+
+
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the session's key; a corpus that is to be passed on needs a secret one."""
-    return pseudonymised(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, TEST_KEY))
+    return pseudonymised(table(spark, sf_dir, "documents"), session_key(spark))

@@ -4,6 +4,7 @@ import re
 import time
 from datetime import date, timedelta
 
+import pytest
 from brute import luhn
 from pyspark.sql import functions as F
 
@@ -273,3 +274,31 @@ def test_long_texts_take_linear_time(documents):
     assert time.perf_counter() - began < 240
     assert (found[0]["n_phone"], found[1]["n_ssn"], found[2]["n_ip"]) == (1, 1, 1)
     assert (found[8]["n_email"], found[8]["n_ssn"]) == (20_000, 20_000)
+
+
+def test_long_addresses(documents):
+    """Names and domains of any length are replaced whole; signs before a name stay and don't change its pseudonym."""
+    long = "a" * 60 + "." + "b" * 10 + "@x.org"
+    values = [long, "q" * 65 + "@x.org", ("name" * 400 + "%") * 100 + "@" + "sub-" * 300 + "end.example.org", "ann.smith@x.org"]
+    rows = [(i, f"mail {v} now") for i, v in enumerate(values)] + [(10, "...--ann.smith@x.org, +ann.smith@x.org"), (11, "_" * 500_000 + "@ " + "a." * 300_000)]
+    found = {r["doc_id"]: r for r in pii.pseudonymised(documents(rows), KEY).collect()}
+    seen = [found[i]["text"].removeprefix("mail ").removesuffix(" now") for i in range(len(values))]
+    for v, s in zip(values, seen):
+        assert len(v) == len(s) and s.endswith(".org") and [c.isalnum() for c in v] == [c.isalnum() for c in s]
+        # no part of 20 characters with letters is left as it was
+        assert not any(v[i : i + 20] == s[i : i + 20] for i in range(len(v) - 24))
+    assert found[10]["text"] == f"...--{seen[3]}, +{seen[3]}" and found[10]["n_email"] == 2
+    assert found[11]["text"] == rows[-1][1]
+
+
+def test_key_of_a_session(spark):
+    class Other:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    assert pii.session_key(spark) == pii.TEST_KEY
+    with pytest.raises(ValueError):
+        pii.session_key(Other)
