@@ -88,6 +88,11 @@ def delete(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as a struct, whatever signs are in their names."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+
+
 def row_key() -> Column:
     """Tells rows of ``doc_id`` and ``text`` apart, also where they share or lack an id; equal rows have equal keys."""
     return F.xxhash64("doc_id", "text")

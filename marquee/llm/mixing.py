@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, table
+from .common import SPACE, Scratch, table, whole_row
 
 BLOCK = 1000
 REPEATS = 2.0
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, budget: int | None = None, repeats: float | None = REPE
     Null and blank texts count one token.  Rows that repeat a doc_id are drawn each; null doc_ids are drawn like any
     other.  An empty table gives no row.
     """
-    counted = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), token_count(F.col("text")).alias("n_tokens"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    counted = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), token_count(F.col("text")).alias("n_tokens"), *([whole_row(docs).alias("row")] if carry else []))
     with Scratch(docs.sparkSession) as scratch:
         if not carry:
             counted = scratch.save(counted, "counted", keep=True)

@@ -13,7 +13,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, table
+from .common import SPACE, Scratch, table, whole_row
 
 SYMBOLS = "[#*$%&|<>]"
 RULES = ("length", "word_length", "symbols", "lines", "repetition", "capitals", "shouting", "variety")
@@ -25,7 +25,7 @@ def base_counts(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id and counts of each row's text; all 0 for null, empty and blank texts.  With ``carry``, row is the whole row of ``docs``."""
     spaces = f"[{SPACE}]+"
     text = F.coalesce("text", F.lit(""))
-    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    row = [whole_row(docs).alias("row")] if carry else []
     also = ["row"] if carry else []
     step = docs.select("doc_id", text.alias("text"), F.split(text, spaces).alias("w"), F.split(text, "\n").alias("l"), *row)
     # split leaves an empty first (last) word where the text starts (ends) with white space

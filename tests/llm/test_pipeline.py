@@ -79,5 +79,21 @@ def test_contaminated_rows_go_alone(spark):
     assert sorted(r["text"] for r in out) == sorted([rows[1][1], rows[3][1]])
 
 
+def test_any_column_names(spark):
+    """Names with dots, backquotes and spaces come through every stage that keeps rows."""
+    rows = [(i, prose(i), "en", "web", 9, i, "x", 2.5) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, `a.b` int, `c``d` string, `of row` double")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SMALL).collect(), docs.schema)
+        assert docs.columns[5:] == ["a.b", "c`d", "of row"], name
+    assert {tuple(r)[5:] for r in docs.collect()} == {r[5:] for r in rows}
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SMALL).collect() == [], name
+
+
 def test_stage_list():
     assert len(corpus_pipeline.STAGES) == 5
