@@ -11,12 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marquee.llm import decontaminate, mixing, neardup, quality, tokens
-from marquee.llm.common import WORD, Scratch, held, row_key, same_row, table
+from marquee.llm.common import WORD, Scratch, held, row_key, same_row, table, whole_row
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     """of (the whole row), doc_id and row (see ``row_key``) of each row: rows are told apart where they share or lack an id."""
-    return docs.select(F.struct(*docs.columns).alias("of"), "doc_id", row_key().alias("row"))
+    return docs.select(whole_row(docs).alias("of"), "doc_id", row_key().alias("row"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
