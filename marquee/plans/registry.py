@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import agenda, curate, groups, kept, lookups, more, social, sources, state, streams, text
+from . import agenda, cards, curate, groups, kept, lookups, more, social, sources, state, streams, text
 
-MODULES = (agenda, curate, groups, kept, lookups, more, social, sources, state, streams, text)
+MODULES = (agenda, cards, curate, groups, kept, lookups, more, social, sources, state, streams, text)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
