@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.dates import When, sort_time
 from ..functions.values import is_cancelled, is_full
+from .order import dutch
 
 SHORT_TERM = 3
 WINDOW_DAYS = 30
@@ -175,7 +176,7 @@ def related_venues(shows: DataFrame, chosen: DataFrame, today: date) -> DataFram
     upcoming = shows.filter(F.col("datum") >= F.lit(today))
     first = upcoming.groupBy("norm", F.col("theaterId").alias("elders"), F.col("theaterNaam").alias("naam")).agg(F.min(F.struct("datum", sort_time(F.col("tijd")).alias("tijd"))).alias("eerste"))
     rows = chosen.select("seq", "theaterId", "norm").join(first, "norm").filter("elders <> theaterId")
-    place = F.row_number().over(W.partitionBy("seq").orderBy("eerste", "naam", "elders"))
+    place = F.row_number().over(W.partitionBy("seq").orderBy("eerste", dutch("naam"), "elders"))
     return rows.select("seq", "elders", "naam", F.col("eerste.datum").alias("datum"), place.alias("plaats"))
 
 
