@@ -46,8 +46,8 @@ def published_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = new_folder(spark, "agenda")
     for stand, df, least in ((10, rows, 1), (20, coming, 1), (15, rows, 1), (30, rows.filter("datum IS NULL"), 1)):
         publish.publish(df, at, stand, least)
-    seen = publish.current(spark, at, rows.schema).agg(F.count(F.lit(1)).alias("zichtbaar"), F.countDistinct("datum").alias("dagen"))
-    return publish.status(spark, at).crossJoin(F.broadcast(seen))
+    seen = publish.current(spark, at, rows.schema).agg(F.count(F.lit(1)).alias("zichtbaar"), F.countDistinct("datum").alias("dagen")).first()
+    return publish.status(spark, at).select("*", F.lit(seen["zichtbaar"]).alias("zichtbaar"), F.lit(seen["dagen"]).alias("dagen"))
 
 
 QUERIES = {f.__name__: f for f in (stream_name_index, name_changes, published_runs)}
