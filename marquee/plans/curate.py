@@ -125,8 +125,8 @@ def _renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alias_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer points to an earlier one (every seventh to none): chains followed to their end."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 7 <> 0")
+    """Each customer points to an earlier one (those of one nation to none): chains followed to their end."""
+    c = table(spark, sf_dir, "customer").filter("c_nationkey <> 3 AND c_custkey > 0")
     return L.resolve_chains(c.select(F.col("c_custkey").cast("string").alias("van"), F.floor(F.col("c_custkey") / 2).cast("string").alias("naar")))
 
 
@@ -235,7 +235,7 @@ SELECT a, b, deelA, deelB, {_differ('deelA', 'deelB')} AS soort FROM o WHERE {_d
 e AS (SELECT p_partkey, a, unnest(range(7))::INT AS vorm, unnest(v) AS b FROM f) SELECT p_partkey, vorm, {_differ('a', 'b')} AS soort FROM e""",
     "unambiguous_mapping": _RENAMED + "SELECT oud, min(nieuw) AS nieuw FROM doel WHERE oud NOT IN (SELECT nieuw FROM renamed) GROUP BY 1 HAVING count(*) = 1",
     "multi_target_keys": _RENAMED + "SELECT oud AS sleutel, list(nieuw ORDER BY nieuw) AS doelen FROM doel WHERE oud NOT IN (SELECT nieuw FROM renamed) GROUP BY 1 HAVING count(*) > 1",
-    "alias_chain": """WITH RECURSIVE l AS (SELECT c_custkey AS van, c_custkey // 2 AS naar FROM customer WHERE c_custkey % 7 <> 0),
+    "alias_chain": """WITH RECURSIVE l AS (SELECT c_custkey AS van, c_custkey // 2 AS naar FROM customer WHERE c_nationkey <> 3 AND c_custkey > 0),
 w AS (SELECT van, naar, 1 AS stappen FROM l UNION ALL SELECT w.van, l.naar, w.stappen + 1 FROM w JOIN l ON l.van = w.naar) SELECT van::VARCHAR AS van, arg_max(naar, stappen)::VARCHAR AS naar, max(stappen)::INT AS stappen FROM w GROUP BY 1""",
     "merge_prefix": f"""WITH r AS (SELECT p_partkey AS seq, 'v' || (p_partkey % 13) AS theaterId, p_partkey % 50 AS dag, p_name AS naam, upper(p_type[1]) || lower(p_type[2:]) AS soort, p_partkey % 3 AS k, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS maker FROM part),
 q AS (SELECT *, CASE k WHEN 0 THEN naam WHEN 1 THEN naam || ' – ' || soort ELSE naam || ' | ' || soort || ' special' END AS titel FROM r),

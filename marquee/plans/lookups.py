@@ -135,7 +135,7 @@ def shared_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The performances of each venue and key as visits, shared in the order of the last one."""
-    rows = read_shows(spark, sf_dir).filter("theaterId <> 'v2'")
+    rows = read_shows(spark, sf_dir)
     visit = F.when(~F.col("seq").endswith("7"), F.struct("datum", F.coalesce("tijd", F.lit("")).alias("tijd"), "seq", "maker", "genre"))
     items = rows.groupBy(F.col("theaterId").alias("user"), "sleutel").agg(F.max("titel").alias("titel"), F.collect_list(visit).alias("bezoeken"), F.lit("Zelf").alias("maker"), F.lit("Overig").alias("genre"), (F.count(F.lit(1)) % 11 / 2.0).alias("beoordeling"), F.min(F.length("seq")).cast("bigint").alias("op"))
     shared = LI.shared_seen(items, _live(spark, sf_dir)).join(items.select("user", "sleutel", "op"), ["user", "sleutel"])
@@ -162,12 +162,13 @@ def gone_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def watchlist_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer watches the productions of one venue and one that is gone; some items were made from one older item."""
+    """Every customer watches the productions of their orders and one that is gone; some items were made from one older item."""
     rows = read_shows(spark, sf_dir)
-    keys = rows.groupBy(F.substring("theaterId", 2, 9).cast("bigint").alias("n"), "sleutel").agg(F.min("titel").alias("titel"))
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"), (F.col("c_custkey") % 50 + 1).alias("n")).filter("user % 10 = 0 OR n = 1")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), F.col("o_custkey").alias("user"))
+    keys = rows.select(F.substring("seq", 1, 10).cast("bigint").alias("n"), "sleutel", "titel").join(orders, "n").groupBy("user", "sleutel").agg(F.min("titel").alias("titel"))
     old = F.length("sleutel") % 3 == 0
-    watched = customers.join(keys, "n").select("user", "sleutel", "titel", F.when(old, F.col("user") * 1000 + F.length("sleutel")).otherwise(0).alias("op"), F.when(old, "v1").alias("theaterId"))
+    watched = keys.select("user", "sleutel", "titel", F.when(old, F.col("user") * 1000 + F.length("sleutel")).otherwise(0).alias("op"), F.when(old, "v1").alias("theaterId"))
     gone = customers.select("user", F.lit("weg is weg").alias("sleutel"), F.lit("Weg is weg").alias("titel"), F.lit(0).cast("bigint").alias("op"), F.lit(None).cast("string").alias("theaterId"))
     items = watched.unionByName(gone).withColumn("maker", F.lit("Ada Lint"))
     return A.watchlist_lines(items, S.group_watchlist(items), rows, DAY)
@@ -194,9 +195,9 @@ def _plan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    viewers = c.select(k.alias("ik"), (k * 7 % 100 + 1).alias("vriend"))
-    settings = c.filter("c_custkey % 5 <> 0").select(k.alias("user"), (k % 3 != 0).alias("delen"))
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 4 <> 0")
+    viewers = c.select(k.alias("ik"), F.floor(k * 2 / 3).alias("vriend"))
+    settings = c.select(k.alias("user"), F.when(F.col("c_nationkey") > 4, k % 3 != 0).alias("delen")).filter("delen IS NOT NULL")
+    o = table(spark, sf_dir, "orders")
     copies = o.groupBy(F.col("o_custkey").alias("user")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("items"))
     return SO.shared_view(viewers, settings, copies)
 
@@ -445,7 +446,7 @@ SELECT p_partkey, len(los) = 0 AND (len(list_filter(erbij, lambda x: x <> 'ada l
     "shared_watchlist": SHOW_SQL + f""", {_LIVE}, i AS (SELECT theaterId AS "user", sleutel, max(titel) AS t FROM perf GROUP BY 1, 2) SELECT "user", sleutel, coalesce(titel, t) AS titel, maker, genre FROM i LEFT JOIN live USING (sleutel)""",
     "shared_seen": SHOW_SQL
     + f""", {_LIVE}, i AS (SELECT theaterId AS "user", sleutel, max(titel) AS t, count(*) FILTER (NOT ends_with(seq, '7')) AS n, count(*) AS alle, max(datum) FILTER (NOT ends_with(seq, '7')) AS laatst, min(length(seq)) AS op,
- arg_max(maker, (datum, coalesce(tijd, ''), seq)) FILTER (NOT ends_with(seq, '7') AND coalesce(maker, '') <> '') AS m, arg_max(genre, (datum, coalesce(tijd, ''), seq)) FILTER (NOT ends_with(seq, '7') AND coalesce(genre, '') <> '') AS g FROM perf WHERE theaterId <> 'v2' GROUP BY 1, 2)
+ arg_max(maker, (datum, coalesce(tijd, ''), seq)) FILTER (NOT ends_with(seq, '7') AND coalesce(maker, '') <> '') AS m, arg_max(genre, (datum, coalesce(tijd, ''), seq)) FILTER (NOT ends_with(seq, '7') AND coalesce(genre, '') <> '') AS g FROM perf GROUP BY 1, 2)
 SELECT "user", sleutel, coalesce(titel, t) AS titel, coalesce(l.maker, m, 'Zelf') AS maker, coalesce(l.genre, g, 'Overig') AS genre, (alle % 11) / 2.0 AS beoordeling, laatst AS laatsteBezoek, greatest(n, 1)::INT AS aantal,
  row_number() OVER (PARTITION BY "user" ORDER BY coalesce(laatst::TIMESTAMP, make_timestamp_ms(op)) DESC, sleutel)::INT AS plaats FROM i LEFT JOIN live l USING (sleutel)""",
     "seen_by_rating": """WITH i AS (SELECT c_custkey % 7 AS "user", 'k' || c_custkey AS sleutel, CASE WHEN c_custkey % 3 <> 0 THEN (c_custkey % 10 + 1) / 2.0 ELSE 0 END AS r, coalesce(CASE WHEN c_custkey % 4 <> 0 THEN (DATE '1998-01-01' + (c_custkey % 50)::INT)::TIMESTAMP END, make_timestamp_ms(c_custkey * 86400000 * 365)) AS stip FROM customer)
@@ -454,8 +455,8 @@ SELECT "user", sleutel, row_number() OVER (PARTITION BY "user" ORDER BY r DESC,
 SELECT *, count(*) OVER (PARTITION BY "user", datum) - 1 AS zelfde FROM p WHERE datum >= DATE '{TODAY}'""",
     "gone_plans": SHOW_SQL + "SELECT 'p' || seq AS plan, beschikbaarheid AS vervallen FROM perf WHERE NOT ends_with(seq, '3') AND beschikbaarheid IN ('afgelast', 'verplaatst')",
     "watchlist_lines": SHOW_SQL
-    + f""", w AS (SELECT c_custkey AS u, sleutel, titel FROM customer JOIN (SELECT substr(theaterId, 2)::BIGINT AS n, sleutel, min(titel) AS titel FROM perf GROUP BY 1, 2) k ON n = c_custkey % 50 + 1 WHERE c_custkey % 10 = 0 OR n = 1
- UNION ALL SELECT c_custkey, 'weg is weg', 'Weg is weg' FROM customer WHERE c_custkey % 10 = 0 OR c_custkey % 50 = 0),
+    + f""", w AS (SELECT o_custkey AS u, sleutel, min(titel) AS titel FROM perf JOIN orders ON o_orderkey = substr(seq, 1, 10)::BIGINT GROUP BY 1, 2
+ UNION ALL SELECT c_custkey, 'weg is weg', 'Weg is weg' FROM customer),
 g AS (SELECT *, CASE WHEN length(sleutel) % 3 = 0 AND sleutel <> 'weg is weg' THEN (u * 1000 + length(sleutel)) || '|v1' ELSE 's|' || sleutel END AS groep FROM w),
 s AS (SELECT *, coalesce(tijd, '99:99') AS t, beschikbaarheid IN ('afgelast', 'verplaatst') AS gone FROM perf WHERE datum >= DATE '{TODAY}'),
 j AS (SELECT g.u, g.groep, g.sleutel AS k, g.titel AS eigen, s.* FROM g LEFT JOIN s ON s.sleutel = g.sleutel),
@@ -469,8 +470,8 @@ SELECT * EXCLUDE (q), row_number() OVER (PARTITION BY "user" ORDER BY CASE soort
     "plan_guests": f"WITH {_EVENTS_LOG} SELECT * FROM members",
     "plan_messages": f"""WITH {_EVENTS_LOG} SELECT plan, NULL::VARCHAR AS naar, g AS van, CASE actie WHEN 'gaat' THEN 'gaat-mee' ELSE actie END AS soort FROM kept WHERE actie IN ('gaat', 'kan-niet', 'weg')
 UNION ALL SELECT plan, uid, 'eigenaar', 'opgeheven' FROM members JOIN eind USING (plan) WHERE status IN ('gaat', 'uitgenodigd')""",
-    "shared_view": """WITH k AS (SELECT o_custkey AS u, list_sort(list(DISTINCT o_orderpriority)) AS items FROM orders WHERE o_custkey % 4 <> 0 GROUP BY 1), v AS (SELECT c_custkey AS ik, c_custkey * 7 % 100 + 1 AS vriend FROM customer)
-SELECT ik, vriend, CASE WHEN s.c_custkey IS NOT NULL AND vriend % 5 <> 0 AND vriend % 3 <> 0 THEN coalesce(items, []) END AS items FROM v LEFT JOIN customer s ON s.c_custkey = vriend LEFT JOIN k ON u = vriend""",
+    "shared_view": """WITH k AS (SELECT o_custkey AS u, list_sort(list(DISTINCT o_orderpriority)) AS items FROM orders GROUP BY 1), v AS (SELECT c_custkey AS ik, c_custkey * 2 // 3 AS vriend FROM customer)
+SELECT ik, vriend, CASE WHEN s.c_nationkey > 4 AND vriend % 3 <> 0 THEN coalesce(items, []) END AS items FROM v LEFT JOIN customer s ON s.c_custkey = vriend LEFT JOIN k ON u = vriend""",
     "status_messages": """WITH m AS (SELECT o_orderkey // 8 AS plan, o_orderkey AS uid, ['uitgenodigd', 'gaat', 'kan-niet', 'weg'] AS s, o_orderkey AS k FROM orders), b AS (SELECT *, CASE WHEN uid % 10 <> 0 THEN s[k // 3 % 4 + 1] END AS was, s[k // 5 % 4 + 1] AS nu FROM m)
 SELECT plan, uid, CASE nu WHEN 'gaat' THEN 'gaat-mee' ELSE nu END AS soort FROM b WHERE nu <> 'uitgenodigd' AND nu IS DISTINCT FROM was""",
     "agenda_order": SHOW_SQL + "SELECT seq, row_number() OVER (PARTITION BY datum ORDER BY coalesce(tijd, '99:99'), seq)::INT AS plaats FROM perf WHERE datum >= DATE '1998-02-10'",

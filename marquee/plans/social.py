@@ -33,7 +33,7 @@ friends AS (SELECT DISTINCT a, b FROM pairs WHERE k % 5 = 0), blocks AS (SELECT
 
 
 def _asks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 3")
+    o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("k"), _u(F.col("o_custkey") % 120).alias("van"), _u(F.floor(F.col("o_totalprice")) % 120).alias("naar"))
 
 
@@ -81,14 +81,14 @@ def link_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plans(spark: SparkSession, sf_dir: str):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 4")
+    o = table(spark, sf_dir, "orders")
     plans = o.select(F.col("o_orderkey").alias("plan"), _u(F.col("o_custkey") % 120).alias("eigenaar"), F.to_date("o_orderdate").alias("datum"), (F.col("o_orderkey") % 7 == 0).alias("opgeheven"))
     members = o.filter("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("plan"), _u(F.floor(F.col("o_totalprice")) % 120).alias("uid"), F.lit("gast").alias("rol"), F.element_at(F.array(*map(F.lit, ("uitgenodigd", "gaat", "kan-niet", "weg"))), (F.floor(F.col("o_orderkey") / 5) % 4 + 1).cast("int")).alias("status"))
     invitations = o.select(F.col("o_orderkey").alias("plan"), _u(F.floor(F.col("o_totalprice")) % 120).alias("uid")).unionByName(o.filter("o_orderkey % 10 = 4").select((-F.col("o_orderkey")).alias("plan"), F.lit("1").alias("uid")))
     return plans, members, invitations
 
 
-PLANS_SQL = EDGES_SQL + """, p AS (SELECT o_orderkey AS plan, (o_custkey % 120)::VARCHAR AS eigenaar, o_orderdate::DATE AS datum, o_orderkey % 7 = 0 AS opgeheven, (floor(o_totalprice)::BIGINT % 120)::VARCHAR AS gast, CASE WHEN o_orderkey % 11 <> 0 THEN ['uitgenodigd', 'gaat', 'kan-niet', 'weg'][(o_orderkey // 5 % 4 + 1)::INT] END AS status FROM orders WHERE o_orderkey % 5 = 4),
+PLANS_SQL = EDGES_SQL + """, p AS (SELECT o_orderkey AS plan, (o_custkey % 120)::VARCHAR AS eigenaar, o_orderdate::DATE AS datum, o_orderkey % 7 = 0 AS opgeheven, (floor(o_totalprice)::BIGINT % 120)::VARCHAR AS gast, CASE WHEN o_orderkey % 11 <> 0 THEN ['uitgenodigd', 'gaat', 'kan-niet', 'weg'][(o_orderkey // 5 % 4 + 1)::INT] END AS status FROM orders),
 inv AS (SELECT plan, gast AS uid FROM p UNION ALL SELECT -plan, '1' FROM p WHERE plan % 10 = 4)"""
 
 
@@ -161,7 +161,7 @@ QUERIES = {
 
 _HAS = "EXISTS (FROM {0} WHERE {1})"
 ORACLE_SQL = {
-    "request_outcome": EDGES_SQL + """, asks AS (SELECT o_orderkey AS k, (o_custkey % 120)::VARCHAR AS van, (floor(o_totalprice)::BIGINT % 120)::VARCHAR AS naar FROM orders WHERE o_orderkey % 5 = 3)
+    "request_outcome": EDGES_SQL + """, asks AS (SELECT o_orderkey AS k, (o_custkey % 120)::VARCHAR AS van, (floor(o_totalprice)::BIGINT % 120)::VARCHAR AS naar FROM orders)
 SELECT k, van, naar, CASE WHEN van = naar THEN 'zelf' WHEN (van, naar) IN (SELECT (a, b) FROM friends) THEN 'al-vrienden' WHEN (van, naar) IN (SELECT (a, b) FROM blocks) THEN 'jij-blokkeert' WHEN (naar, van) IN (SELECT (van, naar) FROM requests) THEN 'vrienden'
  WHEN (van, naar) IN (SELECT (van, naar) FROM requests) THEN 'al-verstuurd' WHEN (naar, van) IN (SELECT (a, b) FROM blocks) THEN 'niet-mogelijk' ELSE 'verstuurd' END AS uitkomst FROM asks""",
     "accepted_friends": EDGES_SQL + "SELECT a, b FROM friends UNION SELECT van, naar FROM requests WHERE van::INT % 2 = 0 UNION SELECT naar, van FROM requests WHERE van::INT % 2 = 0",
