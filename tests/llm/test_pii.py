@@ -163,7 +163,8 @@ def brute_value(v):
     if full["email"]:
         name, rest = v.lower().split("@")
         domain, end = rest.rsplit(".", 1)
-        new = letters(name, rest) + "@" + letters(domain, "." + end) + "." + end
+        lead = name[: len(name) - len(name.lstrip("._%+-"))]  # signs before the name are no part of it
+        new = lead + letters(name[len(lead) :], rest) + "@" + letters(domain, "." + end) + "." + end
         return "email", "".join(w.upper() if c.isupper() else w for c, w in zip(v, new))
     if full["ip"]:
         x = 0
