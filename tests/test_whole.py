@@ -24,7 +24,7 @@ def test_rows_of_whole_tables(spark):
     n = shows(spark, SMALL).count()
     assert one("plan_visits").count() == n
     assert one("plan_links").select("plan").distinct().count() == n
-    orders, customers = (duckdb.sql(f"SELECT count(*) FROM '{SMALL}/{t}.parquet'").fetchone()[0] for t in ("orders", "customer"))
+    orders, customers = (duckdb.sql(f"SELECT count(*) FROM '{SMALL}/{t}.parquet'").fetchall()[0][0] for t in ("orders", "customer"))
     assert one("request_outcome").count() == one("with_whom").count() == orders and one("shared_view").count() == customers
     # every customer whose name somebody else has is a searcher with hits
     customers = duckdb.sql(f"SELECT c_custkey FROM '{SMALL}/customer.parquet' WHERE c_custkey % 12 < 10").fetchall()
