@@ -23,6 +23,9 @@ AMPERSAND = f"{S}*&{S}*"
 BRACKETS = f"(?i)\\(({S}*\\d+(?:[.,]\\d+)?{S}*\\+|{S}*\\d+{S}*(?:-|t/m|tot){S}*\\d+{S}*(?:jaar|maanden)?|{S}*try-?out|{S}*reprise|{S}*premi[eè]re|{S}*nieuw){S}*\\)"
 SLASH_AGE = f"/{S}*\\d+{S}*\\+"
 THE_MUSICAL = f"(?i)[\\s,:–-]+(?:de|the){S}+musical{WORD_END}"
+#: What each noise pattern needs: most titles have none of it and skip the costlier patterns.
+MAY_BE_NOISE = "[&(/]|(?i:musical)"
+MAY_BE_END_NOISE = "\\+|(?i:reprise|try)"
 END_WORD = f"(?i)(?:^|[\\s–-]+)(?:reprise|try-?out){S}*$"
 END_AGE = f"(?:^|{S})\\d+{S}*\\+{S}*$"
 VENUE_BOUND_TITLES = ("medusa", "contra", "diep", "pan", "nora", "adem", "cabaret", "blind date")
@@ -60,6 +63,15 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+#: A noncharacter, which no text holds: it marks where a text is to be cut.
+_MARK = "\uffff"
+
+
+def cut(text: Column, pattern: str) -> Column:
+    """``split(text, pattern, -1)`` for patterns of some length: replacing keeps a compiled pattern, splitting compiles it for each row."""
+    return F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1)
+
+
 def fold(text: Column) -> Column:
     """Text without accents: combining marks (U+0300 to U+036F) dropped, composed or not; ø, ß, ł stay."""
     return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), "[\\x{300}-\\x{36F}]", "")
@@ -90,19 +102,20 @@ def search_form(text: Column) -> Column:
 
 def without_noise(title: Column) -> Column:
     """Title without ages, "(try-out)", "the musical" and the like; "&" is "en"."""
-    out = F.regexp_replace(F.coalesce(title, F.lit("")), AMPERSAND, " en ")
+    given = F.coalesce(title, F.lit(""))
+    out = F.regexp_replace(given, AMPERSAND, " en ")
     for pattern in (BRACKETS, SLASH_AGE, THE_MUSICAL):
         out = F.regexp_replace(out, pattern, " ")
-    return out
+    return F.when(given.rlike(MAY_BE_NOISE), out).otherwise(given)
 
 
 def without_end_noise(part: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(part, END_WORD, " "), END_AGE, " ")
+    return F.when(part.rlike(MAY_BE_END_NOISE), F.regexp_replace(F.regexp_replace(part, END_WORD, " "), END_AGE, " ")).otherwise(part)
 
 
 def title_parts(title: Column) -> Column:
     """Distinct normal parts of a title, sorted."""
-    parts = F.transform(F.split(without_noise(title), SEPARATOR, -1), lambda p: normal_title(without_end_noise(p)))
+    parts = F.transform(cut(without_noise(title), SEPARATOR), lambda p: normal_title(without_end_noise(p)))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda p: p != "")))
 
 
@@ -118,17 +131,17 @@ def production_key(title: Column, venue: Column) -> Column:
 
 def form_key(title: Column) -> Column:
     """Lower-cased parts in order of the alphabet, noise kept: titles that differ only in order, case and separator."""
-    parts = F.transform(F.split(F.coalesce(title, F.lit("")), SEPARATOR, -1), lambda p: F.lower(squeeze(p)))
+    parts = F.transform(cut(F.coalesce(title, F.lit("")), SEPARATOR), lambda p: F.lower(squeeze(p)))
     return F.array_join(F.array_sort(F.filter(parts, lambda p: p != "")), "\x00")
 
 
 def raw_parts(title: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(title, F.lit("")), RAW_SEPARATOR, -1), strip), lambda p: p != "")
+    return F.filter(F.transform(cut(F.coalesce(title, F.lit("")), RAW_SEPARATOR), strip), lambda p: p != "")
 
 
 def last_part(title: Column) -> Column:
     """Last part of a title, lower-cased."""
-    return F.lower(strip(F.element_at(F.split(title, SEPARATOR, -1), -1)))
+    return F.lower(strip(F.element_at(cut(title, SEPARATOR), -1)))
 
 
 def normal_part(text: Column) -> Column:
@@ -210,7 +223,7 @@ def status_parts(title: Column) -> Column:
             ),
         )
 
-    return let(F.split(t, f"{S}+[-–|]{S}+", -1), told)
+    return let(cut(t, f"{S}+[-–|]{S}+"), told)
 
 
 def status_from_title(title: Column) -> tuple[Column, Column]:
@@ -265,7 +278,7 @@ NAME_WORDS = ("van", "de", "der", "den", "het", "ten", "ter", "te", "du", "la",
 
 
 def maker_core(maker: Column) -> Column:
-    return strip(F.element_at(F.split(F.coalesce(maker, F.lit("")), CORE_SEPARATOR, -1), 1))
+    return strip(F.element_at(cut(F.coalesce(maker, F.lit("")), CORE_SEPARATOR), 1))
 
 
 def like_company(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import WORD_END, WORD_START, S, fold, squeeze, strip
+from .text import WORD_END, WORD_START, S, cut, fold, squeeze, strip
 
 CANCELLED = ("afgelast", "verplaatst")
 FULL = ("uitverkocht", "wachtlijst")
@@ -68,7 +68,7 @@ def is_full(status: Column) -> Column:
 
 def genre_key(label: Column) -> Column:
     """A label's parts, lower-cased and sorted: "Jeugd en familie" is "familie & jeugd"."""
-    parts = F.split(F.lower(strip(label)), f"{S}*(?:&|/|,|\\+|{S}+en{S}+){S}*", -1)
+    parts = cut(F.lower(strip(label)), f"{S}*(?:&|/|,|\\+|{S}+en{S}+){S}*")
     return F.array_join(F.array_sort(F.filter(F.transform(parts, strip), lambda p: p != "")), " & ")
 
 
@@ -105,7 +105,7 @@ def _any(text: Column, patterns) -> Column:
 def not_a_show(title: Column, tags: Column) -> Column:
     """workshop, film, rondleiding, quiz, or null for a performance; ``tags`` is the source's genre text."""
     t = strip(F.coalesce(title, F.lit("")))
-    g = F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), f"{S}*[,|/;]{S}*", -1), lambda x: F.lower(strip(x))), lambda x: x != "")
+    g = F.filter(F.transform(cut(F.coalesce(tags, F.lit("")), f"{S}*[,|/;]{S}*"), lambda x: F.lower(strip(x))), lambda x: x != "")
     workshop = t.rlike(WORKSHOP) | t.rlike(WORKSHOP_WORD) | ((F.size(g) > 0) & F.forall(g, lambda x: x.isin(*WORKSHOP_TAGS)))
     film = F.exists(g, lambda x: x.isin(*FILM)) & (F.forall(g, lambda x: x.isin(*FILM_TAGS)) | ~F.exists(g, lambda x: x.rlike(STAGE)))
     return (

@@ -12,7 +12,7 @@ from .linkage import SEPARATOR
 
 def variant_fits(variant, canonical, maker):
     """Do all parts of a variant stand in the proposal or are they its maker, and does the proposal add the maker only?"""
-    bare = lambda t: F.array_distinct(F.filter(F.transform(F.split(t, X.RAW_SEPARATOR, -1), X.normal_part), lambda p: p != ""))
+    bare = lambda t: F.array_distinct(F.filter(F.transform(X.cut(t, X.RAW_SEPARATOR), X.normal_part), lambda p: p != ""))
     v, c, m = bare(variant), bare(canonical), X.normal_part(F.coalesce(maker, F.lit("")))
     extra = F.array_except(c, v)
     return (F.size(F.array_except(F.array_except(v, c), F.array(m))) == 0) & (F.forall(extra, lambda d: d == m) | ((F.size(v) == 1) & F.array_contains(v, m)))
@@ -45,7 +45,7 @@ def accept_proposals(proposed: DataFrame, members: DataFrame, aliases: DataFrame
     parts do not fit.  A source with two targets is a conflict and gets none.
     """
     chosen = aliases.filter("regel = 'keuze'")
-    parts = F.split("canoniek", SEPARATOR, -1)
+    parts = X.cut(F.col("canoniek"), SEPARATOR)
     counted = members.filter("coalesce(maker, '') <> ''").groupBy("groep", "maker").agg(F.sum("n").alias("n"))
     most = counted.groupBy("groep").agg(F.min_by("maker", F.struct((-F.col("n")).alias("n"), "maker")).alias("_veld"))
     fine = proposed.filter("size(twijfel) = 0").join(most, "groep", "left")

@@ -216,13 +216,13 @@ def apply_aliases(shows: DataFrame, aliases: DataFrame) -> DataFrame:
     bare = lambda c: X.normal_title(X.without_noise_ends(c))
     new = X.normal_title(F.col("_t"))
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    new_parts = F.split("_t", SEPARATOR, -1)
+    new_parts = X.cut(F.col("_t"), SEPARATOR)
     last = F.coalesce((F.size(new_parts) > 1) & (bare(F.element_at(new_parts, -1)) == bare(F.col("_m"))), F.lit(False))
     m = bare(F.col("maker"))
     inside = F.coalesce((F.col("maker") != "") & (F.length(m) >= 4) & F.contains(padded(new), padded(m)), F.lit(False))
     filled = F.when(~last & (F.col("_m") != ""), F.col("_m"))
     first = F.coalesce(F.nullif(F.when(~inside, F.col("maker")), F.lit("")), filled)
-    rest = F.filter(F.split("titel", SEPARATOR, -1), lambda d: ~X.strip(d).rlike("^\\(?\\d") & ~F.contains(padded(new), padded(bare(d))))
+    rest = F.filter(X.cut(F.col("titel"), SEPARATOR), lambda d: ~X.strip(d).rlike("^\\(?\\d") & ~F.contains(padded(new), padded(bare(d))))
     turned = F.when(inside & first.isNull() & ~last & (F.size(rest) > 0), F.array_join(rest, SEPARATOR))
     maker = F.when(F.col("_vast"), F.when(~last, F.col("_m"))).otherwise(F.coalesce(first, turned))
     hit = F.col("_t").isNotNull()
@@ -285,7 +285,7 @@ def source_index(shows: DataFrame) -> tuple[DataFrame, DataFrame]:
     fine = (F.coalesce("maker", F.lit("")) != "") & ~X.never_maker(F.col("maker")) & X.slogan_kind(F.col("maker")).isNull() & ~F.coalesce(X.slogan_kind(F.col("titel")).isin("cast", "zin"), F.lit(False))
     ends = lambda d: d.filter("k <> ''").groupBy("k").agg(F.min("theaterId").alias("v1"), F.max("theaterId").alias("v2"))
     makers = ends(rows.filter(fine).select(X.normal_part(F.col("maker")).alias("k"), "theaterId"))
-    titles = ends(rows.select(F.explode(F.array("titel", F.element_at(F.split("titel", SEPARATOR, -1), 1))).alias("t"), "theaterId").select(X.normal_part(F.col("t")).alias("k"), "theaterId"))
+    titles = ends(rows.select(F.explode(F.array("titel", F.element_at(X.cut(F.col("titel"), SEPARATOR), 1))).alias("t"), "theaterId").select(X.normal_part(F.col("t")).alias("k"), "theaterId"))
     return makers, titles
 
 
@@ -295,7 +295,7 @@ def slogan_choice(shows: DataFrame, makers: DataFrame, titles: DataFrame) -> Dat
     Swapped where the maker (or its first part) is a title elsewhere and the title is a maker elsewhere.
     """
     rows = shows.select("seq", "theaterId", "titel", "maker", X.slogan_kind(F.col("maker")).alias("soort")).filter("soort is not null")
-    rows = rows.withColumns({"km": X.normal_part(F.col("maker")), "delen": F.split("maker", SEPARATOR, -1), "kt": X.normal_part(F.col("titel"))}).withColumn("kd", F.when(F.size("delen") > 1, X.normal_part(F.col("delen")[0])))
+    rows = rows.withColumns({"km": X.normal_part(F.col("maker")), "delen": X.cut(F.col("maker"), SEPARATOR), "kt": X.normal_part(F.col("titel"))}).withColumn("kd", F.when(F.size("delen") > 1, X.normal_part(F.col("delen")[0])))
     other = lambda s: F.coalesce((F.col(f"v1_{s}") != F.col("theaterId")) | (F.col(f"v2_{s}") != F.col("theaterId")), F.lit(False))
     for index, key, s in ((titles, "km", "m"), (titles, "kd", "d"), (makers, "kt", "t")):
         rows = rows.join(index.select(F.col("k").alias(key), F.col("v1").alias(f"v1_{s}"), F.col("v2").alias(f"v2_{s}")), key, "left")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as X
 from ..functions.values import is_cancelled, valid_rating
+from ..storage import checkpointed
 
 ITEM_INFO = ("maker", "genre")
 VISIT_FIELDS = ("theaterNaam", "stad", "locatie", "zaal", "titel", "maker", "genre", "status", "url", "podiumpas", "metWie")
@@ -147,31 +148,39 @@ def link_plans(plans: DataFrame, shows: DataFrame) -> DataFrame:
     At one venue and date, in this order: the same time and title (one that takes place before a cancelled one); one
     performance at that time whose title has all the plan's parts; one at that time whose source title is the plan's;
     one with the title at another time ("tijd"); one at that time with another title ("titel", needs a time); else
-    "weg".  The performances of a plan's venue and date are judged as one group, so no tier needs a join of its own.
+    "weg".  Each tier is a table with one row for what it compares (number and first performance), so a plan meets one
+    row a tier and not all performances of its day.  Only plans of several parts meet the performances that have their
+    first part at their time, one by one.  The parts of the plans' titles are written to the checkpoint folder first.
     """
-    p = plans.select("plan", "theaterId", "datum", F.coalesce("tijd", F.lit("")).alias("pt"), X.wide_title(F.col("titel")).alias("pw"), X.title_parts(F.col("titel")).alias("pd"))
+    day, first = ["theaterId", "datum"], F.min("seq")
+    p = checkpointed(plans.select("plan", *day, F.coalesce("tijd", F.lit("")).alias("tijd"), X.title_parts(F.col("titel")).alias("delen")).withColumns({"ruim": F.array_join("delen", " | "), "deel": F.get("delen", F.lit(0))}))
     sources = [c for c in ("titelBron", "titelVoorAlias") if c in shows.columns]
     # the parts are those of the key, which the table may carry already
     parts = F.split(F.regexp_replace("sleutel", "^.*::", ""), " \\| ", -1) if "sleutel" in shows.columns else X.title_parts(F.col("titel"))
     s = shows.select(
-        "theaterId", "datum", F.coalesce("tijd", F.lit("")).alias("st"), "seq", parts.alias("sd"), is_cancelled(F.col("beschikbaarheid")).alias("gone"),
-        F.array(*[X.wide_title(F.nullif(F.col(c), F.lit(""))) for c in sources]).cast("array<string>").alias("sb"),
-    ).withColumn("sw", F.array_join("sd", " | "))
-    same_time, same_title = F.col("st") == F.col("pt"), F.col("sw") == F.col("pw")
-    wider = same_time & (F.size(F.array_except("pd", "sd")) == 0)
-    source = same_time & F.array_contains("sb", F.col("pw"))
-    only = lambda c: (F.count(F.when(c, 1)), F.min(F.when(c, F.col("seq"))))
-    tiers = {"wider": wider, "source": source, "title": same_title, "time": same_time & (F.col("pt") != "")}
-    aggs = [F.min(F.when(same_time & same_title, F.struct(F.col("gone").cast("int").alias("g"), "seq"))).alias("exact")]
-    for name, c in tiers.items():
-        n, first = only(c)
-        aggs += [n.alias(f"n_{name}"), first.alias(f"s_{name}")]
-    found = p.join(s, ["theaterId", "datum"]).groupBy("plan").agg(*aggs)
-    out = plans.select("plan").join(found, "plan", "left")
-    one = lambda name: F.col(f"n_{name}") == 1
-    kind = F.when(F.col("exact").isNotNull() | one("wider") | one("source"), "exact").when(one("title"), "tijd").when(one("time"), "titel").otherwise("weg")
-    seq = F.when(F.col("exact").isNotNull(), F.col("exact.seq")).when(one("wider"), F.col("s_wider")).when(one("source"), F.col("s_source")).when(one("title"), F.col("s_title")).when(one("time"), F.col("s_time"))
-    return out.select("plan", seq.alias("seq"), kind.alias("soort"))
+        *day, F.coalesce("tijd", F.lit("")).alias("tijd"), "seq", parts.alias("delen"), is_cancelled(F.col("beschikbaarheid")).cast("int").alias("gone"),
+        F.array_distinct(F.array(*[X.wide_title(F.nullif(F.col(c), F.lit(""))) for c in sources]).cast("array<string>")).alias("bronnen"),
+    ).withColumn("ruim", F.array_join("delen", " | "))
+
+    def tier(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+        return rows.groupBy(*day, *keys).agg(F.count(F.lit(1)).alias(f"n_{name}"), first.alias(f"s_{name}"))
+
+    by_part = s.select(*day, "tijd", "seq", F.explode("delen").alias("deel"), F.col("delen").alias("sd"))
+    exact = s.groupBy(*day, "tijd", "ruim").agg(F.min(F.struct("gone", "seq"))["seq"].alias("exact"))
+    out = p.join(exact, [*day, "tijd", "ruim"], "left").join(tier(s, "title", "ruim"), [*day, "ruim"], "left").join(tier(s, "time", "tijd"), [*day, "tijd"], "left")
+    out = out.join(tier(by_part, "part", "tijd", "deel"), [*day, "tijd", "deel"], "left")
+    several = p.filter("size(delen) > 1").join(by_part.filter("size(sd) > 1"), [*day, "tijd", "deel"]).filter(F.size(F.array_except("delen", "sd")) == 0)
+    out = out.join(several.groupBy("plan").agg(F.count(F.lit(1)).alias("n_several"), first.alias("s_several")), "plan", "left")
+    if sources:
+        by_source = s.select(*day, "tijd", "seq", F.explode("bronnen").alias("ruim"))
+        out = out.join(tier(by_source, "source", "tijd", "ruim"), [*day, "tijd", "ruim"], "left")
+    one = lambda name: F.when(F.col(f"n_{name}") == 1, F.col(f"s_{name}"))
+    n = F.size("delen")
+    wider = F.when(n == 0, one("time")).when(n == 1, one("part")).otherwise(one("several"))
+    there = F.coalesce("exact", wider, one("source") if sources else F.lit(None))
+    other, same = one("title"), F.when(F.col("tijd") != "", one("time"))
+    kind = F.when(there.isNotNull(), "exact").when(other.isNotNull(), "tijd").when(same.isNotNull(), "titel").otherwise("weg")
+    return out.select("plan", F.coalesce(there, other, same).alias("seq"), kind.alias("soort"))
 
 
 def past_plans(plans: DataFrame, links: DataFrame, shows: DataFrame, today: date, now: int) -> DataFrame:

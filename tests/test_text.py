@@ -98,3 +98,17 @@ def test_dates(spark):
 def test_names_and_drift(spark):
     assert each(spark, ["Met ADÉ en Bo", "niemand", None], lambda t: V.first_name_in(["Bo K", "ade", "bo"], t, F.lit(None))) == ["ade", None, None]
     assert each(spark, ["x  De lijst:\n a, b  y", "De lijst: a, c", "anders"], lambda t: V.text_drift(t, "De lijst: a, b", "De lijst")) == ["gelijk", "gewijzigd", "weg"]
+
+
+def test_cuts_are_splits(spark):
+    bits = [" – ", " | ", ": ", " - ", "/", " & ", "Ada", "é", " ", "8+", "(try-out)", " reprise", ",", " en ", ""]
+    rows = [("".join(bits[(i * 7 + j * j * (i + 3)) % len(bits)] for j in range(i % 9)),) for i in range(400)] + [("",), (None,), (" – ",), (" – Ada – ",)]
+    df = spark.createDataFrame(rows, "t string")
+    for pattern in (X.SEPARATOR, X.RAW_SEPARATOR, X.CORE_SEPARATOR, f"{X.S}*(?:&|/|,|\\+|{X.S}+en{X.S}+){X.S}*"):
+        assert df.filter(~X.cut(F.col("t"), pattern).eqNullSafe(F.split("t", pattern, -1))).isEmpty()
+    # patterns that a title cannot meet are skipped, with the same result
+    noise = F.regexp_replace(F.coalesce("t", F.lit("")), X.AMPERSAND, " en ")
+    for pattern in (X.BRACKETS, X.SLASH_AGE, X.THE_MUSICAL):
+        noise = F.regexp_replace(noise, pattern, " ")
+    assert df.filter(X.without_noise(F.col("t")) != noise).isEmpty()
+    assert df.filter(~X.without_end_noise(F.col("t")).eqNullSafe(F.regexp_replace(F.regexp_replace("t", X.END_WORD, " "), X.END_AGE, " "))).isEmpty()
