@@ -13,6 +13,7 @@ works in memory that does not depend on the size of its partition.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -29,8 +30,9 @@ from .idcoder import decode_blocks, encode_page
 PAGE = 1 << 22
 END = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Letters behind which a text may be cut before a full stop or comma (inside of a character class), and what special tokens begin with.
-LETTERS, SPECIAL = "A-Za-zÀ-ÖØ-öø-ÿ", "<|"
+#: Letters behind which a text may be cut before one of SIGNS (insides of character classes), and what special tokens begin with.
+#: Signs are those of ASCII but the apostrophe, which begins endings, and those of special tokens' names.
+LETTERS, SIGNS, SPECIAL = "A-Za-zÀ-ÖØ-öø-ÿ", r"!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~", "<|"
 _PAGES = "shard int, page int, doc_id array<bigint>, n_tokens array<bigint>, header binary, blocks array<binary>"
 _held: dict = {}
 
@@ -45,71 +47,68 @@ class WordIds:
     """Ids of white-space separated chunks; the tokenizer is asked once for each distinct chunk.
 
     White space never takes part in a token of this vocabulary, and neither does the border between a letter of
-    ``LETTERS`` and a following full stop or comma, so a text's ids are those of its chunks in order.  (Behind other
+    ``LETTERS`` and a following sign of ``SIGNS``, so a text's ids are those of its chunks in order.  (Behind other
     letters that need not hold: the tokenizer's lower-casing makes a letter and a mark of some, and a mark goes with
-    the full stop.)  What the tokenizer was asked is kept for later batches, up to ``most`` chunks.
+    the sign.)  What the tokenizer was asked is kept for later batches; beyond ``most`` chunks those that did not come
+    again are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        # for lower-case words of LETTERS: the normalizer leaves them as they are, and the pattern takes each whole
+        settings = json.loads(self.tokenizer.to_str())
+        settings["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        self.of_words = Tokenizer.from_str(json.dumps(settings | {"normalizer": None, "added_tokens": []}))
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self._reset()
-
-    def _reset(self):
-        self.known = pa.array([], pa.string())
+        self.known, self.again = pa.array([], pa.string()), np.zeros(0, bool)
         self.ids, self.ends = np.zeros(0, np.uint16), np.zeros(1, np.int32)
 
-    def _learn(self, new: list[str]) -> None:
-        # a chunk of letters is one word: many of them make one text, cut behind each word end
-        plain = [w for w in new if w.isalpha()]
-        other = [w for w in new if not w.isalpha()]
-        chunks, ids, ends, size = [], [self.ids], [self.ends], int(self.ends[-1])
-
-        def add(part: list[str], got: np.ndarray, cut: np.ndarray) -> None:
-            nonlocal size
-            chunks.extend(part)
-            ids.append(got)
-            ends.append((cut + size).astype(np.int32))
-            size += len(got)
-
-        for k in range(0, len(plain), 200):
-            part = plain[k : k + 200]
-            got = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
-            cut = np.flatnonzero(self.last[got]) + 1
-            if len(cut) == len(part):
-                add(part, got, cut)
-            else:  # lower-casing made some letter into two characters
-                other += part
+    def _forget(self) -> None:
+        """Keeps the chunks that came again, unless they are too many themselves."""
+        keep = self.again if np.count_nonzero(self.again) <= self.most // 2 else np.zeros(len(self.again), bool)
+        n = np.diff(self.ends)
+        self.ids, self.ends = self.ids[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep], dtype=np.int32)]).astype(np.int32)
+        self.known = self.known.filter(pa.array(keep))
+        self.again = np.zeros(len(self.known), bool)
+
+    def _learn(self, new: pa.Array) -> None:
+        of_letters = pc.match_substring_regex(new, f"^[{LETTERS}]+$")
+        words, other = (new.filter(x).to_numpy(zero_copy_only=False).tolist() for x in (of_letters, pc.invert(of_letters)))
+        # many words make one text, whose ids are cut behind each word end
+        runs = [" ".join(words[k : k + 200]).lower() for k in range(0, len(words), 200)]
+        ids = [np.asarray(self.of_words.encode_batch_fast([run], add_special_tokens=False)[0].ids, np.uint16) for run in runs]
+        counts = [np.diff(np.flatnonzero(self.last[np.concatenate(ids)]), prepend=-1)] if ids else []
         for k in range(0, len(other), 1000):
-            part = other[k : k + 1000]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            add(part, np.fromiter((i for g in got for i in g), np.uint16), np.cumsum([len(g) for g in got]))
-        self.known = pa.concat_arrays([self.known, pa.array(chunks, pa.string())])
-        self.ids, self.ends = np.concatenate(ids), np.concatenate(ends)
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(other[k : k + 1000], add_special_tokens=False)]
+            ids.append(np.fromiter((i for g in got for i in g), np.uint16))
+            counts.append(np.array([len(g) for g in got]))
+        self.known = pa.concat_arrays([self.known, pa.array(words + other, pa.string())])
+        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+        self.ids, self.ends = np.concatenate([self.ids, *ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))]).astype(np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         # the tokenizer lower-cases too, but for the names of special tokens; doing it for ASCII here makes fewer chunks
         lowered = pc.if_else(pc.match_substring(texts, SPECIAL), texts, pc.ascii_lower(texts))
-        chunks = pc.ascii_split_whitespace(pc.replace_substring_regex(lowered, f"([{LETTERS}])([.,])", r"\1 \2"))
+        chunks = pc.ascii_split_whitespace(pc.replace_substring_regex(lowered, f"([{LETTERS}])([{SIGNS}])", r"\1 \2"))
         flat = chunks.flatten().dictionary_encode()
         names = flat.dictionary
         if len(self.known) > self.most:
-            self._reset()
+            self._forget()
         place = pc.index_in(names, value_set=self.known)
-        if place.null_count:
-            new, first = names.filter(pc.is_null(place)), len(self.known)
-            self._learn(new.to_pylist())
-            place = place.to_numpy(zero_copy_only=False)
-            place[np.isnan(place)] = pc.index_in(new, value_set=self.known.slice(first)).to_numpy() + first
-        else:
-            place = place.to_numpy()
-        which = place.astype(np.int32)[flat.indices.to_numpy(zero_copy_only=False)]
+        missing = place.null_count
+        place = pc.fill_null(place, -1).to_numpy().copy()
+        self.again[place[place >= 0]] = True
+        if missing:
+            new, first = names.filter(pa.array(place < 0)), len(self.known)
+            self._learn(new)
+            place[place < 0] = pc.index_in(new, value_set=self.known.slice(first)).to_numpy() + first
+        which = place[flat.indices.to_numpy(zero_copy_only=False)]
         start = self.ends[which]
         n = self.ends[which + 1] - start
         total = np.concatenate([[0], np.cumsum(n, dtype=np.int32)])

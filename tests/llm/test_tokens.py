@@ -62,6 +62,34 @@ def test_long_run_and_upper_case_special(tokenizer):
     assert unlike(["<|ENDOFTEXT|>", "<|EndOfText|>.", "İ.", "İ,", "x" * 50_000 + ".", "ab." * 20_000, "<|endoftext|>" * 500], tokenizer) == []
 
 
+def test_words_are_learned_without_their_signs():
+    """A word is asked for once, whatever signs follow it."""
+    words = tokens.WordIds(tokens.vocabulary_path())
+    words.encode(pa.array(["anat*** anat!! anat%%% ANAT, anat@anat.", "élan### élan it's"]))
+    assert sorted(words.known.to_pylist()) == sorted(["anat", "***", "!!", "%%%", ",", "@anat", ".", "élan", "###", "it's"])
+
+
+def test_every_sign_behind_every_letter(tokenizer):
+    letters = [c for c in map(chr, range(0x100)) if c.isalpha() and c not in "ªµº"]
+    signs = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+    assert unlike([f"{a}{s}{b}" for a in letters for s in signs for b in ("", "x", "'s", "\u0338 ", "|>", "é.B")], tokenizer) == []
+    assert unlike([f"<| {a}{b} {b}{a}{b} {a}." for a in letters for b in letters], tokenizer) == []
+
+
+def test_chunks_that_came_again_are_kept(tokenizer):
+    words = tokens.WordIds(tokens.vocabulary_path(), most=4)
+    steps = [
+        ("one two three four five!", ["one", "two", "three", "four", "five", "!"]),
+        ("two five six", ["two", "five", "six"]),  # none had come again
+        ("five Seven eight", ["two", "five", "six", "seven", "eight"]),
+        ("one five nine ten", ["five", "one", "nine", "ten"]),
+    ]
+    for text, known in steps:
+        ids, n = words.encode(pa.array([text]))
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids)]
+        assert words.known.to_pylist() == known
+
+
 def test_small_pages_and_ids_back(documents, tokenizer, spark, tmp_path):
     rows = [(i * 3, "alpha beta gamma delta " * (i % 7) + f"Number{i}.") for i in range(200)]
     at = f"file://{tmp_path}/pages"
