@@ -52,20 +52,22 @@ class _Weights:
     """Mixing weights of all lanes: a (order 2) and ab (order 2 and 1), in parts of 65536."""
 
     def __init__(self, lanes: int):
-        self.n = np.tile(_PRIOR.astype(np.int32) * 4, (lanes, 1, 1))
-        self.lane = np.arange(lanes, dtype=np.int32) * (STATES * 3)
+        # counts of the outcomes: order 2, order 1, order 0
+        self.n = np.repeat((_PRIOR.T * 4).astype(np.int32)[:, None], lanes, 1)
+        self.lane = np.arange(lanes, dtype=np.int32) * STATES
         self._set()
 
     def _set(self):
         # order 0 keeps at least 4500 parts of 65536, so that its range never gets empty
-        scale = 61000.0 / self.n.sum(2)
-        a = (self.n[:, :, 0] * scale).astype(np.int64) + 1
-        self.a, self.ab = a.ravel(), (a + (self.n[:, :, 1] * scale).astype(np.int64) + 1).ravel()
+        n2, n1, n0 = self.n
+        scale = 61000.0 / (n2 + n1 + n0)
+        a = (n2 * scale).astype(np.int64) + 1
+        self.a, self.ab = a.ravel(), (a + (n1 * scale).astype(np.int64) + 1).ravel()
 
     def learn(self, state, outcome):
         """Counts of one span: both arguments are (steps, lanes)."""
-        at = (state * 3 + outcome + self.lane).ravel()
-        self.n += np.bincount(at, minlength=self.n.size).reshape(self.n.shape).astype(np.int32) * 8
+        at = outcome.astype(np.int32) * (len(self.lane) * STATES) + state + self.lane
+        self.n += np.bincount(at.ravel(), minlength=self.n.size).reshape(self.n.shape).astype(np.int32) * 8
         self._set()
 
 

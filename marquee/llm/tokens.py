@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, give_back, table
 from .idcoder import decode_blocks, encode_page
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 PAGE = 1 << 22
 END = 2
-VOCABULARY = "word_bpe_49k.json"
+VOCABULARY, END_OF_WORD = "word_bpe_49k.json", "</w>"
 #: Letters behind which a text may be cut before one of SIGNS (insides of character classes), and what special tokens begin with.
 #: Signs are those of ASCII but the apostrophe, which begins endings, and those of special tokens' names.
 LETTERS, SIGNS, SPECIAL = "A-Za-zÀ-ÖØ-öø-ÿ", r"!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~", "<|"
@@ -43,6 +47,25 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def of_words(tokenizer: Tokenizer) -> Tokenizer:
+    """A tokenizer of the same vocabulary for lower-case words of LETTERS, each followed by a space: one run of merges for all.
+
+    The normalizer leaves such words as they are, and the pattern takes each whole, so both are left out.  Word ends of
+    the vocabulary are written as the sign for a space: it is merged with the letter before it ahead of all else, as if it
+    had always been one with it, and no merge goes on behind a word end.  So the ids are those of each word alone.
+    """
+    settings = json.loads(tokenizer.to_str())
+    model, space = settings["model"], "Ġ"
+    if model["end_of_word_suffix"] != END_OF_WORD or any(END_OF_WORD in a or space in a + b for a, b in model["merges"]):
+        raise ValueError("not a vocabulary of words with ends")
+    ends = [[t, space] for t in model["vocab"] if len(t) == 1]
+    model["merges"] = ends + [[a, b.replace(END_OF_WORD, space)] for a, b in model["merges"]]
+    model["vocab"] = {t.replace(END_OF_WORD, space): i for t, i in model["vocab"].items()}
+    model["end_of_word_suffix"] = None
+    byte_level = settings["pre_tokenizer"]["pretokenizers"][-1]
+    return type(tokenizer).from_str(json.dumps(settings | {"normalizer": None, "pre_tokenizer": byte_level, "added_tokens": []}))
+
+
 class WordIds:
     """Ids of white-space separated chunks; the tokenizer is asked once for each distinct chunk.
 
@@ -58,13 +81,10 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        # for lower-case words of LETTERS: the normalizer leaves them as they are, and the pattern takes each whole
-        settings = json.loads(self.tokenizer.to_str())
-        settings["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
-        self.of_words = Tokenizer.from_str(json.dumps(settings | {"normalizer": None, "added_tokens": []}))
+        self.of_words = of_words(self.tokenizer)
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.last[[i for t, i in vocab.items() if t.endswith(END_OF_WORD)]] = True
         self.known, self.again = pa.array([], pa.string()), np.zeros(0, bool)
         self.ids, self.ends = np.zeros(0, np.uint16), np.zeros(1, np.int32)
 
@@ -80,7 +100,7 @@ class WordIds:
         of_letters = pc.match_substring_regex(new, f"^[{LETTERS}]+$")
         words, other = (new.filter(x).to_numpy(zero_copy_only=False).tolist() for x in (of_letters, pc.invert(of_letters)))
         # many words make one text, whose ids are cut behind each word end
-        runs = [" ".join(words[k : k + 200]).lower() for k in range(0, len(words), 200)]
+        runs = [" ".join([*words[k : k + 100], ""]).lower() for k in range(0, len(words), 100)]
         ids = [np.asarray(self.of_words.encode_batch_fast([run], add_special_tokens=False)[0].ids, np.uint16) for run in runs]
         counts = [np.diff(np.flatnonzero(self.last[np.concatenate(ids)]), prepend=-1)] if ids else []
         for k in range(0, len(other), 1000):
@@ -113,7 +133,7 @@ class WordIds:
         n = self.ends[which + 1] - start
         total = np.concatenate([[0], np.cumsum(n, dtype=np.int32)])
         take = np.arange(total[-1], dtype=np.int32)
-        take += np.repeat(start - total[:-1], n)
+        take += np.repeat(start - total[:-1], n.astype(np.intp))
         bounds = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
         return self.ids[take], np.diff(total[bounds])
 
