@@ -49,7 +49,7 @@ for _s2 in range(4):
 
 
 class _Weights:
-    """Mixing weights of all lanes: a (order 2) and ab (order 2 and 1), in parts of 65536."""
+    """Mixing weights of all lanes in parts of 65536: order 2, and 32 bits above it orders 2 and 1 together."""
 
     def __init__(self, lanes: int):
         # counts of the outcomes: order 2, order 1, order 0
@@ -62,7 +62,12 @@ class _Weights:
         n2, n1, n0 = self.n
         scale = 61000.0 / (n2 + n1 + n0)
         a = (n2 * scale).astype(np.int64) + 1
-        self.a, self.ab = a.ravel(), (a + (n1 * scale).astype(np.int64) + 1).ravel()
+        self.both = (a + (n1 * scale).astype(np.int64) + 1 << 32 | a).ravel()
+
+    def parts(self, at):
+        """Of order 2, and of orders 2 and 1."""
+        both = self.both.take(at, mode="clip")
+        return both & 0xFFFFFFFF, both >> 32
 
     def learn(self, state, outcome):
         """Counts of one span: both arguments are (steps, lanes)."""
@@ -106,7 +111,7 @@ def _encode_lanes(x: np.ndarray, lens: np.ndarray, cum: np.ndarray) -> list[byte
         hit2, hit1 = c2 == sym, c1 == sym
         hit = hit1 | hit2
         at = lane_state + state
-        a, ab = weights.a.take(at, mode="clip"), weights.ab.take(at, mode="clip")
+        a, ab = weights.parts(at)
         # an id's part begins at start parts of the mixture; where order 0 codes it, at inner parts of what is left behind that
         start = np.where(hit2, 0, np.where(hit1, a, ab))
         part = np.where(hit2, a, np.where(hit1, ab - a, freq.take(sym, mode="clip")))
@@ -156,7 +161,7 @@ def _slots(one, two, base):
 def _decode_lanes(coded: list[bytes], lens: np.ndarray, cum: np.ndarray) -> np.ndarray:
     lanes, steps = len(coded), int(lens.max(initial=0))
     weights = _Weights(lanes)
-    base = np.arange(lanes, dtype=np.int32) * SLOTS
+    base = np.arange(lanes) * SLOTS
     cell1, cell2 = np.full(lanes * SLOTS, NONE, np.int32), np.full(lanes * SLOTS, NONE, np.int32)
     sizes = np.array([len(c) // 3 for c in coded])
     raw = np.frombuffer(b"".join([*coded, bytes(6)]), np.uint8).reshape(-1, 3).astype(np.int64)
@@ -181,7 +186,8 @@ def _decode_lanes(coded: list[bytes], lens: np.ndarray, cum: np.ndarray) -> np.n
             j = (v2 >> 16) * 8 + (v1 >> 16) * 2 + (c1 == c2)
             at = lane_state + j
             r = rng >> 16
-            ra, rab = r * weights.a.take(at, mode="clip"), r * weights.ab.take(at, mode="clip")
+            a, ab = weights.parts(at)
+            ra, rab = r * a, r * ab
             h2, h1 = code < ra, code < rab
             unit = rng - rab >> WHOLE_BITS
             sym = which.take(((code - rab) / unit).astype(np.int64), mode="clip")
