@@ -102,7 +102,8 @@ def shared_seen(items: DataFrame, live: DataFrame) -> DataFrame:
 
 def in_seen_order(items: DataFrame, by_rating: bool = False) -> DataFrame:
     """Adds plaats: seen items of a user by last visit, newest first (without one by the instant they were added, ``op``), or by rating before that."""
-    at = F.coalesce(F.col("laatsteBezoek").cast("timestamp"), F.timestamp_millis(F.coalesce("op", F.lit(0).cast("bigint"))))
+    # in milliseconds: an ``op`` may lie beyond the last timestamp
+    at = F.coalesce(F.unix_millis(F.col("laatsteBezoek").cast("timestamp")), "op", F.lit(0).cast("bigint"))
     rating = [F.coalesce("beoordeling", F.lit(0.0)).desc()] if by_rating else []
     return items.withColumn("plaats", F.row_number().over(W.partitionBy("user").orderBy(*rating, at.desc(), "sleutel")))
 
