@@ -22,8 +22,8 @@ def _order(by: str):
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
-    """A date, null where the calendar has none."""
-    return F.try_to_date(F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
+    """A date, null where the calendar has none.  Years may have more than four digits: a long list goes on for ever."""
+    return F.try_to_date(F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "y-MM-dd")
 
 
 def carry_forward(rows: DataFrame, column: str, by: str = "lijst") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from datetime import date
 
-from marquee.operators import lists
+from pyspark.sql import functions as F
+
+from marquee.operators import dating, lists
 
 
 def test_order_by_instants_beyond_the_last_timestamp(spark):
@@ -11,3 +13,20 @@ def test_order_by_instants_beyond_the_last_timestamp(spark):
     for by_rating in (False, True):
         got = {r["sleutel"]: r["plaats"] for r in lists.in_seen_order(items, by_rating).collect()}
         assert got == {"b": 1, "a": 2, "c": 3, "e": 4, "d": 5}
+
+
+def _long_list(spark, december, january):
+    """20,000 rows that go back a month every second row."""
+    rows = spark.range(20_000).select(F.lit(1).alias("lijst"), F.col("id").alias("pos"), F.when(F.col("id") % 2 == 0, december).otherwise(january).alias("dag"))
+    return rows.withColumns({"label": F.col("dag"), "uur": F.lit("20:00"), "eerste": F.lit("2026-06-01").cast("date")})
+
+
+def _years(dated):
+    return [r["j"] for r in dated.select("pos", F.year("datum").alias("j")).orderBy("pos").collect()]
+
+
+def test_years_of_five_digits(spark):
+    want = [2026 + (i + 1) // 2 for i in range(20_000)]
+    assert _years(dating.month_rollover(_long_list(spark, "za 5-12", "za 5-1"), "lijst")) == want
+    assert _years(dating.short_dates(_long_list(spark, "5 dec", "5 jan"), date(2026, 6, 1))) == want
+    assert _years(dating.numeric_dates(_long_list(spark, "05.12", "05.01"), date(2026, 6, 1))) == want
