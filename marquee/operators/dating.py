@@ -1,13 +1,14 @@
 """Dates of lists that leave the year, the month or the whole day out.
 
 Lists are rows (list, pos, text).  What depends on the row before only is a window; what depends on its own result is a
-fold over the list in order.  A list is one source's page or one product's dates, which bounds what a fold holds.
+fold over the list in order, batch by batch, which holds a year and a month.
 """
 
 from __future__ import annotations
 
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,24 +67,40 @@ def month_rollover(rows: DataFrame, by: str = "lijst") -> DataFrame:
     return out.withColumn("_back", back).withColumn("datum", _date(year, F.col("_m"), F.col("_d"))).withColumn("tijd", first_time(F.col("uur"))).drop("_d", "_m", "_back")
 
 
-def _fold(rows: DataFrame, by: str, parsed: Column, step, today: date) -> DataFrame:
-    """lijst, pos, datum: ``step(state, row)`` gives (year kept, month kept, year of this row) in order of pos."""
-    listed = rows.select(by, "pos", parsed.alias("p")).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("r"))
-    start = F.struct(F.lit(today.year).alias("jaar"), F.lit(today.month).alias("maand"), F.array().cast("array<struct<pos:bigint,jaar:int,maand:int,dag:int>>").alias("uit"))
+#: Weekday, from 0, of the first of each month in the 400 years after which the calendar comes again.
+_FIRST_DAYS = tuple(date(2000 + y, m, 1).weekday() for y in range(400) for m in range(1, 13))
 
-    def one(state, row):
-        year, month, own = step(state["jaar"], state["maand"], row["p"])
-        found = row["p"].isNotNull()
-        made = F.struct(row["pos"].cast("bigint").alias("pos"), F.when(found, own).cast("int").alias("jaar"), row["p"]["maand"].cast("int").alias("maand"), row["p"]["dag"].cast("int").alias("dag"))
-        return F.struct(F.when(found, year).otherwise(state["jaar"]).cast("int").alias("jaar"), F.when(found, month).otherwise(state["maand"]).cast("int").alias("maand"), F.concat(state["uit"], F.array(made)).alias("uit"))
 
-    folded = listed.select(by, F.explode(F.aggregate("r", start, one, lambda s: s["uit"])).alias("x"))
-    return folded.select(by, F.col("x.pos").alias("pos"), F.when(F.col("x.jaar").isNotNull(), _date(F.col("x.jaar"), F.col("x.maand"), F.col("x.dag"))).alias("datum"))
+def _weekday(year: int, month: int, day: int) -> int:
+    """ISO weekday of a day, counted on from the first of the month for days that the month has not."""
+    return (_FIRST_DAYS[year % 400 * 12 + month - 1] + day - 1) % 7 + 1
 
 
-def _weekday(year: Column, month: Column, day: Column) -> Column:
-    """ISO weekday of a day, counted on from the first of the month for days that the month has not."""
-    return D.iso_weekday(F.date_add(F.make_date(year, month, F.lit(1)), day.cast("int") - 1))
+def _fold(rows: DataFrame, by: str, parsed: Column, step, today: date) -> DataFrame:
+    """lijst, pos, datum: ``step(year, month, row's month, day, weekday)`` gives (year kept, month kept, year of this row) in order of pos.
+
+    Lists come in order, batch by batch; what is held of one is its year and month, so a list may be of any length.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def fold(batches):
+        at, year, last = object(), today.year, today.month
+        for batch in batches:
+            own = []
+            for key, month, day, wd in zip(*(batch.column(n).to_pylist() for n in (by, "maand", "dag", "wd"))):
+                if key != at:
+                    at, year, last = key, today.year, today.month
+                if month is None:
+                    own.append(None)
+                else:
+                    year, last, y = step(year, last, month, day, wd)
+                    own.append(y)
+            yield pa.RecordBatch.from_arrays([batch.column(by), batch.column("pos"), pa.array(own, pa.int32()), batch.column("maand"), batch.column("dag")], [by, "pos", "jaar", "maand", "dag"])
+
+    order = ["pos", "maand", "dag", "wd"]
+    listed = rows.select(by, "pos", parsed.alias("p")).select(by, "pos", "p.maand", "p.dag", "p.wd").repartition(by).sortWithinPartitions(by, *order)
+    folded = listed.mapInArrow(fold, f"`{by}` {kinds[by]}, pos {kinds['pos']}, jaar int, maand int, dag int")
+    return folded.select(by, F.col("pos").cast("bigint").alias("pos"), F.when(F.col("jaar").isNotNull(), _date(F.col("jaar"), F.col("maand"), F.col("dag"))).alias("datum"))
 
 
 def short_dates(rows: DataFrame, today: date, by: str = "lijst") -> DataFrame:
@@ -96,12 +113,11 @@ def short_dates(rows: DataFrame, today: date, by: str = "lijst") -> DataFrame:
     month, wd = D.place_in(D.SHORT_MONTHS, F.regexp_extract(t, pattern, 2)), D.place_in(D.SHORT_WEEKDAYS, F.regexp_extract(t, f"^(zo|ma|di|wo|do|vr|za){X.WORD_END}", 1))
     parsed = F.when(month.isNotNull(), F.struct(month.cast("int").alias("maand"), F.regexp_extract(t, pattern, 1).cast("int").alias("dag"), wd.cast("int").alias("wd")))
 
-    def step(year, last, p):
-        y = F.when(p["maand"] < last, year + 1).otherwise(year)
-        other = F.when(y == year, year + 1).otherwise(year)
-        own = F.when(p["wd"].isNotNull() & (_weekday(y, p["maand"], p["dag"]) != p["wd"]) & (_weekday(other, p["maand"], p["dag"]) == p["wd"]), other).otherwise(y)
-        moved = own > year
-        return F.when(moved, own).otherwise(year), F.when(moved | (p["maand"] >= last), p["maand"]).otherwise(last), own
+    def step(year, last, month, day, wd):
+        y = year + 1 if month < last else year
+        other = year + 1 if y == year else year
+        own = other if wd is not None and _weekday(y, month, day) != wd and _weekday(other, month, day) == wd else y
+        return max(year, own), month if own > year or month >= last else last, own
 
     return _fold(rows, by, parsed, step, today)
 
@@ -114,10 +130,10 @@ def numeric_dates(rows: DataFrame, today: date, by: str = "lijst") -> DataFrame:
     wd = D.place_in(D.SHORT_WEEKDAYS, F.regexp_extract(t, pattern, 1))
     parsed = F.when(day.between(1, 31) & month.between(1, 12), F.struct(month.alias("maand"), day.alias("dag"), wd.cast("int").alias("wd")))
 
-    def step(year, last, p):
-        y = F.when(p["maand"] < last, year + 1).otherwise(year)
-        own = F.when(p["wd"].isNotNull() & (_weekday(y, p["maand"], p["dag"]) != p["wd"]) & (_weekday(y + 1, p["maand"], p["dag"]) == p["wd"]), y + 1).otherwise(y)
-        return own, p["maand"], own
+    def step(year, last, month, day, wd):
+        y = year + 1 if month < last else year
+        own = y + 1 if wd is not None and _weekday(y, month, day) != wd and _weekday(y + 1, month, day) == wd else y
+        return own, month, own
 
     return _fold(rows, by, parsed, step, today)
 

@@ -30,3 +30,11 @@ def test_years_of_five_digits(spark):
     assert _years(dating.month_rollover(_long_list(spark, "za 5-12", "za 5-1"), "lijst")) == want
     assert _years(dating.short_dates(_long_list(spark, "5 dec", "5 jan"), date(2026, 6, 1))) == want
     assert _years(dating.numeric_dates(_long_list(spark, "05.12", "05.01"), date(2026, 6, 1))) == want
+
+
+def test_folds_hold_no_list(spark):
+    """Lists come row by row in order; no plan gathers one."""
+    rows = _long_list(spark, "5 dec", "5 jan")
+    for fold in (dating.short_dates, dating.numeric_dates):
+        plan = fold(rows, date(2026, 6, 1))._jdf.queryExecution().toString().lower()
+        assert "collect_list" not in plan and "mapinarrow" in plan
