@@ -62,7 +62,7 @@ def production_events(pages: DataFrame, column: str = "json", kind: str = "voors
 def _inner(html: Column, css_class: str) -> Column:
     """Text of the first element with a class."""
     inner = F.regexp_extract(html, f"(?s)<(\\w+)[^>]*class=\"(?:[^\"]*\\s)?{css_class}(?:\\s[^\"]*)?\"[^>]*>(.*?)</\\1>", 2)
-    return F.nullif(X.squeeze(F.regexp_replace(inner, "<[^>]*>", " ")), F.lit(""))
+    return X.let(X.squeeze(F.regexp_replace(inner, "<[^>]*>", " ")), lambda t: F.when(t != "", t))
 
 
 def cards(pages: DataFrame, id: str, column: str = "html") -> DataFrame:
@@ -71,19 +71,27 @@ def cards(pages: DataFrame, id: str, column: str = "html") -> DataFrame:
     A card's dates are rows of class ``subshow`` in its panel, or one date on the card itself.
     """
     card = F.regexp_extract_all(column, F.lit("(?s)<li[^>]*data-entry-id=\"([^\"]+)\"[^>]*>.*?(?=<li[^>]*data-entry-id=|\\z)"), F.lit(0))
-    rows = pages.select(id, F.explode(card).alias("c"))
+    # saved pages are few bytes and much work: they are dealt out to all tasks
+    dealt = pages.select(id, column).repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), id)
+    rows = dealt.select(id, F.explode(card).alias("c"))
     dates = F.regexp_extract_all("c", F.lit("(?s)<li[^>]*class=\"(?:[^\"]*\\s)?subshow(?:\\s[^\"]*)?\"[^>]*>.*?</li>"), F.lit(0))
-    panels = F.when(F.size(dates) > 0, dates).when(F.col("c").rlike("dateTimeInner"), F.array("c")).otherwise(F.array().cast("array<string>"))
-    one = lambda h: F.struct(_inner(h, "start").alias("dag"), first_time(_inner(h, "time")).alias("tijd"), _inner(h, "btn").alias("knop"), button_status(_inner(h, "btn")).alias("status"))
+    panels = X.let(dates, lambda d: F.when(F.size(d) > 0, d).when(F.col("c").rlike("dateTimeInner"), F.array("c")).otherwise(F.array().cast("array<string>")))
+
+    def one(h: Column) -> Column:
+        # each text is looked up once, however often what is made of it names it
+        said = F.struct(_inner(h, "start").alias("dag"), _inner(h, "time").alias("tijd"), _inner(h, "btn").alias("knop"))
+        return X.let(said, lambda x: F.struct(x["dag"].alias("dag"), first_time(x["tijd"]).alias("tijd"), x["knop"].alias("knop"), button_status(x["knop"]).alias("status")))
+
     return rows.select(
         id, F.regexp_extract("c", "data-entry-id=\"([^\"]+)\"", 1).alias("entry"), _inner(F.col("c"), "title").alias("titel"), _inner(F.col("c"), "subtitle").alias("maker"), _inner(F.col("c"), "genres__link").alias("genre"),
-        lowest_price(_inner(F.col("c"), "price")).alias("prijs"), F.transform(panels, one).alias("rijen"),
+        X.let(_inner(F.col("c"), "price"), lowest_price).alias("prijs"), F.transform(panels, one).alias("rijen"),
     )
 
 
 def card_dates(cards_: DataFrame, id: str) -> DataFrame:
     """One row for each date of each card that is not to be left out (sold elsewhere, over)."""
-    rows = cards_.select(id, "entry", "titel", "maker", "genre", "prijs", F.explode("rijen").alias("r"))
+    # before a plain explode Spark looks for empty lists, for which it would read all cards' dates once more
+    rows = cards_.select(id, "entry", "titel", "maker", "genre", "prijs", F.explode_outer("rijen").alias("r"))
     return rows.filter(F.col("r.status").isNotNull()).select(id, "entry", "titel", "maker", "genre", "prijs", "r.dag", "r.tijd", F.col("r.status").alias("beschikbaarheid"))
 
 

@@ -5,6 +5,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from marquee.operators import dating, lists
+from marquee.plans import more
+from tests.conftest import SMALL
 
 
 def test_order_by_instants_beyond_the_last_timestamp(spark):
@@ -38,3 +40,9 @@ def test_folds_hold_no_list(spark):
     for fold in (dating.short_dates, dating.numeric_dates):
         plan = fold(rows, date(2026, 6, 1))._jdf.queryExecution().toString().lower()
         assert "collect_list" not in plan and "mapinarrow" in plan
+
+
+def test_dates_of_cards_are_read_once(spark):
+    """No filter reads all dates beforehand, and buttons are not looked up for each status they may have."""
+    plan = more.card_dates(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("?subshow(") == 1 and plan.count("?btn(") == 1
