@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..storage import checkpointed
 
 #: Fixed: elements without content, those that end where the next of their kind begins, and what such an end stops at;
 #: before all of BLOCKS an open p ends.
@@ -78,6 +79,8 @@ def elements(pages: DataFrame, id: str, column: str = "html") -> DataFrame:
     """id, nr, laatste, diepte, naam, klassen, attributen, boven (classes of all elements around it) and tekst, a row an element or text.
 
     nr counts in the order of the page; what is inside an element has numbers from nr + 1 to laatste.  Null pages have none.
+    The rows are written to the checkpoint folder: cards read them many times, and from pages alone Spark would take
+    them for as few as to be broadcast.  Joins with them are merged, as they are many times larger than their file.
     """
     kind = pages.schema[id].dataType.simpleString()
 
@@ -93,7 +96,7 @@ def elements(pages: DataFrame, id: str, column: str = "html") -> DataFrame:
                 yield rows
 
     found = pages.select(F.col(id).alias("id"), F.col(column).alias("html")).filter("html IS NOT NULL")
-    return found.mapInPandas(cut, f"id {kind}, {_COLUMNS}").withColumnRenamed("id", id)
+    return checkpointed(found.mapInPandas(cut, f"id {kind}, {_COLUMNS}").withColumnRenamed("id", id))
 
 
 def _has(*classes: str) -> Column:
@@ -129,7 +132,7 @@ def _first(cond: Column) -> Column:
 def _texts(found: DataFrame, tree: DataFrame, id: str, keys: list[str], fields: list[str]) -> DataFrame:
     """keys, and for each of ``fields`` (columns of picked elements) its text, squeezed; null where there is none."""
     each = found.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("veld"), F.col(f"{f}.nr").alias("_van"), F.col(f"{f}.laatste").alias("_einde")) for f in fields])).alias("f")).select(*keys, "f.*").filter("_van IS NOT NULL")
-    pieces = tree.filter(F.col("naam") == TEXT).select(F.col(id).alias("_id"), "nr", "tekst")
+    pieces = tree.filter(F.col("naam") == TEXT).select(F.col(id).alias("_id"), "nr", "tekst").hint("merge")
     said = each.join(pieces, (F.col(id) == F.col("_id")) & (F.col("nr") > F.col("_van")) & (F.col("nr") <= F.col("_einde")))
     text = F.nullif(X.squeeze(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nr", "tekst"))), lambda x: x["tekst"]), "")), F.lit(""))
     one = said.groupBy(*keys, "veld").agg(text.alias("tekst"))
@@ -167,7 +170,7 @@ def _cards(tree: DataFrame, id: str) -> DataFrame:
 def _inside(outer: DataFrame, tree: DataFrame, id: str, start: str = "kaart", end: str = "tot") -> DataFrame:
     """Each row of ``outer`` with the elements ``e`` between its numbers; a row with none stays."""
     o = outer.alias("o")
-    return o.join(tree.alias("e"), (F.col(f"o.{id}") == F.col(f"e.{id}")) & (F.col("e.nr") > F.col(f"o.{start}")) & (F.col("e.nr") <= F.col(f"o.{end}")), "left").select("o.*", F.struct("e.*").alias("e"))
+    return o.join(tree.hint("merge").alias("e"), (F.col(f"o.{id}") == F.col(f"e.{id}")) & (F.col("e.nr") > F.col(f"o.{start}")) & (F.col("e.nr") <= F.col(f"o.{end}")), "left").select("o.*", F.struct("e.*").alias("e"))
 
 
 def card_rows(tree: DataFrame, id: str) -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from marquee.operators import dating, lists
-from marquee.plans import more
+from marquee.plans import cards, more
 from tests.conftest import SMALL
 
 
@@ -46,3 +46,10 @@ def test_dates_of_cards_are_read_once(spark):
     """No filter reads all dates beforehand, and buttons are not looked up for each status they may have."""
     plan = more.card_dates(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("?subshow(") == 1 and plan.count("?btn(") == 1
+
+
+def test_elements_are_written_and_never_broadcast(spark):
+    plan = cards.card_layouts(spark, SMALL)._jdf.queryExecution()
+    joins = [line for line in plan.executedPlan().toString().split("\n") if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert not [line for line in joins if "nr#" in line and "> " in line]
+    assert "MapInPandas" not in plan.optimizedPlan().toString()
