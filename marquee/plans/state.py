@@ -139,7 +139,8 @@ def plan_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def past_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans, rows = _plans(spark, sf_dir), read_shows(spark, sf_dir)
+    # a plan is linked at its own date: days that are not over take no part
+    plans, rows = (x.filter(F.col("datum") < F.lit(DAY)) for x in (_plans(spark, sf_dir), read_shows(spark, sf_dir)))
     return S.past_plans(plans, S.link_plans(plans, rows), rows, DAY, NOW)
 
 
