@@ -2,10 +2,12 @@
 
 from datetime import date
 
+import duckdb
+from compare import spark_rows, sql_rows
 from pyspark.sql import functions as F
 
 from marquee.operators import dating, lists, state
-from marquee.plans import cards, more
+from marquee.plans import cards, more, streams
 from tests.conftest import SMALL
 
 
@@ -62,3 +64,13 @@ def test_plans_and_performances_are_brought_together_once(spark):
     assert [tuple(r) for r in links.collect()] == [("p1", "s1", "exact")]
     plan = links._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_quota_of_many_unordered_files(spark, tmp_path):
+    """Twelve files, four a batch, that each span the same 140 days; some events are there twice."""
+    con = duckdb.connect()
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(12):
+        con.execute(f"COPY (SELECT * REPLACE (TIMESTAMP '2023-11-01' + INTERVAL 1 HOUR * (event_id * 1237 % 3360) AS ts, event_id % 3 AS user_id) FROM '{SMALL}/events.parquet' WHERE event_id % 12 = {k} OR event_id % 40 = {k}) TO '{tmp_path}/events.parquet/{k}.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert spark_rows(streams.stream_quota(spark, str(tmp_path))) == sql_rows(con, streams.ORACLE_SQL["stream_quota"])
