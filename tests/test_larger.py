@@ -1,13 +1,14 @@
 """What larger tables bring: instants and years beyond the usual, long lists, many files."""
 
+import random
 from datetime import date
 
 import duckdb
 from compare import spark_rows, sql_rows
 from pyspark.sql import functions as F
 
-from marquee.operators import dating, lists, state
-from marquee.plans import cards, more, streams
+from marquee.operators import agenda, dating, lists, state
+from marquee.plans import cards, lookups, more, streams
 from tests.conftest import SMALL
 
 
@@ -74,3 +75,18 @@ def test_quota_of_many_unordered_files(spark, tmp_path):
         con.execute(f"COPY (SELECT * REPLACE (TIMESTAMP '2023-11-01' + INTERVAL 1 HOUR * (event_id * 1237 % 3360) AS ts, event_id % 3 AS user_id) FROM '{SMALL}/events.parquet' WHERE event_id % 12 = {k} OR event_id % 40 = {k}) TO '{tmp_path}/events.parquet/{k}.parquet' (FORMAT parquet)")
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert spark_rows(streams.stream_quota(spark, str(tmp_path))) == sql_rows(con, streams.ORACLE_SQL["stream_quota"])
+
+
+def test_venues_of_sets_of_keys(spark):
+    rnd = random.Random(4)
+    pairs = {(f"k{rnd.randrange(6)}", f"v{rnd.randrange(40)}"): rnd.random() < 0.3 for _ in range(120)}
+    venues = spark.createDataFrame([(*kv, door) for kv, door in pairs.items()], "sleutel string, theaterId string, door boolean")
+    sets = [["k0", "k1"], ["k1", "k2", "k5"], ["k3", "weg"], ["weg", "x"]]
+    got = {tuple(r["sleutels"]): (r["n_door"], r["n_alle"]) for r in agenda.union_sizes(spark.createDataFrame([(s,) for s in sets], "sleutels array<string>"), venues, 3).collect()}
+    held = lambda s, all_: len({v for (k, v), door in pairs.items() if k in s and (all_ or door)})
+    assert got == {tuple(s): (held(s, False), held(s, True)) for s in sets}
+
+
+def test_lines_carry_no_venues(spark):
+    plan = lookups.watchlist_lines(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(" not in plan and "flatten(" not in plan
